@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import pii
+from gridloom.llm import bpe, pii
 from gridloom.llm.common import table
 
 
@@ -14,8 +14,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summarize(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.summarize(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_bpe": op2_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
