@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontaminate, fingerprint, neardup, pii, quality, token_counts
+from gridloom.llm import bpe, decontaminate, fingerprint, neardup, pii, quality, sharding, token_counts
 from gridloom.llm.common import crc_bucket, table
 
 
@@ -34,6 +34,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket() == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.assign(table(spark, sf_dir, "documents"), 16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.attribute(table(spark, sf_dir, "documents"))
     return counts.withColumn("n_tokens", F.col("n_tokens").cast("long"))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neardup": op3_neardup,
     "op4_decontamination": op4_decontamination,
     "op7_quality": op7_quality,
+    "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprint": op10_fingerprint,
 }
