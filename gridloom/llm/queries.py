@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontaminate, fingerprint, neardup, pii, quality, sharding, token_counts
+from gridloom.llm import bpe, decontaminate, fingerprint, lm, neardup, pii, quality, sharding, token_counts
 from gridloom.llm.common import crc_bucket, table
 
 
@@ -27,6 +27,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summarize(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(crc_bucket() != 1))
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", (crc_bucket() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_neardup": op3_neardup,
     "op4_decontamination": op4_decontamination,
+    "op6_lm": op6_lm,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
