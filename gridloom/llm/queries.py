@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontaminate, fingerprint, lm, neardup, pii, quality, sharding, token_counts
+from gridloom.llm import bpe, decontaminate, fingerprint, lm, neardup, pii, quality, sharding, token_counts, toxicity
 from gridloom.llm.common import crc_bucket, table
 
 
@@ -27,6 +27,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summarize(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, net)
+    return scored.select("doc_id", (crc_bucket() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.train(docs.where(crc_bucket() != 1))
@@ -60,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_neardup": op3_neardup,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_lm": op6_lm,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
