@@ -123,7 +123,7 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
         right = {a: a + (b - a) // 2 for a, b in ranges if b - a > 1}
         cuts = _small(rows, [(n.node, n.dim, *n.fixed, right[n.node]) for n in _cuts(rows, aims)], "node int, dim int, a long, b long, c long, right int")
         key = F.struct(*(p.alias(c) for p, c in zip(_parts(), "abc", strict=True)))
-        past = F.coalesce(key >= F.struct("a", "b", "c"), F.lit(False))
+        past = F.col("right").isNotNull() & (key >= F.struct("a", "b", "c"))
         rows = cut(rows.join(cuts, "node", "left").withColumn("node", F.when(past, F.col("right")).otherwise(F.col("node"))).drop("dim", "a", "b", "c", "right"))
         ranges = [x for a, b in ranges for x in ([(a, right[a]), (right[a], b)] if b - a > 1 else [(a, b)])]
     return _numbered(rows.withColumnRenamed("node", "shard"))

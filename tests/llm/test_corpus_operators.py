@@ -140,7 +140,7 @@ def discounts(counts):
 
 def test_language_model(spark):
     rnd = random.Random(8)
-    vocabulary = [f"w{min(int(rnd.expovariate(0.05)), 80)}" for _ in range(4000)]
+    vocabulary = [f"w{int(rnd.expovariate(0.02))}" for _ in range(4000)]
     rows = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 80)))) for i in range(150)] + [(1000, None), (1001, "New words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None] for i, t in rows}

@@ -51,7 +51,7 @@ def test_pii_checksums_and_context():
 
 def test_pii_queries(spark, docs):
     got = {(r.doc_id, r.n_email): r for r in pii.summarize(docs).collect()}
-    assert got[1, 1].spans.startswith("email:5:12,phone:16:")
+    assert got[1, 1].spans.startswith("email:5:14,phone:18:")
     assert got[2, 0].base_sha256 == hashlib.sha256(b"").hexdigest()
     masked = pii.redact(docs)
     assert masked.columns == docs.columns and masked.count() == len(DOCS)
