@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from gridloom.plans import layout, results
+
+QUERIES: dict = {**layout.QUERIES, **results.QUERIES}
+ORACLE_SQL: dict[str, str] = {**layout.ORACLE_SQL, **results.ORACLE_SQL}
