@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
-from gridloom.operators import hierarchy, repetition
+from gridloom.operators import alignment, hierarchy, layer_algebra, repetition, tiling
 from gridloom.operators.overlap import bbox_join, normalized, touches, union_box
+from gridloom.sources import oasis
 from gridloom.sources.adapters import view, with_views
 
 QUERIES: dict = {}
@@ -178,3 +179,99 @@ def _(spark, d):
 @query("rep_10_plan", with_views("SELECT CASE WHEN vy = 0 AND wx = 0 THEN 'grid' WHEN nx * ny <= 20 THEN 'expand' ELSE 'bail' END AS kind, count(*) AS n FROM arrays GROUP BY 1", "arrays"))
 def _(spark, d):
     return view(spark, d, "arrays").groupBy(repetition.plan_kind(20).alias("kind")).agg(F.count("*").alias("n"))
+
+
+#: The layout's box and the layers that formulas refer to.
+CHIP = (0, 0, 100220, 100216)
+LAYERS = {"A": (10, 0), "B": (11, 1), "C": (12, 2)}
+_TILES = """tiles AS (SELECT j * 64 + i AS window_id, CAST(floor(i * 1565.9375) AS BIGINT) AS wx1, CAST(floor(j * 1565.875) AS BIGINT) AS wy1,
+  CASE WHEN i = 63 THEN 100220 ELSE CAST(floor((i + 1) * 1565.9375) AS BIGINT) END AS wx2, CASE WHEN j = 63 THEN 100216 ELSE CAST(floor((j + 1) * 1565.875) AS BIGINT) END AS wy2
+  FROM (SELECT range AS i FROM range(64)), (SELECT range AS j FROM range(64)))"""
+
+
+def _area_sql(rule: str, grow: int = 0) -> str:
+    """Area by tile where the rule of a, b, c holds; A may be grown along x."""
+    return with_views(
+        f"""+{_TILES}, op AS (SELECT CASE layer WHEN 10 THEN 'A' WHEN 11 THEN 'B' ELSE 'C' END AS ref, x1 - CASE layer WHEN 10 THEN {grow} ELSE 0 END AS x1, y1, x2 + CASE layer WHEN 10 THEN {grow} ELSE 0 END AS x2, y2
+    FROM shapes WHERE (layer = 10 AND datatype = 0) OR (layer = 11 AND datatype = 1) OR (layer = 12 AND datatype = 2)),
+  cl AS (SELECT window_id, ref, greatest(x1, wx1) AS x1, greatest(y1, wy1) AS y1, least(x2, wx2) AS x2, least(y2, wy2) AS y2 FROM tiles JOIN op ON x1 < wx2 AND x2 > wx1 AND y1 < wy2 AND y2 > wy1),
+  ex AS (SELECT window_id, x AS a, lead(x) OVER (PARTITION BY window_id ORDER BY x) AS b FROM (SELECT window_id, x1 AS x FROM cl UNION SELECT window_id, x2 FROM cl UNION SELECT window_id, wx1 FROM tiles UNION SELECT window_id, wx2 FROM tiles)),
+  ey AS (SELECT window_id, y AS a, lead(y) OVER (PARTITION BY window_id ORDER BY y) AS b FROM (SELECT window_id, y1 AS y FROM cl UNION SELECT window_id, y2 FROM cl UNION SELECT window_id, wy1 FROM tiles UNION SELECT window_id, wy2 FROM tiles)),
+  cell AS (SELECT ex.window_id, ex.a AS x1, ex.b AS x2, ey.a AS y1, ey.b AS y2, coalesce(bool_or(ref = 'A'), false) AS a, coalesce(bool_or(ref = 'B'), false) AS b, coalesce(bool_or(ref = 'C'), false) AS c
+    FROM ex JOIN ey ON ex.window_id = ey.window_id LEFT JOIN cl ON cl.window_id = ex.window_id AND cl.x1 <= ex.a AND cl.x2 >= ex.b AND cl.y1 <= ey.a AND cl.y2 >= ey.b
+    WHERE ex.b IS NOT NULL AND ey.b IS NOT NULL GROUP BY 1, 2, 3, 4, 5)
+  SELECT window_id, CAST(sum((x2 - x1) * (y2 - y1)) AS BIGINT) AS area FROM cell WHERE {rule} GROUP BY window_id""",
+        "shapes",
+    )
+
+
+def _areas(spark: SparkSession, d: str, formula: str, recipes: dict[str, str] | None = None) -> DataFrame:
+    tiles = tiling.tile_grid(spark, CHIP, 1500)
+    found = layer_algebra.apply(formula, LAYERS, view(spark, d, "shapes"), tiles, reach=REACH, recipes=recipes)
+    return found.groupBy("window_id").agg(F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("long").alias("area"))
+
+
+for _name, _formula, _rule, _grow in (
+    ("set_01_and", "A & B", "a AND b", 0),
+    ("set_02_or", "A | B", "a OR b", 0),
+    ("set_03_minus", "A - B", "a AND NOT b", 0),
+    ("set_04_not", "~A", "NOT a", 0),
+    ("set_05_grow", "A > W:30", "a", 30),
+    ("exp_06_formula", "[(A > W:25) & ~B] | C", "(a AND NOT b) OR c", 25),
+):
+    query(_name, _area_sql(_rule, _grow))(lambda spark, d, f=_formula: _areas(spark, d, f))
+
+
+@query("exp_05_recipe", _area_sql("(a OR b) AND NOT c", 40))
+def _(spark, d):
+    return _areas(spark, d, "R2 - C", {"R1": "A > W:40", "R2": "R1 | B"})
+
+
+@query("set_06_shrink")
+def _(spark, d):
+    return _areas(spark, d, "(A | B | C) < H:5")
+
+
+@query("til_01_grid", f"WITH {_TILES} SELECT window_id, wx1, wy1, wx2, wy2 FROM tiles")
+def _(spark, d):
+    box = view(spark, d, "shapes").agg(F.max("x2"), F.max("y2")).first()
+    assert box[0] <= CHIP[2] and box[1] <= CHIP[3]
+    return tiling.tile_grid(spark, CHIP, 1500)
+
+
+@query("til_02_clip", with_views(f"+{_TILES}, cl AS (SELECT window_id, layer, greatest(x1, wx1) AS x1, greatest(y1, wy1) AS y1, least(x2, wx2) AS x2, least(y2, wy2) AS y2 FROM tiles JOIN shapes ON x1 < wx2 AND x2 > wx1 AND y1 < wy2 AND y2 > wy1) SELECT window_id, layer, count(*) AS n, CAST(sum((x2 - x1) * (y2 - y1)) AS BIGINT) AS area FROM cl GROUP BY window_id, layer", "shapes"))
+def _(spark, d):
+    cut = tiling.clip_to_tiles(view(spark, d, "shapes"), tiling.tile_grid(spark, CHIP, 1500), REACH, 2000)
+    return cut.groupBy("window_id", "layer").agg(F.count("*").alias("n"), F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
+
+
+def _seen(spark: SparkSession, d: str) -> DataFrame:
+    images = view(spark, d, "images").select("image_id", F.col("xrel").alias("cx"), F.col("yrel").alias("cy"))
+    return alignment.in_view(view(spark, d, "shapes"), images, 1500, REACH)
+
+
+@query("prd_01_label_pixels")
+def _(spark, d):
+    return alignment.label_counts(_seen(spark, d), 1500, 60)
+
+
+@query("aln_03_match")
+def _(spark, d):
+    """Each image drawn with the offset of its stored result, and matched back."""
+    drift = view(spark, d, "refined").select("image_id", (F.col("dx_nm") * 12).alias("ox"), (F.col("dy_nm") * 12).alias("oy"))
+    return alignment.matched(_seen(spark, d).join(drift, "image_id"), 1500, 60, 12)
+
+
+@query("oasis_roundtrip", with_views("SELECT 'tile' || CAST(x1 // 5000 * 100 + y1 // 5000 AS VARCHAR) AS path, layer, datatype, x1, y1, x2, y2 FROM shapes", "shapes"))
+def _(spark, d):
+    """Shapes written as layout files, one for each 5 um square, and read back."""
+    square = F.floor(F.col("x1") / 5000) * 100 + F.floor(F.col("y1") / 5000)
+    files = oasis.write(view(spark, d, "shapes").withColumn("path", F.concat(F.lit("tile"), square.cast("string"))))
+    return oasis.read(files).select("path", "layer", "datatype", "x1", "y1", "x2", "y2")
+
+
+@query("agg_04_record_histogram", with_views("SELECT 'rect' AS kind, layer, count(*) AS n FROM shapes GROUP BY layer", "shapes"))
+def _(spark, d):
+    square = F.floor(F.col("x1") / 5000) * 100 + F.floor(F.col("y1") / 5000)
+    files = oasis.write(view(spark, d, "shapes").withColumn("path", F.concat(F.lit("tile"), square.cast("string"))))
+    return oasis.read(files).groupBy("kind", "layer").agg(F.count("*").alias("n"))

@@ -1 +1 @@
-"""Part of gridloom."""
+"""Structured Streaming over timed operations and match results."""
