@@ -14,7 +14,7 @@ from gridloom.operators.layer_algebra import window_groups
 from gridloom.operators.overlap import bbox_join
 
 
-def in_view(shapes: DataFrame, images: DataFrame, fov: int, reach: int, grid: int = 2000) -> DataFrame:
+def in_view(shapes: DataFrame, images: DataFrame, fov: int, reach: int, grid: int = 1000) -> DataFrame:
     """Shapes in each image's field, once each, with the image's centre."""
     half = fov // 2
     fields = images.select("image_id", "cx", "cy", *((F.col(c) + s * half).alias(n) for n, c, s in (("qx1", "cx", -1), ("qy1", "cy", -1), ("qx2", "cx", 1), ("qy2", "cy", 1))))

@@ -97,3 +97,52 @@ def die_pitch(files: DataFrame) -> DataFrame:
 def position_nm(version: Column, value: Column) -> Column:
     """Positions of version 1.2 are um, those of 1.8 nm; text that is no number is null."""
     return value.try_cast("double") * F.when(version == "1.2", 1000.0).otherwise(1.0)
+
+
+def last_seen(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """``name``: the latest value that is not null, up to and with each row.
+
+    By chunks of the order: inside a chunk by a window, and from the chunks
+    before by one row each.
+    """
+    chunked = rows.withColumns({"_chunk": F.floor(F.col(order) / CHUNK), "_v": value})
+    ends = chunked.where("_v is not null").groupBy("_chunk").agg(F.max_by("_v", order).alias("_end"))
+    every = chunked.select("_chunk").distinct().join(ends, "_chunk", "left")
+    ahead = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = every.select("_chunk", F.last("_end", ignorenulls=True).over(ahead).alias("_start"))
+    inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return chunked.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).join(starts, "_chunk").withColumn(name, F.coalesce("_in", "_start")).drop("_chunk", "_v", "_in", "_start")
+
+
+def first_rows(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group; a limit inside tasks comes before the shuffle."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+
+
+def evenly_spaced(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """At most n rows at even distances of the order, the first among them."""
+    total = rows.agg(F.count("*").alias("_all"))
+    numbered = running_total(rows, order, F.lit(1), "_n").join(F.broadcast(total))
+    slot = F.floor(F.col("_n") * n / F.col("_all"))
+    before = F.floor((F.col("_n") - 1) * n / F.col("_all"))
+    return numbered.where((F.col("_all") <= n) | (F.col("_n") == 0) | (slot > before)).drop("_n", "_all")
+
+
+def nearest(points: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """(query_id, image_id, d2): the nearest point within the radius, if any.
+
+    Points and queries meet in grid squares of the radius; of equal distances
+    the later point wins.
+    """
+    at = lambda c: F.floor(F.col(c) / radius)
+    homed = points.withColumns({"_bx": at("x"), "_by": at("y")})
+    spread = queries.withColumn("_bx", F.explode(F.sequence(at("qx") - 1, at("qx") + 1))).withColumn("_by", F.explode(F.sequence(at("qy") - 1, at("qy") + 1)))
+    d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
+    near = homed.join(spread, ["_bx", "_by"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    best = F.min(F.struct("d2", (-F.col("image_id")).alias("_id"))).alias("s")
+    return near.groupBy("query_id").agg(best).select("query_id", (-F.col("s._id")).alias("image_id"), "s.d2")
+
+
+def sent_and_read(sent: DataFrame, read: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts by key on both sides; what is missing counts zero."""
+    return sent.groupBy(*keys).agg(F.count("*").alias("sent")).join(read.groupBy(*keys).agg(F.count("*").alias("read")), keys, "full").na.fill(0, ["sent", "read"])

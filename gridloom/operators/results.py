@@ -97,3 +97,21 @@ def label_problems(labels: DataFrame) -> DataFrame:
     bad = F.regexp_replace("layer", "[A-Za-z0-9_]", "")
     digit = F.col("layer").rlike("^[0-9]")
     return labels.select("id", "layer", bad.alias("invalid_chars"), digit.alias("leading_digit")).where((bad != "") | digit)
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """One line of text for each timed operation."""
+    return events.select("seq", F.format_string("%s %10.3f ms %s [%s]", F.upper("level"), F.col("us") / 1000, F.col("op"), F.col("label")).alias("line"))
+
+
+def stage_means(events: DataFrame) -> DataFrame:
+    """Mean time by category, to the microsecond."""
+    return events.groupBy(F.substring_index("op", ":", 1).alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("us")).cast("long").alias("mean_us"))
+
+
+def manifest(images: DataFrame, refined: DataFrame, threshold: float = MIN_SCORE) -> DataFrame:
+    """Text rows for export: what has not been run is an empty string, not zero."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    safe = F.regexp_replace(F.col("image_id").cast("string"), "[^A-Za-z0-9_-]", "_")
+    rows = with_status(images, refined, threshold)
+    return rows.select("image_id", "status", F.when(F.col("status").isin(OK, LOW), F.concat(safe, F.lit("_raw.png"))).otherwise("").alias("raw_png"), blank(F.col("score").cast("decimal(9,3)")).alias("score_text"))

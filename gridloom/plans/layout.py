@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
-from gridloom.operators import alignment, hierarchy, layer_algebra, repetition, tiling
+from gridloom.operators import alignment, defects, hierarchy, layer_algebra, repetition, tiling
 from gridloom.operators.overlap import bbox_join, normalized, touches, union_box
 from gridloom.sources import oasis
 from gridloom.sources.adapters import view, with_views
@@ -39,14 +39,14 @@ _SEEN = "FROM images i JOIN shapes s ON s.x1 <= i.xrel + 750 AND s.x2 >= i.xrel
 
 @query("flt_01_fov_overlap", with_views(f"SELECT image_id, layer, datatype, count(*) AS n, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 {_SEEN} GROUP BY image_id, layer, datatype", "images", "shapes"))
 def _(spark, d):
-    seen = bbox_join(view(spark, d, "shapes"), _fields(spark, d), 2000, REACH)
+    seen = bbox_join(view(spark, d, "shapes"), _fields(spark, d), 1000, REACH)
     return seen.groupBy("image_id", "layer", "datatype").agg(F.count("*").alias("n"), *union_box())
 
 
 @query("flt_03_multi_layer", with_views(f"SELECT image_id, count(*) AS n {_SEEN} WHERE (layer = 10 AND datatype = 0) OR (layer = 12 AND datatype = 2) GROUP BY image_id", "images", "shapes"))
 def _(spark, d):
     shapes = view(spark, d, "shapes").where("(layer = 10 and datatype = 0) or (layer = 12 and datatype = 2)")
-    return bbox_join(shapes, _fields(spark, d), 2000, REACH).groupBy("image_id").agg(F.count("*").alias("n"))
+    return bbox_join(shapes, _fields(spark, d), 1000, REACH).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
 @query("flt_02_box_rows", with_views("SELECT layer, datatype, x1, y1, x2, y2 FROM shapes WHERE x1 <= 60000 AND x2 >= 20000 AND y1 <= 50000 AND y2 >= 30000", "shapes"))
@@ -275,3 +275,27 @@ def _(spark, d):
     square = F.floor(F.col("x1") / 5000) * 100 + F.floor(F.col("y1") / 5000)
     files = oasis.write(view(spark, d, "shapes").withColumn("path", F.concat(F.lit("tile"), square.cast("string"))))
     return oasis.read(files).groupBy("kind", "layer").agg(F.count("*").alias("n"))
+
+
+@query("agg_02_array_box", with_views("SELECT rep_id, x1 + least(0, (nx - 1) * vx, (ny - 1) * wx, (nx - 1) * vx + (ny - 1) * wx) AS x1, y2 + greatest(0, (nx - 1) * vy, (ny - 1) * wy, (nx - 1) * vy + (ny - 1) * wy) AS y2 FROM arrays", "arrays"))
+def _(spark, d):
+    low_x, _, _, high_y = repetition.extent()
+    return view(spark, d, "arrays").select("rep_id", (F.col("x1") + low_x).alias("x1"), (F.col("y2") + high_y).alias("y2"))
+
+
+@query("agg_10_walk_counters", with_views(f"+{_WALK} SELECT count(*) AS visited, count(DISTINCT cell_id) AS cells, CAST(sum(CASE WHEN cell_id IN (SELECT cell_id FROM cell_rect) THEN 1 ELSE 0 END) AS BIGINT) AS with_shapes FROM walk", "placement", "cell_rect", recursive=True))
+def _(spark, d):
+    placed = hierarchy.instances(view(spark, d, "placement"), 0)
+    marked = placed.join(view(spark, d, "cell_rect").select("cell_id").distinct().withColumn("has", F.lit(1)), "cell_id", "left")
+    return marked.agg(F.count("*").alias("visited"), F.countDistinct("cell_id").alias("cells"), F.sum(F.coalesce("has", F.lit(0))).alias("with_shapes"))
+
+
+@query("srt_10_first_shapes", with_views("SELECT layer, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY x1, y1, x2, y2, datatype) AS k FROM shapes) WHERE k <= 1000", "shapes"))
+def _(spark, d):
+    return defects.first_rows(view(spark, d, "shapes"), "layer", ["x1", "y1", "x2", "y2", "datatype"], 1000).select("layer", "x1", "y1", "x2", "y2")
+
+
+@query("win_08_running_offsets", with_views("SELECT rep_id, 0 AS o0, nx AS o1, nx + ny AS o2, nx + ny + vx AS o3 FROM arrays", "arrays"))
+def _(spark, d):
+    offsets = view(spark, d, "arrays").select("rep_id", repetition.running(F.array("nx", "ny", "vx")).alias("o"))
+    return offsets.select("rep_id", *(F.get("o", F.lit(k)).alias(f"o{k}") for k in range(4)))

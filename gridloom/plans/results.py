@@ -244,3 +244,64 @@ def _(spark, d):
     files = rows.groupBy("kind", F.floor(F.col("rec_no") / 500).alias("part")).agg(F.concat(head, F.array_join(F.collect_list(line), "\n"), F.lit(";\nEndOfFile;")).alias("content"))
     parsed = defects.parse_defects(files.select(F.concat(F.lit("lot"), "kind").alias("path"), "content"))
     return parsed.select("path", F.col("values")["DEFECTID"].alias("defect_id"), defects.position_nm(F.lit("1.2"), F.col("values")["XREL"]).alias("x_nm"))
+
+
+@query("jon_10_last_seen", with_views("SELECT seq, op, last_value(CASE WHEN label = 'purchase' THEN seq END IGNORE NULLS) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS last_purchase FROM perf_events", "perf_events"))
+def _(spark, d):
+    return defects.last_seen(view(spark, d, "perf_events"), "seq", F.when(F.col("label") == "purchase", F.col("seq")), "last_purchase").select("seq", "op", "last_purchase")
+
+
+@query("jon_11_nearest", with_views("+q AS (SELECT s_suppkey AS query_id, (s_suppkey * 7717) % 100000 AS qx, (s_suppkey * 3331) % 100000 AS qy FROM supplier), m AS (SELECT query_id, image_id, (xrel - qx) * (xrel - qx) + (yrel - qy) * (yrel - qy) AS d2 FROM q JOIN images ON abs(xrel - qx) <= 900 AND abs(yrel - qy) <= 900) SELECT query_id, image_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, image_id DESC) AS k FROM m WHERE d2 <= 810000) WHERE k = 1", "images"))
+def _(spark, d):
+    spots = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("query_id"), ((F.col("s_suppkey") * 7717) % 100000).alias("qx"), ((F.col("s_suppkey") * 3331) % 100000).alias("qy"))
+    points = view(spark, d, "images").select("image_id", F.col("xrel").alias("x"), F.col("yrel").alias("y"))
+    return defects.nearest(points, spots, 900)
+
+
+@query("jon_12_label_numbers", with_views("+l AS (SELECT layer, min(id) AS first_id FROM label_map GROUP BY layer) SELECT layer, row_number() OVER (ORDER BY first_id) AS n FROM l", "label_map"))
+def _(spark, d):
+    first = view(spark, d, "label_map").groupBy("layer").agg(F.min("id").alias("first_id"))
+    return defects.row_ids(first, "first_id").select("layer", F.col("row_id").alias("n"))
+
+
+@query("jon_13_sent_read", with_views("+a AS (SELECT kind, n_pages, count(*) AS sent FROM images GROUP BY kind, n_pages), b AS (SELECT kind, n_pages, count(*) AS read FROM images JOIN refined USING (image_id) GROUP BY kind, n_pages) SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.n_pages, b.n_pages) AS n_pages, coalesce(sent, 0) AS sent, coalesce(read, 0) AS read FROM a FULL JOIN b ON a.kind = b.kind AND a.n_pages = b.n_pages", "images", "refined"))
+def _(spark, d):
+    images = view(spark, d, "images")
+    return defects.sent_and_read(images, images.join(view(spark, d, "refined").select("image_id"), "image_id"), ["kind", "n_pages"])
+
+
+@query("flt_13_rows_with_images", with_views("SELECT image_id, n_pages FROM images WHERE n_pages > 0", "images"))
+def _(spark, d):
+    return view(spark, d, "images").where("n_pages > 0").select("image_id", "n_pages")
+
+
+@query("flt_14_viewport", with_views("SELECT image_id FROM images WHERE xrel * 0.02e0 BETWEEN -8 AND 808 AND yrel * 0.02e0 BETWEEN -8 AND 608", "images"))
+def _(spark, d):
+    on_screen = (F.col("xrel") * 0.02).between(-8, 808) & (F.col("yrel") * 0.02).between(-8, 608)
+    return view(spark, d, "images").where(on_screen).select("image_id")
+
+
+@query("agg_18_stage_means", with_views("SELECT split_part(op, ':', 1) AS category, count(*) AS n, CAST(round(avg(us)) AS BIGINT) AS mean_us FROM perf_events GROUP BY 1", "perf_events"))
+def _(spark, d):
+    return results.stage_means(view(spark, d, "perf_events"))
+
+
+@query("aln_07_result_rows", with_views("SELECT i.image_id, CASE WHEN score IS NULL THEN 'not-run' WHEN score >= 0.6 THEN 'ok' ELSE 'low-score' END AS status, coalesce(dx_nm, 0) AS dx FROM images i LEFT JOIN refined r ON i.image_id = r.image_id", "images", "refined"))
+def _(spark, d):
+    rows = results.with_status(view(spark, d, "images").withColumn("has_coords", F.lit(True)), view(spark, d, "refined"), 0.6)
+    return rows.select("image_id", "status", F.coalesce("dx_nm", F.lit(0.0)).alias("dx"))
+
+
+@query("snk_04_manifest", with_views("+r AS (SELECT i.image_id, score, CASE WHEN NOT has_coords THEN 'no-coords' WHEN score IS NULL THEN 'not-run' WHEN score >= 0.5 THEN 'ok' ELSE 'low-score' END AS status FROM images i LEFT JOIN refined r ON i.image_id = r.image_id) SELECT image_id, status, CASE WHEN status IN ('ok', 'low-score') THEN image_id || '_raw.png' ELSE '' END AS raw_png, coalesce(CAST(CAST(score AS DECIMAL(9, 3)) AS VARCHAR), '') AS score_text FROM r", "images", "refined"))
+def _(spark, d):
+    return results.manifest(view(spark, d, "images"), view(spark, d, "refined"))
+
+
+@query("snk_08_log_lines", with_views("SELECT seq, printf('%s %10.3f ms %s [%s]', upper(level), us / 1000, op, label) AS line FROM perf_events", "perf_events"))
+def _(spark, d):
+    return results.log_lines(view(spark, d, "perf_events"))
+
+
+@query("srt_08_even_sample", with_views("+n AS (SELECT image_id, row_number() OVER (ORDER BY rec_no) - 1 AS k, count(*) OVER () AS c FROM images) SELECT image_id FROM n WHERE c <= 100 OR k = 0 OR (k * 100) // c > ((k - 1) * 100) // c", "images"))
+def _(spark, d):
+    return defects.evenly_spaced(view(spark, d, "images"), "rec_no", 100).select("image_id")
