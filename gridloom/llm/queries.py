@@ -75,4 +75,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprint": op10_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{decontaminate._UPPER}', '{decontaminate._LOWER}'), '{_GAP}'), lambda x: x <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+        win AS (SELECT item_id, list_slice(w, k, k + least(len(w), 13) - 1) AS g FROM i, LATERAL (SELECT unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k) WHERE len(w) > 0),
+        spot AS (SELECT doc_id, p, n, list_slice(w, p, p + n - 1) AS g FROM d, (SELECT DISTINCT len(g) AS n FROM win), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS p)),
+        hit AS (SELECT doc_id, p, n, item_id FROM spot JOIN win ON spot.g = win.g),
+        pos AS (SELECT doc_id, count(DISTINCT p + o) AS n_hit FROM hit, LATERAL (SELECT unnest(range(n)) AS o) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+          coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+}
