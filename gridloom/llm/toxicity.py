@@ -332,7 +332,8 @@ def statistics(docs: DataFrame, known: DataFrame, share: float) -> tuple[np.ndar
             part = some[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(held[k, part]) for k in (0, 1))], ["key", "toxic", "seen"])
 
-    counted = docs.select("doc_id", "text").join(known, "doc_id").select("y", "text").mapInArrow(work, "key int, toxic int, seen int")
+    # labels grow with the documents: joined by shuffle at every size
+    counted = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("y", "text").mapInArrow(work, "key int, toxic int, seen int")
     summed = counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"))
     z = (F.col("toxic") - F.col("seen") * share) / F.sqrt(F.col("seen") * share * (1 - share) + 1)
     rows = summed.where((F.col("seen") >= LEAST_SEEN) & (F.abs(z) >= LEAST_Z)).toArrow()  # at most 2 << SCORE_BITS rows
