@@ -25,8 +25,12 @@ def _by_image(rows: DataFrame) -> DataFrame:
     return rows.repartition("image_id").sortWithinPartitions("image_id")
 
 
-def _boxes(x: dict) -> np.ndarray:
-    return np.stack([np.array(x[c], float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+def _boxes(group: pa.Table) -> np.ndarray:
+    return np.stack([group[c].to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+
+
+def _corner(group: pa.Table, fov: int) -> tuple[float, float]:
+    return group["cx"][0].as_py() - fov / 2, group["cy"][0].as_py() - fov / 2
 
 
 def label_counts(seen: DataFrame, fov: int, pixels: int) -> DataFrame:
@@ -35,11 +39,10 @@ def label_counts(seen: DataFrame, fov: int, pixels: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in window_groups(batches, "image_id"):
-            x = group.to_pydict()
-            found = raster.labels(_boxes(x), np.array(x["layer"]), x["cx"][0] - fov / 2, x["cy"][0] - fov / 2, scale, pixels, pixels)
+            found = raster.labels(_boxes(group), group["layer"].to_numpy(), *_corner(group, fov), scale, pixels, pixels)
             layer, n = np.unique(found[found > 0], return_counts=True)
             if len(layer):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(layer), x["image_id"][0])), pa.array(layer.astype(np.int32)), pa.array(n.astype(np.int64))], ["image_id", "layer", "n_pixels"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(layer), group["image_id"][0].as_py())), pa.array(layer.astype(np.int32)), pa.array(n.astype(np.int64))], ["image_id", "layer", "n_pixels"])
 
     return _by_image(seen).mapInArrow(work, "image_id long, layer int, n_pixels long")
 
@@ -55,13 +58,12 @@ def matched(seen: DataFrame, fov: int, pixels: int, radius: int, sigma: float =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in window_groups(batches, "image_id"):
-            x = group.to_pydict()
-            b, grid = _boxes(x), (x["cx"][0] - fov / 2, x["cy"][0] - fov / 2, scale, pixels, pixels)
-            drift = np.array([x["ox"][0], x["oy"][0]] * 2, float)
+            b, grid = _boxes(group), (*_corner(group, fov), scale, pixels, pixels)
+            drift = np.array([group["ox"][0].as_py(), group["oy"][0].as_py()] * 2, float)
             template = raster.blurred(raster.mask(b, *grid), sigma)
             image = raster.blurred(raster.mask(b + drift, *grid), sigma)
             dx, dy, score = raster.match(image, template, radius, scale)
             status = "ok" if score > 0 else "flat"
-            yield pa.RecordBatch.from_pylist([{"image_id": x["image_id"][0], "dx_nm": dx, "dy_nm": dy, "score": score, "status": status}])
+            yield pa.RecordBatch.from_pylist([{"image_id": group["image_id"][0].as_py(), "dx_nm": dx, "dy_nm": dy, "score": score, "status": status}])
 
     return _by_image(seen).mapInArrow(work, "image_id long, dx_nm double, dy_nm double, score double, status string")

@@ -192,14 +192,13 @@ def apply(formula: str, layers: dict[str, tuple[int, int]], shapes: DataFrame, w
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in window_groups(batches, "window_id"):
-            x = group.to_pydict()
-            window = np.array([x[c][0] for c in ("wx1", "wy1", "wx2", "wy2")], float)
+            window = np.array([group[c][0].as_py() for c in ("wx1", "wy1", "wx2", "wy2")], float)
             field = window + np.array([-around, -around, around, around])
-            b = np.stack([np.array(x[c], float) for c in ("x1", "y1", "x2", "y2")], axis=1)
-            ref = np.array(x["ref"], object)
+            b = np.stack([group[c].to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+            ref = np.array(group["ref"].to_pylist(), object)
             bound = {k: regions.clipped(regions.boxes(b[ref == k]), field) for k in used}
             found = regions.clipped(evaluate(tree, bound, field), window)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x["window_id"][0])), *(pa.array(found[:, i]) for i in range(4))], ["window_id", "x1", "y1", "x2", "y2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group["window_id"][0].as_py())), *(pa.array(found[:, i]) for i in range(4))], ["window_id", "x1", "y1", "x2", "y2"])
 
     return rows.repartition("window_id").sortWithinPartitions("window_id").mapInArrow(work, "window_id long, x1 double, y1 double, x2 double, y2 double")
