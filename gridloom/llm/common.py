@@ -30,10 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder; survives lost executors."""
+def cut(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """The rows, written once to the shared folder; survives lost executors.
+
+    With ``rows_per_task`` the rows are read back in as few tasks as that allows,
+    so that many small steps do not each write a file for every task.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out if rows_per_task is None else out.coalesce(out.count() // rows_per_task + 1)
 
 
 def crc_bucket(doc_id: str = "doc_id") -> Column:

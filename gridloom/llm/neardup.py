@@ -17,13 +17,14 @@ Comparison goes by sketches first and is confirmed on full sets:
 
 1. every vertex is linked with its smallest likely partner, and the link is
    confirmed;
-2. likely pairs whose ends are still in different components are confirmed,
-   block by block;
-3. in a node of several blocks, vertices outside its main component are compared
-   with every block of the node, until nothing new is found.
+2. in small nodes, likely pairs whose ends are still in different components are
+   confirmed where they stand, in the first tree in which the two share a small
+   node;
+3. in large nodes, vertices outside the main component are compared with all of
+   the node, tile by tile.
 
-So no link between different texts is lost to the size of a node, and pairs
-inside a component need not be listed.
+No link between different texts is lost to the size of a node, and no list of
+pairs is written: tasks get vertices and give links that join components.
 
 Defined cases: texts without words have the empty set and are linked with
 nothing; null ids count shingles but belong to no component and are kept;
@@ -45,16 +46,20 @@ from gridloom.llm.common import cut
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, POSITIONS = 8, 64
-SMALL, DEPTH = 96, 6
+TREES, POSITIONS = 8, 32
+#: Bytes of the sketch that pairs are compared by; deviations allowed below the threshold.
+FINE, ALLOWED = 256, 4.0
+SMALL, DEPTH, TILE = 96, 6, 1000
+#: Rows of a step that one task takes, about; and rows with full sets.
+ROWS, FULL_ROWS = 20_000, 4_000
 #: A node is alike on the whole if one child holds this share of it.
 ALIKE = 0.6
 #: Up to so many vertices (16 bytes each) are broadcast; more are shuffled.
 BROADCAST_VERTICES = 1_000_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_MULTIPLY = _RANDOM.integers(0, 2**63, (POSITIONS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RANDOM.integers(0, 2**63, (POSITIONS, 1), np.uint64)
+_MULTIPLY = _RANDOM.integers(0, 2**31, (FINE, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RANDOM.integers(0, 2**32, (FINE, 1), np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,13 +78,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """The minwise values of a set that is not empty."""
-    least = np.full((POSITIONS, 1), np.iinfo(np.uint64).max)
-    for start in range(0, len(found), 4096):
-        part = (found[start : start + 4096] * _MULTIPLY + _ADD).min(axis=1, keepdims=True)
-        least = np.minimum(least, part)
-    return (least[:, 0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def sketch(found: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Minwise values to branch by, and one byte of each of FINE such values."""
+    least = np.full(FINE, np.iinfo(np.uint32).max, np.uint32)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(short), 1024):
+        part = short[start : start + 1024] * _MULTIPLY
+        part += _ADD
+        least = np.minimum(least, part.min(axis=1))
+    return least[:POSITIONS].view(np.int32), least.astype(np.uint8).tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -97,26 +104,29 @@ def _vertex(found: np.ndarray) -> bytes:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, vertex, sketch); vertex and sketch null without words."""
+    """(doc_id, n_shingles, vertex, sketch, fine); the last three null without words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([_vertex(x) if len(x) else None for x in found], pa.binary()), pa.array([sketch(x) if len(x) else None for x in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "vertex", "sketch"])
+            both = [sketch(x) if len(x) else (None, None) for x in found]
+            columns = [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([_vertex(x) if len(x) else None for x in found], pa.binary()), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "vertex", "sketch", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, vertex binary, sketch array<int>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, vertex binary, sketch array<int>, fine binary")
 
 
-def _end_nodes(vertices: DataFrame) -> DataFrame:
-    """(node, vertex, n): the end nodes of all trees with their sizes, 2 at least."""
+def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree, node, vertex, n): the end nodes of all trees, of 2 vertices at least;
+    and (vertex, small): the trees, as bits, in which its first node is small."""
 
     def counted(rows: DataFrame) -> DataFrame:
         return rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node")
 
-    root = vertices.select("vertex", F.posexplode(F.slice("sketch", 1, TREES)).alias("tree", "value")).select("vertex", F.xxhash64("tree", "value").alias("node"))
-    level = cut(counted(root))
+    root = vertices.select("vertex", F.posexplode(F.slice("sketch", 1, TREES)).alias("tree", "value")).select("tree", "vertex", F.xxhash64("tree", "value").alias("node"))
+    level = cut(counted(root), ROWS)
     ends = level.where(F.col("n") <= SMALL)
+    small = ends.groupBy("vertex").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("small"))
     large = level.where(F.col("n") > SMALL)
     for depth in range(DEPTH):
         if large.isEmpty():
@@ -126,27 +136,27 @@ def _end_nodes(vertices: DataFrame) -> DataFrame:
             break
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(POSITIONS)).cast("int")
         second = ((first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(POSITIONS - 1))) % POSITIONS).cast("int")
-        branched = large.join(vertices.select("vertex", "sketch"), "vertex").select("node", "n", "vertex", F.explode(F.array(F.struct(first.alias("p"), F.get("sketch", first).alias("v")), F.struct(second.alias("p"), F.get("sketch", second).alias("v")))).alias("c")).select("node", "n", "vertex", F.xxhash64("node", "c.p", "c.v").alias("child"))
-        branched = cut(branched)
+        branched = large.join(vertices.select("vertex", "sketch"), "vertex").select("tree", "node", "n", "vertex", F.explode(F.array(F.struct(first.alias("p"), F.get("sketch", first).alias("v")), F.struct(second.alias("p"), F.get("sketch", second).alias("v")))).alias("c")).select("tree", "node", "n", "vertex", F.xxhash64("node", "c.p", "c.v").alias("child"))
+        branched = cut(branched, ROWS)
         sizes = branched.groupBy("node", "n", "child").agg(F.count("*").alias("k"))
-        alike = cut(sizes.groupBy("node", "n").agg(F.max("k").alias("most")).where(F.col("most") >= ALIKE * F.col("n")).select("node"))
+        alike = cut(sizes.groupBy("node", "n").agg(F.max("k").alias("most")).where(F.col("most") >= ALIKE * F.col("n")).select("node"), ROWS)
         ends = ends.unionByName(large.join(alike, "node", "left_semi"))
-        children = branched.join(alike, "node", "left_anti").select("vertex", F.col("child").alias("node"))
-        level = cut(counted(children))
+        children = branched.join(alike, "node", "left_anti").select("tree", "vertex", F.col("child").alias("node"))
+        level = cut(counted(children), ROWS)
         ends = ends.unionByName(level.where(F.col("n") <= SMALL))
         large = level.where(F.col("n") > SMALL)
-    return ends
+    return ends, small
 
 
 def _blocks(ends: DataFrame) -> DataFrame:
-    """(node, block, blocks, vertex): blocks of a bounded expected size.
+    """(tree, node, block, n, vertex): blocks of a bounded expected size.
 
     Every block of a large node also holds the pivot, its smallest vertex.
     """
     blocks = F.ceil(F.col("n") / SMALL).cast("int")
-    dealt = ends.select("node", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "vertex"), blocks).cast("int").alias("block"), "vertex")
-    pivots = ends.where(F.col("n") > SMALL).groupBy("node", blocks.alias("blocks")).agg(F.min("vertex").alias("vertex"))
-    pivots = pivots.select("node", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vertex")
+    dealt = ends.select("tree", "node", "n", F.pmod(F.xxhash64("node", "vertex"), blocks).cast("int").alias("block"), "vertex")
+    pivots = ends.where(F.col("n") > SMALL).groupBy("tree", "node", "n").agg(F.min("vertex").alias("vertex"))
+    pivots = pivots.select("tree", "node", "n", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "vertex")
     return dealt.unionByName(pivots)
 
 
@@ -172,17 +182,31 @@ def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition("node", "block").sortWithinPartitions("node", "block")
 
 
-def _likely(group: pa.Table, least: int) -> tuple[list[bytes], np.ndarray]:
-    """The vertices, sorted, and which of them have alike sketches."""
+def _likely(group: pa.Table, least: int) -> tuple[list[bytes], np.ndarray, list[int]]:
+    """The vertices, sorted; which have alike sketches; and a row of each."""
     names = group["vertex"].to_pylist()
-    flat = group["sketch"].combine_chunks()
-    values = flat.flatten().to_numpy().reshape(len(names), POSITIONS)
     first = {v: i for i, v in enumerate(names)}  # a pivot may be there twice
     order = sorted(first)
-    values = values[[first[v] for v in order]]
-    equal = np.stack([(values == row).sum(axis=1) for row in values]) >= least
+    rows = [first[v] for v in order]
+    values = np.frombuffer(b"".join(group["fine"].to_pylist()), np.uint8).reshape(-1, FINE)[rows]
+    equal = np.stack([np.count_nonzero(values == row, axis=1) for row in values]) >= least
     np.fill_diagonal(equal, False)
-    return order, equal
+    return order, equal, rows
+
+
+def _open_pairs(group: pa.Table, least: int) -> tuple[list[bytes], np.ndarray, list[int]]:
+    """Likely pairs in different components that no earlier small node holds."""
+    names, alike, rows = _likely(group, least)
+    labels = group["label"].to_pylist()
+    code = np.unique([labels[i] for i in rows], return_inverse=True)[1]
+    alike &= code[:, None] != code
+    tree = group["tree"][0].as_py()
+    if tree and alike.any():
+        values = group["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, POSITIONS)[rows]
+        small = np.array(group["small"].to_pylist(), np.int64)[rows]
+        for r in range(tree):
+            alike &= ~((values[:, None, r] == values[:, r]) & ((small >> r & 1) == 1)[:, None])
+    return names, alike, rows
 
 
 def _parents(blocks: DataFrame, least: int) -> DataFrame:
@@ -191,7 +215,7 @@ def _parents(blocks: DataFrame, least: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list] = ([], [])
         for group in _groups(batches):
-            names, alike = _likely(group, least)
+            names, alike, _ = _likely(group, least)
             left = alike.any(axis=1)
             for i in range(len(names)):
                 queue = [i] if left[i] else []
@@ -207,28 +231,27 @@ def _parents(blocks: DataFrame, least: int) -> DataFrame:
                 out = ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["a", "b"])
 
-    found = _by_block(blocks).mapInArrow(work, "a binary, b binary")
+    found = _by_block(blocks.select("node", "block", "vertex", "fine")).mapInArrow(work, "a binary, b binary")
     return found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
-def _apart(blocks: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """(a, b, node, block): likely pairs in different components, each in one block."""
-    named = blocks.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+_CARRIED = ["tree", "node", "block", "vertex", "sketch", "fine", "small", "label"]
+
+
+def _apart(groups: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """The rows of vertices that have an open pair in their group."""
+    named = groups.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex")).select(*_CARRIED)
+    schema = named.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            label = dict(zip(group["vertex"].to_pylist(), group["label"].to_pylist(), strict=True))
-            if len(set(label.values())) < 2:
-                continue
-            names, alike = _likely(group, least)
-            code = np.unique([label[v] for v in names], return_inverse=True)[1]
-            a, b = np.nonzero(np.triu(alike & (code[:, None] != code)))
-            if len(a):
-                where = [pa.array(np.full(len(a), group[c][0].as_py()), k) for c, k in (("node", pa.int64()), ("block", pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in x], pa.binary()) for x in (a, b)] + where, ["a", "b", "node", "block"])
+            if len(set(group["label"].to_pylist())) > 1:
+                _, alike, rows = _open_pairs(group, least)
+                some = np.array(rows)[alike.any(axis=0) | alike.any(axis=1)]
+                if len(some):
+                    yield from group.take(pa.array(some)).combine_chunks().to_batches()
 
-    pairs = _by_block(named.select("node", "block", "vertex", "sketch", "label")).mapInArrow(work, "a binary, b binary, node long, block int")
-    return pairs.groupBy("a", "b").agg(F.min(F.struct("node", "block")).alias("_w")).select("a", "b", "_w.node", "_w.block")
+    return _by_block(named).mapInArrow(work, schema)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -263,19 +286,32 @@ def _confirmed(edges: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "full_a", "full_b").mapInArrow(work, "a binary, b binary")
 
 
-def _confirmed_in_blocks(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, node, block) that hold; each block gets its sets once."""
-    sides = pairs.select("node", "block", F.explode(F.array(F.struct(F.col("a").alias("vertex"), F.col("b").alias("other")), F.struct(F.col("b").alias("vertex"), F.lit(None).cast("binary").alias("other")))).alias("s"))
-    needed = sides.groupBy("node", "block", "s.vertex").agg(F.collect_set("s.other").alias("others")).join(full, "vertex")
+def _confirmed_in_place(rows: DataFrame, full: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links (a, b) on full sets that join components, group by group."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            content = {v: np.frombuffer(x, np.uint64) for v, x in zip(group["vertex"].to_pylist(), group["full"].to_pylist(), strict=True)}
-            good = [(a, b) for a, others in zip(group["vertex"].to_pylist(), group["others"].to_pylist(), strict=True) for b in others if b in content and similar(content[a], content[b], percent)]
+            names, alike, rows = _open_pairs(group, least)
+            content = group["full"].to_pylist()
+            content = [np.frombuffer(content[i], np.uint64) for i in rows]
+            labels = group["label"].to_pylist()
+            above = {labels[i]: labels[i] for i in rows}
+
+            def top(x: bytes, above: dict = above) -> bytes:
+                while above[x] != x:
+                    above[x] = x = above[above[x]]
+                return x
+
+            good = []
+            for i, j in np.argwhere(np.triu(alike | alike.T)).tolist():
+                x, y = top(labels[rows[i]]), top(labels[rows[j]])
+                if x != y and similar(content[i], content[j], percent):
+                    above[x] = y
+                    good.append((names[i], names[j]))
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*good, strict=True)], ["a", "b"])
 
-    return _by_block(needed.select("node", "block", "vertex", "others", "full")).mapInArrow(work, "a binary, b binary")
+    return _by_block(rows.join(full, "vertex").select(*_CARRIED, "full")).mapInArrow(work, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,15 +320,16 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars in turn, each an aggregate and a join on one end;
     nothing of a component is gathered in one place.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), ROWS)
     known = None
     while True:
+        tasks = edges.rdd.getNumPartitions() * 2
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
-        edges = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u").coalesce(tasks)
+        edges = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(tasks), ROWS)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == known:
             break
@@ -300,42 +337,45 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("vertex"), "label").unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("label")).distinct())
 
 
-def _strays(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks that bring vertices outside a node's main component to all others."""
-    large = blocks.where("blocks > 1").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+def _tiles(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups that bring vertices outside a large node's main component to all others."""
+    large = blocks.where(F.col("n") > SMALL).dropDuplicates(["node", "vertex"]).join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     share = large.groupBy("node", "label").agg(F.count("*").alias("k"))
     main = share.groupBy("node").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("node", F.col("m.label").alias("main"))
-    large = large.join(main, "node")
-    stray = large.where(F.col("label") != F.col("main")).select("node", "vertex", "sketch", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int").alias("to"), "blocks").dropDuplicates(["node", "vertex"])
-    groups = stray.select("node", "to", "blocks").distinct()
-    key = [F.xxhash64("node", "to").alias("node"), F.col("block"), F.col("blocks"), F.col("vertex"), F.col("sketch")]
-    there = large.select("node", "block", "vertex", "sketch").join(groups, "node").select(*key)
-    here = stray.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key)
-    return there.unionByName(here)
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    large = large.join(main, "node").withColumn("tile", F.pmod(F.xxhash64("vertex"), tiles).cast("int"))
+    stray = large.where(F.col("label") != F.col("main"))
+    key = ["tree", F.xxhash64("node", "with").alias("node"), "block", "vertex", "sketch", "fine", "small"]
+    there = large.join(stray.select("node", F.col("tile").alias("with")).distinct(), "node").where(F.col("tile") != F.col("with")).withColumn("block", F.col("tile")).select(*key)
+    # a stray of the tile itself meets its neighbours in the tile's own group
+    here = stray.withColumn("with", F.col("tile")).withColumn("block", F.explode(F.sequence(F.lit(0), tiles - 1))).where(F.col("block") != F.col("with")).select(*key)
+    own = large.join(stray.select("node", "tile").distinct(), ["node", "tile"], "left_semi").withColumn("with", F.col("tile")).withColumn("block", F.col("tile")).select(*key)
+    return there.unionByName(here).unionByName(own)
 
 
 def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     percent = round(100 * threshold)
-    least = math.floor(POSITIONS * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / POSITIONS)))
-    rows = cut(sets(docs))
+    least = math.floor(FINE * (threshold - ALLOWED * math.sqrt(threshold * (1 - threshold) / FINE)))
+    rows = cut(sets(docs), ROWS)
     known = rows.where("vertex is not null and doc_id is not null")
-    vertices = cut(known.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.min_by("sketch", "doc_id").alias("sketch")))
-    blocks = cut(_blocks(_end_nodes(vertices)).join(vertices.select("vertex", "sketch"), "vertex"))
-    edges = cut(_parents(blocks, least))
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-    full = cut(_full_sets(docs, vertices.join(wanted, "vertex", "left_semi").select("doc_id", "vertex")))
-    good = cut(_confirmed(edges, full, percent))
-    labels = cut(components(good))
-    groups = blocks
-    for _ in range(2):
-        pairs = cut(_apart(groups, labels, least).join(edges, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            good = cut(good.unionByName(_confirmed_in_blocks(pairs, full, percent)))
-            labels = cut(components(good))
-        groups = cut(_strays(blocks, labels))
-        if groups.isEmpty():
-            break
+    vertices = cut(known.groupBy("vertex").agg(F.min_by(F.struct("doc_id", "sketch", "fine"), "doc_id").alias("s")).select("vertex", "s.*"), ROWS)
+    ends, small = _end_nodes(vertices)
+    sketches = vertices.select("vertex", "sketch", "fine").join(small, "vertex", "left").withColumn("small", F.coalesce("small", F.lit(0)))
+    blocks = cut(_blocks(ends).join(sketches, "vertex"), ROWS)
+    edges = cut(_parents(blocks, least), ROWS)
+    places = vertices.select("doc_id", "vertex")
+    full = cut(_full_sets(docs, places.join(edges.select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "vertex", "left_semi")), FULL_ROWS)
+    good = cut(_confirmed(edges, full, percent), ROWS)
+    labels = cut(components(good), ROWS)
+    for groups in (lambda: blocks.where(F.col("n") <= SMALL), lambda: _tiles(blocks, labels)):
+        open_ = cut(_apart(groups(), labels, least), ROWS)
+        if not open_.isEmpty():
+            more = places.join(open_.select("vertex").distinct().join(full, "vertex", "left_anti"), "vertex", "left_semi")
+            if not more.isEmpty():  # likely partners that only a tile brought together
+                full = cut(full.unionByName(_full_sets(docs, more)).dropDuplicates(["vertex"]), FULL_ROWS)
+            good = cut(good.unionByName(_confirmed_in_place(open_, full, percent, least)), ROWS)
+            labels = cut(components(good), ROWS)
     named = vertices.select("vertex", "doc_id").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = named.select("vertex", "label").join(smallest, "label").select("vertex", "component_id")
