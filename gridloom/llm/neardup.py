@@ -46,10 +46,11 @@ from gridloom.llm.common import cut
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, POSITIONS = 8, 32
+TREES, CHOICE = 8, 4
 #: Bytes of the sketch that pairs are compared by; deviations allowed below the threshold.
 FINE, ALLOWED = 256, 4.0
 SMALL, DEPTH, TILE = 96, 6, 1000
+POSITIONS = TREES + CHOICE * DEPTH
 #: Rows of a step that one task takes, about; and rows with full sets.
 ROWS, FULL_ROWS = 20_000, 4_000
 #: A node is alike on the whole if one child holds this share of it.
@@ -134,8 +135,10 @@ def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
         if depth == DEPTH - 1:
             ends = ends.unionByName(large)
             break
-        first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(POSITIONS)).cast("int")
-        second = ((first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(POSITIONS - 1))) % POSITIONS).cast("int")
+        # two of four positions that this depth alone uses, so none repeats on a path
+        pick = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CHOICE))
+        other = (pick + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(CHOICE - 1))) % CHOICE
+        first, second = ((TREES + CHOICE * depth + x).cast("int") for x in (pick, other))
         branched = large.join(vertices.select("vertex", "sketch"), "vertex").select("tree", "node", "n", "vertex", F.explode(F.array(F.struct(first.alias("p"), F.get("sketch", first).alias("v")), F.struct(second.alias("p"), F.get("sketch", second).alias("v")))).alias("c")).select("tree", "node", "n", "vertex", F.xxhash64("node", "c.p", "c.v").alias("child"))
         branched = cut(branched, ROWS)
         sizes = branched.groupBy("node", "n", "child").agg(F.count("*").alias("k"))
