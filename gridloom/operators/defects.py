@@ -146,3 +146,43 @@ def nearest(points: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
 def sent_and_read(sent: DataFrame, read: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by key on both sides; what is missing counts zero."""
     return sent.groupBy(*keys).agg(F.count("*").alias("sent")).join(read.groupBy(*keys).agg(F.count("*").alias("read")), keys, "full").na.fill(0, ["sent", "read"])
+
+
+#: Patterns of the nested defect list format.
+_COLUMNS, _ROWS = r"(?s)\bColumns\s+[0-9]+\s*\{([^}]*)\}", r"(?s)\bData\s+([0-9]+)\s*\{?(.*)"
+_TOKENS = r"""Images?\s+[0-9]+\s*\{[^{}]*\}|"[^"]*"|[^\s;{}]+"""
+
+
+def parse_nested(files: DataFrame) -> DataFrame:
+    """(path, rec_no, values, image_file): rows of nested defect lists.
+
+    Only the first list of a file counts. Rows end with a semicolon and may wrap
+    lines; an image list in braces is one token, and its first quoted string is
+    the image's file. Columns are named by the file; values stay strings.
+    """
+    typed = F.split(F.trim(F.regexp_extract("content", _COLUMNS, 1)), r"\s*,\s*")
+    columns = F.transform(typed, lambda c: F.element_at(F.split(c, r"\s+"), -1))
+    count, body = F.regexp_extract("content", _ROWS, 1).try_cast("int"), F.regexp_extract("content", _ROWS, 2)
+    rows = F.slice(F.regexp_extract_all(body, F.lit(r"(?s)[^;]+;"), F.lit(0)), 1, F.coalesce(count, F.lit(0)))
+    lines = files.select("path", columns.alias("cols"), F.posexplode(rows).alias("rec_no", "line"))
+    tokens = lines.withColumn("tokens", F.regexp_extract_all("line", F.lit(_TOKENS), F.lit(0))).where(F.size("tokens") > 0)
+    names = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.coalesce(F.get("cols", i), F.concat(F.lit("_extra_"), (i - F.size("cols") + 1).cast("string"))))
+    image = F.get(F.filter("tokens", lambda t: t.rlike(r"^Images?\s")), F.lit(0))
+    return tokens.select("path", "rec_no", F.map_from_arrays(names, "tokens").alias("values"), F.nullif(F.regexp_extract(image, '"([^"]*)"', 1), F.lit("")).alias("image_file"))
+
+
+def page_map(images: DataFrame, total: Column) -> DataFrame:
+    """(image_id, page, mode): pages by the ids in the list if they can be pages.
+
+    ``ids`` can be pages if none comes twice and all fit ``total`` pages counted
+    from 0 or from 1; else pages are dealt out in file order.
+    """
+    each = images.select(F.explode("ids").alias("id"))
+    stats = each.agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.count("id").alias("_n"), F.countDistinct("id").alias("_d"))
+    base = F.when((F.col("_lo") == 0) & (F.col("_hi") < total), 0).when((F.col("_lo") >= 1) & (F.col("_hi") <= total), 1)
+    rule = stats.select(F.when(F.col("_n") == F.col("_d"), base).alias("_base"))
+    placed = running_total(images, "rec_no", F.size("ids"), "_first").join(F.broadcast(rule)).where(F.size("ids") > 0)
+    own = F.transform("ids", lambda x: x - F.col("_base"))
+    dealt = F.sequence(F.col("_first"), F.col("_first") + F.size("ids") - 1)
+    by_id = F.col("_base").isNotNull()
+    return placed.select("image_id", F.explode(F.when(by_id, own).otherwise(dealt)).alias("page"), F.when(by_id, "imagelist").otherwise("sequential").alias("mode"))

@@ -305,3 +305,22 @@ def _(spark, d):
 @query("srt_08_even_sample", with_views("+n AS (SELECT image_id, row_number() OVER (ORDER BY rec_no) - 1 AS k, count(*) OVER () AS c FROM images) SELECT image_id FROM n WHERE c <= 100 OR k = 0 OR (k * 100) // c > ((k - 1) * 100) // c", "images"))
 def _(spark, d):
     return defects.evenly_spaced(view(spark, d, "images"), "rec_no", 100).select("image_id")
+
+
+@query("klarf_nested", with_views("SELECT 'lot' || kind AS path, CAST(image_id AS VARCHAR) AS defect_id, xrel AS x_nm, CASE WHEN n_pages > 0 THEN 'img' || CAST(image_id AS VARCHAR) || '.tif' END AS image_file FROM images", "images"))
+def _(spark, d):
+    """The nested form, rendered for each kind and 500 images, and read back."""
+    rows = view(spark, d, "images")
+    image = F.when(F.col("n_pages") > 0, F.concat(F.lit('Images 1 { "img'), "image_id", F.lit('.tif" "TIFF" 1 "x" }'))).otherwise("0")
+    line = F.concat(F.col("image_id").cast("string"), F.lit(" "), F.col("xrel").cast("string"), F.lit("\n  "), image, F.lit(" ;"))
+    head = F.lit("Record FileRecord \"1.8\" {\nField Version 1 {\"1.8\"}\nList DefectList {\nColumns 3 { int32 DEFECTID, int32 XREL, ImageList IMAGEINFO }\nData ")
+    files = rows.groupBy("kind", F.floor(F.col("rec_no") / 500).alias("part")).agg(F.concat(head, F.count("*").cast("string"), F.lit(" {\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n}\n}\n}\nEndOfFile;")).alias("content"))
+    parsed = defects.parse_nested(files.select(F.concat(F.lit("lot"), "kind").alias("path"), "content"))
+    return parsed.select("path", F.col("values")["DEFECTID"].alias("defect_id"), F.col("values")["XREL"].try_cast("bigint").alias("x_nm"), "image_file")
+
+
+@query("img_03_page_map", with_views("+t AS (SELECT count(*) * 4 AS total FROM images), m AS (SELECT image_id, unnest(range(image_id * 4 + 1, image_id * 4 + 1 + n_pages)) AS id FROM images), s AS (SELECT CASE WHEN count(*) = count(DISTINCT id) THEN CASE WHEN min(id) = 0 AND max(id) < max(total) THEN 0 WHEN min(id) >= 1 AND max(id) <= max(total) THEN 1 END END AS base FROM m, t) SELECT image_id, id - base AS page, 'imagelist' AS mode FROM m, s", "images"))
+def _(spark, d):
+    images = view(spark, d, "images")
+    listed = F.when(F.col("n_pages") > 0, F.sequence(F.col("image_id") * 4 + 1, F.col("image_id") * 4 + F.col("n_pages"))).otherwise(F.array().cast("array<bigint>"))
+    return defects.page_map(images.withColumn("ids", listed), F.lit(images.count() * 4))

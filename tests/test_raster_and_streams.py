@@ -91,3 +91,19 @@ def test_live_results_only_get_better(spark, tmp_path):
     got = run(live.keep_better(stream), "append", "better").groupBy("image_id").agg(F.max("score").alias("s"))
     best = rows.where("score is not null").groupBy("image_id").agg(F.max("score").alias("s"))
     assert got.exceptAll(best).isEmpty() and best.exceptAll(got).isEmpty()
+
+
+def test_page_map_falls_back_to_file_order(spark):
+    rows = lambda *ids: spark.createDataFrame([(i, i, list(x)) for i, x in enumerate(ids)], "image_id long, rec_no long, ids array<long>")
+    got = lambda df, n: sorted((r.image_id, r.page, r.mode) for r in defects.page_map(df, F.lit(n)).collect())
+    assert got(rows([0], [2, 1]), 3) == [(0, 0, "imagelist"), (1, 1, "imagelist"), (1, 2, "imagelist")]
+    assert got(rows([1], [3]), 3) == [(0, 0, "imagelist"), (1, 2, "imagelist")]
+    assert got(rows([5], [], [7, 9]), 3) == [(0, 0, "sequential"), (2, 1, "sequential"), (2, 2, "sequential")]
+    assert got(rows([1], [1]), 3) == [(0, 0, "sequential"), (1, 1, "sequential")]
+
+
+def test_nested_defect_lists(spark):
+    text = 'Record A "1.8" {\nList DefectList {\nColumns 2 { int32 ID, ImageList IMG }\nData 2 {\n1\n Images 1 { "a b.tif" "T" 1 "x" } ;\n2 0 9 ;\n}\n}\n}'
+    rows = defects.parse_nested(spark.createDataFrame([("p", text), ("q", "")], "path string, content string")).orderBy("rec_no").collect()
+    assert [(r["values"]["ID"], r.image_file) for r in rows] == [("1", "a b.tif"), ("2", None)]
+    assert rows[1]["values"]["_extra_1"] == "9"
