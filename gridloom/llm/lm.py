@@ -42,9 +42,9 @@ from gridloom.llm.common import cut, shared_dir
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
 #: Tokens that a task counts before it sends them on, and that one lookup takes.
-RUN, LOOKUP = 3_000_000, 400_000
+RUN, LOOKUP = 2_000_000, 400_000
 #: Bytes of text for each bucket of hash ranges, and the fewest buckets.
-BUCKET_BYTES, FEWEST = 8 << 20, 64
+BUCKET_BYTES, FEWEST = 2 << 20, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -118,6 +118,9 @@ def _counted(texts: list[np.ndarray], bits: int) -> list[tuple]:
 
 
 def _save(folder: str, name: str, array: np.ndarray) -> None:
+    """Write an array under its name; counts take the narrowest type they fit."""
+    if array.dtype == np.int64:
+        array = array.astype(np.min_scalar_type(int(array.max(initial=0))))
     part = f"{folder}/{name}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
         np.save(f, array)
@@ -237,7 +240,7 @@ class Model:
         return np.stack([np.array(list(map(len, texts))), *sums], axis=1)
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=16384)
 def _mapped(path: str) -> np.ndarray | None:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
