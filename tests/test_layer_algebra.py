@@ -84,3 +84,34 @@ def test_tile_grid_edges(spark):
     assert [r.wx1 for r in t] == [0, 250, 500, 750] and t[-1].wx2 == 1000
     assert tiling.tile_grid(spark, (5, 5, 5, 5), 10).count() == 1
     assert tiling.tile_grid(spark, (0, 0, 10**6, 1), 10).count() == 64
+
+
+def test_raster_form_equals_vector_form():
+    from gridloom.functions import raster as P
+
+    rng = np.random.default_rng(5)
+    n = 40
+    field = np.array([0, 0, n, n], float)
+    for _ in range(30):
+        a, b = (R.boxes(rng.integers(0, n, (rng.integers(1, 10), 4))) for _ in range(2))
+        masks = {"A": raster(a, n), "B": raster(b, n)}
+        for text in ("A & B", "A | ~B", "A - B", "(A > W:3) & B", "(A | B) < H:2", "(A > H:1) - (B < W:2)"):
+            tree = L.parse(text)[1]
+            got = R.clipped(L.evaluate(tree, {"A": a, "B": b}, field), field)
+            assert (P.evaluate(tree, masks, 1.0) == raster(got, n)).all(), text
+
+
+def test_pictures():
+    import struct
+    import zlib
+
+    from gridloom.functions import raster as P
+
+    labels = np.array([[0, 1], [2, 3]], np.uint8)
+    colors = P.colored(labels, np.array([[255, 0, 0], [0, 255, 0]]))
+    assert colors[0, 0].tolist() == [0, 0, 0] and colors[0, 1].tolist() == [255, 0, 0] == colors[1, 1].tolist()
+    raw = P.png(colors)
+    assert struct.unpack(">II", raw[16:24]) == (2, 2) and raw[25] == 2
+    at = raw.index(b"IDAT")
+    (size,) = struct.unpack(">I", raw[at - 4 : at])
+    assert zlib.decompress(raw[at + 4 : at + 4 + size]) == b"".join(b"\0" + r.tobytes() for r in colors)
