@@ -133,3 +133,11 @@ def unknown_targets(placement: DataFrame, cells: DataFrame) -> DataFrame:
     """(child, n): placements of cells that have neither shapes nor placements."""
     known = cells.select(F.col("cell_id").alias("child")).union(placement.select("parent")).distinct()
     return placement.join(known, "child", "left_anti").groupBy("child").agg(F.count("*").alias("n"))
+
+
+def flattened_polygons(placed: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Polygons (cell_id, pts) of the instances, point by point in the root's coordinates."""
+    m = _matrix()
+    own = polygons.select("cell_id", F.col("pts").alias("_pts"))
+    move = lambda p: F.struct((m[0] * p["x"] + m[1] * p["y"] + F.col("tx")).alias("x"), (m[2] * p["x"] + m[3] * p["y"] + F.col("ty")).alias("y"))
+    return placed.join(own, "cell_id").select("cell_id", F.transform("_pts", move).alias("pts"))

@@ -299,3 +299,12 @@ def _(spark, d):
 def _(spark, d):
     offsets = view(spark, d, "arrays").select("rep_id", repetition.running(F.array("nx", "ny", "vx")).alias("o"))
     return offsets.select("rep_id", *(F.get("o", F.lit(k)).alias(f"o{k}") for k in range(4)))
+
+
+@query("wlk_02_polygons", with_views(f"{_FLAT} SELECT cell_id, count(*) AS n, CAST(sum(2 * (x1 + x2)) AS BIGINT) AS sx, CAST(sum(2 * (y1 + y2)) AS BIGINT) AS sy, min(x1) AS x1, max(y2) AS y2 FROM flat GROUP BY cell_id", "placement", "cell_rect", recursive=True))
+def _(spark, d):
+    rings = view(spark, d, "cell_rect").select("cell_id", G.ring("x1", "y1", "x2", "y2").alias("pts"))
+    flat = hierarchy.flattened_polygons(hierarchy.instances(view(spark, d, "placement"), 0), rings)
+    total = lambda a: F.aggregate("pts", F.lit(0).cast("long"), lambda acc, p: acc + p[a])
+    box = G.ring_box(F.col("pts"))
+    return flat.select("cell_id", total("x").alias("sx"), total("y").alias("sy"), box[0].alias("x1"), box[3].alias("y2")).groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.min("x1").alias("x1"), F.max("y2").alias("y2"))
