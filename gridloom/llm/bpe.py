@@ -27,9 +27,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from gridloom.llm.common import few_rows
+
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Encodings of recent pieces that a worker remembers; a memory bound only.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 _ANY = regex.compile(public_tokenizers.PATTERN)
 
@@ -204,9 +206,27 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return _LOADED[path]
 
 
-def shipped(docs: DataFrame, path: str | None = None):
-    """A broadcast of the vocabulary; its size is that of the rank file."""
-    return docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+class Shipped:
+    """A vocabulary on its way to the tasks, broadcast; its size is its file's.
+
+    A worker keeps one vocabulary, with what it remembers, over all tasks and
+    broadcasts of the same file.
+    """
+
+    def __init__(self, docs: DataFrame, path: str | None):
+        self.path = path or public_tokenizers.path(RANK_FILE)
+        self.sent = docs.sparkSession.sparkContext.broadcast(vocabulary(self.path))
+
+    @property
+    def value(self) -> Vocabulary:
+        if self.path not in _LOADED:
+            _LOADED.clear()
+            _LOADED[self.path] = self.sent.value
+        return _LOADED[self.path]
+
+
+def shipped(docs: DataFrame, path: str | None = None) -> Shipped:
+    return Shipped(docs, path)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -214,7 +234,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     sent = shipped(docs, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = [sent.value.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -226,7 +246,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     sent = shipped(encoded, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [sent.value.decode(ids or ()).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -238,7 +258,7 @@ def summarize(docs: DataFrame, path: str | None = None) -> DataFrame:
     sent = shipped(docs, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             n, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = sent.value.encode_decimal(text)

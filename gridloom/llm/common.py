@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,13 @@ def cut(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     return out if rows_per_task is None else out.coalesce(out.count() // rows_per_task + 1)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task turns few texts into objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def crc_bucket(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; null ids count as remainder 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5, F.lit(0))

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridloom.llm.common import few_rows
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "local_phone", "ssn")
 KINDS = BASE_KINDS + EXTRA_KINDS
@@ -145,7 +147,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for every row of ``docs``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             spans = [[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in spans_of(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN)], ["doc_id", "spans"])
 
@@ -161,7 +163,7 @@ def summarize(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, top_score double"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             out: list[list] = [[] for _ in range(8)]
             for text in batch.column(1).to_pylist():
                 found = spans_of(text)
@@ -199,7 +201,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             at = names.index("text")
             texts = [redact_text(t) for t in batch.column(at).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns)]

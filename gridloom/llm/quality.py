@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_bucket
+from gridloom.llm.common import crc_bucket, few_rows
 
 #: Bound on the labelled rows that the trees are fitted on.
 SAMPLE = 20_000
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             x = [statistics(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.float64()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
     """(doc_id, score) for every row of ``docs``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
@@ -150,7 +150,7 @@ def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> Da
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             x = np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridloom.llm import bpe
+from gridloom.llm.common import few_rows
 
 RULES = ("majority", "first", "split")
 Section = tuple[str | None, int, int]
@@ -95,7 +96,7 @@ def attribute(docs: DataFrame, sections: Callable[[str], list[Section]] = line_s
     sent = bpe.shipped(docs, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             out: list[list] = [[] for _ in range(5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = [(None, 0.0, 0, 0)]
