@@ -85,6 +85,16 @@ _PACKED = "kind int, bucket int, a binary, b binary, c binary, d binary"
 _UNI, _BI, _CONT, _STATS = 0, 1, 2, 3
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The numbers as bytes, after one byte that says how wide each is."""
+    small = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    return np.concatenate([np.array([small.itemsize], np.uint8), small.view(np.uint8)])
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1)
+
+
 def _pack(kind: int, bucket: int, *arrays: np.ndarray) -> tuple:
     return (kind, bucket, *(x.tobytes() for x in arrays), *[b""] * (4 - len(arrays)))
 
@@ -111,9 +121,9 @@ def _counted(texts: list[np.ndarray], bits: int) -> list[tuple]:
     out = []
     for bucket, s in _by_bucket(keys, bits):
         contexts, index = np.unique(u[s], return_inverse=True)
-        out.append(_pack(_BI, bucket, contexts, index.astype(np.uint32), v[s], n[s].astype(np.uint32)))
+        out.append(_pack(_BI, bucket, contexts, _narrow(index), v[s], _narrow(n[s])))
     keys, _, n = _summed(w, ones)
-    out += [_pack(_UNI, bucket, keys[s], n[s].astype(np.uint32)) for bucket, s in _by_bucket(keys, bits)]
+    out += [_pack(_UNI, bucket, keys[s], _narrow(n[s])) for bucket, s in _by_bucket(keys, bits)]
     return out
 
 
@@ -146,14 +156,18 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
         yield held, parts
 
 
-def _joined(parts: list[tuple], place: int, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(p[place], kind) for p in parts])
+def _hashes(parts: list[tuple], place: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(p[place], np.uint64) for p in parts])
+
+
+def _counts(parts: list[tuple], place: int) -> np.ndarray:
+    return np.concatenate([_wide(p[place]).astype(np.int64) for p in parts])
 
 
 def _merge_bigrams(folder: str, bucket: int, parts: list[tuple], bits: int) -> list[tuple]:
-    u = np.concatenate([np.frombuffer(p[0], np.uint64)[np.frombuffer(p[1], np.uint32)] for p in parts])
-    w = _joined(parts, 2, np.uint64)
-    keys, first, n = _summed(pair_keys(u, w), _joined(parts, 3, np.uint32))
+    u = np.concatenate([np.frombuffer(p[0], np.uint64)[_wide(p[1])] for p in parts])
+    w = _hashes(parts, 2)
+    keys, first, n = _summed(pair_keys(u, w), _counts(parts, 3))
     _save(folder, f"bi_{bucket}", keys)
     _save(folder, f"bi_n_{bucket}", n)
     u, w = u[first], w[first]
@@ -163,11 +177,11 @@ def _merge_bigrams(folder: str, bucket: int, parts: list[tuple], bits: int) -> l
     _save(folder, f"ctx_{bucket}", u[starts])
     _save(folder, f"ctx_n_{bucket}", np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (by == 1, by == 2, by > 2, by)], axis=1))
     before, _, k = _summed(w, np.ones(len(w), np.uint32))
-    return [_pack(_STATS, _BI, _of_counts(n)), *(_pack(_CONT, b, before[s], k[s].astype(np.uint32)) for b, s in _by_bucket(before, bits))]
+    return [_pack(_STATS, _BI, _of_counts(n)), *(_pack(_CONT, b, before[s], _narrow(k[s])) for b, s in _by_bucket(before, bits))]
 
 
 def _merge_words(folder: str, bucket: int, parts: list[tuple], name: str, kind: int) -> tuple:
-    words, _, n = _summed(_joined(parts, 0, np.uint64), _joined(parts, 1, np.uint32))
+    words, _, n = _summed(_hashes(parts, 0), _counts(parts, 1))
     _save(folder, f"{name}_{bucket}", words)
     _save(folder, f"{name}_n_{bucket}", n)
     return _pack(_STATS, kind, _of_counts(n))
