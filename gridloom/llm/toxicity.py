@@ -11,7 +11,9 @@ their mean and the number of windows.
 
 Word statistics are counted in Spark over all labelled rows outside the held-out
 fifth. The network is fitted by numpy on the driver on windows of at most
-``SAMPLE`` labelled documents. Labels, language, source and id are no inputs.
+``SAMPLE`` labelled documents, the final step on at most ``SAMPLE`` others; of
+both, a document's own counts are left out of its scores. Labels, language,
+source and id are no inputs.
 
 Defined cases: texts without words, null among them, get the share of label 1;
 so does every text if there are no labels of both kinds; rows with null ids are
@@ -22,7 +24,7 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_bucket
+from gridloom.llm.common import crc_bucket, few_rows
 
 #: Bound on the labelled documents that the network is fitted on.
 SAMPLE = 3000
@@ -103,6 +105,11 @@ def suspicion(toxic: np.ndarray, seen: np.ndarray, share: float) -> np.ndarray:
     return np.where((seen >= LEAST_SEEN) & (np.abs(z) >= LEAST_Z), np.clip(z / 8, -1, 4), 0).astype(np.float32)
 
 
+def without_own(toxic: np.ndarray, seen: np.ndarray, y: int, share: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Scores of keys as if one counted document of label y had not been."""
+    return lambda k: suspicion(np.maximum(toxic[k] - y, 0), np.maximum(seen[k] - 1, 0), share)
+
+
 def paired(word: np.ndarray, gram: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The two scores of each word: its own and the largest of its 5-grams."""
     return np.stack([word, np.maximum.reduceat(gram, starts)], axis=1)
@@ -155,10 +162,11 @@ class Network:
     final: np.ndarray | None = None
     fitted: bool = True
 
-    def inputs(self, found: list[str]) -> np.ndarray:
-        """Input vectors of distinct words."""
+    def inputs(self, found: list[str], scores: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """Input vectors of distinct words; ``scores`` of keys may stand for ``z``."""
         hashes, flat, starts = score_keys(found)
-        z = paired(self.z[hashes], self.z[flat], starts)
+        scores = scores or self.z.__getitem__
+        z = paired(scores(hashes), scores(flat), starts)
         return self._joined(z, hashes >> (SCORE_BITS - WORD_BITS), *trigrams(found))
 
     def _joined(self, z, hashes, flat, starts) -> np.ndarray:
@@ -358,8 +366,8 @@ def sampled_windows(docs: DataFrame, chosen: DataFrame, toxic: np.ndarray, seen:
                 number: dict[str, int] = {}
                 place = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
                 hashes, flat, begin = score_keys(list(number))
-                own = [suspicion(np.maximum(toxic[k] - y, 0), np.maximum(seen[k] - 1, 0), share) for k in (hashes, flat)]
-                z, hashes = paired(*own, begin)[place], (hashes >> (SCORE_BITS - WORD_BITS))[place]
+                own = without_own(toxic, seen, y, share)
+                z, hashes = paired(own(hashes), own(flat), begin)[place], (hashes >> (SCORE_BITS - WORD_BITS))[place]
                 starts = window_starts(len(found))
                 peak = np.array([z[s : s + WINDOW].sum() for s in starts])
                 order = np.argsort(-peak, kind="stable")
@@ -390,23 +398,22 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
     """Word statistics over all labelled rows; the network on at most ``sample``.
 
     Toxic documents take up to half of the sample of windows. The final step is
-    fitted on a sample of labelled rows that nothing else has seen: those whose
-    hash has remainder 1.
+    fitted on at most ``sample`` rows that the network has not seen, of those
+    whose hash has remainder 1; all other rows are open to the network.
     """
-    every = _labelled(labels, target)
-    known, apart = every.where(crc_bucket() != 1), every.where(crc_bucket() == 1)
+    known = _labelled(labels, target)
     total = known.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     share = total.toxic / total.n if total.n else 0.5
     if not total.n or not 0 < total.toxic < total.n:
         return Network({}, np.zeros(0), share, fitted=False)
     toxic, seen = statistics(docs, known, share)
     order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = known.where("y = 1").orderBy(*order).limit(sample // 2).unionByName(known.where("y = 0").orderBy(*order).limit(sample - sample // 2))
+    apart = known.where(crc_bucket() == 1).orderBy(*order).limit(sample)
+    rest = known.join(F.broadcast(apart.select("doc_id")), "doc_id", "left_anti")
+    chosen = rest.where("y = 1").orderBy(*order).limit(sample // 2).unionByName(rest.where("y = 0").orderBy(*order).limit(sample - sample // 2))
     net = fit(sampled_windows(docs, chosen, toxic, seen, share), suspicion(toxic, seen, share), share)
     if net.fitted:
-        rows = docs.select("doc_id", "text").join(F.broadcast(apart.orderBy(*order).limit(sample)), "doc_id")
-        got = summaries(rows, net, "y").toArrow()
-        got = got.filter(got["summary"].is_valid())
+        got = own_summaries(docs, apart, net, toxic, seen).toArrow()
         x = np.array(got["summary"].to_pylist(), float).reshape(-1, 6)
         net.final = _calibrated(x, got["y"].to_numpy().astype(float)) if len(x) else np.array([0.0, 0.5, 0, 0, 0, 0])
     return net
@@ -484,6 +491,31 @@ def summaries(docs: DataFrame, net: Network, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text").mapInArrow(work, f"{key} {kind}, summary array<double>")
 
 
+def own_summaries(docs: DataFrame, chosen: DataFrame, net: Network, toxic: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """(doc_id, y, summary) of the chosen documents with words, own counts left out."""
+    sent = docs.sparkSession.sparkContext.broadcast((net, toxic, seen))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, toxic, seen = sent.value
+        reader = _Reader(net)
+        for batch in few_rows(batches, 64):
+            reader.reset()
+            ids, tables, n = [], [[t[0]] for t in reader.tables], 1
+            for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                number: dict[str, int] = {}  # each document's words have rows of their own
+                ids.append(np.array([number.setdefault(w, n + len(number)) for w in words(text)], np.int32))
+                if number:
+                    for table, new in zip(tables, net.gates(net.inputs(list(number), without_own(toxic, seen, y, net.share))), strict=True):
+                        table.append(new)
+                    n += len(number)
+            reader.tables = [[np.concatenate(t)] for t in tables]
+            found = [None if x is None else x.tolist() for x in reader.summaries(ids)] if ids else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "y", "summary"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    return rows.mapInArrow(work, "doc_id long, y int, summary array<double>").where("summary is not null")
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, score) for every row of ``docs``."""
     if not net.fitted:

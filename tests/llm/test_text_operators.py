@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -151,6 +152,31 @@ def test_toxicity_learns_words_and_stems(spark, docs):
     assert not toxicity.train(table, labels.limit(0)).fitted
 
 
+def test_toxicity_counts_all_but_the_held_out_fifth(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(500):
+        bucket, y = zlib.crc32(str(i).encode()) % 5, int(i % 4 == 0)
+        text = [f"w{rnd.randint(0, 99)}" for _ in range(30)] + ["vile", f"only{bucket}"] * y
+        rows.append((i, " ".join(text), y, bucket))
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    net = toxicity.train(table, labels, sample=40)
+    assert [net.z[toxicity.word_hash(f"only{k}")] > 0 for k in range(5)] == [False, True, True, True, True]
+
+    # a document's own counts are left out of what the final step sees of it
+    known = toxicity._labelled(labels, "toxic")
+    toxic, seen = toxicity.statistics(table, known, net.share)
+    own = next(r for r in rows if r[2] and r[3] == 1)
+    got = toxicity.own_summaries(table, known.where(f"doc_id = {own[0]}"), net, toxic, seen).first()
+    hashes, flat, _ = toxicity.score_keys(sorted(set(toxicity.words(own[1]))))
+    for k in np.unique(np.r_[hashes, flat]):
+        toxic[k], seen[k] = max(toxic[k] - 1, 0), max(seen[k] - 1, 0)
+    less = toxicity.Network(net.weights, toxicity.suspicion(toxic, seen, net.share), net.share)
+    expected = toxicity.summaries(table.where(f"doc_id = {own[0]}"), less).first()
+    assert (got.doc_id, got.y) == (own[0], 1) and np.allclose(got.summary, expected.summary)
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     n = 3
