@@ -6,12 +6,13 @@ whole word sequence as one). Rows with equal sets are one vertex from then on.
 
 Each of ``TREES`` independent trees sends a vertex to a node by one minwise
 value. A node of more than ``SMALL`` vertices is branched again: two further
-minwise positions, chosen by the node's own path, send each vertex to two
-children. Branching ends when a node is small, when its vertices are alike on
+minwise positions, chosen by the node's own path among four that only this tree
+and depth use, send each vertex to two children. Branching ends when a node is small, when its vertices are alike on
 the whole (most share one child), or at ``DEPTH``. Small nodes are compared
 exhaustively; large ones in blocks that all hold the node's pivot. A pair of
-similarity 0.85 shares an end node in one tree with a chance over 0.8, so eight
-trees miss it with a chance of about one in a million.
+similarity 0.85 shares an end node in one tree with a chance of 0.815 (0.733 at
+0.8), so eight trees miss it with a chance of 1.4 in a million (one in 39,000);
+by simulation of nodes that all branch to the last depth.
 
 Comparison goes by sketches first and is confirmed on full sets:
 
@@ -50,7 +51,8 @@ TREES, CHOICE = 8, 4
 #: Bytes of the sketch that pairs are compared by; deviations allowed below the threshold.
 FINE, ALLOWED = 256, 4.0
 SMALL, DEPTH, TILE = 96, 6, 1000
-POSITIONS = TREES + CHOICE * DEPTH
+#: Minwise values: a root's for each tree, then those of each depth that branches, by tree.
+POSITIONS = TREES + TREES * CHOICE * (DEPTH - 1)
 #: Rows of a step that one task takes, about; and rows with full sets.
 ROWS, FULL_ROWS = 20_000, 4_000
 #: A node is alike on the whole if one child holds this share of it.
@@ -79,15 +81,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed)
 
 
-def sketch(found: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Minwise values to branch by, and one byte of each of FINE such values."""
+def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Minwise values of the roots, 16 bits of those to branch by, and one byte of each of FINE."""
     least = np.full(FINE, np.iinfo(np.uint32).max, np.uint32)
     short = (found >> np.uint64(32)).astype(np.uint32)
     for start in range(0, len(short), 1024):
         part = short[start : start + 1024] * _MULTIPLY
         part += _ADD
         least = np.minimum(least, part.min(axis=1))
-    return least[:POSITIONS].view(np.int32), least.astype(np.uint8).tobytes()
+    return least[:TREES].view(np.int32), least[TREES:POSITIONS].astype(np.uint16).view(np.int16), least.astype(np.uint8).tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -105,16 +107,16 @@ def _vertex(found: np.ndarray) -> bytes:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, vertex, sketch, fine); the last three null without words."""
+    """(doc_id, n_shingles, vertex, sketch, paths, fine); the last four null without words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch.column(1).to_pylist()]
-            both = [sketch(x) if len(x) else (None, None) for x in found]
-            columns = [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([_vertex(x) if len(x) else None for x in found], pa.binary()), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "vertex", "sketch", "fine"])
+            parts = [sketch(x) if len(x) else (None, None, None) for x in found]
+            columns = [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([_vertex(x) if len(x) else None for x in found], pa.binary()), *(pa.array([x[k] for x in parts], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.int16()), pa.binary())))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "vertex", "sketch", "paths", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, vertex binary, sketch array<int>, fine binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, vertex binary, sketch array<int>, paths array<smallint>, fine binary")
 
 
 def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +126,7 @@ def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     def counted(rows: DataFrame) -> DataFrame:
         return rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node")
 
-    root = vertices.select("vertex", F.posexplode(F.slice("sketch", 1, TREES)).alias("tree", "value")).select("tree", "vertex", F.xxhash64("tree", "value").alias("node"))
+    root = vertices.select("vertex", F.posexplode("sketch").alias("tree", "value")).select("tree", "vertex", F.xxhash64("tree", "value").alias("node"))
     level = cut(counted(root), ROWS)
     ends = level.where(F.col("n") <= SMALL)
     small = ends.groupBy("vertex").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("small"))
@@ -135,11 +137,12 @@ def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
         if depth == DEPTH - 1:
             ends = ends.unionByName(large)
             break
-        # two of four positions that this depth alone uses, so none repeats on a path
+        # two of four positions that this tree and depth alone use, so trees part a pair independently
+        paths = vertices.select("vertex", F.slice("paths", 1 + TREES * CHOICE * depth, TREES * CHOICE).alias("paths"))
         pick = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CHOICE))
         other = (pick + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(CHOICE - 1))) % CHOICE
-        first, second = ((TREES + CHOICE * depth + x).cast("int") for x in (pick, other))
-        branched = large.join(vertices.select("vertex", "sketch"), "vertex").select("tree", "node", "n", "vertex", F.explode(F.array(F.struct(first.alias("p"), F.get("sketch", first).alias("v")), F.struct(second.alias("p"), F.get("sketch", second).alias("v")))).alias("c")).select("tree", "node", "n", "vertex", F.xxhash64("node", "c.p", "c.v").alias("child"))
+        first, second = ((CHOICE * F.col("tree") + x).cast("int") for x in (pick, other))
+        branched = large.join(paths, "vertex").select("tree", "node", "n", "vertex", F.explode(F.array(F.struct(first.alias("p"), F.get("paths", first).alias("v")), F.struct(second.alias("p"), F.get("paths", second).alias("v")))).alias("c")).select("tree", "node", "n", "vertex", F.xxhash64("node", "c.p", "c.v").alias("child"))
         branched = cut(branched, ROWS)
         sizes = branched.groupBy("node", "n", "child").agg(F.count("*").alias("k"))
         alike = cut(sizes.groupBy("node", "n").agg(F.max("k").alias("most")).where(F.col("most") >= ALIKE * F.col("n")).select("node"), ROWS)
@@ -205,7 +208,7 @@ def _open_pairs(group: pa.Table, least: int) -> tuple[list[bytes], np.ndarray, l
     alike &= code[:, None] != code
     tree = group["tree"][0].as_py()
     if tree and alike.any():
-        values = group["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, POSITIONS)[rows]
+        values = group["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)[rows]
         small = np.array(group["small"].to_pylist(), np.int64)[rows]
         for r in range(tree):
             alike &= ~((values[:, None, r] == values[:, r]) & ((small >> r & 1) == 1)[:, None])
@@ -362,7 +365,7 @@ def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = math.floor(FINE * (threshold - ALLOWED * math.sqrt(threshold * (1 - threshold) / FINE)))
     rows = cut(sets(docs), ROWS)
     known = rows.where("vertex is not null and doc_id is not null")
-    vertices = cut(known.groupBy("vertex").agg(F.min_by(F.struct("doc_id", "sketch", "fine"), "doc_id").alias("s")).select("vertex", "s.*"), ROWS)
+    vertices = cut(known.groupBy("vertex").agg(F.min_by(F.struct("doc_id", "sketch", "paths", "fine"), "doc_id").alias("s")).select("vertex", "s.*"), ROWS)
     ends, small = _end_nodes(vertices)
     sketches = vertices.select("vertex", "sketch", "fine").join(small, "vertex", "left").withColumn("small", F.coalesce("small", F.lit(0)))
     blocks = cut(_blocks(ends).join(sketches, "vertex"), ROWS)

@@ -75,6 +75,23 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.mark(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_that_one_tree_parts(spark, monkeypatch):
+    # all four values that the first tree may branch by first differ; another tree must hold the pair
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    rnd = random.Random(1)
+    while True:
+        a, b = near_copies(rnd, 2, 60, (0, 0))
+        words = a.split()
+        words[rnd.randrange(10, 50)] = "other"
+        b = " ".join(words)
+        x, y = (neardup.sketch(neardup.shingles(t))[-1][neardup.TREES : neardup.TREES + neardup.CHOICE] for t in (a, b))
+        if all(i != j for i, j in zip(x, y)):
+            break
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert neardup.similar(neardup.shingles(a), neardup.shingles(b), 80)
+    assert {r.component_id for r in neardup.mark(docs, 0.8).collect()} == {1}
+
+
 def test_components_of_a_long_chain(spark):
     n = 40
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(n)] + [(b"z", b"y")], "a binary, b binary")
