@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key is heavy if more than one row in so many has it; so there are fewer such keys.
+HEAVY = 1000
+#: A table of one small row for each key is broadcast whole up to this many rows.
+FEW_KEYS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read through Spark so that any store will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where nothing is set,
-    as in tests on one machine, a folder is made here.
+    A cluster names it in ``spark.checkpoint.dir``. Only where nothing is set and
+    Spark runs on one machine, as in tests, a folder is made here; on a cluster
+    each machine would have another one, so there it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -27,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="spark-checkpoints-")
     spark.sparkContext.setCheckpointDir(made)
     return f"file://{made}"
@@ -43,6 +52,32 @@ def cut(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     return out if rows_per_task is None else out.coalesce(out.count() // rows_per_task + 1)
 
 
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys``, one row for each key, without a task for a hot key.
+
+    ``keys`` says in ``_n`` how many rows share the key, and is dropped from the
+    result by that name. Many keys are joined by shuffle but for the heavy ones,
+    fewer than ``HEAVY`` at any size, whose rows stay where they are. Both sides
+    are read more than once and should be cut; ``how`` is inner, left, left_semi
+    or left_anti.
+    """
+    total, count = keys.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    if count <= FEW_KEYS:
+        return rows.join(F.broadcast(keys.drop("_n")), on, how)
+    heavy = F.broadcast(keys.where(F.col("_n") * HEAVY > total).drop("_n"))
+    light = keys.where(F.col("_n") * HEAVY <= total).drop("_n")
+    apart = rows.join(heavy.select(*on), on, "left_anti").join(light, on, how)
+    return apart if how == "left_anti" else rows.join(heavy, on, "inner" if how == "left" else how).unionByName(apart)
+
+
+def unused(columns: list[str], wish: str) -> str:
+    """A column name like ``wish`` that is not among ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that a task turns few texts into objects at once."""
     for batch in batches:

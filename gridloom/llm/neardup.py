@@ -29,7 +29,9 @@ pairs is written: tasks get vertices and give links that join components.
 
 Defined cases: texts without words have the empty set and are linked with
 nothing; null ids count shingles but belong to no component and are kept;
-repeated rows each get a row of their own; other columns are ignored.
+repeated rows each get a row of their own; of equal texts and of a component the
+smallest id stands for all; a very long text has one set like any other, made
+and compared in one task; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, join_keys
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -107,16 +109,19 @@ def _vertex(found: np.ndarray) -> bytes:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, vertex, sketch, paths, fine); the last four null without words."""
+    """(row, n_shingles, vertex, sketch, paths, fine) and any columns but text; the last four null without words."""
+    text = docs.columns.index("text")
+    names = [c for c in docs.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            found = [shingles(t) for t in batch.column(text).to_pylist()]
             parts = [sketch(x) if len(x) else (None, None, None) for x in found]
-            columns = [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([_vertex(x) if len(x) else None for x in found], pa.binary()), *(pa.array([x[k] for x in parts], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.int16()), pa.binary())))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "vertex", "sketch", "paths", "fine"])
+            columns = [*(c for i, c in enumerate(batch.columns) if i != text), pa.array(map(len, found), pa.int64()), pa.array([_vertex(x) if len(x) else None for x in found], pa.binary()), *(pa.array([x[k] for x in parts], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.int16()), pa.binary())))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n_shingles", "vertex", "sketch", "paths", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, vertex binary, sketch array<int>, paths array<smallint>, fine binary")
+    carried = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    return docs.mapInArrow(work, carried + "n_shingles long, vertex binary, sketch array<int>, paths array<smallint>, fine binary")
 
 
 def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +129,8 @@ def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     and (vertex, small): the trees, as bits, in which its first node is small."""
 
     def counted(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").withColumn("_n", F.col("n"))
+        return join_keys(rows, cut(sizes, ROWS), ["node"])
 
     root = vertices.select("vertex", F.posexplode("sketch").alias("tree", "value")).select("tree", "vertex", F.xxhash64("tree", "value").alias("node"))
     level = cut(counted(root), ROWS)
@@ -145,25 +151,25 @@ def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
         branched = large.join(paths, "vertex").select("tree", "node", "n", "vertex", F.explode(F.array(F.struct(first.alias("p"), F.get("paths", first).alias("v")), F.struct(second.alias("p"), F.get("paths", second).alias("v")))).alias("c")).select("tree", "node", "n", "vertex", F.xxhash64("node", "c.p", "c.v").alias("child"))
         branched = cut(branched, ROWS)
         sizes = branched.groupBy("node", "n", "child").agg(F.count("*").alias("k"))
-        alike = cut(sizes.groupBy("node", "n").agg(F.max("k").alias("most")).where(F.col("most") >= ALIKE * F.col("n")).select("node"), ROWS)
-        ends = ends.unionByName(large.join(alike, "node", "left_semi"))
-        children = branched.join(alike, "node", "left_anti").select("tree", "vertex", F.col("child").alias("node"))
+        alike = cut(sizes.groupBy("node", "n").agg(F.max("k").alias("most")).where(F.col("most") >= ALIKE * F.col("n")).select("node", F.col("n").alias("_n")), ROWS)
+        ends = ends.unionByName(join_keys(large, alike, ["node"], "left_semi"))
+        children = join_keys(branched, alike, ["node"], "left_anti").select("tree", "vertex", F.col("child").alias("node"))
         level = cut(counted(children), ROWS)
         ends = ends.unionByName(level.where(F.col("n") <= SMALL))
         large = level.where(F.col("n") > SMALL)
     return ends, small
 
 
-def _blocks(ends: DataFrame) -> DataFrame:
-    """(tree, node, block, n, vertex): blocks of a bounded expected size.
+def _blocks(ends: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(tree, node, block, n, vertex, ...): blocks of a bounded expected size.
 
-    Every block of a large node also holds the pivot, its smallest vertex.
+    Every block of a large node also holds the pivot, its smallest vertex, which
+    meets its sketch before it is copied to the blocks.
     """
     blocks = F.ceil(F.col("n") / SMALL).cast("int")
-    dealt = ends.select("tree", "node", "n", F.pmod(F.xxhash64("node", "vertex"), blocks).cast("int").alias("block"), "vertex")
-    pivots = ends.where(F.col("n") > SMALL).groupBy("tree", "node", "n").agg(F.min("vertex").alias("vertex"))
-    pivots = pivots.select("tree", "node", "n", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "vertex")
-    return dealt.unionByName(pivots)
+    dealt = ends.select("tree", "node", "n", F.pmod(F.xxhash64("node", "vertex"), blocks).cast("int").alias("block"), "vertex").join(sketches, "vertex")
+    pivots = ends.where(F.col("n") > SMALL).groupBy("tree", "node", "n").agg(F.min("vertex").alias("vertex")).join(sketches, "vertex")
+    return dealt.unionByName(pivots.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -263,19 +269,19 @@ def _apart(groups: DataFrame, labels: DataFrame, least: int) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(vertex, full): the full sets of the wanted vertices, once each.
 
-    ``wanted`` holds (doc_id, vertex) with one row for each vertex, and so one
-    text for each; the ids are broadcast while few and shuffled beyond that.
+    ``wanted`` holds (row, vertex) with one row for each vertex, and so one
+    text for each; they are broadcast while few and shuffled beyond that.
     """
-    ids = wanted.select("doc_id").distinct()
+    ids = wanted.select("row").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_VERTICES else ids
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select("row", "text").join(ids, "row", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x for t in batch.column(1).to_pylist() if len(x := shingles(t))]
             yield pa.RecordBatch.from_arrays([pa.array(map(_vertex, found), pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["vertex", "full"])
 
-    # an id may come with several texts, and so with sets that nobody wants
+    # a row's name may come with several texts, and so with sets that nobody wants
     return texts.mapInArrow(work, "vertex binary, full binary").dropDuplicates(["vertex"])
 
 
@@ -323,18 +329,18 @@ def _confirmed_in_place(rows: DataFrame, full: DataFrame, percent: int, least: i
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, label): the smallest vertex of each connected component.
 
-    Large and small stars in turn, each an aggregate and a join on one end;
-    nothing of a component is gathered in one place.
+    Large and small stars in turn, each an aggregate and a join on one end; the
+    edges of a vertex that very many others hang on stay where they are.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), ROWS)
     known = None
     while True:
         tasks = edges.rdd.getNumPartitions() * 2
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u").coalesce(tasks)
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n")), ROWS)
+        large = cut(join_keys(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct(), ROWS)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), ROWS)
+        joined = join_keys(large, least, ["u"]).coalesce(tasks)
         edges = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(tasks), ROWS)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == known:
@@ -345,32 +351,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _tiles(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     """Groups that bring vertices outside a large node's main component to all others."""
-    large = blocks.where(F.col("n") > SMALL).dropDuplicates(["node", "vertex"]).join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    large = cut(blocks.where(F.col("n") > SMALL).dropDuplicates(["node", "vertex"]).join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex")), ROWS)
     share = large.groupBy("node", "label").agg(F.count("*").alias("k"))
-    main = share.groupBy("node").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("node", F.col("m.label").alias("main"))
+    main = share.groupBy("node").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("parts"), F.sum("k").alias("_n")).where("parts > 1").select("node", F.col("m.label").alias("main"), "_n")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    large = large.join(main, "node").withColumn("tile", F.pmod(F.xxhash64("vertex"), tiles).cast("int"))
+    large = join_keys(large, cut(main, ROWS), ["node"]).withColumn("tile", F.pmod(F.xxhash64("vertex"), tiles).cast("int"))
     stray = large.where(F.col("label") != F.col("main"))
     key = ["tree", F.xxhash64("node", "with").alias("node"), "block", "vertex", "sketch", "fine", "small"]
-    there = large.join(stray.select("node", F.col("tile").alias("with")).distinct(), "node").where(F.col("tile") != F.col("with")).withColumn("block", F.col("tile")).select(*key)
+    strays = stray.groupBy("node").agg(F.collect_set("tile").alias("withs"), F.max("n").alias("_n"))  # numbers of tiles
+    there = join_keys(large, cut(strays, ROWS), ["node"]).withColumn("with", F.explode("withs")).where(F.col("tile") != F.col("with")).withColumn("block", F.col("tile")).select(*key)
     # a stray of the tile itself meets its neighbours in the tile's own group
     here = stray.withColumn("with", F.col("tile")).withColumn("block", F.explode(F.sequence(F.lit(0), tiles - 1))).where(F.col("block") != F.col("with")).select(*key)
     own = large.join(stray.select("node", "tile").distinct(), ["node", "tile"], "left_semi").withColumn("with", F.col("tile")).withColumn("block", F.col("tile")).select(*key)
     return there.unionByName(here).unionByName(own)
 
 
-def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every row of ``docs`` (row, text, other columns) with n_shingles and ``label``.
+
+    Rows of one component have one label; it is null for texts without words and
+    for null ``row``, which belong to none. ``row`` names rows; where two texts
+    share a name nothing is lost. The text is not among the columns.
+    """
     percent = round(100 * threshold)
     least = math.floor(FINE * (threshold - ALLOWED * math.sqrt(threshold * (1 - threshold) / FINE)))
     rows = cut(sets(docs), ROWS)
-    known = rows.where("vertex is not null and doc_id is not null")
-    vertices = cut(known.groupBy("vertex").agg(F.min_by(F.struct("doc_id", "sketch", "paths", "fine"), "doc_id").alias("s")).select("vertex", "s.*"), ROWS)
+    known = rows.where("vertex is not null and row is not null")
+    vertices = cut(known.groupBy("vertex").agg(F.min_by(F.struct("row", "sketch", "paths", "fine"), "row").alias("s"), F.count("*").alias("_n")).select("vertex", "_n", "s.*"), ROWS)
     ends, small = _end_nodes(vertices)
     sketches = vertices.select("vertex", "sketch", "fine").join(small, "vertex", "left").withColumn("small", F.coalesce("small", F.lit(0)))
-    blocks = cut(_blocks(ends).join(sketches, "vertex"), ROWS)
+    blocks = cut(_blocks(ends, sketches), ROWS)
     edges = cut(_parents(blocks, least), ROWS)
-    places = vertices.select("doc_id", "vertex")
+    places = vertices.select("row", "vertex")
     full = cut(_full_sets(docs, places.join(edges.select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "vertex", "left_semi")), FULL_ROWS)
     good = cut(_confirmed(edges, full, percent), ROWS)
     labels = cut(components(good), ROWS)
@@ -382,9 +394,16 @@ def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 full = cut(full.unionByName(_full_sets(docs, more)).dropDuplicates(["vertex"]), FULL_ROWS)
             good = cut(good.unionByName(_confirmed_in_place(open_, full, percent, least)), ROWS)
             labels = cut(components(good), ROWS)
-    named = vertices.select("vertex", "doc_id").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = named.select("vertex", "label").join(smallest, "label").select("vertex", "component_id")
-    out = rows.select("doc_id", "n_shingles", "vertex").join(of, "vertex", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    named = vertices.select("vertex", "_n").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    out = rows.select(*(c for c in docs.columns if c != "text"), "n_shingles", F.when(F.col("row").isNotNull(), F.col("vertex")).alias("vertex"))
+    joined = join_keys(out.where("vertex is not null"), cut(named, ROWS), ["vertex"])
+    return joined.unionByName(out.where("vertex is null").withColumn("label", F.lit(None).cast("binary"))).drop("vertex")
+
+
+def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    rows = cut(classes(docs.select(F.col("doc_id").alias("row"), "text"), threshold), ROWS)
+    smallest = rows.where("label is not null").groupBy("label").agg(F.min("row").alias("component_id"), F.count("*").alias("_n")).where("_n > 1")
+    of = join_keys(rows.where("label is not null"), cut(smallest, ROWS), ["label"], "left")
+    out = of.unionByName(rows.where("label is null").withColumn("component_id", F.lit(None).cast("long")))
+    return out.select(F.col("row").alias("doc_id"), "n_shingles", F.coalesce("component_id", "row").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
