@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A key is heavy if more than one row in so many has it; so there are fewer such keys.
 HEAVY = 1000
 #: A table of one small row for each key is broadcast whole up to this many rows.
-FEW_KEYS = 100_000
+FEW_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,11 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner
     are read more than once and should be cut; ``how`` is inner, left, left_semi
     or left_anti.
     """
-    total, count = keys.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    total, most, count = keys.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0)), F.count("*")).first()
     if count <= FEW_KEYS:
         return rows.join(F.broadcast(keys.drop("_n")), on, how)
+    if most * HEAVY <= total:
+        return rows.join(keys.drop("_n"), on, how)
     heavy = F.broadcast(keys.where(F.col("_n") * HEAVY > total).drop("_n"))
     light = keys.where(F.col("_n") * HEAVY <= total).drop("_n")
     apart = rows.join(heavy.select(*on), on, "left_anti").join(light, on, how)
