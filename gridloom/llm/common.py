@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: A key is heavy if more than one row in so many has it; so there are fewer such keys.
-HEAVY = 1000
-#: A table of one small row for each key is broadcast whole up to this many rows.
-FEW_KEYS = 10_000
+#: A key is heavy if more than one row in HEAVY has it, so there are fewer such keys,
+#: and if it has more rows than any task minds.
+HEAVY, LIGHT_ROWS = 1000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,18 +55,18 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner
     """``rows`` joined with ``keys``, one row for each key, without a task for a hot key.
 
     ``keys`` says in ``_n`` how many rows share the key, and is dropped from the
-    result by that name. Many keys are joined by shuffle but for the heavy ones,
-    fewer than ``HEAVY`` at any size, whose rows stay where they are. Both sides
-    are read more than once and should be cut; ``how`` is inner, left, left_semi
-    or left_anti.
+    result by that name. Keys are joined by shuffle but for the heavy ones, fewer
+    than ``HEAVY`` at any size, which are broadcast so that their rows stay where
+    they are. Both sides are read more than once and should be cut; ``how`` is
+    inner, left, left_semi or left_anti.
     """
-    total, most, count = keys.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0)), F.count("*")).first()
-    if count <= FEW_KEYS:
-        return rows.join(F.broadcast(keys.drop("_n")), on, how)
-    if most * HEAVY <= total:
-        return rows.join(keys.drop("_n"), on, how)
-    heavy = F.broadcast(keys.where(F.col("_n") * HEAVY > total).drop("_n"))
-    light = keys.where(F.col("_n") * HEAVY <= total).drop("_n")
+    total, most = keys.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    least = max(LIGHT_ROWS, total // HEAVY)
+    if most <= least:
+        # no broadcast of the light ones either: many small ones add up on the driver
+        return rows.join(keys.drop("_n").hint("merge"), on, how)
+    heavy = F.broadcast(keys.where(F.col("_n") > least).drop("_n"))
+    light = keys.where(F.col("_n") <= least).drop("_n").hint("merge")
     apart = rows.join(heavy.select(*on), on, "left_anti").join(light, on, how)
     return apart if how == "left_anti" else rows.join(heavy, on, "inner" if how == "left" else how).unionByName(apart)
 
