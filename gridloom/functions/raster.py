@@ -8,83 +8,131 @@ import zlib
 import numpy as np
 
 
+def masks(boxes: np.ndarray, plane: np.ndarray, planes: int, x0, y0, nm_per_px: float, height: int, width: int) -> np.ndarray:
+    """Pixels in any of the boxes of each plane; row 0 is at the top, both end pixels count.
+
+    Every box marks its four corners; summed along both axes, the marks count the
+    boxes over each pixel. ``x0`` and ``y0`` are one corner for all or one a box.
+    """
+    cols = np.rint((boxes[:, [0, 2]] - np.reshape(x0, (-1, 1))) / nm_per_px).astype(np.int64)
+    rows = (height - 1) - np.rint((boxes[:, [1, 3]] - np.reshape(y0, (-1, 1))) / nm_per_px).astype(np.int64)
+    (c1, c2), (r2, r1) = cols.T, rows.T
+    seen = (c2 >= 0) & (r2 >= 0) & (c1 < width) & (r1 < height)
+    c1, r1 = np.maximum(c1, 0)[seen], np.maximum(r1, 0)[seen]
+    c2, r2 = np.minimum(c2, width - 1)[seen] + 1, np.minimum(r2, height - 1)[seen] + 1
+    at = plane[seen] * ((height + 1) * (width + 1))
+    corners = np.concatenate([at + r * (width + 1) + c for r, c in ((r1, c1), (r2, c2), (r1, c2), (r2, c1))])
+    marks = np.bincount(corners, np.repeat([1.0, 1.0, -1.0, -1.0], len(at)), planes * (height + 1) * (width + 1))
+    return marks.reshape(planes, height + 1, width + 1).cumsum(axis=1).cumsum(axis=2)[:, :height, :width] > 0.5
+
+
 def mask(boxes: np.ndarray, x0: float, y0: float, nm_per_px: float, height: int, width: int) -> np.ndarray:
-    """Pixels in any of the boxes; row 0 is at the top, both end pixels count."""
-    out = np.zeros((height, width), bool)
-    cols = np.rint((boxes[:, [0, 2]] - x0) / nm_per_px).astype(int)
-    rows = (height - 1) - np.rint((boxes[:, [1, 3]] - y0) / nm_per_px).astype(int)
-    for (c1, c2), (r2, r1) in zip(cols, rows, strict=True):
-        if c2 >= 0 and r2 >= 0 and c1 < width and r1 < height:
-            out[max(r1, 0) : r2 + 1, max(c1, 0) : c2 + 1] = True
-    return out
+    """One plane of :func:`masks`."""
+    return masks(boxes, np.zeros(len(boxes), np.int64), 1, x0, y0, nm_per_px, height, width)[0]
 
 
-def labels(boxes: np.ndarray, ids: np.ndarray, *grid) -> np.ndarray:
-    """Label of each pixel; a larger id covers a smaller one, 0 is none."""
+def label_planes(boxes: np.ndarray, ids: np.ndarray, plane: np.ndarray, planes: int, *grid) -> np.ndarray:
+    """Label of each pixel of each plane; a larger id covers a smaller one, 0 is none."""
     height, width = grid[-2:]
-    out = np.zeros((height, width), np.uint8)
-    for label in np.unique(ids):
-        out[mask(boxes[ids == label], *grid)] = label
+    known, at = np.unique(ids, return_inverse=True)
+    drawn = masks(boxes, plane * len(known) + at, planes * len(known), *grid).reshape(planes, len(known), height, width)
+    out = np.zeros((planes, height, width), np.int32)
+    for k, label in enumerate(known):
+        out[drawn[:, k]] = label
     return out
 
 
+def labels(boxes: np.ndarray, ids: np.ndarray, *grid) -> np.ndarray:
+    """One plane of :func:`label_planes`."""
+    return label_planes(boxes, ids, np.zeros(len(boxes), np.int64), 1, *grid)[0]
+
+
 def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian blur, one axis after the other; edges are mirrored."""
+    """Gaussian blur of the last two axes, one after the other; edges are mirrored."""
     if sigma <= 0:
         return image.astype(float)
     reach = max(1, round(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     kernel /= kernel.sum()
-    out = np.pad(image.astype(float), reach, mode="reflect")
-    for axis in (0, 1):
+    out = np.pad(image.astype(float), [(0, 0)] * (image.ndim - 2) + [(reach, reach)] * 2, mode="reflect")
+    for axis in (-2, -1):
         n = out.shape[axis] - 2 * reach
         out = sum(k * np.take(out, range(i, i + n), axis) for i, k in enumerate(kernel))
     return out
 
 
 def correlation(image: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """Normalised correlation of the mean-free template at every place it fits."""
-    h, w = template.shape
-    shape = [a + b - 1 for a, b in zip(image.shape, template.shape, strict=True)]
-    centred = template - template.mean()
-    full = np.fft.irfft2(np.fft.rfft2(image, shape) * np.fft.rfft2(centred[::-1, ::-1], shape), shape)
-    dot = full[h - 1 : image.shape[0], w - 1 : image.shape[1]]
+    """Normalised correlation of the mean-free template at every place it fits, over the last two axes."""
+    h, w = template.shape[-2:]
+    shape = [a + b - 1 for a, b in zip(image.shape[-2:], (h, w), strict=True)]
+    centred = template - template.mean(axis=(-2, -1), keepdims=True)
+    full = np.fft.irfft2(np.fft.rfft2(image, shape) * np.fft.rfft2(centred[..., ::-1, ::-1], shape), shape)
+    dot = full[..., h - 1 : image.shape[-2], w - 1 : image.shape[-1]]
 
     def sums(x: np.ndarray) -> np.ndarray:
-        s = np.pad(x, ((1, 0), (1, 0))).cumsum(axis=0).cumsum(axis=1)
-        return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
+        s = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(1, 0)] * 2).cumsum(axis=-2).cumsum(axis=-1)
+        return s[..., h:, w:] - s[..., :-h, w:] - s[..., h:, :-w] + s[..., :-h, :-w]
 
     spread = np.maximum(sums(image * image) - sums(image) ** 2 / (h * w), 0)
-    norm = np.sqrt(spread * (centred**2).sum())
+    norm = np.sqrt(spread * (centred**2).sum(axis=(-2, -1), keepdims=True))
     return np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 1e-9)
 
 
-def peak_offset(before: float, at: float, after: float) -> float:
+def peak_offset(before, at, after):
     """Where a parabola through three neighbours peaks, within half a step."""
     bend = before - 2 * at + after
-    return 0.0 if bend >= 0 else float(np.clip(0.5 * (before - after) / bend, -0.5, 0.5))
+    steps = np.divide(0.5 * (before - after), bend, out=np.zeros_like(bend, float), where=bend < 0)
+    return np.clip(steps, -0.5, 0.5)
+
+
+def matches(images: np.ndarray, templates: np.ndarray, radius: int, nm_per_px: float) -> np.ndarray:
+    """Rows (dx_nm, dy_nm, score): how each layout must move to fit its image.
+
+    A template's border of ``radius`` pixels is cut off, so that it can be tried
+    at all offsets up to it. A flat image or template gives zeros. A pattern that
+    sits to the right in the image gives a negative dx, one that sits lower a
+    positive dy.
+    """
+    n, height, width = images.shape
+    radius = min(radius, (min(height, width) - 1) // 2)
+    out = np.zeros((n, 3))
+    if radius < 1 or not n:
+        return out
+    inner = templates[:, radius : height - radius, radius : width - radius]
+    clear = (images.std(axis=(1, 2)) > 0) & (inner.std(axis=(1, 2)) > 0)
+    if not clear.any():
+        return out
+    scores = correlation(images[clear].astype(float), inner[clear].astype(float))
+    k = np.arange(len(scores))
+    high, wide = scores.shape[1:]
+    r, c = np.divmod(scores.reshape(len(scores), -1).argmax(axis=1), wide)
+    best = scores[k, r, c]
+    near = lambda a, b: scores[k, np.clip(a, 0, high - 1), np.clip(b, 0, wide - 1)]
+    ex = c - radius + np.where((c > 0) & (c < wide - 1), peak_offset(near(r, c - 1), best, near(r, c + 1)), 0)
+    ey = r - radius + np.where((r > 0) & (r < high - 1), peak_offset(near(r - 1, c), best, near(r + 1, c)), 0)
+    out[clear] = np.stack([-ex * nm_per_px, ey * nm_per_px, best], axis=1)
+    return out
 
 
 def match(image: np.ndarray, template: np.ndarray, radius: int, nm_per_px: float) -> tuple[float, float, float]:
-    """(dx_nm, dy_nm, score): how the layout must move to fit the image.
+    """One row of :func:`matches`."""
+    return tuple(matches(image[None], template[None], radius, nm_per_px)[0].tolist())
+
+
+def runs(image: np.ndarray) -> np.ndarray:
+    """Rows (r1, c1, r2, c2), ends past the last pixel: the true pixels as disjoint boxes.
 
-    The template's border of ``radius`` pixels is cut off, so that it can be
-    tried at all offsets up to it. A flat image or template gives zeros. A
-    pattern that sits to the right in the image gives a negative dx, one that
-    sits lower a positive dy.
+    Runs along a row, of which equal ones in rows that follow are one box.
     """
-    radius = min(radius, (min(image.shape) - 1) // 2)
-    inner = template[radius : template.shape[0] - radius, radius : template.shape[1] - radius]
-    if radius < 1 or image.std() == 0 or inner.std() == 0:
-        return 0.0, 0.0, 0.0
-    scores = correlation(image.astype(float), inner.astype(float))
-    r, c = np.unravel_index(scores.argmax(), scores.shape)
-    ex, ey = float(c - radius), float(r - radius)
-    if 0 < c < scores.shape[1] - 1:
-        ex += peak_offset(*scores[r, c - 1 : c + 2])
-    if 0 < r < scores.shape[0] - 1:
-        ey += peak_offset(*scores[r - 1 : r + 2, c])
-    return -ex * nm_per_px, ey * nm_per_px, float(scores[r, c])
+    change = np.diff(np.pad(image.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, start), (_, end) = np.nonzero(change == 1), np.nonzero(change == -1)
+    order = np.lexsort((row, end, start))
+    row, start, end = row[order], start[order], end[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (row[1:] != row[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    last = np.r_[first[1:], len(row)] - 1 if len(row) else first
+    return np.stack([row[first], start[first], row[last] + 1, end[first]], axis=1)
 
 
 def spread(image: np.ndarray, reach: int, axis: str) -> np.ndarray:

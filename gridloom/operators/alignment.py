@@ -1,4 +1,8 @@
-"""Images against their layout: shapes in view, rasters, match and pixel counts."""
+"""Images against their layout: shapes in view, rasters, match and pixel counts.
+
+Fields are drawn a block of images at a time: the shapes of a block are marked on
+one stack of planes, and blur, correlation and peaks run over the whole stack.
+"""
 
 from __future__ import annotations
 
@@ -6,31 +10,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import raster
-from gridloom.operators.layer_algebra import window_groups
 from gridloom.operators.overlap import bbox_join
 
+#: Images that are drawn at once.
+BLOCK = 64
+#: States of an image before it is matched, in the order they are tried, and after.
+NO_COORDS, MISSING, NO_SCALE, FLAT, OK = "no-coords", "missing-file", "no-scale", "flat", "ok"
+
 
-def in_view(shapes: DataFrame, images: DataFrame, fov: int, reach: int, grid: int = 1000) -> DataFrame:
+def in_view(shapes: DataFrame, images: DataFrame, fov: int, grid: int = 1000) -> DataFrame:
     """Shapes in each image's field, once each, with the image's centre."""
     half = fov // 2
     fields = images.select("image_id", "cx", "cy", *((F.col(c) + s * half).alias(n) for n, c, s in (("qx1", "cx", -1), ("qy1", "cy", -1), ("qx2", "cx", 1), ("qy2", "cy", 1))))
-    return bbox_join(shapes, fields, grid, reach).select("image_id", "cx", "cy", "layer", "x1", "y1", "x2", "y2")
+    return bbox_join(shapes, fields, grid).select("image_id", "cx", "cy", "layer", "x1", "y1", "x2", "y2")
+
+
+def fields_at(images: DataFrame, corner_x, corner_y, fov: int, *, flip_y: bool = False) -> DataFrame:
+    """(image_id, qx1..qy2): the field around each defect, placed by its chip's corner."""
+    y = -F.col("yrel") if flip_y else F.col("yrel")
+    centre, half = {"x": F.col("xrel") - corner_x, "y": y - corner_y}, fov // 2
+    return images.select("image_id", *((centre[a] + s * half).alias(f"q{a}{k}") for k, s in ((1, -1), (2, 1)) for a in "xy"))
+
+
+def state() -> Column:
+    """Why an image cannot be matched, in the order of the checks; null if it can."""
+    return F.when(~F.col("has_coords"), NO_COORDS).when(~F.col("has_file"), MISSING).when(F.coalesce(F.col("nm_per_px"), F.lit(0)) <= 0, NO_SCALE)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of up to BLOCK whole keys, from batches sorted by key; with each row's place and the keys."""
+    held: pa.Table | None = None
+
+    def split(rows: pa.Table, last: bool) -> Iterator[pa.Table]:
+        k = rows[key].to_numpy()
+        starts = np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
+        if not last:
+            starts = starts[:-1]
+        for i in range(0, len(starts) - 1, BLOCK):
+            a, b = int(starts[i]), int(starts[min(i + BLOCK, len(starts) - 1)])
+            yield rows.slice(a, b - a)
+        if not last:
+            yield rows.slice(int(starts[-1]))
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        if len(rows):
+            *ready, held = split(rows, False)
+            for part in ready:
+                keys, place = np.unique(part[key].to_numpy(), return_inverse=True)
+                yield part, place, keys
+    if held is not None and len(held):
+        for part in split(held, True):
+            keys, place = np.unique(part[key].to_numpy(), return_inverse=True)
+            yield part, place, keys
 
 
 def _by_image(rows: DataFrame) -> DataFrame:
     return rows.repartition("image_id").sortWithinPartitions("image_id")
 
 
-def _boxes(group: pa.Table) -> np.ndarray:
-    return np.stack([group[c].to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+def _boxes(rows: pa.Table) -> np.ndarray:
+    return np.stack([rows[c].to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
 
 
-def _corner(group: pa.Table, fov: int) -> tuple[float, float]:
-    return group["cx"][0].as_py() - fov / 2, group["cy"][0].as_py() - fov / 2
+def _corners(rows: pa.Table, fov: int) -> tuple[np.ndarray, np.ndarray]:
+    return rows["cx"].to_numpy() - fov / 2, rows["cy"].to_numpy() - fov / 2
 
 
 def label_counts(seen: DataFrame, fov: int, pixels: int) -> DataFrame:
@@ -38,32 +87,46 @@ def label_counts(seen: DataFrame, fov: int, pixels: int) -> DataFrame:
     scale = fov / pixels
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in window_groups(batches, "image_id"):
-            found = raster.labels(_boxes(group), group["layer"].to_numpy(), *_corner(group, fov), scale, pixels, pixels)
-            layer, n = np.unique(found[found > 0], return_counts=True)
-            if len(layer):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(layer), group["image_id"][0].as_py())), pa.array(layer.astype(np.int32)), pa.array(n.astype(np.int64))], ["image_id", "layer", "n_pixels"])
+        for rows, place, keys in _blocks(batches, "image_id"):
+            found = raster.label_planes(_boxes(rows), rows["layer"].to_numpy(), place, len(keys), *_corners(rows, fov), scale, pixels, pixels)
+            image, r, c = np.nonzero(found)
+            pair, n = np.unique(np.stack([image, found[image, r, c]]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[pair[0]]), pa.array(pair[1].astype(np.int32)), pa.array(n.astype(np.int64))], ["image_id", "layer", "n_pixels"])
 
     return _by_image(seen).mapInArrow(work, "image_id long, layer int, n_pixels long")
 
 
-def matched(seen: DataFrame, fov: int, pixels: int, radius: int, sigma: float = 1.0) -> DataFrame:
-    """(image_id, dx_nm, dy_nm, score, status): each image against its layout.
+def matched(images: DataFrame, shapes: DataFrame, grey: dict[int, int], fov: int, pixels: int, radius: int, sigma: float = 1.0) -> DataFrame:
+    """(image_id, dx_nm, dy_nm, score, status): every image against its layout.
 
-    ``seen`` also holds the drift (ox, oy) in nm with which the image was taken;
-    the picture is drawn from the drifted shapes, the template from the layout.
-    A template without contrast is flat and scores zero.
+    ``images`` holds centres (cx, cy), what :func:`state` looks at, and the drift
+    (ox, oy) in nm with which the picture was taken; it is drawn from the drifted
+    shapes, the template from the layout. A template has one grey value for each
+    layer of ``grey``; the larger layer number covers. Images that cannot be
+    matched have their state and zeros; so have those, as flat, whose template
+    has nothing in view or no contrast.
     """
     scale = fov / pixels
+    known = images.withColumn("_state", state())
+    drawn = shapes.where(F.col("layer").isin(list(grey)))
+    seen = in_view(drawn, known.where("_state is null"), fov).join(known.select("image_id", "ox", "oy"), "image_id")
+    palette = np.zeros(max(grey, default=0) + 1)
+    palette[list(grey)] = list(grey.values())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in window_groups(batches, "image_id"):
-            b, grid = _boxes(group), (*_corner(group, fov), scale, pixels, pixels)
-            drift = np.array([group["ox"][0].as_py(), group["oy"][0].as_py()] * 2, float)
-            template = raster.blurred(raster.mask(b, *grid), sigma)
-            image = raster.blurred(raster.mask(b + drift, *grid), sigma)
-            dx, dy, score = raster.match(image, template, radius, scale)
-            status = "ok" if score > 0 else "flat"
-            yield pa.RecordBatch.from_pylist([{"image_id": group["image_id"][0].as_py(), "dx_nm": dx, "dy_nm": dy, "score": score, "status": status}])
-
-    return _by_image(seen).mapInArrow(work, "image_id long, dx_nm double, dy_nm double, score double, status string")
+        for rows, place, keys in _blocks(batches, "image_id"):
+            b, layer, (x0, y0) = _boxes(rows), rows["layer"].to_numpy(), _corners(rows, fov)
+            drift = np.stack([rows[c].to_numpy().astype(float) for c in ("ox", "oy", "ox", "oy")], axis=1)
+            template, image = (raster.blurred(palette[raster.label_planes(x, layer, place, len(keys), x0, y0, scale, pixels, pixels)], sigma) for x in (b, b + drift))
+            found = raster.matches(image, template, radius, scale)
+            status = np.where(found[:, 2] > 0, OK, FLAT)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(found[:, i]) for i in range(3)), pa.array(status, pa.string())], ["image_id", "dx_nm", "dy_nm", "score", "status"])
+
+    done = _by_image(seen).mapInArrow(work, "image_id long, dx_nm double, dy_nm double, score double, status string")
+    out = known.select("image_id", "_state").join(done, "image_id", "left")
+    return out.select("image_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dx_nm", "dy_nm", "score")), F.coalesce("_state", "status", F.lit(FLAT)).alias("status"))
+
+
+def lowest_corner(cx, cy, width_px, height_px, nm_per_px) -> tuple[Column, Column]:
+    """Lower left corner of a field for masks, whose rows are counted from one pixel higher."""
+    return F.col(cx) - F.col(width_px) / 2.0 * F.col(nm_per_px), F.col(cy) - (F.col(height_px) / 2.0 - 1.0) * F.col(nm_per_px)

@@ -5,21 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: of this many rows share a numbering task, about.
-CHUNK = 100_000
-
-
-def running_total(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
-    """``name``: the sum of ``value`` over all rows before, by a unique integer order.
-
-    Rows are summed by chunks of the order first, so no task sees them all: only
-    one row for each chunk goes through a single window.
-    """
-    chunked = rows.withColumns({"_chunk": F.floor(F.col(order) / CHUNK), "_v": value})
-    ahead = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = chunked.groupBy("_chunk").agg(F.sum("_v").alias("_s")).select("_chunk", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return chunked.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(starts, "_chunk").withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_chunk", "_v", "_in", "_start")
+from gridloom.operators.ordered import next_value, running_total
 
 
 def sequential_pages(images: DataFrame) -> DataFrame:
@@ -34,17 +20,9 @@ def row_ids(rows: DataFrame, order: str) -> DataFrame:
 
 
 def byte_spans(index: DataFrame, file_size: Column | int) -> DataFrame:
-    """Bytes to the next offset, or to the end of the file for the last.
-
-    Only neighbours matter, so each chunk of offsets is handled alone and takes
-    the first offset of the next chunk that has any.
-    """
-    size = F.lit(file_size)
-    chunked = index.withColumn("_chunk", F.floor(F.col("byte_offset") / (4096 * CHUNK)))
-    heads = chunked.groupBy("_chunk").agg(F.min("byte_offset").alias("_head"))
-    heads = heads.select("_chunk", F.lead("_head").over(Window.orderBy("_chunk")).alias("_next"))
-    own = F.lead("byte_offset").over(Window.partitionBy("_chunk").orderBy("byte_offset"))
-    return chunked.withColumn("_own", own).join(heads, "_chunk").withColumn("byte_span", F.coalesce("_own", "_next", size) - F.col("byte_offset")).drop("_chunk", "_own", "_next")
+    """Bytes to the next offset, or to the end of the file for the last."""
+    span = F.coalesce("_next", F.lit(file_size)) - F.col("byte_offset")
+    return next_value(index, "byte_offset", "_next").withColumn("byte_span", span).drop("_next")
 
 
 def giant_cells(spans: DataFrame, least: int, top: int) -> DataFrame:
@@ -52,19 +30,41 @@ def giant_cells(spans: DataFrame, least: int, top: int) -> DataFrame:
     return spans.where(F.col("byte_span") >= least).orderBy(F.desc("byte_span"), "cell_id").limit(top)
 
 
+#: Numbers of layers and datatypes have so many bits.
+_LEVELS = 31
+
+
+def _blocks_of(low: Column, high: Column) -> Column:
+    """The interval as few blocks (level, number) of 2**level numbers each."""
+    start = F.struct(low.cast("long").alias("l"), (high.cast("long") + 1).alias("r"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+
+    def climb(acc: Column, k: Column) -> Column:
+        block = lambda n: F.array(F.struct(k.alias("level"), n.alias("block")))
+        none = F.array().cast("array<struct<level:int,block:bigint>>")
+        open_ = acc["l"] < acc["r"]
+        left = F.when(open_ & (acc["l"] % 2 == 1), block(acc["l"])).otherwise(none)
+        right = F.when(open_ & (acc["r"] % 2 == 1), block(acc["r"] - 1)).otherwise(none)
+        return F.struct(F.shiftright(acc["l"] + 1, 1).alias("l"), F.shiftright(acc["r"], 1).alias("r"), F.concat(acc["out"], left, right).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS)), start, climb, lambda acc: acc["out"])
+
+
 def layer_name(layers: DataFrame, names: DataFrame) -> DataFrame:
     """(layer, datatype, name): the narrowest interval that holds the key.
 
     By width of the layer interval, then of the datatype interval, then file
     order; an open interval of all layers names nothing; no match gives ''.
+    Intervals are cut into blocks of powers of two, of which a layer lies in one
+    for each power, so names and keys meet by equality.
     """
     wide = F.lit(2**31 - 1)
     keys = layers.select("layer", "datatype").distinct()
     usable = names.where(~((F.col("l_lo") == 0) & F.col("l_hi").isNull()))
-    held = (F.col("layer") >= F.col("l_lo")) & (F.col("layer") <= F.coalesce("l_hi", wide)) & (F.col("datatype") >= F.col("d_lo")) & (F.col("datatype") <= F.coalesce("d_hi", wide))
+    cut = usable.withColumn("_b", F.explode(_blocks_of(F.greatest("l_lo", F.lit(0)), F.coalesce("l_hi", wide)))).select("*", "_b.level", "_b.block")
+    spread = keys.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS)))).withColumn("block", F.expr("shiftright(cast(layer as bigint), level)"))
+    held = (F.col("datatype") >= F.col("d_lo")) & (F.col("datatype") <= F.coalesce("d_hi", wide))
     rank = F.struct((F.coalesce("l_hi", wide) - F.col("l_lo")).alias("lw"), (F.coalesce("d_hi", wide) - F.col("d_lo")).alias("dw"), "rec_no")
-    # keys are few by nature: a layout has some hundreds of layers
-    best = usable.join(F.broadcast(keys), held).groupBy("layer", "datatype").agg(F.min_by("name", rank).alias("name"))
+    best = cut.join(spread, ["level", "block"]).where(held).groupBy("layer", "datatype").agg(F.min_by("name", rank).alias("name"))
     return keys.join(best, ["layer", "datatype"], "left").na.fill("", ["name"])
 
 
@@ -99,21 +99,6 @@ def position_nm(version: Column, value: Column) -> Column:
     return value.try_cast("double") * F.when(version == "1.2", 1000.0).otherwise(1.0)
 
 
-def last_seen(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
-    """``name``: the latest value that is not null, up to and with each row.
-
-    By chunks of the order: inside a chunk by a window, and from the chunks
-    before by one row each.
-    """
-    chunked = rows.withColumns({"_chunk": F.floor(F.col(order) / CHUNK), "_v": value})
-    ends = chunked.where("_v is not null").groupBy("_chunk").agg(F.max_by("_v", order).alias("_end"))
-    every = chunked.select("_chunk").distinct().join(ends, "_chunk", "left")
-    ahead = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = every.select("_chunk", F.last("_end", ignorenulls=True).over(ahead).alias("_start"))
-    inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return chunked.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).join(starts, "_chunk").withColumn(name, F.coalesce("_in", "_start")).drop("_chunk", "_v", "_in", "_start")
-
-
 def first_rows(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """The first n rows of each group; a limit inside tasks comes before the shuffle."""
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
@@ -186,3 +171,55 @@ def page_map(images: DataFrame, total: Column) -> DataFrame:
     dealt = F.sequence(F.col("_first"), F.col("_first") + F.size("ids") - 1)
     by_id = F.col("_base").isNotNull()
     return placed.select("image_id", F.explode(F.when(by_id, own).otherwise(dealt)).alias("page"), F.when(by_id, "imagelist").otherwise("sequential").alias("mode"))
+
+
+def up_to(rows: DataFrame, number: str, most: int) -> DataFrame:
+    """The records numbered up to ``most``."""
+    return rows.where(F.col(number) <= most)
+
+
+def image_entries(tokens: str, count: Column, start: Column, per_image: Column) -> Column:
+    """The values of each image of a row; an empty array if the row is too short for its count."""
+    whole = (count > 0) & (F.size(tokens) >= start + count * per_image)
+    each = F.transform(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1), lambda k: F.slice(tokens, (start + k * per_image + 1).cast("int"), per_image.cast("int")))
+    return F.when(whole, each).otherwise(F.array().cast("array<array<string>>"))
+
+
+def braced_entries(text: str, count: Column) -> Column:
+    """The values of each image in ``Images N {a b, c d}``; an empty array if they are not ``count``."""
+    inside = F.regexp_extract(text, r"(?s)^Images\s+[0-9]+\s*\{(.*)\}\s*$", 1)
+    parts = F.filter(F.split(inside, ","), lambda e: F.trim(e) != "")
+    each = F.transform(parts, lambda e: F.split(F.trim(e), r"\s+"))
+    return F.when((count > 0) & (F.size(parts) == count), each).otherwise(F.array().cast("array<array<string>>"))
+
+
+def image_layout(rows: DataFrame, columns: int, count_at: int, list_at: int | None, declared: int | None = None) -> DataFrame:
+    """(path, start, per_image, how): where the rows of each list keep their images.
+
+    ``rows`` holds path, rec_no, n_pages and all ``tokens``; ``columns`` are declared,
+    the count is one of them and so may be the image list. First come lists whose
+    first row with images holds a braced one, then a declared number of values an
+    image, then what most rows agree on: values from the list, from past the
+    columns, or from the column after the count if it is the last. All but one
+    row in ten, or but one, must agree. Of several such starts one wins whose
+    first values are whole numbers and never the same.
+    """
+    with_images = rows.where("n_pages > 0")
+    at = list_at if list_at is not None else count_at + 1
+    first = with_images.groupBy("path").agg(F.min_by(F.get("tokens", F.lit(at)), "rec_no").alias("_t"))
+    braced = first.where("_t = 'Images'").select("path", F.lit(at).alias("start"), F.lit(None).cast("int").alias("per_image"), F.lit("images18").alias("how"))
+    rest = with_images.join(braced.select("path"), "path", "left_anti")
+    if list_at is not None and declared:
+        return braced.unionByName(rest.select("path").distinct().select("path", F.lit(list_at).alias("start"), F.lit(declared).alias("per_image"), F.lit("declared").alias("how")))
+    starts = list(dict.fromkeys([*([list_at] if list_at is not None else []), columns, *([columns - 1] if count_at == columns - 2 else [])]))
+    tried = rest.select("*", F.posexplode(F.array(*map(F.lit, starts))).alias("_nth", "start"))
+    extra = F.size("tokens") - F.col("start")
+    votes = tried.where((extra > 0) & (extra % F.col("n_pages") == 0)).groupBy("path", "_nth", "start", (extra / F.col("n_pages")).cast("int").alias("per_image")).agg(F.count("*").alias("votes"))
+    total = rest.groupBy("path").agg(F.count("*").alias("total"))
+    best = votes.groupBy("path", "_nth", "start").agg(F.max(F.struct("votes", (-F.col("per_image")).alias("_k"))).alias("b")).join(total, "path")
+    agreed = best.where(F.col("b.votes") >= F.col("total") - F.greatest(F.lit(1), F.floor(F.col("total") / 10))).select("path", "_nth", "start", (-F.col("b._k")).alias("per_image"))
+    names = tried.join(agreed, ["path", "_nth", "start"]).select("path", "_nth", F.explode(F.transform(image_entries("tokens", F.col("n_pages"), F.col("start"), F.col("per_image")), lambda e: e[0])).alias("id"))
+    plain = names.groupBy("path", "_nth").agg((F.count_if(~F.col("id").rlike("^-*[0-9]+$")) == 0).alias("_whole"), (F.count("id") == F.countDistinct("id")).alias("_single"))
+    ranked = agreed.join(plain, ["path", "_nth"], "left").withColumn("_good", F.coalesce(F.col("_whole") & F.col("_single"), F.lit(False)))
+    chosen = ranked.groupBy("path").agg(F.min(F.struct((~F.col("_good")).alias("_bad"), "_nth", "start", "per_image")).alias("b"))
+    return braced.unionByName(chosen.select("path", "b.start", "b.per_image", F.lit("inferred").alias("how")))

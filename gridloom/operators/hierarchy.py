@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import moved_box, turn_matrix
+from gridloom.operators.ordered import kept
 from gridloom.operators.overlap import touches
 
 MAX_DEPTH = 128
@@ -19,16 +20,6 @@ _BOX = ["x1", "y1", "x2", "y2"]
 _STATE = ["cell_id", "a", "b", "c", "d", "tx", "ty"]
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Rows of a level, written to the shared folder so that lineage stays short."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and not context.getConf().get("spark.checkpoint.dir"):
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint()
-
-
 def _matrix(prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}{v}") for v in "abcd"]
 
@@ -75,32 +66,66 @@ def instances(placement: DataFrame, root: int, bounds: DataFrame | None = None,
 
 
 def flattened(placed: DataFrame, rects: DataFrame, box: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """Rectangles (cell_id, x1..y2 in the root's coordinates) of the instances."""
-    own = rects.select("cell_id", *(F.col(c).alias(f"_{c}") for c in _BOX))
+    """Rectangles (cell_id, x1..y2 in the root's coordinates, other columns) of the instances."""
+    more = [c for c in rects.columns if c not in ("cell_id", *_BOX)]
+    own = rects.select("cell_id", *(F.col(c).alias(f"_{c}") for c in _BOX), *(F.col(c).alias(f"own_{c}") for c in more))
     there = moved_box(_matrix(), [F.col("tx"), F.col("ty")], [F.col(f"_{c}") for c in _BOX])
-    out = placed.join(own, "cell_id").select("cell_id", *(c.alias(n) for c, n in zip(there, _BOX, strict=True)))
+    out = placed.join(own, "cell_id").select("cell_id", *(F.col(f"own_{c}").alias(c) for c in more), *(c.alias(n) for c, n in zip(there, _BOX, strict=True)))
     return out if box is None else out.where(touches([F.col(c) for c in _BOX], [F.lit(v) for v in box]))
 
 
+def _lifted(edges: DataFrame, below: DataFrame) -> DataFrame:
+    """(cell_id, x1..y2): the children's boxes in their parents' coordinates."""
+    held = below.select(F.col("cell_id").alias("child"), *(F.col(c).alias(f"_{c}") for c in _BOX))
+    up = moved_box(_matrix(), [F.col("x"), F.col("y")], [F.col(f"_{c}") for c in _BOX])
+    return edges.join(held, "child").select(F.col("parent").alias("cell_id"), *(c.alias(n) for c, n in zip(up, _BOX, strict=True)))
+
+
 def subtree_bounds(placement: DataFrame, rects: DataFrame) -> DataFrame:
     """(cell_id, x1..y2): the box around a cell's own and all placed shapes.
 
-    Works upwards from the cells with shapes until no box grows; a cell without
-    shapes below has no row, and cells on a cycle stop growing at ``MAX_DEPTH``.
+    Cells are done bottom up, each once all that it places are done, so there are
+    as many rounds as levels. Cells on a cycle or above one are never due; for
+    them a placement that leads back to a cell on the way down is skipped. A cell
+    without shapes below has no row.
     """
-    edges = placement.select("parent", "child", "x", "y", *(c.alias(v) for v, c in zip("abcd", turn_matrix(F.col("q"), F.col("flip")), strict=True)))
     around = [f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), _BOX, strict=True)]
-    own = rects.groupBy("cell_id").agg(*around)
-    known = kept(own)
+    edges = kept(placement.select("parent", "child", "x", "y", *(c.alias(v) for v, c in zip("abcd", turn_matrix(F.col("q"), F.col("flip")), strict=True))))
+    cells = edges.select(F.col("parent").alias("cell_id")).union(edges.select("child")).union(rects.select("cell_id")).distinct()
+    todo = kept(cells.join(rects.groupBy("cell_id").agg(*around), "cell_id", "left"))
+    open_ = edges.select("parent", "child").distinct()
+    done = todo.limit(0)
+    while True:
+        due = todo.join(open_.select(F.col("parent").alias("cell_id")).distinct(), "cell_id", "left_anti")
+        of_due = edges.join(due.select(F.col("cell_id").alias("parent")), "parent", "left_semi")
+        fresh = kept(due.unionByName(_lifted(of_due, done)).groupBy("cell_id").agg(*around))
+        if fresh.isEmpty():
+            break
+        done = done.unionByName(fresh)
+        todo = kept(todo.join(fresh.select("cell_id"), "cell_id", "left_anti"))
+        open_ = kept(open_.join(fresh.select(F.col("cell_id").alias("child")), "child", "left_anti"))
+    if not todo.isEmpty():
+        done = done.unionByName(_cyclic_bounds(edges, todo, done, around))
+    return done.where("x1 is not null")
+
+
+def _cyclic_bounds(edges: DataFrame, todo: DataFrame, done: DataFrame, around: list[Column]) -> DataFrame:
+    """Boxes of the cells of ``todo``, along all ways down that meet no cell twice."""
+    inside = kept(_lifted(edges.join(todo.select(F.col("cell_id").alias("parent")), "parent", "left_semi"), done).unionByName(todo).groupBy("cell_id").agg(*around))
+    between = kept(edges.join(todo.select(F.col("cell_id").alias("parent")), "parent", "left_semi").join(todo.select(F.col("cell_id").alias("child")), "child", "left_semi"))
+    m, e = _matrix("m"), _matrix()
+    way = todo.select(F.col("cell_id").alias("start"), "cell_id", *(F.lit(v).alias(f"m{n}") for v, n in zip((1, 0, 0, 1), "abcd", strict=True)), F.lit(0).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty"), F.array("cell_id").alias("path"))
+    found = None
     for _ in range(MAX_DEPTH):
-        lifted = known.select(F.col("cell_id").alias("child"), *(F.col(c).alias(f"_{c}") for c in _BOX)).join(edges, "child")
-        up = moved_box(_matrix(), [F.col("x"), F.col("y")], [F.col(f"_{c}") for c in _BOX])
-        lifted = lifted.select(F.col("parent").alias("cell_id"), *(c.alias(n) for c, n in zip(up, _BOX, strict=True)))
-        grown = kept(lifted.unionByName(own).groupBy("cell_id").agg(*around))
-        if grown.exceptAll(known).isEmpty():
+        there = moved_box(m, [F.col("tx"), F.col("ty")], [F.col(c) for c in _BOX])
+        boxes = way.join(inside, "cell_id").select(F.col("start").alias("cell_id"), *(c.alias(n) for c, n in zip(there, _BOX, strict=True)))
+        found = boxes if found is None else found.unionByName(boxes)
+        product = [m[0] * e[0] + m[1] * e[2], m[0] * e[1] + m[1] * e[3], m[2] * e[0] + m[3] * e[2], m[2] * e[1] + m[3] * e[3]]
+        step = way.join(between, F.col("cell_id") == F.col("parent")).where(~F.array_contains("path", F.col("child")))
+        way = kept(step.select("start", F.col("child").alias("cell_id"), *(p.alias(f"m{n}") for p, n in zip(product, "abcd", strict=True)), (m[0] * F.col("x") + m[1] * F.col("y") + F.col("tx")).alias("tx"), (m[2] * F.col("x") + m[3] * F.col("y") + F.col("ty")).alias("ty"), F.array_append("path", F.col("child")).alias("path")))
+        if way.isEmpty():
             break
-        known = grown
-    return known
+    return found.groupBy("cell_id").agg(*around)
 
 
 def root_cell(placement: DataFrame, rects: DataFrame) -> DataFrame:
@@ -117,16 +142,33 @@ def root_cell(placement: DataFrame, rects: DataFrame) -> DataFrame:
 
 
 def levels(placement: DataFrame, root: int) -> DataFrame:
-    """(cell_id, level): longest path from the root, so parents come first."""
-    known = kept(placement.sparkSession.range(1).select(F.lit(root).cast("long").alias("cell_id"), F.lit(0).alias("level")))
-    frontier = known
-    edges = placement.select("parent", "child").distinct()
-    for _ in range(MAX_DEPTH):
-        frontier = kept(frontier.join(edges, F.col("cell_id") == F.col("parent")).groupBy(F.col("child").alias("cell_id")).agg((F.max("level") + 1).alias("level")))
-        if frontier.isEmpty():
-            break
-        known = kept(known.unionByName(frontier).groupBy("cell_id").agg(F.max("level").alias("level")))
-    return known
+    """(cell_id, level): longest path from the root, so parents come first.
+
+    A cell is due once all cells under the root that place it have their level.
+    Where a cycle keeps all others waiting, the smallest cell that one with a level
+    places is due, and its other placements count as closing the cycle.
+    """
+    edges = kept(placement.select("parent", "child").where("parent <> child").distinct())
+    start = placement.sparkSession.range(1).select(F.lit(root).cast("long").alias("cell_id"))
+    reached = frontier = kept(start)
+    while not frontier.isEmpty():
+        below = frontier.join(edges, F.col("cell_id") == F.col("parent")).select(F.col("child").alias("cell_id")).distinct()
+        frontier = kept(below.join(reached, "cell_id", "left_anti"))
+        reached = reached.unionByName(frontier)
+    todo = kept(reached.where(F.col("cell_id") != root))
+    used = kept(edges.join(reached.select(F.col("cell_id").alias("parent")), "parent", "left_semi"))
+    done = kept(start.withColumn("level", F.lit(0)))
+    while not todo.isEmpty():
+        offered = used.join(todo.select(F.col("cell_id").alias("child")), "child", "left_semi").join(done.select(F.col("cell_id").alias("parent"), "level"), "parent", "left")
+        state = offered.groupBy(F.col("child").alias("cell_id")).agg(F.count_if(F.col("level").isNull()).alias("waits"), (F.max("level") + 1).alias("level"))
+        state = kept(state.where("level is not null"))
+        fresh = state.where("waits = 0").select("cell_id", "level")
+        if fresh.isEmpty():
+            fresh = state.orderBy("cell_id").limit(1).select("cell_id", "level")
+        fresh = kept(fresh)
+        done = done.unionByName(fresh)
+        todo = kept(todo.join(fresh.select("cell_id"), "cell_id", "left_anti"))
+    return done
 
 
 def unknown_targets(placement: DataFrame, cells: DataFrame) -> DataFrame:
@@ -141,3 +183,9 @@ def flattened_polygons(placed: DataFrame, polygons: DataFrame) -> DataFrame:
     own = polygons.select("cell_id", F.col("pts").alias("_pts"))
     move = lambda p: F.struct((m[0] * p["x"] + m[1] * p["y"] + F.col("tx")).alias("x"), (m[2] * p["x"] + m[3] * p["y"] + F.col("ty")).alias("y"))
     return placed.join(own, "cell_id").select("cell_id", F.transform("_pts", move).alias("pts"))
+
+
+def region_layers(flat: DataFrame) -> DataFrame:
+    """One row for each layer that has shapes in the region: their number and the box around them."""
+    around = [f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), _BOX, strict=True)]
+    return flat.groupBy("layer", "datatype").agg(F.count("*").alias("n"), *around)

@@ -167,7 +167,7 @@ def window_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield held
 
 
-def in_windows(shapes: DataFrame, windows: DataFrame, layers: dict[str, tuple[int, int]], reach: int, grid: int, halo_nm: float) -> DataFrame:
+def in_windows(shapes: DataFrame, windows: DataFrame, layers: dict[str, tuple[int, int]], grid: int, halo_nm: float) -> DataFrame:
     """(window_id, wx1..wy2, ref, x1..y2): shapes near each window, by operand name.
 
     A window without shapes has one row with null ``ref``, so complements see it.
@@ -176,19 +176,19 @@ def in_windows(shapes: DataFrame, windows: DataFrame, layers: dict[str, tuple[in
     bound = spark.createDataFrame([(k, *v) for k, v in layers.items()], "ref string, layer int, datatype int")
     used = shapes.join(F.broadcast(bound), ["layer", "datatype"]).select("ref", "x1", "y1", "x2", "y2")
     near = windows.select("window_id", *(F.col(f"w{c}") for c in ("x1", "y1", "x2", "y2")), *((F.col(f"w{c}") + s * halo_nm).alias(f"q{c}") for c, s in (("x1", -1), ("y1", -1), ("x2", 1), ("y2", 1))))
-    found = bbox_join(used, near, grid, reach).select("window_id", "wx1", "wy1", "wx2", "wy2", "ref", "x1", "y1", "x2", "y2")
+    found = bbox_join(used, near, grid).select("window_id", "wx1", "wy1", "wx2", "wy2", "ref", "x1", "y1", "x2", "y2")
     empty = near.select("window_id", "wx1", "wy1", "wx2", "wy2", F.lit(None).cast("string").alias("ref"), *(F.lit(0).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
     return found.unionByName(empty)
 
 
-def apply(formula: str, layers: dict[str, tuple[int, int]], shapes: DataFrame, windows: DataFrame, *, reach: int, grid: int = 2000, recipes: dict[str, str] | None = None) -> DataFrame:
+def apply(formula: str, layers: dict[str, tuple[int, int]], shapes: DataFrame, windows: DataFrame, *, grid: int = 2000, recipes: dict[str, str] | None = None) -> DataFrame:
     """(window_id, x1, y1, x2, y2): the disjoint boxes of a formula in each window."""
     known = {k: parse(v)[1] for k, v in (recipes or {}).items()}
     recipe_order(known)
     tree = expanded(parse(formula)[1], known, layers)
     around = halo(tree)
     used = {k: v for k, v in layers.items() if k in names(tree)}
-    rows = in_windows(shapes, windows, used, reach, grid, around)
+    rows = in_windows(shapes, windows, used, grid, around)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in window_groups(batches, "window_id"):
@@ -202,3 +202,63 @@ def apply(formula: str, layers: dict[str, tuple[int, int]], shapes: DataFrame, w
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group["window_id"][0].as_py())), *(pa.array(found[:, i]) for i in range(4))], ["window_id", "x1", "y1", "x2", "y2"])
 
     return rows.repartition("window_id").sortWithinPartitions("window_id").mapInArrow(work, "window_id long, x1 double, y1 double, x2 double, y2 double")
+
+
+def binding(value) -> tuple:
+    """A binding in its tagged form: ("raw", layer, datatype) or ("ref", recipe)."""
+    parts = tuple(value)
+    if len(parts) == 2 and parts[0] == "ref":
+        return ("ref", str(parts[1]))
+    if len(parts) == 3 and parts[0] == "raw":
+        parts = parts[1:]
+    if len(parts) != 2 or parts[0] in ("raw", "ref"):
+        raise FormulaError(f"{value!r} is no binding")
+    return ("raw", int(parts[0]), int(parts[1]))
+
+
+def apply_all(recipes: dict[str, str], layers: dict[str, tuple[int, int]], shapes: DataFrame, windows: DataFrame, *, grid: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(recipe, window_id, x1..y2) of all recipes, and (recipe, message) of those that fail.
+
+    A recipe that cannot be read, or that leads to itself or to an unknown name,
+    is left out with its message; so is one that needs such a recipe.
+    """
+    spark = shapes.sparkSession
+    errors: list[tuple[str, str]] = []
+    known: dict[str, tuple] = {}
+    for name, text in recipes.items():
+        try:
+            known[name] = parse(text)[1]
+        except FormulaError as e:
+            errors.append((name, str(e)))
+    out = spark.createDataFrame([], "recipe string, window_id long, x1 double, y1 double, x2 double, y2 double")
+    for name in sorted(known):
+        try:
+            expanded(known[name], known, layers, (name,))
+        except FormulaError as e:
+            errors.append((name, str(e)))
+            continue
+        needed = {k: recipes[k] for k in known if k != name and not _fails(k, known, layers)}
+        out = out.unionByName(apply(recipes[name], layers, shapes, windows, grid=grid, recipes=needed).withColumn("recipe", F.lit(name)))
+    return out, spark.createDataFrame(errors, "recipe string, message string")
+
+
+def _fails(name: str, known: dict[str, tuple], layers: dict[str, tuple[int, int]]) -> bool:
+    try:
+        expanded(known[name], known, layers, (name,))
+    except FormulaError:
+        return True
+    return False
+
+
+def sidecar(recipes: dict[str, str], bindings: dict[str, dict], colors: dict[str, str]) -> list[dict]:
+    """Recipes with their bindings and colours, as they are written next to a layout."""
+    return [{"name": k, "expr": v, "bindings": {n: list(binding(b)) for n, b in bindings.get(k, {}).items()}, "color": colors.get(k)} for k, v in recipes.items()]
+
+
+def point_types(outlines: DataFrame) -> DataFrame:
+    """(point_type, n, rectilinear_pct): outlines by the type of their point list, and the
+    share of all outlines that this type adds to those with axis-parallel edges (types 0 and 1)."""
+    counted = outlines.groupBy("point_type").agg(F.count("*").alias("n"))
+    total = outlines.agg(F.count("*").alias("_all"))
+    straight = F.when(F.col("point_type") <= 1, F.col("n")).otherwise(0)
+    return counted.join(F.broadcast(total)).select("point_type", "n", F.round(straight * 100.0 / F.col("_all"), 6).alias("rectilinear_pct"))

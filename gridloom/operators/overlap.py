@@ -17,21 +17,32 @@ def touches(a: list[Column], b: list[Column]) -> Column:
     return (a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1])
 
 
-def bbox_join(shapes: DataFrame, queries: DataFrame, grid: int, reach: int) -> DataFrame:
+def bbox_join(shapes: DataFrame, queries: DataFrame, grid: int) -> DataFrame:
     """Pairs of a shape (x1, y1, x2, y2) and a query (qx1, qy1, qx2, qy2) that touch.
 
     A shape lives in the one bucket of its lower corner; a query looks into all
-    buckets from which a shape of at most ``reach`` in width and height could
-    touch it, so no pair comes twice. ``reach`` must bound the shapes; it is
-    exact for them and costs only wider lookups if it is too large.
+    buckets from which a shape could touch it, so no pair comes twice. Shapes
+    larger than ``grid`` live in buckets as large as the next power of two of it,
+    so that one of the size of the chip widens nobody else's lookups. The largest
+    size of each class is measured, one number for each power of two.
     """
-    at = lambda c: F.floor(c / F.lit(grid)).cast("long")
     sx1, sy1, sx2, sy2 = normalized("x1", "y1", "x2", "y2")
-    homed = shapes.withColumns({"_bx": at(sx1), "_by": at(sy1)})
+    size = F.greatest(sx2 - sx1, sy2 - sy1)
+    level = F.coalesce(F.greatest(F.ceil(F.log2(size.cast("double") / grid)), F.lit(0)), F.lit(0)).cast("int")
+    reach = {r.level: r.size or 0 for r in shapes.groupBy(level.alias("level")).agg(F.max(size).alias("size")).collect()}
+    at = lambda c, step: F.floor(c / step).cast("long")
+    homed = shapes.withColumn("_level", level).withColumns({"_bx": at(sx1, F.expr(f"{grid} * power(2D, _level)")), "_by": at(sy1, F.expr(f"{grid} * power(2D, _level)"))})
     q = normalized("qx1", "qy1", "qx2", "qy2")
-    spread = queries.withColumn("_bx", F.explode(F.sequence(at(q[0] - reach), at(q[2])))).withColumn("_by", F.explode(F.sequence(at(q[1] - reach), at(q[3]))))
-    joined = homed.join(spread, ["_bx", "_by"])
-    return joined.where(touches([sx1, sy1, sx2, sy2], q)).drop("_bx", "_by")
+
+    def cells_of(k: int, most) -> Column:
+        step = F.lit(grid * 2.0**k)
+        low, high = at(q[1] - most, step), at(q[3], step)
+        return F.transform(F.sequence(at(q[0] - most, step), at(q[2], step)), lambda x: F.struct(F.lit(k).alias("_level"), x.alias("_bx"), low.alias("_lo"), high.alias("_hi")))
+
+    cells = [cells_of(k, most) for k, most in sorted(reach.items())]
+    columns = F.concat(*cells) if cells else F.array().cast("array<struct<_level:int,_bx:bigint,_lo:bigint,_hi:bigint>>")
+    spread = queries.select("*", F.explode(columns).alias("_c")).select("*", "_c.*").drop("_c").withColumn("_by", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    return homed.join(spread, ["_level", "_bx", "_by"]).where(touches([sx1, sy1, sx2, sy2], q)).drop("_level", "_bx", "_by")
 
 
 def union_box(*, prefix: str = "") -> list[Column]:

@@ -80,3 +80,23 @@ def plan_kind(limit: int = 4096) -> Column:
     """How an array is best treated: as a grid, expanded, or left alone."""
     straight = (F.col("vy") == 0) & (F.col("wx") == 0)
     return F.when(straight, "grid").when(count() <= limit, "expand").otherwise("bail")
+
+
+#: Types of repetitions by lists; along x, along y, or both, and those on a grid.
+ALONG_X, ALONG_Y, FREE, ON_GRID = (4, 5), (6, 7), (10, 11), (5, 7, 11)
+
+
+def expand_lists(arrays: DataFrame) -> DataFrame:
+    """One row for each element of (rtype, grid, gaps_x, gaps_y), with ``step``, ``dx`` and ``dy``.
+
+    The first element is at the origin; each gap leads to the next one. Types along
+    one axis have their gaps in ``gaps_x``; both lists hold free offsets.
+    """
+    unit = F.when(F.col("rtype").isin(*ON_GRID), F.col("grid")).otherwise(F.lit(1))
+    first, second = running("gaps_x"), running("gaps_y")
+    still = F.transform(first, lambda _: F.lit(0).cast("long"))
+    dx = F.when(F.col("rtype").isin(*ALONG_Y), still).otherwise(first)
+    dy = F.when(F.col("rtype").isin(*ALONG_X), still).when(F.col("rtype").isin(*ALONG_Y), first).otherwise(second)
+    rows = arrays.withColumns({"_dx": dx, "_dy": dy, "_unit": unit})
+    rows = rows.select("*", F.posexplode(F.arrays_zip("_dx", "_dy")).alias("step", "_o"))
+    return rows.withColumns({"dx": F.col("_o._dx") * F.col("_unit"), "dy": F.col("_o._dy") * F.col("_unit")}).drop("_dx", "_dy", "_unit", "_o")

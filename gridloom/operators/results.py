@@ -109,9 +109,55 @@ def stage_means(events: DataFrame) -> DataFrame:
     return events.groupBy(F.substring_index("op", ":", 1).alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("us")).cast("long").alias("mean_us"))
 
 
+def fixed_point(value: Column, places: int) -> Column:
+    """A number as text with so many places, halves away from zero; '' for null.
+
+    Rounded as a whole number, so that the text depends on no engine's rounding
+    of decimals.
+    """
+    scale = 10**places
+    whole = F.floor(F.abs(value) * scale + 0.5).cast("long")
+    sign = F.when((value < 0) & (whole > 0), "-").otherwise("")
+    text = F.concat(sign, F.floor(whole / scale).cast("long").cast("string"), F.lit("."), F.lpad((whole % scale).cast("string"), places, "0"))
+    return F.coalesce(text, F.lit(""))
+
+
+#: The columns of both tables that are exported, in order.
+ALIGNMENT_COLUMNS = "image_id klarf_path gds_path poi_layer coarse_dx_nm coarse_dy_nm fine_dx_nm fine_dy_nm score nm_per_px".split()
+MANIFEST_COLUMNS = "image_id raw_png overlay_png fine_dx_nm fine_dy_nm score status gray_png label_png id_source page width_px height_px nm_per_px label_view_png".split()
+
+
+def alignment_rows(images: DataFrame, refined: DataFrame, *, klarf_path: str = "", gds_path: str = "", poi_layer: str = "", nm_per_px: float = 0.0) -> DataFrame:
+    """The ten columns of the alignment export, as text.
+
+    ``images`` holds coarse_x and coarse_y, null without coordinates. What is not
+    known or has not been run is an empty string, not zero.
+    """
+    found = images.join(refined.select("image_id", "dx_nm", "dy_nm", "score"), "image_id", "left")
+    texts = {"klarf_path": F.lit(klarf_path), "gds_path": F.lit(gds_path), "poi_layer": F.lit(poi_layer), "coarse_dx_nm": fixed_point(F.col("coarse_x"), 3), "coarse_dy_nm": fixed_point(F.col("coarse_y"), 3), "fine_dx_nm": fixed_point(F.col("dx_nm"), 3), "fine_dy_nm": fixed_point(F.col("dy_nm"), 3), "score": fixed_point(F.col("score"), 6), "nm_per_px": fixed_point(F.lit(float(nm_per_px)), 6)}
+    return found.select("image_id", *(texts[c].alias(c) for c in ALIGNMENT_COLUMNS[1:]))
+
+
 def manifest(images: DataFrame, refined: DataFrame, threshold: float = MIN_SCORE) -> DataFrame:
-    """Text rows for export: what has not been run is an empty string, not zero."""
-    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    """The fifteen columns of the overlay manifest, as text.
+
+    ``images`` holds id_source, page, width_px, height_px and nm_per_px. Pictures
+    are named for images that were matched; the rest have empty strings, as has
+    what is not known.
+    """
     safe = F.regexp_replace(F.col("image_id").cast("string"), "[^A-Za-z0-9_-]", "_")
     rows = with_status(images, refined, threshold)
-    return rows.select("image_id", "status", F.when(F.col("status").isin(OK, LOW), F.concat(safe, F.lit("_raw.png"))).otherwise("").alias("raw_png"), blank(F.col("score").cast("decimal(9,3)")).alias("score_text"))
+    drawn = F.col("status").isin(OK, LOW)
+    picture = lambda kind: F.when(drawn, F.concat(safe, F.lit(f"_{kind}.png"))).otherwise("")
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    texts = {
+        "raw_png": picture("raw"), "overlay_png": picture("overlay"), "gray_png": picture("gray"), "label_png": picture("label"), "label_view_png": picture("label_view"),
+        "fine_dx_nm": fixed_point(F.col("dx_nm"), 3), "fine_dy_nm": fixed_point(F.col("dy_nm"), 3), "score": fixed_point(F.col("score"), 6), "status": F.col("status"),
+        "id_source": plain("id_source"), "page": plain("page"), "width_px": plain("width_px"), "height_px": plain("height_px"), "nm_per_px": fixed_point(F.col("nm_per_px"), 6),
+    }
+    return rows.select("image_id", *(texts[c].alias(c) for c in MANIFEST_COLUMNS[1:]))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(image_id, json): every row as one JSON object, keys in the order of the columns."""
+    return rows.select("image_id", F.to_json(F.struct(*rows.columns)).alias("json"))

@@ -13,6 +13,12 @@ from gridloom.operators.overlap import bbox_join
 MOST = 64
 
 
+def box_of(shapes: DataFrame) -> tuple[int, int, int, int]:
+    """The box around all shapes, as four numbers; a point where there are none."""
+    found = shapes.agg(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).first()
+    return tuple(int(v or 0) for v in found)
+
+
 def tile_grid(spark: SparkSession, box: tuple[int, int, int, int], target: int) -> DataFrame:
     """(window_id, wx1..wy2): near-square tiles, row by row; the last ends exactly."""
     x1, y1, x2, y2 = box
@@ -23,9 +29,9 @@ def tile_grid(spark: SparkSession, box: tuple[int, int, int, int], target: int)
     return ends.select("window_id", edge("i", x1, x2, nx).alias("wx1"), edge("j", y1, y2, ny).alias("wy1"), edge("i1", x1, x2, nx).alias("wx2"), edge("j1", y1, y2, ny).alias("wy2"))
 
 
-def clip_to_tiles(shapes: DataFrame, tiles: DataFrame, reach: int, grid: int) -> DataFrame:
+def clip_to_tiles(shapes: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:
     """Parts of positive area of each shape in each tile."""
     queries = tiles.select("window_id", *(F.col(f"w{c}").alias(f"q{c}") for c in ("x1", "y1", "x2", "y2")))
-    joined = bbox_join(shapes, queries, grid, reach)
+    joined = bbox_join(shapes, queries, grid)
     cut = {"x1": F.greatest("x1", "qx1"), "y1": F.greatest("y1", "qy1"), "x2": F.least("x2", "qx2"), "y2": F.least("y2", "qy2")}
     return joined.select(*(c for c in joined.columns if c not in cut and not c.startswith("q")), *(v.alias(k) for k, v in cut.items())).where("x2 > x1 and y2 > y1")

@@ -13,8 +13,6 @@ from gridloom.sources.adapters import view, with_views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Bounds of the shapes' width and height, stated by the view.
-REACH = 220
 
 
 def query(name: str, sql: str | None = None):
@@ -39,14 +37,14 @@ _SEEN = "FROM images i JOIN shapes s ON s.x1 <= i.xrel + 750 AND s.x2 >= i.xrel
 
 @query("flt_01_fov_overlap", with_views(f"SELECT image_id, layer, datatype, count(*) AS n, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 {_SEEN} GROUP BY image_id, layer, datatype", "images", "shapes"))
 def _(spark, d):
-    seen = bbox_join(view(spark, d, "shapes"), _fields(spark, d), 1000, REACH)
+    seen = bbox_join(view(spark, d, "shapes"), _fields(spark, d), 1000)
     return seen.groupBy("image_id", "layer", "datatype").agg(F.count("*").alias("n"), *union_box())
 
 
 @query("flt_03_multi_layer", with_views(f"SELECT image_id, count(*) AS n {_SEEN} WHERE (layer = 10 AND datatype = 0) OR (layer = 12 AND datatype = 2) GROUP BY image_id", "images", "shapes"))
 def _(spark, d):
     shapes = view(spark, d, "shapes").where("(layer = 10 and datatype = 0) or (layer = 12 and datatype = 2)")
-    return bbox_join(shapes, _fields(spark, d), 1000, REACH).groupBy("image_id").agg(F.count("*").alias("n"))
+    return bbox_join(shapes, _fields(spark, d), 1000).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
 @query("flt_02_box_rows", with_views("SELECT layer, datatype, x1, y1, x2, y2 FROM shapes WHERE x1 <= 60000 AND x2 >= 20000 AND y1 <= 50000 AND y2 >= 30000", "shapes"))
@@ -65,11 +63,19 @@ def _(spark, d):
     return rows.where(G.quarter_turn("angle"))
 
 
-@query("flt_11_degenerate", with_views("SELECT layer, count(*) AS n FROM shapes WHERE x2 - x1 > 100 GROUP BY layer", "shapes"))
+@query("flt_11_degenerate", with_views("SELECT layer, count(*) AS n FROM shapes WHERE 1 + x1 % 4 >= 3 GROUP BY layer", "shapes"))
 def _(spark, d):
-    rings = view(spark, d, "shapes").withColumn("pts", F.filter(G.ring("x1", "y1", "x2", "y2"), lambda p: p["x"] - F.col("x1") >= 0))
-    full = rings.where((F.size("pts") >= 3) & (F.col("x2") - F.col("x1") > 100))
-    return full.groupBy("layer").agg(F.count("*").alias("n"))
+    """Outlines of one to four points, of which those without an area go."""
+    points = F.slice(G.ring("x1", "y1", "x2", "y2"), F.lit(1), (F.col("x1") % 4 + 1).cast("int"))
+    return view(spark, d, "shapes").withColumn("pts", points).where(F.size("pts") >= 3).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query("flt_04_defect_field", with_views(f"SELECT image_id, layer, count(*) AS n FROM images i JOIN shapes s ON s.x1 <= i.xrel - 350 + 750 AND s.x2 >= i.xrel - 350 - 750 AND s.y1 <= 9000 - i.yrel + 750 AND s.y2 >= 9000 - i.yrel - 750 WHERE (layer = 10 AND datatype = 0) OR (layer = 12 AND datatype = 2) GROUP BY image_id, layer", "images", "shapes"))
+def _(spark, d):
+    """Shapes of some layers around each defect, placed by its chip's corner, y the other way."""
+    shapes = view(spark, d, "shapes").where("(layer = 10 and datatype = 0) or (layer = 12 and datatype = 2)")
+    fields = alignment.fields_at(view(spark, d, "images"), 350, -9000, 1500, flip_y=True)
+    return bbox_join(shapes, fields, 1000).groupBy("image_id", "layer").agg(F.count("*").alias("n"))
 
 
 @query("flt_15_level_of_detail", with_views("SELECT layer, datatype, count(*) AS n FROM shapes WHERE x1 <= 80000 AND x2 >= 10000 AND y1 <= 80000 AND y2 >= 10000 AND greatest(x2 - x1, y2 - y1) >= 0.7 / 0.005 GROUP BY layer, datatype", "shapes"))
@@ -127,7 +133,7 @@ def _(spark, d):
 def _(spark, d):
     placement, rects = view(spark, d, "placement"), view(spark, d, "cell_rect")
     placed = hierarchy.instances(placement, 0, hierarchy.subtree_bounds(placement, rects), _ROI)
-    return hierarchy.flattened(placed, rects, _ROI)
+    return hierarchy.flattened(placed, rects, _ROI).select("cell_id", "x1", "y1", "x2", "y2")
 
 
 @query("wlk_06_instances", with_views(f"+{_WALK} SELECT cell_id, a, b, c, d, tx, ty FROM walk", "placement", recursive=True))
@@ -153,9 +159,17 @@ def _(spark, d):
     return hierarchy.levels(view(spark, d, "placement"), 0)
 
 
-@query("jon_01_unknown_targets", with_views("SELECT child, count(*) AS n FROM placement WHERE child NOT IN (SELECT cell_id FROM cell_rect) AND child NOT IN (SELECT parent FROM placement) GROUP BY child", "placement", "cell_rect"))
+@query("jon_01_unknown_targets", with_views("SELECT child, count(*) AS n FROM placement WHERE child NOT IN (SELECT cell_id FROM cell_rect WHERE datatype = 0 AND layer = 10) AND child NOT IN (SELECT parent FROM placement) GROUP BY child", "placement", "cell_rect"))
 def _(spark, d):
-    return hierarchy.unknown_targets(view(spark, d, "placement"), view(spark, d, "cell_rect"))
+    """Cells are known by their shapes on one layer, so that some targets are not."""
+    return hierarchy.unknown_targets(view(spark, d, "placement"), view(spark, d, "cell_rect").where("datatype = 0 and layer = 10"))
+
+
+@query("wlk_11_region_layers", with_views(f"{_FLAT.replace('SELECT w.cell_id,', 'SELECT w.cell_id, layer, datatype,')} SELECT layer, datatype, count(*) AS n, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM flat WHERE x1 <= {_ROI[2]} AND x2 >= {_ROI[0]} AND y1 <= {_ROI[3]} AND y2 >= {_ROI[1]} GROUP BY layer, datatype", "placement", "cell_rect", recursive=True))
+def _(spark, d):
+    placement, rects = view(spark, d, "placement"), view(spark, d, "cell_rect")
+    placed = hierarchy.instances(placement, 0, hierarchy.subtree_bounds(placement, rects), _ROI)
+    return hierarchy.region_layers(hierarchy.flattened(placed, rects, _ROI))
 
 
 _ALL = "+e AS (SELECT a.*, i, j, i * vx + j * wx AS dx, i * vy + j * wy AS dy FROM (SELECT *, unnest(range(nx)) AS i FROM arrays) a, LATERAL (SELECT unnest(range(ny)) AS j))"
@@ -181,12 +195,13 @@ def _(spark, d):
     return view(spark, d, "arrays").groupBy(repetition.plan_kind(20).alias("kind")).agg(F.count("*").alias("n"))
 
 
-#: The layout's box and the layers that formulas refer to.
-CHIP = (0, 0, 100220, 100216)
+#: The layers that formulas refer to.
 LAYERS = {"A": (10, 0), "B": (11, 1), "C": (12, 2)}
-_TILES = """tiles AS (SELECT j * 64 + i AS window_id, CAST(floor(i * 1565.9375) AS BIGINT) AS wx1, CAST(floor(j * 1565.875) AS BIGINT) AS wy1,
-  CASE WHEN i = 63 THEN 100220 ELSE CAST(floor((i + 1) * 1565.9375) AS BIGINT) END AS wx2, CASE WHEN j = 63 THEN 100216 ELSE CAST(floor((j + 1) * 1565.875) AS BIGINT) END AS wy2
-  FROM (SELECT range AS i FROM range(64)), (SELECT range AS j FROM range(64)))"""
+_TILES = """bounds AS (SELECT min(x1) AS cx1, min(y1) AS cy1, max(x2) AS cx2, max(y2) AS cy2 FROM shapes),
+  grid AS (SELECT *, least(64, greatest(1, CAST(ceil((cx2 - cx1) / 1500e0) AS BIGINT))) AS nx, least(64, greatest(1, CAST(ceil((cy2 - cy1) / 1500e0) AS BIGINT))) AS ny FROM bounds),
+  tiles AS (SELECT j * nx + i AS window_id, cx1 + CAST(floor(i * (CAST(cx2 - cx1 AS DOUBLE) / nx)) AS BIGINT) AS wx1, cy1 + CAST(floor(j * (CAST(cy2 - cy1 AS DOUBLE) / ny)) AS BIGINT) AS wy1,
+  CASE WHEN i = nx - 1 THEN cx2 ELSE cx1 + CAST(floor((i + 1) * (CAST(cx2 - cx1 AS DOUBLE) / nx)) AS BIGINT) END AS wx2, CASE WHEN j = ny - 1 THEN cy2 ELSE cy1 + CAST(floor((j + 1) * (CAST(cy2 - cy1 AS DOUBLE) / ny)) AS BIGINT) END AS wy2
+  FROM grid, (SELECT range AS i FROM range(64)), (SELECT range AS j FROM range(64)) WHERE i < nx AND j < ny)"""
 
 
 def _area_sql(rule: str, grow: int = 0) -> str:
@@ -206,8 +221,9 @@ def _area_sql(rule: str, grow: int = 0) -> str:
 
 
 def _areas(spark: SparkSession, d: str, formula: str, recipes: dict[str, str] | None = None) -> DataFrame:
-    tiles = tiling.tile_grid(spark, CHIP, 1500)
-    found = layer_algebra.apply(formula, LAYERS, view(spark, d, "shapes"), tiles, reach=REACH, recipes=recipes)
+    shapes = view(spark, d, "shapes")
+    tiles = tiling.tile_grid(spark, tiling.box_of(shapes), 1500)
+    found = layer_algebra.apply(formula, LAYERS, shapes, tiles, recipes=recipes)
     return found.groupBy("window_id").agg(F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("long").alias("area"))
 
 
@@ -227,39 +243,98 @@ def _(spark, d):
     return _areas(spark, d, "R2 - C", {"R1": "A > W:40", "R2": "R1 | B"})
 
 
-@query("set_06_shrink")
+_SHRUNK = f"""+{_TILES}, sh AS (SELECT window_id, greatest(x1, wx1) AS x1, least(x2, wx2) AS x2, y1, y2, wy1, wy2 FROM tiles JOIN shapes ON x1 < wx2 AND x2 > wx1 AND y1 < wy2 + 5 AND y2 > wy1 - 5
+    WHERE (layer = 10 AND datatype = 0) OR (layer = 11 AND datatype = 1) OR (layer = 12 AND datatype = 2)),
+  ex AS (SELECT window_id, x AS a, lead(x) OVER (PARTITION BY window_id ORDER BY x) AS b FROM (SELECT window_id, x1 AS x FROM sh UNION SELECT window_id, x2 FROM sh)),
+  seg AS (SELECT ex.window_id, a, b, y1, y2, wy1, wy2 FROM ex JOIN sh ON sh.window_id = ex.window_id AND sh.x1 <= a AND sh.x2 >= b WHERE b IS NOT NULL),
+  mark AS (SELECT *, CASE WHEN y1 <= max(y2) OVER (PARTITION BY window_id, a ORDER BY y1, y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM seg),
+  isl AS (SELECT *, sum(fresh) OVER (PARTITION BY window_id, a ORDER BY y1, y2 ROWS UNBOUNDED PRECEDING) AS g FROM mark),
+  run AS (SELECT window_id, a, b, g, min(y1) AS y1, max(y2) AS y2, min(wy1) AS wy1, min(wy2) AS wy2 FROM isl GROUP BY window_id, a, b, g)
+  SELECT window_id, CAST(sum((b - a) * greatest(0, least(y2 - 5, wy2) - greatest(y1 + 5, wy1))) AS BIGINT) AS area FROM run GROUP BY window_id HAVING area > 0"""
+
+
+@query("set_06_shrink", with_views(_SHRUNK, "shapes"))
 def _(spark, d):
     return _areas(spark, d, "(A | B | C) < H:5")
 
 
-@query("til_01_grid", f"WITH {_TILES} SELECT window_id, wx1, wy1, wx2, wy2 FROM tiles")
+@query("til_01_grid", with_views(f"+{_TILES}, c AS (SELECT window_id, count(*) AS n FROM tiles JOIN shapes ON x1 < wx2 AND x2 > wx1 AND y1 < wy2 AND y2 > wy1 GROUP BY window_id) SELECT tiles.window_id, wx1, wy1, wx2, wy2, coalesce(n, 0) AS n FROM tiles LEFT JOIN c ON tiles.window_id = c.window_id", "shapes"))
 def _(spark, d):
-    box = view(spark, d, "shapes").agg(F.max("x2"), F.max("y2")).first()
-    assert box[0] <= CHIP[2] and box[1] <= CHIP[3]
-    return tiling.tile_grid(spark, CHIP, 1500)
+    """The tiles of the box around all shapes, and how many shapes reach into each."""
+    shapes = view(spark, d, "shapes")
+    tiles = tiling.tile_grid(spark, tiling.box_of(shapes), 1500)
+    held = tiling.clip_to_tiles(shapes, tiles, 2000).groupBy("window_id").agg(F.count("*").alias("n"))
+    return tiles.join(held, "window_id", "left").na.fill(0, ["n"])
 
 
 @query("til_02_clip", with_views(f"+{_TILES}, cl AS (SELECT window_id, layer, greatest(x1, wx1) AS x1, greatest(y1, wy1) AS y1, least(x2, wx2) AS x2, least(y2, wy2) AS y2 FROM tiles JOIN shapes ON x1 < wx2 AND x2 > wx1 AND y1 < wy2 AND y2 > wy1) SELECT window_id, layer, count(*) AS n, CAST(sum((x2 - x1) * (y2 - y1)) AS BIGINT) AS area FROM cl GROUP BY window_id, layer", "shapes"))
 def _(spark, d):
-    cut = tiling.clip_to_tiles(view(spark, d, "shapes"), tiling.tile_grid(spark, CHIP, 1500), REACH, 2000)
+    shapes = view(spark, d, "shapes")
+    cut = tiling.clip_to_tiles(shapes, tiling.tile_grid(spark, tiling.box_of(shapes), 1500), 2000)
     return cut.groupBy("window_id", "layer").agg(F.count("*").alias("n"), F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
 
 
-def _seen(spark: SparkSession, d: str) -> DataFrame:
-    images = view(spark, d, "images").select("image_id", F.col("xrel").alias("cx"), F.col("yrel").alias("cy"))
-    return alignment.in_view(view(spark, d, "shapes"), images, 1500, REACH)
+_PIXELS = """+near AS (SELECT image_id, layer, x1 - xrel + 750 AS x1, y1 - yrel + 750 AS y1, x2 - xrel + 750 AS x2, y2 - yrel + 750 AS y2 FROM images i JOIN shapes s ON s.x1 <= xrel + 750 AND s.x2 >= xrel - 750 AND s.y1 <= yrel + 750 AND s.y2 >= yrel - 750),
+  px AS (SELECT image_id, layer, greatest(CAST(round_even(x1 / 25e0, 0) AS BIGINT), 0) AS c1, least(CAST(round_even(x2 / 25e0, 0) AS BIGINT), 59) AS c2,
+    greatest(59 - CAST(round_even(y2 / 25e0, 0) AS BIGINT), 0) AS r1, least(59 - CAST(round_even(y1 / 25e0, 0) AS BIGINT), 59) AS r2 FROM near),
+  cells AS (SELECT image_id, layer, c, unnest(range(r1, r2 + 1)) AS r FROM (SELECT *, unnest(range(c1, c2 + 1)) AS c FROM px)),
+  top AS (SELECT image_id, c, r, max(layer) AS layer FROM cells GROUP BY image_id, c, r)
+  SELECT image_id, CAST(layer AS INTEGER) AS layer, count(*) AS n_pixels FROM top GROUP BY image_id, layer"""
 
 
-@query("prd_01_label_pixels")
+@query("prd_01_label_pixels", with_views(_PIXELS, "images", "shapes"))
 def _(spark, d):
-    return alignment.label_counts(_seen(spark, d), 1500, 60)
+    images = view(spark, d, "images").select("image_id", F.col("xrel").alias("cx"), F.col("yrel").alias("cy"))
+    return alignment.label_counts(alignment.in_view(view(spark, d, "shapes"), images, 1500), 1500, 60)
 
 
 @query("aln_03_match")
 def _(spark, d):
-    """Each image drawn with the offset of its stored result, and matched back."""
+    """Each image drawn with the offset of its stored result, and matched back.
+
+    Some images have no coordinates, no file or no scale, and some no shape of
+    the layers that the template shows.
+    """
     drift = view(spark, d, "refined").select("image_id", (F.col("dx_nm") * 12).alias("ox"), (F.col("dy_nm") * 12).alias("oy"))
-    return alignment.matched(_seen(spark, d).join(drift, "image_id"), 1500, 60, 12)
+    images = view(spark, d, "images").select("image_id", "has_coords", F.col("xrel").alias("cx"), F.col("yrel").alias("cy"), (F.col("width_px") % 17 != 0).alias("has_file"), F.when(F.col("width_px") % 19 != 0, 25.0).otherwise(0.0).alias("nm_per_px"))
+    return alignment.matched(images.join(drift, "image_id"), view(spark, d, "shapes"), {10: 90, 11: 140, 12: 200, 13: 255}, 1500, 60, 12)
+
+
+@query("aln_04_states", with_views("SELECT CASE WHEN NOT has_coords THEN 'no-coords' WHEN width_px % 17 = 0 THEN 'missing-file' WHEN width_px % 19 = 0 THEN 'no-scale' ELSE 'tried' END AS state, count(*) AS n FROM images GROUP BY 1", "images"))
+def _(spark, d):
+    images = view(spark, d, "images").select("has_coords", (F.col("width_px") % 17 != 0).alias("has_file"), F.when(F.col("width_px") % 19 != 0, 25.0).otherwise(0.0).alias("nm_per_px"))
+    return images.groupBy(F.coalesce(alignment.state(), F.lit("tried")).alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("prd_06_lowest_corner", with_views("SELECT image_id, xrel - width_px / 2e0 * 4e0 AS x_nm, yrel - (width_px / 2e0 - 1) * 4e0 AS y_nm FROM images", "images"))
+def _(spark, d):
+    x, y = alignment.lowest_corner("xrel", "yrel", "width_px", "width_px", "scale")
+    return view(spark, d, "images").withColumn("scale", F.lit(4.0)).select("image_id", x.alias("x_nm"), y.alias("y_nm"))
+
+
+@query("agg_15_point_types", with_views("SELECT CAST(x1 % 6 AS INTEGER) AS point_type, count(*) AS n, round(count(*) FILTER (x1 % 6 <= 1) * 1e2 / sum(count(*)) OVER (), 6) AS rectilinear_pct FROM shapes GROUP BY 1", "shapes"))
+def _(spark, d):
+    return layer_algebra.point_types(view(spark, d, "shapes").withColumn("point_type", (F.col("x1") % 6).cast("int")))
+
+
+@query("rep_02_lists", with_views("""+g AS (SELECT rep_id, rep_id % 6 AS k, 1 + nx % 4 AS grid, [nx, ny, vx] AS dx, [wy, nx, ny] AS dy FROM arrays),
+  s AS (SELECT rep_id, CASE k WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 6 WHEN 3 THEN 7 WHEN 4 THEN 10 ELSE 11 END AS rtype, CASE WHEN k IN (1, 3, 5) THEN grid ELSE 1 END AS f, dx, dy, unnest(range(4)) AS step FROM g)
+  SELECT rep_id, step, CASE WHEN rtype IN (6, 7) THEN 0 ELSE f * coalesce(list_sum(dx[1:step]), 0) END AS dx, CASE WHEN rtype IN (4, 5) THEN 0 WHEN rtype IN (6, 7) THEN f * coalesce(list_sum(dx[1:step]), 0) ELSE f * coalesce(list_sum(dy[1:step]), 0) END AS dy FROM s""", "arrays"))
+def _(spark, d):
+    """Repetitions by lists of gaps along x or y, or of offsets, with and without a grid."""
+    kind = F.element_at(F.array(*map(F.lit, (4, 5, 6, 7, 10, 11))), (F.col("rep_id") % 6 + 1).cast("int"))
+    rows = view(spark, d, "arrays").select("rep_id", kind.alias("rtype"), (1 + F.col("nx") % 4).alias("grid"), F.array("nx", "ny", "vx").alias("gaps_x"), F.array("wy", "nx", "ny").alias("gaps_y"))
+    return repetition.expand_lists(rows).select("rep_id", F.col("step").cast("long").alias("step"), "dx", "dy")
+
+
+@query("exp_13_all_recipes", _area_sql("a AND b").replace("SELECT window_id, CAST(sum", "SELECT 'good' AS recipe, window_id, CAST(sum") + " UNION ALL SELECT 'broken', -1, 0 UNION ALL SELECT 'loop', -1, 0")
+def _(spark, d):
+    """All recipes at once; one that cannot be worked out is reported and stops no other."""
+    shapes = view(spark, d, "shapes")
+    tiles = tiling.tile_grid(spark, tiling.box_of(shapes), 1500)
+    found, errors = layer_algebra.apply_all({"good": "A & B", "broken": "A & (B", "loop": "loop | A"}, LAYERS, shapes, tiles)
+    areas = found.groupBy("recipe", "window_id").agg(F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("long").alias("area"))
+    return areas.unionByName(errors.select("recipe", F.lit(-1).cast("long").alias("window_id"), F.lit(0).cast("long").alias("area")))
 
 
 @query("oasis_roundtrip", with_views("SELECT 'tile' || CAST(x1 // 5000 * 100 + y1 // 5000 AS VARCHAR) AS path, layer, datatype, x1, y1, x2, y2 FROM shapes", "shapes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
-from gridloom.operators import defects, results
+from gridloom.operators import defects, ordered, results
 from gridloom.sources.adapters import view, with_views
 
 QUERIES: dict = {}
@@ -248,7 +248,7 @@ def _(spark, d):
 
 @query("jon_10_last_seen", with_views("SELECT seq, op, last_value(CASE WHEN label = 'purchase' THEN seq END IGNORE NULLS) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS last_purchase FROM perf_events", "perf_events"))
 def _(spark, d):
-    return defects.last_seen(view(spark, d, "perf_events"), "seq", F.when(F.col("label") == "purchase", F.col("seq")), "last_purchase").select("seq", "op", "last_purchase")
+    return ordered.last_seen(view(spark, d, "perf_events"), "seq", F.when(F.col("label") == "purchase", F.col("seq")), "last_purchase").select("seq", "op", "last_purchase")
 
 
 @query("jon_11_nearest", with_views("+q AS (SELECT s_suppkey AS query_id, (s_suppkey * 7717) % 100000 AS qx, (s_suppkey * 3331) % 100000 AS qy FROM supplier), m AS (SELECT query_id, image_id, (xrel - qx) * (xrel - qx) + (yrel - qy) * (yrel - qy) AS d2 FROM q JOIN images ON abs(xrel - qx) <= 900 AND abs(yrel - qy) <= 900) SELECT query_id, image_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, image_id DESC) AS k FROM m WHERE d2 <= 810000) WHERE k = 1", "images"))
@@ -292,9 +292,67 @@ def _(spark, d):
     return rows.select("image_id", "status", F.coalesce("dx_nm", F.lit(0.0)).alias("dx"))
 
 
-@query("snk_04_manifest", with_views("+r AS (SELECT i.image_id, score, CASE WHEN NOT has_coords THEN 'no-coords' WHEN score IS NULL THEN 'not-run' WHEN score >= 0.5 THEN 'ok' ELSE 'low-score' END AS status FROM images i LEFT JOIN refined r ON i.image_id = r.image_id) SELECT image_id, status, CASE WHEN status IN ('ok', 'low-score') THEN image_id || '_raw.png' ELSE '' END AS raw_png, coalesce(CAST(CAST(score AS DECIMAL(9, 3)) AS VARCHAR), '') AS score_text FROM r", "images", "refined"))
+def _text(value: str, places: int) -> str:
+    """SQL of a number as text with so many places, halves away from zero."""
+    whole = f"CAST(floor(abs({value}) * {10**places} + 5e-1) AS BIGINT)"
+    return f"coalesce(CASE WHEN {value} < 0 AND {whole} > 0 THEN '-' ELSE '' END || CAST({whole} // {10**places} AS VARCHAR) || '.' || lpad(CAST({whole} % {10**places} AS VARCHAR), {places}, '0'), '')"
+
+
+_PNG = ", ".join(f"CASE WHEN status IN ('ok', 'low-score') THEN image_id || '_{k}.png' ELSE '' END AS {k}_png" for k in ("raw", "overlay", "gray", "label", "label_view"))
+
+
+@query("snk_03_alignment", with_views(f"SELECT i.image_id, 'lot.001' AS klarf_path, 'chip.oas' AS gds_path, '10/0' AS poi_layer, CASE WHEN has_coords THEN {_text('(xrel - 1000)', 3)} ELSE '' END AS coarse_dx_nm, CASE WHEN has_coords THEN {_text('(yrel - 2000)', 3)} ELSE '' END AS coarse_dy_nm, {_text('dx_nm', 3)} AS fine_dx_nm, {_text('dy_nm', 3)} AS fine_dy_nm, {_text('score', 6)} AS score, '2.500000' AS nm_per_px FROM images i LEFT JOIN refined r ON i.image_id = r.image_id", "images", "refined"))
+def _(spark, d):
+    x, y = G.to_layout("xrel", "yrel", 1000, 2000)
+    images = view(spark, d, "images").select("image_id", F.when(F.col("has_coords"), x).alias("coarse_x"), F.when(F.col("has_coords"), y).alias("coarse_y"))
+    return results.alignment_rows(images, view(spark, d, "refined"), klarf_path="lot.001", gds_path="chip.oas", poi_layer="10/0", nm_per_px=2.5)
+
+
+@query("snk_04_manifest", with_views(f"+r AS (SELECT i.*, dx_nm, dy_nm, score, CASE WHEN NOT has_coords THEN 'no-coords' WHEN score IS NULL THEN 'not-run' WHEN score >= 0.5 THEN 'ok' ELSE 'low-score' END AS status FROM images i LEFT JOIN refined r ON i.image_id = r.image_id) SELECT image_id, {_PNG}, status, {_text('dx_nm', 3)} AS fine_dx_nm, {_text('dy_nm', 3)} AS fine_dy_nm, {_text('score', 6)} AS score, 'defect' AS id_source, CASE WHEN n_pages > 0 THEN CAST(rec_no % 7 AS VARCHAR) ELSE '' END AS page, CAST(width_px AS VARCHAR) AS width_px, CAST(width_px AS VARCHAR) AS height_px, {_text('(1500e0 / width_px)', 6)} AS nm_per_px FROM r", "images", "refined"))
+def _(spark, d):
+    images = view(spark, d, "images").withColumns({"id_source": F.lit("defect"), "page": F.when(F.col("n_pages") > 0, F.col("rec_no") % 7), "height_px": F.col("width_px"), "nm_per_px": F.lit(1500.0) / F.col("width_px")})
+    return results.manifest(images, view(spark, d, "refined"))
+
+
+@query("snk_04_json", with_views(f"SELECT image_id, '{{\"image_id\":' || image_id || ',\"score\":\"' || {_text('score', 3)} || '\"}}' AS json FROM refined", "refined"))
+def _(spark, d):
+    rows = view(spark, d, "refined").select("image_id", results.fixed_point(F.col("score"), 3).alias("score"))
+    return results.as_json(rows)
+
+
+@query("srt_05_job_order", with_views("SELECT rec_no AS job_no, image_id, score FROM images JOIN refined USING (image_id) ORDER BY job_no", "images", "refined"))
+def _(spark, d):
+    """Results in the order in which their images were handed in."""
+    return view(spark, d, "refined").join(view(spark, d, "images").select("image_id", "rec_no"), "image_id").select(F.col("rec_no").alias("job_no"), "image_id", "score").orderBy("job_no")
+
+
+@query("srt_06_first_records", with_views("SELECT image_id, rec_no FROM images WHERE rec_no <= 5000", "images"))
+def _(spark, d):
+    return defects.up_to(view(spark, d, "images"), "rec_no", 5000).select("image_id", "rec_no")
+
+
+@query("img_02_entries", with_views("""+t AS (SELECT image_id, n_pages, n_pages * 2 - CASE WHEN image_id % 11 = 0 THEN 1 ELSE 0 END AS have FROM images)
+  SELECT image_id, CASE WHEN have >= n_pages * 2 THEN n_pages ELSE 0 END AS n, CASE WHEN have >= n_pages * 2 AND n_pages > 0 THEN 'p' || CAST(n_pages * 2 - 2 AS VARCHAR) END AS last_page FROM t""", "images"))
+def _(spark, d):
+    """Two values an image after the declared columns; a row that is cut off has no images."""
+    have = F.col("n_pages") * 2 - F.when(F.col("image_id") % 11 == 0, 1).otherwise(0)
+    extra = F.when(have > 0, F.transform(F.sequence(F.lit(0).cast("long"), have - 1), lambda k: F.concat(F.lit("p"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = view(spark, d, "images").select("image_id", "n_pages", F.concat(F.array(F.col("image_id").cast("string"), F.col("xrel").cast("string")), extra).alias("tokens"))
+    found = rows.withColumn("entries", defects.image_entries("tokens", F.col("n_pages"), F.lit(2), F.lit(2)))
+    return found.select("image_id", F.size("entries").cast("long").alias("n"), F.element_at(F.get("entries", F.size("entries") - 1), 1).alias("last_page"))
+
+
+@query("img_01_layout", with_views("""+t AS (SELECT kind, n_pages AS n, n_pages * (CASE kind WHEN 'view' THEN 3 WHEN 'click' THEN 2 ELSE 1 END) + CASE WHEN image_id % 97 = 0 THEN 1 ELSE 0 END AS extra FROM images WHERE n_pages > 0),
+  v AS (SELECT kind, extra // n AS per_image, count(*) AS votes FROM t WHERE extra > 0 AND extra % n = 0 GROUP BY 1, 2),
+  b AS (SELECT kind, max(votes) AS votes, max_by(per_image, votes * 1000 - per_image) AS per_image FROM v GROUP BY kind), a AS (SELECT kind, count(*) AS total FROM t GROUP BY kind)
+  SELECT b.kind, 2 AS start, CAST(per_image AS INTEGER) AS per_image, 'inferred' AS how FROM b JOIN a ON a.kind = b.kind WHERE votes >= total - greatest(1, total // 10)""", "images"))
 def _(spark, d):
-    return results.manifest(view(spark, d, "images"), view(spark, d, "refined"))
+    """Where each lot's rows keep their images, by what most rows agree on."""
+    per = F.when(F.col("kind") == "view", 3).when(F.col("kind") == "click", 2).otherwise(1)
+    extra = F.col("n_pages") * per + F.when(F.col("image_id") % 97 == 0, 1).otherwise(0)
+    tokens = F.concat(F.array(F.lit("1"), F.lit("2")), F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(extra, F.lit(1))), lambda k: F.concat(F.lit("t"), k.cast("string"))))
+    rows = view(spark, d, "images").where("n_pages > 0").select(F.col("kind").alias("path"), "rec_no", "n_pages", tokens.alias("tokens"))
+    return defects.image_layout(rows, columns=2, count_at=1, list_at=None).select(F.col("path").alias("kind"), "start", "per_image", "how")
 
 
 @query("snk_08_log_lines", with_views("SELECT seq, printf('%s %10.3f ms %s [%s]', upper(level), us / 1000, op, label) AS line FROM perf_events", "perf_events"))

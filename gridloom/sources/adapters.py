@@ -11,18 +11,18 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS: dict[str, str] = {
-    # rectangles of a layout, in nm; at most 220 wide and 216 high
+    # rectangles of a layout, in nm; at most 220 wide and 216 high, on an area that grows with them
     "shapes": """
         SELECT 10 + l_linenumber % 4 AS layer,
           CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS datatype,
-          (l_orderkey * 7919 + l_linenumber * 104729) % 100000 AS x1,
-          (l_partkey * 6151 + l_suppkey * 3571 + l_linenumber * 15486) % 100000 AS y1,
-          (l_orderkey * 7919 + l_linenumber * 104729) % 100000 + 20 + CAST(l_quantity AS BIGINT) * 4 AS x2,
-          (l_partkey * 6151 + l_suppkey * 3571 + l_linenumber * 15486) % 100000 + 20 + (l_partkey % 50) * 4 AS y2
+          (l_orderkey * 7919 + l_linenumber * 104729) % {SIDE} AS x1,
+          (l_partkey * 6151 + l_suppkey * 3571 + l_linenumber * 15486) % {SIDE} AS y1,
+          (l_orderkey * 7919 + l_linenumber * 104729) % {SIDE} + 20 + CAST(l_quantity AS BIGINT) * 4 AS x2,
+          (l_partkey * 6151 + l_suppkey * 3571 + l_linenumber * 15486) % {SIDE} + 20 + (l_partkey % 50) * 4 AS y2
         FROM {lineitem}""",
     # images: defect position in nm, page counts, size in pixels
     "images": """
-        SELECT event_id AS image_id, (event_id * 7919) % 100000 AS xrel, (user_id * 6151 + event_id * 31) % 100000 AS yrel,
+        SELECT event_id AS image_id, (event_id * 7919) % {SIDE} AS xrel, (user_id * 6151 + event_id * 31) % {SIDE} AS yrel,
           event_type <> 'signup' AS has_coords, 100 + user_id % 900 AS width_px, CAST(floor(value) AS BIGINT) % 4 AS n_pages,
           event_type AS kind, event_id AS rec_no
         FROM {events}""",
@@ -42,11 +42,11 @@ VIEWS: dict[str, str] = {
           CAST(0 AS BIGINT) AS y, CAST(r_regionkey % 4 AS INT) AS q, false AS flip FROM {region}
         UNION ALL SELECT CAST(100 + n_regionkey AS BIGINT), CAST(1000 + n_nationkey AS BIGINT), CAST(n_nationkey * 30000 AS BIGINT),
           CAST((n_nationkey % 5) * 40000 AS BIGINT), CAST(n_nationkey % 4 AS INT), n_nationkey % 2 = 1 FROM {nation}
-        UNION ALL SELECT CAST(1000 + c_nationkey AS BIGINT), CAST(1000000 + c_custkey % 500 AS BIGINT), CAST((c_custkey % 97) * 2000 AS BIGINT),
+        UNION ALL SELECT CAST(1000 + c_nationkey AS BIGINT), CAST(1000000 + c_custkey % {LEAVES} AS BIGINT), CAST((c_custkey % 97) * 2000 AS BIGINT),
           CAST((c_custkey % 89) * 2000 AS BIGINT), CAST(c_custkey % 4 AS INT), c_custkey % 3 = 0 FROM {customer}""",
     # rectangles of the leaf cells; cells that nothing places are roots of their own
     "cell_rect": """
-        SELECT CAST(1000000 + o_custkey % 500 AS BIGINT) AS cell_id, (o_orderkey * 37) % 1900 AS x1, (o_orderkey * 53) % 1900 AS y1,
+        SELECT CAST(1000000 + o_custkey % {LEAVES} AS BIGINT) AS cell_id, 10 + o_orderkey % 4 AS layer, o_orderkey % 3 AS datatype, (o_orderkey * 37) % 1900 AS x1, (o_orderkey * 53) % 1900 AS y1,
           (o_orderkey * 37) % 1900 + 10 + o_orderkey % 40 AS x2, (o_orderkey * 53) % 1900 + 10 + o_orderkey % 30 AS y2
         FROM {orders}""",
     # array descriptors: nx by ny steps along two vectors, base box and query box
@@ -67,7 +67,7 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS seq, event_type || ':' || CAST(user_id % 7 AS VARCHAR(20)) AS op, event_type AS label, CAST(round(value * 100) AS BIGINT) AS us,
           CASE WHEN event_type = 'error' THEN 'warn' ELSE 'info' END AS level, ts
         FROM {events}""",
-    # pixels: one row of eight grey values for each document
+    # labels of layers by customer, some badly named
     "label_map": """
         SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN '9' ELSE '' END || lower(replace(c_mktsegment, ' ', '_'))
           || CASE WHEN c_acctbal > 9000 THEN '-x' ELSE '' END || CAST(c_custkey % 40 AS VARCHAR(20)) AS layer
@@ -83,6 +83,16 @@ VIEWS: dict[str, str] = {
         FROM {nation} JOIN {supplier} ON n_nationkey = s_nationkey""",
 }
 
+#: What grows with the tables: the side of the layout in nm, and the number of leaf cells.
+_SIZES = {
+    "{SIDE}": "(SELECT CAST(ceil(sqrt(count(*)) * 400) AS BIGINT) FROM {lineitem})",
+    "{LEAVES}": "(SELECT CAST(floor(count(*) / 30) AS BIGINT) + 1 FROM {orders})",
+}
+for _name, _text in VIEWS.items():
+    for _size, _value in _SIZES.items():
+        _text = _text.replace(_size, _value)
+    VIEWS[_name] = _text
+
 
 def tables_of(view: str) -> set[str]:
     return set(re.findall(r"\{(\w+)\}", VIEWS[view]))

@@ -31,19 +31,34 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "op").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "op", "n")
 
 
-def keep_better(results: DataFrame) -> DataFrame:
-    """For every image, each result that is strictly better than all before."""
+def latest(events: DataFrame, key: str, order: str) -> DataFrame:
+    """For every key its latest row; a refresh shows that row, however many came before."""
+    others = [c for c in events.columns if c != key]
+    return events.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_row")).select(key, "_row.*")
+
+
+def keep_better(results: DataFrame, forget: str = "7 days") -> DataFrame:
+    """For every image, each result that is strictly better than all before.
+
+    The state is one number for each image, and is dropped for those that have had
+    no result for as long as ``forget`` says.
+    """
+    rest = int(pd.Timedelta(forget).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         best = state.get[0] if state.exists else float("-inf")
-        out = []
         for frame in frames:
-            for row in frame.dropna(subset=["score"]).itertuples():
-                if row.score > best:
-                    best = row.score
-                    out.append((key[0], row.dx_nm, row.dy_nm, row.score))
+            scored = frame.dropna(subset=["score"])
+            before = scored["score"].cummax().shift(fill_value=float("-inf")).clip(lower=best)
+            better = scored[scored["score"] > before]
+            if len(better):
+                best = float(better["score"].iloc[-1])
+                yield better[["dx_nm", "dy_nm", "score"]].assign(image_id=key[0])[["image_id", "dx_nm", "dy_nm", "score"]]
         if best > float("-inf"):
             state.update((best,))
-        yield pd.DataFrame(out, columns=["image_id", "dx_nm", "dy_nm", "score"])
+            state.setTimeoutDuration(rest)
 
-    return results.groupBy("image_id").applyInPandasWithState(step, "image_id long, dx_nm double, dy_nm double, score double", "best double", "append", GroupStateTimeout.NoTimeout)
+    return results.groupBy("image_id").applyInPandasWithState(step, "image_id long, dx_nm double, dy_nm double, score double", "best double", "append", GroupStateTimeout.ProcessingTimeTimeout)

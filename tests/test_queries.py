@@ -31,7 +31,7 @@ def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     got = plain(df.collect(), df.columns)
     if name not in registry.ORACLE_SQL:
-        assert got or not df.columns == []
+        assert got
         return
     found = duck.execute(registry.ORACLE_SQL[name])
     names = [c[0] for c in found.description]
