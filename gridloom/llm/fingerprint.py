@@ -7,7 +7,9 @@ the canonical bytes themselves are compared, so that a collision of the hash
 never joins different texts.
 
 Defined cases: a null text counts as empty; empty texts share one fingerprint;
-null ids sort first; repeated ids sort by text; other columns are ignored.
+null ids sort first; repeated ids sort by text, and a tie of both is of equal
+rows; a very long text is folded whole; an empty table gives no rows, and the
+only row of a table is its own next one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, join_keys
 
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -62,8 +64,8 @@ def exact_groups(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     A null id is no group's smallest id unless all ids of the group are null.
     """
     marks = cut(fingerprints(docs) if known is None else known.select("doc_id", "fingerprint"))
-    twice = marks.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first")).where("_n > 1")
-    ids = cut(marks.join(twice, "fingerprint").select("doc_id").where("doc_id is not null").distinct())
+    twice = cut(marks.groupBy("fingerprint").agg(F.count("*").alias("_n")).where("_n > 1"))
+    ids = cut(join_keys(marks, twice, ["fingerprint"], "left_semi").select("doc_id").where("doc_id is not null").distinct())
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
@@ -74,12 +76,12 @@ def exact_groups(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     plain = texts.mapInArrow(work, "doc_id long, fingerprint string, plain binary")
     # grouping by the bytes is the comparison of the bytes
-    same = cut(plain.groupBy("fingerprint", "plain").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("_k")).select("fingerprint", F.sha2("plain", 256).alias("_sha"), "group_id"))
-    clash = same.groupBy("fingerprint").agg(F.count("*").alias("_k"), F.min("group_id").alias("group_id"))
-    out = marks.join(clash, "fingerprint", "left")
+    same = cut(plain.groupBy("fingerprint", "plain").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("_n")).select("fingerprint", F.sha2("plain", 256).alias("_sha"), "group_id", "_n"))
+    clash = cut(same.groupBy("fingerprint").agg(F.count("*").alias("_k"), F.min("group_id").alias("group_id"), F.sum("_n").alias("_n")))
+    out = join_keys(marks, clash, ["fingerprint"], "left")
     alone = out.where(F.coalesce("_k", F.lit(1)) == 1).select("doc_id", "fingerprint", F.coalesce("group_id", "doc_id").alias("group_id"))
     collided = clash.where("_k > 1").select("fingerprint")
-    apart = plain.join(collided, "fingerprint", "left_semi").select("doc_id", "fingerprint", F.sha2("plain", 256).alias("_sha")).join(same, ["fingerprint", "_sha"]).select("doc_id", "fingerprint", "group_id")
+    apart = plain.join(collided, "fingerprint", "left_semi").select("doc_id", "fingerprint", F.sha2("plain", 256).alias("_sha")).join(same.drop("_n"), ["fingerprint", "_sha"]).select("doc_id", "fingerprint", "group_id")
     return alone.unionByName(apart)
 
 
