@@ -3,10 +3,18 @@
 Tokens are words (runs of anything but ASCII white space, A-Z in lower case) and
 one end for each text; the first token follows a start. Tasks count bigrams of
 bounded runs of tokens and send them, packed, to buckets of hash ranges. The
-number of buckets grows with the corpus, so a bucket does not. A bucket's task
-writes its part of the model as sorted hash arrays to the shared folder, under a
-name of its own and then renamed, so that a repeated task does no harm. Workers
-map those files into memory and look up whole batches of texts at once.
+number of buckets grows with the corpus, so a bucket does not grow past
+``MOST_BYTES`` of text. A bucket's task writes its part of the model as sorted
+hash arrays to the shared folder, under a name of its own and then renamed, so
+that a repeated task does no harm. Workers map those files into memory and look
+up whole batches of texts at once. The model knows which buckets were written; a
+file that should be there and is not is an error, never a count of zero.
+
+Bigrams go to the bucket of their context, so that what follows a context is
+together. A context that more than one token in as many as there are buckets
+precedes would be a bucket's load by itself: such contexts, found by a first count
+over all texts, go by the whole bigram, and what follows them is summed in a
+second step.
 
 Probability of w after u, with discounts D by count and c(u) bigrams from u::
 
@@ -18,9 +26,13 @@ distinct tokens; the weights g make both sum to one. After an unknown u the
 probability is p(w).
 
 Defined cases: null and empty texts have the end as their only token; without
-training rows every token has probability 1; null ids are trained on; repeated
-rows count as often as they occur; other columns are ignored. The model folder
-must be a path that every machine sees (``file:`` or a mounted store).
+training rows every token has probability 1; null and repeated ids are trained on
+and scored like others; repeated rows count as often as they occur; a very long
+text is counted and scored whole, in one piece; an empty table to score gives no
+rows; other columns are ignored. The model folder must be a path that every
+machine sees (``file:`` or a mounted store), anything else is an error; it stays,
+since results are computed from it when they are asked for, and is the caller's
+to remove.
 """
 
 from __future__ import annotations
@@ -43,10 +55,10 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
 #: Tokens that a task counts before it sends them on, and that one lookup takes.
 RUN, LOOKUP = 2_000_000, 400_000
-#: Bytes of text for each bucket of hash ranges, and the fewest buckets.
-BUCKET_BYTES, FEWEST = 2 << 20, 64
+#: Bytes of text for each bucket of hash ranges, and the fewest buckets. From MANY
+#: buckets on they grow to MOST_BYTES before there are more of them.
+BUCKET_BYTES, FEWEST, MANY, MOST_BYTES = 2 << 20, 64, 1 << 16, 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << 48) - 1)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -58,11 +70,25 @@ def tokens(text: str | None) -> np.ndarray:
     return out
 
 
-def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Bigram keys: 16 bits of the context, for the bucket, and 48 of both."""
+def bits_for(size: int) -> int:
+    """Bits of a hash that tell the buckets of so many bytes of text apart."""
+    return max(min(MANY, max(FEWEST, size // BUCKET_BYTES)).bit_length(), (size // MOST_BYTES).bit_length())
+
+
+def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted array ``held``."""
+    if not len(held):
+        return np.zeros(len(x), bool)
+    return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray, bits: int, heavy: np.ndarray) -> np.ndarray:
+    """Bigram keys: ``bits`` for the bucket, of the context or, if it is heavy, of both; the rest of both."""
     x = (u ^ (u >> np.uint64(31))) * _MIX + w
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (u & ~_LOW) | (x >> np.uint64(16))
+    first = u if not len(heavy) else np.where(_among(u, heavy), x * _MIX, u)
+    low = np.uint64((1 << (64 - bits)) - 1)
+    return (first & ~low) | (x >> np.uint64(bits))
 
 
 def _with_contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +108,9 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 _PACKED = "kind int, bucket int, a binary, b binary, c binary, d binary"
-_UNI, _BI, _CONT, _STATS = 0, 1, 2, 3
+_UNI, _BI, _CONT, _STATS, _CTX = 0, 1, 2, 3, 4
+#: The arrays of each kind.
+_NAMES = {_UNI: "uni", _BI: "bi", _CONT: "cont", _CTX: "ctx"}
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -113,10 +141,20 @@ def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(buckets[a]), slice(int(a), int(b))
 
 
-def _counted(texts: list[np.ndarray], bits: int) -> list[tuple]:
+def _often(texts: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """(context, n, total): the contexts of over one in 2**bits of these tokens."""
+    u, _ = _with_contexts(texts)
+    words, n = np.unique(u, return_counts=True)
+    often = n << bits > len(u)
+    columns = [pa.array(words[often].view(np.int64)), pa.array(n[often].astype(np.int64)), pa.array(np.zeros(int(often.sum()), np.int64))]
+    total = pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([len(u)])], ["context", "n", "total"])
+    return pa.concat_batches([pa.RecordBatch.from_arrays(columns, ["context", "n", "total"]), total])
+
+
+def _counted(texts: list[np.ndarray], bits: int, heavy: np.ndarray) -> list[tuple]:
     u, w = _with_contexts(texts)
     ones = np.ones(len(w), np.uint32)
-    keys, first, n = _summed(pair_keys(u, w), ones)
+    keys, first, n = _summed(pair_keys(u, w, bits, heavy), ones)
     u, v = u[first], w[first]
     out = []
     for bucket, s in _by_bucket(keys, bits):
@@ -164,27 +202,70 @@ def _counts(parts: list[tuple], place: int) -> np.ndarray:
     return np.concatenate([_wide(p[place]).astype(np.int64) for p in parts])
 
 
-def _merge_bigrams(folder: str, bucket: int, parts: list[tuple], bits: int) -> list[tuple]:
+def _stats(kind: int, bucket: int, counts: np.ndarray) -> tuple:
+    """What is left of a bucket's arrays: that they are there, and their counts of counts."""
+    return _pack(_STATS, kind, np.array([bucket], np.int64), counts)
+
+
+def _merge_bigrams(folder: str, bucket: int, parts: list[tuple], bits: int, heavy: np.ndarray) -> list[tuple]:
     u = np.concatenate([np.frombuffer(p[0], np.uint64)[_wide(p[1])] for p in parts])
     w = _hashes(parts, 2)
-    keys, first, n = _summed(pair_keys(u, w), _counts(parts, 3))
+    keys, first, n = _summed(pair_keys(u, w, bits, heavy), _counts(parts, 3))
     _save(folder, f"bi_{bucket}", keys)
     _save(folder, f"bi_n_{bucket}", n)
     u, w = u[first], w[first]
     order = np.argsort(u, kind="stable")
     u, by = u[order], n[order]
     starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-    _save(folder, f"ctx_{bucket}", u[starts])
-    _save(folder, f"ctx_n_{bucket}", np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (by == 1, by == 2, by > 2, by)], axis=1))
+    follow = np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (by == 1, by == 2, by > 2, by)], axis=1)
+    contexts = u[starts]
+    apart = _among(contexts, heavy)
+    out = [_stats(_BI, bucket, _of_counts(n))]
+    for b, s in _by_bucket(contexts[apart], bits):
+        out.append(_pack(_CTX, b, contexts[apart][s], _narrow(follow[apart][s].ravel())))
+    if not apart.all():
+        # the contexts of a bucket are its own, but for heavy ones that come from all
+        out.append(_pack(_CTX, bucket, contexts[~apart], _narrow(follow[~apart].ravel())))
     before, _, k = _summed(w, np.ones(len(w), np.uint32))
-    return [_pack(_STATS, _BI, _of_counts(n)), *(_pack(_CONT, b, before[s], _narrow(k[s])) for b, s in _by_bucket(before, bits))]
+    return [*out, *(_pack(_CONT, b, before[s], _narrow(k[s])) for b, s in _by_bucket(before, bits))]
+
+
+def _merge_contexts(folder: str, bucket: int, parts: list[tuple]) -> tuple:
+    u = _hashes(parts, 0)
+    n = np.concatenate([_wide(p[1]).astype(np.int64).reshape(-1, 4) for p in parts])
+    order = np.argsort(u, kind="stable")
+    u = u[order]
+    starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+    _save(folder, f"ctx_{bucket}", u[starts])
+    _save(folder, f"ctx_n_{bucket}", np.add.reduceat(n[order], starts, axis=0))
+    return _stats(_CTX, bucket, np.zeros(6, np.int64))
 
 
-def _merge_words(folder: str, bucket: int, parts: list[tuple], name: str, kind: int) -> tuple:
+def _merge_words(folder: str, bucket: int, parts: list[tuple], kind: int) -> tuple:
     words, _, n = _summed(_hashes(parts, 0), _counts(parts, 1))
-    _save(folder, f"{name}_{bucket}", words)
-    _save(folder, f"{name}_n_{bucket}", n)
-    return _pack(_STATS, kind, _of_counts(n))
+    _save(folder, f"{_NAMES[kind]}_{bucket}", words)
+    _save(folder, f"{_NAMES[kind]}_n_{bucket}", n)
+    return _stats(kind, bucket, _of_counts(n))
+
+
+def _gathered(stats: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By kind: the buckets that were written, and the sums of their counts.
+
+    Each task sends one row for each kind, with eight bytes for each bucket.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for kind, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                held.setdefault(kind, []).append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
+        yield _rows([_pack(_STATS, k, np.concatenate([x for x, _ in v]), np.sum([y for _, y in v], axis=0)) for k, v in held.items()])
+
+    out = {k: (np.zeros(0, np.int64), np.zeros(6, np.int64)) for k in _NAMES}
+    for r in stats.select("bucket", "a", "b").mapInArrow(work, _PACKED).collect():
+        buckets, counts = out[r.bucket]
+        out[r.bucket] = np.concatenate([buckets, np.frombuffer(r.a, np.int64)]), counts + np.frombuffer(r.b, np.int64)
+    return out
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -207,9 +288,11 @@ class Model:
 
     folder: str
     bits: int
+    heavy: np.ndarray
     bigrams: np.ndarray
     before: np.ndarray
     words: np.ndarray
+    written: dict[str, np.ndarray]  # for each kind of array, a flag for each bucket
 
     def __post_init__(self):
         self.d2, self.d1 = discounts(self.bigrams), discounts(self.before)
@@ -218,15 +301,15 @@ class Model:
         more = n[4] - n[0] - n[1]
         self.spare = float(self.d1[1:] @ [n[0], n[1], more]) / max(1, n[5])
 
-    def _file(self, name: str) -> np.ndarray | None:
+    def _file(self, name: str) -> np.ndarray:
         return _mapped(f"{self.folder}/{name}.npy")
 
     def find(self, name: str, keys: np.ndarray) -> np.ndarray:
         """The numbers stored for sorted keys; zeros for those that are missing."""
         out = np.zeros((len(keys), 4) if name == "ctx" else len(keys), np.int64)
         for bucket, s in _by_bucket(keys, self.bits):
-            held = self._file(f"{name}_{bucket}")
-            if held is not None and len(held):
+            if self.written[name][bucket]:
+                held = self._file(f"{name}_{bucket}")
                 at = np.searchsorted(held, keys[s])
                 at[at == len(held)] = 0
                 hit = held[at] == keys[s]
@@ -245,7 +328,7 @@ class Model:
         base = np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))[back]
         low = ((k - self.d1[np.minimum(k, 3)]) / max(1, self.before[5]) + self.spare / (self.distinct + 1))[back] if self.total else np.ones(len(w))
         contexts = self.looked_up("ctx", u)
-        n = self.looked_up("bi", pair_keys(u, w))
+        n = self.looked_up("bi", pair_keys(u, w, self.bits, self.heavy))
         seen = np.maximum(contexts[:, 3], 1)
         weight = np.where(contexts[:, 3] > 0, contexts[:, :3] @ self.d2[1:] / seen, 1.0)
         high = (n - self.d2[np.minimum(n, 3)]) / seen
@@ -255,8 +338,8 @@ class Model:
 
 
 @functools.lru_cache(maxsize=16384)
-def _mapped(path: str) -> np.ndarray | None:
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+def _mapped(path: str) -> np.ndarray:
+    return np.load(path, mmap_mode="r")
 
 
 def _local(folder: str) -> str:
@@ -273,9 +356,9 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     folder = f"{_local(folder or shared_dir(docs.sparkSession))}/lm-{uuid.uuid4().hex}"
     os.makedirs(folder)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(16, max(FEWEST, size // BUCKET_BYTES).bit_length())
+    bits = bits_for(size)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         texts: list[np.ndarray] = []
         held = 0
         for batch in batches:
@@ -283,25 +366,37 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
                 texts.append(tokens(text))
                 held += len(texts[-1])
                 if held >= RUN:
-                    yield _rows(_counted(texts, bits))
+                    yield texts
                     texts, held = [], 0
         if texts:
-            yield _rows(_counted(texts, bits))
+            yield texts
+
+    # a context of over two in 2**bits tokens is over one in 2**bits by the runs in which it is often
+    often = docs.select("text").mapInArrow(lambda batches: (_often(x, bits) for x in in_runs(batches)), "context long, n long, total long")
+    often = cut(often.groupBy("context").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    total = often.agg(F.sum("total")).first()[0] or 0
+    found = often.where(F.col("context").isNotNull() & (F.col("n") * 2**bits > total)).select("context").collect()  # fewer than 2**bits
+    heavy = np.sort(np.array([r.context for r in found], np.int64).view(np.uint64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in in_runs(batches):
+            yield _rows(_counted(texts, bits, heavy))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), parts in _packs(batches):
-            yield _rows(_merge_bigrams(folder, bucket, parts, bits) if kind == _BI else [_merge_words(folder, bucket, parts, "uni", _UNI)])
+            yield _rows(_merge_bigrams(folder, bucket, parts, bits, heavy) if kind == _BI else [_merge_words(folder, bucket, parts, _UNI)])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, bucket), parts in _packs(batches):
-            yield _rows([_merge_words(folder, bucket, parts, "cont", _CONT)])
+        for (kind, bucket), parts in _packs(batches):
+            yield _rows([_merge_contexts(folder, bucket, parts) if kind == _CTX else _merge_words(folder, bucket, parts, _CONT)])
 
     merged = cut(_dealt(docs.select("text").mapInArrow(count, _PACKED)).mapInArrow(merge, _PACKED))
-    continued = cut(_dealt(merged.where(f"kind = {_CONT}")).mapInArrow(follow, _PACKED))
-    stats = {k: np.zeros(6, np.int64) for k in (_BI, _UNI, _CONT)}
-    for r in merged.where(f"kind = {_STATS}").unionByName(continued).select("bucket", "a").collect():  # six numbers a bucket
-        stats[r.bucket] += np.frombuffer(r.a, np.int64)
-    return Model(folder, bits, stats[_BI], stats[_CONT], stats[_UNI])
+    rest = cut(_dealt(merged.where(F.col("kind").isin(_CONT, _CTX))).mapInArrow(follow, _PACKED))
+    stats = _gathered(merged.where(f"kind = {_STATS}").unionByName(rest))
+    written = {name: np.zeros(2**bits, bool) for name in _NAMES.values()}
+    for kind, name in _NAMES.items():
+        written[name][stats[kind][0]] = True
+    return Model(folder, bits, heavy, stats[_BI][1], stats[_CONT][1], stats[_UNI][1], written)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
