@@ -6,13 +6,14 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-#: A key is heavy if more than one row in HEAVY has it, so there are fewer such keys,
-#: and if it has more rows than any task minds.
+#: A key is heavy if more than one row in HEAVY has it, and more rows than any task minds.
 HEAVY, LIGHT_ROWS = 1000, 1000
+#: Keys that one task reads back, about.
+KEYS_PER_TASK = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,35 +41,51 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """The rows, written once to the shared folder, and aggregates of them.
+
+    What was written survives lost executors. The aggregates are taken while the
+    rows are written; a task that is run again may count twice, so they steer how
+    steps are laid out and never what comes out.
+    """
+    shared_dir(df.sparkSession)
+    seen = Observation()
+    out = df.observe(seen, *(c.alias(n) for n, c in metrics.items())).checkpoint(eager=True)
+    return out, seen.get
+
+
 def cut(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """The rows, written once to the shared folder; survives lost executors.
 
     With ``rows_per_task`` the rows are read back in as few tasks as that allows,
     so that many small steps do not each write a file for every task.
     """
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    return out if rows_per_task is None else out.coalesce(out.count() // rows_per_task + 1)
+    if rows_per_task is None:
+        shared_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    out, seen = measured(df, n=F.count(F.lit(1)))
+    return out.coalesce(seen["n"] // rows_per_task + 1)
 
 
-def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keys``, one row for each key, without a task for a hot key.
 
     ``keys`` says in ``_n`` how many rows share the key, and is dropped from the
-    result by that name. Keys are joined by shuffle but for the heavy ones, fewer
-    than ``HEAVY`` at any size, which are broadcast so that their rows stay where
-    they are. Both sides are read more than once and should be cut; ``how`` is
-    inner, left, left_semi or left_anti.
+    result by that name. If a key is heavy, rows are dealt to parts of their key by
+    the column ``by``; a key is copied to the parts that it has, in a first join in
+    which no key has more rows than there are parts, and meets its rows part by
+    part in a second one. Nothing is broadcast, so the driver holds none of it.
+    ``rows`` are read more than once and should be cut; ``keys`` are cut here. ``how``
+    is inner, left, left_semi or left_anti.
     """
-    total, most = keys.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
-    least = max(LIGHT_ROWS, total // HEAVY)
-    if most <= least:
-        # no broadcast of the light ones either: many small ones add up on the driver
-        return rows.join(keys.drop("_n").hint("merge"), on, how)
-    heavy = F.broadcast(keys.where(F.col("_n") > least).drop("_n"))
-    light = keys.where(F.col("_n") <= least).drop("_n").hint("merge")
-    apart = rows.join(heavy.select(*on), on, "left_anti").join(light, on, how)
-    return apart if how == "left_anti" else rows.join(heavy, on, "inner" if how == "left" else how).unionByName(apart)
+    keys, seen = measured(keys, total=F.coalesce(F.sum("_n"), F.lit(0)), most=F.coalesce(F.max("_n"), F.lit(0)), n=F.count(F.lit(1)))
+    keys = keys.drop("_n").coalesce(seen["n"] // KEYS_PER_TASK + 1).hint("merge")
+    least = max(LIGHT_ROWS, seen["total"] // HEAVY)
+    if seen["most"] <= least:
+        return rows.join(keys, on, how)
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(-(-seen["most"] // least))))
+    copies = dealt.select(*on, "_part").distinct().join(keys, on)
+    return dealt.join(copies.hint("merge"), [*on, "_part"], how).drop("_part")
 
 
 def unused(columns: list[str], wish: str) -> str:

@@ -64,8 +64,8 @@ def exact_groups(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     A null id is no group's smallest id unless all ids of the group are null.
     """
     marks = cut(fingerprints(docs) if known is None else known.select("doc_id", "fingerprint"))
-    twice = cut(marks.groupBy("fingerprint").agg(F.count("*").alias("_n")).where("_n > 1"))
-    ids = cut(join_keys(marks, twice, ["fingerprint"], "left_semi").select("doc_id").where("doc_id is not null").distinct())
+    twice = marks.groupBy("fingerprint").agg(F.count("*").alias("_n")).where("_n > 1")
+    ids = cut(join_keys(marks, twice, ["fingerprint"], "doc_id", "left_semi").select("doc_id").where("doc_id is not null").distinct())
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
@@ -78,7 +78,7 @@ def exact_groups(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     # grouping by the bytes is the comparison of the bytes
     same = cut(plain.groupBy("fingerprint", "plain").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("_n")).select("fingerprint", F.sha2("plain", 256).alias("_sha"), "group_id", "_n"))
     clash = cut(same.groupBy("fingerprint").agg(F.count("*").alias("_k"), F.min("group_id").alias("group_id"), F.sum("_n").alias("_n")))
-    out = join_keys(marks, clash, ["fingerprint"], "left")
+    out = join_keys(marks, clash, ["fingerprint"], "doc_id", "left")
     alone = out.where(F.coalesce("_k", F.lit(1)) == 1).select("doc_id", "fingerprint", F.coalesce("group_id", "doc_id").alias("group_id"))
     collided = clash.where("_k > 1").select("fingerprint")
     apart = plain.join(collided, "fingerprint", "left_semi").select("doc_id", "fingerprint", F.sha2("plain", 256).alias("_sha")).join(same.drop("_n"), ["fingerprint", "_sha"]).select("doc_id", "fingerprint", "group_id")

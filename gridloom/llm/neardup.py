@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, join_keys
+from gridloom.llm.common import cut, join_keys, measured
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -130,15 +130,15 @@ def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def counted(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").withColumn("_n", F.col("n"))
-        return join_keys(rows, cut(sizes, ROWS), ["node"])
+        return join_keys(rows, sizes, ["node"], "vertex")
 
     root = vertices.select("vertex", F.posexplode("sketch").alias("tree", "value")).select("tree", "vertex", F.xxhash64("tree", "value").alias("node"))
-    level = cut(counted(root), ROWS)
+    level, n_large = _level(counted(root))
     ends = level.where(F.col("n") <= SMALL)
     small = ends.groupBy("vertex").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("small"))
     large = level.where(F.col("n") > SMALL)
     for depth in range(DEPTH):
-        if large.isEmpty():
+        if not n_large:
             break
         if depth == DEPTH - 1:
             ends = ends.unionByName(large)
@@ -152,14 +152,20 @@ def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
         branched = cut(branched, ROWS)
         sizes = branched.groupBy("node", "n", "child").agg(F.count("*").alias("k"))
         alike = cut(sizes.groupBy("node", "n").agg(F.max("k").alias("most")).where(F.col("most") >= ALIKE * F.col("n")).select("node", F.col("n").alias("_n")), ROWS)
-        ends = ends.unionByName(join_keys(large, alike, ["node"], "left_semi"))
-        children = join_keys(branched, alike, ["node"], "left_anti").select("tree", "vertex", F.col("child").alias("node"))
-        level = cut(counted(children), ROWS)
+        ends = ends.unionByName(join_keys(large, alike, ["node"], "vertex", "left_semi"))
+        children = join_keys(branched, alike, ["node"], "vertex", "left_anti").select("tree", "vertex", F.col("child").alias("node"))
+        level, n_large = _level(counted(children))
         ends = ends.unionByName(level.where(F.col("n") <= SMALL))
         large = level.where(F.col("n") > SMALL)
     return ends, small
 
 
+def _level(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of a level, written, and how many of them are in large nodes."""
+    out, seen = measured(rows, n=F.count(F.lit(1)), large=F.count_if(F.col("n") > SMALL))
+    return out.coalesce(seen["n"] // ROWS + 1), seen["large"]
+
+
 def _blocks(ends: DataFrame, sketches: DataFrame) -> DataFrame:
     """(tree, node, block, n, vertex, ...): blocks of a bounded expected size.
 
@@ -272,8 +278,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ``wanted`` holds (row, vertex) with one row for each vertex, and so one
     text for each; they are broadcast while few and shuffled beyond that.
     """
-    ids = wanted.select("row").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_VERTICES else ids
+    ids, seen = measured(wanted.select("row").distinct(), n=F.count(F.lit(1)))
+    ids = F.broadcast(ids) if seen["n"] <= BROADCAST_VERTICES else ids
     texts = docs.select("row", "text").join(ids, "row", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,19 +336,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(vertex, label): the smallest vertex of each connected component.
 
     Large and small stars in turn, each an aggregate and a join on one end; the
-    edges of a vertex that very many others hang on stay where they are.
+    edges of a vertex that very many others hang on are dealt to many tasks.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), ROWS)
     known = None
     while True:
         tasks = edges.rdd.getNumPartitions() * 2
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n")), ROWS)
-        large = cut(join_keys(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct(), ROWS)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), ROWS)
-        joined = join_keys(large, least, ["u"]).coalesce(tasks)
-        edges = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(tasks), ROWS)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+        large = cut(join_keys(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct(), ROWS)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        joined = join_keys(large, least, ["u"], "v").coalesce(tasks)
+        edges, state = measured(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(tasks), n=F.count(F.lit(1)), mix=F.bit_xor(F.xxhash64("u", "v")), mix2=F.bit_xor(F.xxhash64("v", "u", F.lit(1))))
+        edges = edges.coalesce(state["n"] // ROWS + 1)
         if state == known:
             break
         known = state
@@ -355,11 +361,11 @@ def _tiles(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     share = large.groupBy("node", "label").agg(F.count("*").alias("k"))
     main = share.groupBy("node").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("parts"), F.sum("k").alias("_n")).where("parts > 1").select("node", F.col("m.label").alias("main"), "_n")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    large = join_keys(large, cut(main, ROWS), ["node"]).withColumn("tile", F.pmod(F.xxhash64("vertex"), tiles).cast("int"))
+    large = join_keys(large, main, ["node"], "vertex").withColumn("tile", F.pmod(F.xxhash64("vertex"), tiles).cast("int"))
     stray = large.where(F.col("label") != F.col("main"))
     key = ["tree", F.xxhash64("node", "with").alias("node"), "block", "vertex", "sketch", "fine", "small"]
     strays = stray.groupBy("node").agg(F.collect_set("tile").alias("withs"), F.max("n").alias("_n"))  # numbers of tiles
-    there = join_keys(large, cut(strays, ROWS), ["node"]).withColumn("with", F.explode("withs")).where(F.col("tile") != F.col("with")).withColumn("block", F.col("tile")).select(*key)
+    there = join_keys(large, strays, ["node"], "vertex").withColumn("with", F.explode("withs")).where(F.col("tile") != F.col("with")).withColumn("block", F.col("tile")).select(*key)
     # a stray of the tile itself meets its neighbours in the tile's own group
     here = stray.withColumn("with", F.col("tile")).withColumn("block", F.explode(F.sequence(F.lit(0), tiles - 1))).where(F.col("block") != F.col("with")).select(*key)
     own = large.join(stray.select("node", "tile").distinct(), ["node", "tile"], "left_semi").withColumn("with", F.col("tile")).withColumn("block", F.col("tile")).select(*key)
@@ -387,8 +393,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     good = cut(_confirmed(edges, full, percent), ROWS)
     labels = cut(components(good), ROWS)
     for groups in (lambda: blocks.where(F.col("n") <= SMALL), lambda: _tiles(blocks, labels)):
-        open_ = cut(_apart(groups(), labels, least), ROWS)
-        if not open_.isEmpty():
+        open_, seen = measured(_apart(groups(), labels, least), n=F.count(F.lit(1)))
+        if seen["n"]:
+            open_ = open_.coalesce(seen["n"] // ROWS + 1)
             more = places.join(open_.select("vertex").distinct().join(full, "vertex", "left_anti"), "vertex", "left_semi")
             if not more.isEmpty():  # likely partners that only a tile brought together
                 full = cut(full.unionByName(_full_sets(docs, more)).dropDuplicates(["vertex"]), FULL_ROWS)
@@ -396,7 +403,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             labels = cut(components(good), ROWS)
     named = vertices.select("vertex", "_n").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     out = rows.select(*(c for c in docs.columns if c != "text"), "n_shingles", F.when(F.col("row").isNotNull(), F.col("vertex")).alias("vertex"))
-    joined = join_keys(out.where("vertex is not null"), cut(named, ROWS), ["vertex"])
+    joined = join_keys(out.where("vertex is not null"), named, ["vertex"], "row")
     return joined.unionByName(out.where("vertex is null").withColumn("label", F.lit(None).cast("binary"))).drop("vertex")
 
 
@@ -404,6 +411,6 @@ def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     rows = cut(classes(docs.select(F.col("doc_id").alias("row"), "text"), threshold), ROWS)
     smallest = rows.where("label is not null").groupBy("label").agg(F.min("row").alias("component_id"), F.count("*").alias("_n")).where("_n > 1")
-    of = join_keys(rows.where("label is not null"), cut(smallest, ROWS), ["label"], "left")
+    of = join_keys(rows.where("label is not null"), smallest, ["label"], "row", "left")
     out = of.unionByName(rows.where("label is null").withColumn("component_id", F.lit(None).cast("long")))
     return out.select(F.col("row").alias("doc_id"), "n_shingles", F.coalesce("component_id", "row").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

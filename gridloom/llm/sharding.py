@@ -58,7 +58,7 @@ def _placed(rows: DataFrame, name: str) -> DataFrame:
     total = F.lit(known.agg(F.sum("bytes")).first()[0] or 1)
     placed = running_total(known, ["down", name], F.col("bytes"), "before")
     at = placed.select(name, F.floor(F.col("before") / total * _TOP).cast("long").alias(f"{name}_at"), "_n")
-    return join_keys(rows, cut(at), [name]).drop(name)
+    return join_keys(rows, at, [name], "row").drop(name)
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     rows = cut(docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 24).alias("tie"), log.alias("_log"), *names, F.monotonically_increasing_id().alias("row")))
     rows = cut(_placed(_placed(rows, "_source"), "_lang"))
     again = rows.groupBy(*_GROUP).agg(F.min("_source_at").alias("_s"), F.min("_lang_at").alias("_l"), F.count("*").alias("_n")).where("_n > 1")
-    points = join_keys(rows, cut(again), _GROUP, "left")
+    points = join_keys(rows, again, _GROUP, "row", "left")
     return points.select("doc_id", *_GROUP, F.array("_log", F.coalesce("_s", "_source_at"), F.coalesce("_l", "_lang_at")).alias("dims"), "row")
 
 
