@@ -152,7 +152,7 @@ def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
         branched = cut(branched, ROWS)
         sizes = branched.groupBy("node", "n", "child").agg(F.count("*").alias("k"))
         alike = cut(sizes.groupBy("node", "n").agg(F.max("k").alias("most")).where(F.col("most") >= ALIKE * F.col("n")).select("node", F.col("n").alias("_n")), ROWS)
-        ends = ends.unionByName(join_keys(large, alike, ["node"], "vertex", "left_semi"))
+        ends = ends.unionByName(cut(join_keys(large, alike, ["node"], "vertex", "left_semi"), ROWS))
         children = join_keys(branched, alike, ["node"], "vertex", "left_anti").select("tree", "vertex", F.col("child").alias("node"))
         level, n_large = _level(counted(children))
         ends = ends.unionByName(level.where(F.col("n") <= SMALL))
@@ -385,7 +385,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = rows.where("vertex is not null and row is not null")
     vertices = cut(known.groupBy("vertex").agg(F.min_by(F.struct("row", "sketch", "paths", "fine"), "row").alias("s"), F.count("*").alias("_n")).select("vertex", "_n", "s.*"), ROWS)
     ends, small = _end_nodes(vertices)
-    sketches = vertices.select("vertex", "sketch", "fine").join(small, "vertex", "left").withColumn("small", F.coalesce("small", F.lit(0)))
+    # every step is written, so that no plan grows with the steps before it
+    sketches = cut(vertices.select("vertex", "sketch", "fine").join(small, "vertex", "left").withColumn("small", F.coalesce("small", F.lit(0))), ROWS)
     blocks = cut(_blocks(ends, sketches), ROWS)
     edges = cut(_parents(blocks, least), ROWS)
     places = vertices.select("row", "vertex")
