@@ -67,7 +67,13 @@ def cut(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     return out.coalesce(seen["n"] // rows_per_task + 1)
 
 
-def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+def measured_keys(keys: DataFrame) -> tuple[DataFrame, dict]:
+    """A table of keys, written, with what :func:`join_keys` needs to know of its ``_n``."""
+    keys, seen = measured(keys, total=F.coalesce(F.sum("_n"), F.lit(0)), most=F.coalesce(F.max("_n"), F.lit(0)), n=F.count(F.lit(1)))
+    return keys.coalesce(seen["n"] // KEYS_PER_TASK + 1), seen
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], by: str, how: str = "inner", seen: dict | None = None) -> DataFrame:
     """``rows`` joined with ``keys``, one row for each key, without a task for a hot key.
 
     ``keys`` says in ``_n`` how many rows share the key, and is dropped from the
@@ -75,11 +81,13 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], by: str, how: str
     the column ``by``; a key is copied to the parts that it has, in a first join in
     which no key has more rows than there are parts, and meets its rows part by
     part in a second one. Nothing is broadcast, so the driver holds none of it.
-    ``rows`` are read more than once and should be cut; ``keys`` are cut here. ``how``
-    is inner, left, left_semi or left_anti.
+    ``rows`` are read more than once and should be cut; ``keys`` are written here,
+    unless they come from :func:`measured_keys` with what was ``seen``. ``how`` is
+    inner, left, left_semi or left_anti.
     """
-    keys, seen = measured(keys, total=F.coalesce(F.sum("_n"), F.lit(0)), most=F.coalesce(F.max("_n"), F.lit(0)), n=F.count(F.lit(1)))
-    keys = keys.drop("_n").coalesce(seen["n"] // KEYS_PER_TASK + 1).hint("merge")
+    if seen is None:
+        keys, seen = measured_keys(keys)
+    keys = keys.drop("_n").hint("merge")
     least = max(LIGHT_ROWS, seen["total"] // HEAVY)
     if seen["most"] <= least:
         return rows.join(keys, on, how)

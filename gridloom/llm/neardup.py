@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, join_keys, measured
+from gridloom.llm.common import cut, join_keys, measured, measured_keys
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -61,6 +61,8 @@ ROWS, FULL_ROWS = 20_000, 4_000
 ALIKE = 0.6
 #: Up to so many vertices (16 bytes each) are broadcast; more are shuffled.
 BROADCAST_VERTICES = 1_000_000
+#: Up to so many edges are joined without a look at how many a vertex has.
+FEW_EDGES = 100_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = _RANDOM.integers(0, 2**31, (FINE, 1), np.uint32) * np.uint32(2) + np.uint32(1)
@@ -151,9 +153,9 @@ def _end_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
         branched = large.join(paths, "vertex").select("tree", "node", "n", "vertex", F.explode(F.array(F.struct(first.alias("p"), F.get("paths", first).alias("v")), F.struct(second.alias("p"), F.get("paths", second).alias("v")))).alias("c")).select("tree", "node", "n", "vertex", F.xxhash64("node", "c.p", "c.v").alias("child"))
         branched = cut(branched, ROWS)
         sizes = branched.groupBy("node", "n", "child").agg(F.count("*").alias("k"))
-        alike = cut(sizes.groupBy("node", "n").agg(F.max("k").alias("most")).where(F.col("most") >= ALIKE * F.col("n")).select("node", F.col("n").alias("_n")), ROWS)
-        ends = ends.unionByName(cut(join_keys(large, alike, ["node"], "vertex", "left_semi"), ROWS))
-        children = join_keys(branched, alike, ["node"], "vertex", "left_anti").select("tree", "vertex", F.col("child").alias("node"))
+        alike, seen = measured_keys(sizes.groupBy("node", "n").agg(F.max("k").alias("most")).where(F.col("most") >= ALIKE * F.col("n")).select("node", F.col("n").alias("_n")))
+        ends = ends.unionByName(cut(join_keys(large, alike, ["node"], "vertex", "left_semi", seen), ROWS))
+        children = join_keys(branched, alike, ["node"], "vertex", "left_anti", seen).select("tree", "vertex", F.col("child").alias("node"))
         level, n_large = _level(counted(children))
         ends = ends.unionByName(level.where(F.col("n") <= SMALL))
         large = level.where(F.col("n") > SMALL)
@@ -338,20 +340,23 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars in turn, each an aggregate and a join on one end; the
     edges of a vertex that very many others hang on are dealt to many tasks.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), ROWS)
+    edges, state = measured(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n=F.count(F.lit(1)))
     known = None
     while True:
+        edges = edges.coalesce(state["n"] // ROWS + 1)
         tasks = edges.rdd.getNumPartitions() * 2
+        few = state["n"] <= FEW_EDGES  # then no vertex can have many
+        meet = (lambda x, y: x.join(y.drop("_n"), "u")) if few else (lambda x, y: join_keys(x, y, ["u"], "v"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
-        large = cut(join_keys(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct(), ROWS)
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
-        joined = join_keys(large, least, ["u"], "v").coalesce(tasks)
+        large = meet(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        large = large if few else cut(large, ROWS)
+        joined = meet(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))).coalesce(tasks)
         edges, state = measured(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(tasks), n=F.count(F.lit(1)), mix=F.bit_xor(F.xxhash64("u", "v")), mix2=F.bit_xor(F.xxhash64("v", "u", F.lit(1))))
-        edges = edges.coalesce(state["n"] // ROWS + 1)
         if state == known:
             break
         known = state
+    edges = edges.coalesce(state["n"] // ROWS + 1)
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("vertex"), "label").unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("label")).distinct())
 
 
