@@ -44,6 +44,8 @@ BINS = 2048
 LARGE = 32
 #: Groups that the last step may move, for each shard and power of two of their size.
 SPARE = 8
+#: Parts of the groups of one shard and size, among which those groups are sought.
+PARTS = 64
 #: Shards are level enough at this difference, as a share of one.
 LEVEL = 0.002
 #: Rows that share one numbering task, about; the tasks grow with the rows.
@@ -204,9 +206,12 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
     power = F.floor(F.log2("bytes"))
     # a group that was cut is in several nodes and stays as it is
     whole = tree.groupBy(*_GROUP).agg(F.min("node").alias("node"), F.max("node").alias("last"), F.sum("size").alias("bytes")).where("node = last")
-    nth = F.row_number().over(Window.partitionBy("node", power).orderBy(*_GROUP))
+    # first in each of many parts of the groups of one size, then among what is left of them
+    parted = whole.withColumns({"power": power, "part": F.pmod("tie", F.lit(PARTS))})
+    for by in (["node", "power", "part"], ["node", "power"]):
+        parted = parted.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*_GROUP))).where(F.col("nth") <= SPARE)
     spare: list[list[tuple]] = [[] for _ in range(shards)]
-    for r in whole.withColumn("nth", nth).where(F.col("nth") <= SPARE).collect():
+    for r in parted.collect():
         spare[r.node].append((r.bytes, (r.tie, r.text_crc32, r.size)))
     level = _moved(tree, levelled(load, [sorted(x) for x in spare], LEVEL * share))
     return _numbered(placed.where("node >= 0").unionByName(level.select(*placed.columns)).withColumnRenamed("node", "shard"))
