@@ -135,8 +135,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """Slices of sorted keys by their first bits."""
+    if not len(keys):
+        return
     buckets = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(keys) else []
+    at = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
     for a, b in zip(at, [*at[1:], len(keys)], strict=True):
         yield int(buckets[a]), slice(int(a), int(b))
 
