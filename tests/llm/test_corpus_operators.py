@@ -3,14 +3,16 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, lm, neardup, sharding
+from gridloom.llm import common, decontaminate, lm, neardup, sharding
 
 
 def lower(text):
@@ -149,13 +151,37 @@ def test_decontamination(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    rnd = random.Random(13)
+    make = lambda n: " ".join(f"w{rnd.randint(0, 30)}" for _ in range(n))
+    items = [(f"i{k}", make(rnd.choice([3, 13, 30]))) for k in range(20)]
+    docs = [(d, " ".join(x for _ in range(3) for x in (make(8), rnd.choice(items)[1]))) for d in range(40)] + [(99, None)] * 2
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for grams, keys in ((10**6, 0), (0, 0)):
+        monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", grams)
+        monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", keys)
+        assert sorted(map(tuple, decontaminate.summarize(left, right).collect()), key=str) == decontaminated(docs, items)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_joins_of_hot_keys(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "LIGHT_ROWS", 5)
+    rows = spark.createDataFrame([(i, 0 if i % 3 == 0 else i % 40) for i in range(600)] + [(1000, None)], "r long, k long")
+    keys = rows.groupBy("k").agg(F.count("*").alias("_n"), F.min("r").alias("m")).where("k % 2 = 0")
+    got, plain = common.join_keys(rows, keys, ["k"], "r", how), rows.join(keys.drop("_n"), ["k"], how)
+    assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert common.join_keys(rows.limit(0), keys, ["k"], "r", how).count() == 0
+
+
 def discounts(counts):
     n = [sum(1 for x in counts.values() if x == k) for k in (1, 2, 3, 4)]
     y = n[0] / (n[0] + 2 * n[1])
     return [0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("fewest", [lm.FEWEST, 4])
+def test_language_model(spark, monkeypatch, fewest):
+    monkeypatch.setattr(lm, "FEWEST", fewest)  # with few buckets no context is heavy, with many the common ones are
     rnd = random.Random(8)
     vocabulary = [f"w{int(rnd.expovariate(0.02))}" for _ in range(4000)]
     rows = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 80)))) for i in range(150)] + [(1000, None), (1001, "New words")]
@@ -184,10 +210,44 @@ def test_language_model(spark):
         score = sum(math.log10((bi[u, w] - d2[min(bi[u, w], 3)]) / seen[u] + weight[u] / seen[u] * low(w) if seen[u] else low(w)) for u, w in zip([0, *t[:-1]], t))
         assert r.n_tokens == len(t) and r.n_known == sum(uni[w] > 0 for w in t)
         assert abs(base - r.base_score) < 1e-8 and abs(score - r.score) < 1e-8
+    assert (len(model.heavy) > 3) == (fewest > 4)
     empty = lm.score(docs, lm.train(docs.limit(0))).agg(F.min("score"), F.max("score")).first()
     assert tuple(empty) == (0, 0)
 
 
+def test_language_model_misses_no_file(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c a b"), (None, "b c"), (1, "a b c a b"), (2, "long " * 50000)], "doc_id long, text string")
+    model = lm.train(docs, str(tmp_path))
+    whole = [r.score for r in lm.score(docs, model).collect()]
+    assert len(whole) == 4 and whole[0] == whole[2] and all(s < 0 for s in whole)
+    assert lm.score(docs.limit(0), model).count() == 0
+    for name in ("bi", "ctx"):
+        for f in pathlib.Path(model.folder).glob(f"{name}_[0-9]*.npy"):
+            f.unlink()
+    lm._mapped.cache_clear()
+    with pytest.raises(FileNotFoundError):
+        model.score([lm.tokens("a b")])
+    with pytest.raises(ValueError):
+        lm.train(docs, "hdfs://somewhere/else")
+    assert lm.bits_for(10**14) > 16 and 10**14 / 2 ** lm.bits_for(10**14) <= lm.MOST_BYTES
+
+
+def test_shards_keep_groups_whole_and_level(spark):
+    rnd = random.Random(14)
+    texts = [f"{i} " + "y" * int(rnd.expovariate(1 / 300)) for i in range(900)] + ["twice the same text"] * 2 + ["z" * 9000] * 3 + [None, "", "x" * 30000]
+    docs = spark.createDataFrame([(i, t, f"s{i % 5}", "en", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, node int, size int")
+    got = sharding.assign(docs, 8).collect()
+    share = sum(r.size for r in got) / 8
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(sizes) - min(sizes) < 0.02 * share
+    groups = collections.defaultdict(set)
+    for r in got:
+        groups[r.text_crc32, r.size].add(r.shard)
+    assert {len(s) for s in groups.values()} == {1}
+    moves = dict(sharding.levelled(np.array([100.0, 40.0]), [[(10, "a"), (50, "b"), (30, "c")], [(5, "d")]], 5))
+    assert moves == {"c": 1}
+
+
 def test_sharding(spark):
     rnd = random.Random(9)
     texts = ["x" * rnd.randint(0, 400) + str(i) for i in range(1500)] + ["copy of a text " * 3] * 30 + [None] * 5
@@ -204,6 +264,6 @@ def test_sharding(spark):
     assert max(sizes) - min(sizes) < 0.02 * sum(sizes)
     assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
     copies = {r.shard for r in got if r.text_crc32 == zlib.crc32(("copy of a text " * 3).encode())}
-    assert len(copies) <= 2
+    assert len(copies) == 1
     assert sharding.assign(docs.limit(0), 5).count() == 0
     assert sharding.assign(spark.createDataFrame([(1, "a", "s", "l")] * 50, docs.schema), 4).groupBy("shard").count().count() == 4

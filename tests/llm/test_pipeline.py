@@ -70,3 +70,21 @@ def test_empty_stages(spark, corpus):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_rows_that_share_or_lack_an_id(spark, tmp_path):
+    rnd = random.Random(12)
+    make = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    a, b, c, item = make(60), make(60), make(60), make(20)
+    rows = [(1, a), (1, b), (2, c), (2, c), (3, a), (None, b), (None, c + " x"), (None, f"{make(9)} {item}"), (4, f"{make(9)} {item}"), (4, make(50)), (5, None), (5, ""), (5, " \n")]
+    docs = spark.createDataFrame([(i, t, "k", 7, 8, 9) for i, t in rows], "doc_id long, text string, `_copy` string, `_KEY` int, `_key2` int, label int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order([(1, a), (1, b), (2, c), rows[7], rows[8], rows[9], *rows[10:]])
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert order((r.doc_id, r.text) for r in clean.collect()) == order(r for r in rows if item not in (r[1] or ""))
