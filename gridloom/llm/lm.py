@@ -11,10 +11,10 @@ up whole batches of texts at once. The model knows which buckets were written; a
 file that should be there and is not is an error, never a count of zero.
 
 Bigrams go to the bucket of their context, so that what follows a context is
-together. A context that more than one token in as many as there are buckets
-precedes would be a bucket's load by itself: such contexts, found by a first count
-over all texts, go by the whole bigram, and what follows them is summed in a
-second step.
+together. A context with as many tokens after it as ``LOADS`` buckets have on
+average would make a bucket of its own far larger than others: such contexts, found
+by a first count over all texts, go by the whole bigram, and what follows them is
+summed in a second step.
 
 Probability of w after u, with discounts D by count and c(u) bigrams from u::
 
@@ -58,6 +58,8 @@ RUN, LOOKUP = 2_000_000, 400_000
 #: Bytes of text for each bucket of hash ranges, and the fewest buckets. From MANY
 #: buckets on they grow to MOST_BYTES before there are more of them.
 BUCKET_BYTES, FEWEST, MANY, MOST_BYTES = 2 << 20, 64, 1 << 16, 64 << 20
+#: A context is heavy at so many buckets' loads, about.
+LOADS = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,10 +146,10 @@ def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 
 
 def _often(texts: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """(context, n, total): the contexts of over one in 2**bits of these tokens."""
+    """(context, n, total): the contexts of over LOADS in 2**bits of these tokens."""
     u, _ = _with_contexts(texts)
     words, n = np.unique(u, return_counts=True)
-    often = n << bits > len(u)
+    often = n << bits > LOADS * len(u)
     columns = [pa.array(words[often].view(np.int64)), pa.array(n[often].astype(np.int64)), pa.array(np.zeros(int(often.sum()), np.int64))]
     total = pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([len(u)])], ["context", "n", "total"])
     return pa.concat_batches([pa.RecordBatch.from_arrays(columns, ["context", "n", "total"]), total])
@@ -373,11 +375,11 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         if texts:
             yield texts
 
-    # a context of over two in 2**bits tokens is over one in 2**bits by the runs in which it is often
+    # a context of twice that share has that share by the runs in which it is often
     often = docs.select("text").mapInArrow(lambda batches: (_often(x, bits) for x in in_runs(batches)), "context long, n long, total long")
     often = cut(often.groupBy("context").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     total = often.agg(F.sum("total")).first()[0] or 0
-    found = often.where(F.col("context").isNotNull() & (F.col("n") * 2**bits > total)).select("context").collect()  # fewer than 2**bits
+    found = often.where(F.col("context").isNotNull() & (F.col("n") * 2**bits > LOADS * total)).select("context").collect()  # fewer than 2**bits
     heavy = np.sort(np.array([r.context for r in found], np.int64).view(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,9 +179,9 @@ def discounts(counts):
     return [0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
 
 
-@pytest.mark.parametrize("fewest", [lm.FEWEST, 4])
-def test_language_model(spark, monkeypatch, fewest):
-    monkeypatch.setattr(lm, "FEWEST", fewest)  # with few buckets no context is heavy, with many the common ones are
+@pytest.mark.parametrize("loads", [1, 8])
+def test_language_model(spark, monkeypatch, loads):
+    monkeypatch.setattr(lm, "LOADS", loads)  # at one bucket's load many contexts are heavy, at eight none here
     rnd = random.Random(8)
     vocabulary = [f"w{int(rnd.expovariate(0.02))}" for _ in range(4000)]
     rows = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 80)))) for i in range(150)] + [(1000, None), (1001, "New words")]
@@ -210,7 +210,7 @@ def test_language_model(spark, monkeypatch, fewest):
         score = sum(math.log10((bi[u, w] - d2[min(bi[u, w], 3)]) / seen[u] + weight[u] / seen[u] * low(w) if seen[u] else low(w)) for u, w in zip([0, *t[:-1]], t))
         assert r.n_tokens == len(t) and r.n_known == sum(uni[w] > 0 for w in t)
         assert abs(base - r.base_score) < 1e-8 and abs(score - r.score) < 1e-8
-    assert (len(model.heavy) > 3) == (fewest > 4)
+    assert (len(model.heavy) > 3) == (loads == 1)
     empty = lm.score(docs, lm.train(docs.limit(0))).agg(F.min("score"), F.max("score")).first()
     assert tuple(empty) == (0, 0)
 
