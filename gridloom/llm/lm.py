@@ -145,11 +145,11 @@ def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(buckets[a]), slice(int(a), int(b))
 
 
-def _often(texts: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """(context, n, total): the contexts of over LOADS in 2**bits of these tokens."""
+def _often(texts: list[np.ndarray], bits: int, loads: int) -> pa.RecordBatch:
+    """(context, n, total): the contexts of over ``loads`` in 2**bits of these tokens."""
     u, _ = _with_contexts(texts)
     words, n = np.unique(u, return_counts=True)
-    often = n << bits > LOADS * len(u)
+    often = n << bits > loads * len(u)
     columns = [pa.array(words[often].view(np.int64)), pa.array(n[often].astype(np.int64)), pa.array(np.zeros(int(often.sum()), np.int64))]
     total = pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([len(u)])], ["context", "n", "total"])
     return pa.concat_batches([pa.RecordBatch.from_arrays(columns, ["context", "n", "total"]), total])
@@ -376,10 +376,11 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
             yield texts
 
     # a context of twice that share has that share by the runs in which it is often
-    often = docs.select("text").mapInArrow(lambda batches: (_often(x, bits) for x in in_runs(batches)), "context long, n long, total long")
+    loads = LOADS
+    often = docs.select("text").mapInArrow(lambda batches: (_often(x, bits, loads) for x in in_runs(batches)), "context long, n long, total long")
     often = cut(often.groupBy("context").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     total = often.agg(F.sum("total")).first()[0] or 0
-    found = often.where(F.col("context").isNotNull() & (F.col("n") * 2**bits > LOADS * total)).select("context").collect()  # fewer than 2**bits
+    found = often.where(F.col("context").isNotNull() & (F.col("n") * 2**bits > loads * total)).select("context").collect()  # fewer than 2**bits
     heavy = np.sort(np.array([r.context for r in found], np.int64).view(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
