@@ -7,7 +7,9 @@ neighbouring parts, a linked list holds the parts (second tier), so a piece of
 n bytes takes O(n log n) however long it is.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string;
-null ids and repeated rows are passed on, each row by itself.
+null ids and repeated rows are passed on, each row by itself; a very long text,
+or one without a break, is encoded whole by the heap; of pairs that tie in rank
+the leftmost merges first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

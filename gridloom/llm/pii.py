@@ -6,8 +6,10 @@ pattern that passes its check is always a span. Kinds ``iban``, ``ssn`` and
 holds and their score, adjusted by nearby context words, reaches ``THRESHOLD``.
 
 Defined cases: a null or empty text has no spans; a null id is passed on; rows
-with the same id each get their own result; other columns of the input are
-ignored by :func:`find_spans` and untouched by :func:`redact`.
+with the same id each get their own result; a very long text is searched whole;
+of added spans that tie for a place the earlier kind stays; an empty table gives
+no rows; other columns of the input, whatever their names, are ignored by
+:func:`find_spans` and untouched by :func:`redact`.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ Labels, language, source and id are no inputs of a score.
 Defined cases: null and empty texts get the score of all-zero statistics; rows
 with null ids are scored and count as held out; repeated rows get equal scores;
 without labels of both kinds the score is the share of label 1, or 0.5 without
-any label; other columns are ignored by :func:`score`, kept by :func:`keep_good`.
+any label; a very long text is read whole; splits that tie go to the first
+statistic and the lowest cut; an empty table gives no rows; other columns are
+ignored by :func:`score`, kept by :func:`keep_good`.
 """
 
 from __future__ import annotations

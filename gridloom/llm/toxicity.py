@@ -17,8 +17,9 @@ source and id are no inputs.
 
 Defined cases: texts without words, null among them, get the share of label 1;
 so does every text if there are no labels of both kinds; rows with null ids are
-scored and count as held out; repeated rows get equal scores; other columns are
-ignored.
+scored and count as held out; repeated rows get equal scores; a very long text is
+scored by all its windows; documents that tie for the sample are taken by id; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
