@@ -88,6 +88,27 @@ def parse_defects(files: DataFrame) -> DataFrame:
     return lines.withColumn("tokens", tokens).select("path", "rec_no", F.map_from_arrays(names, "tokens").alias("values"))
 
 
+def list_version(content: str = "content") -> Column:
+    """The version of a defect list: what it states, else what its form tells."""
+    stated = F.concat_ws(".", F.regexp_extract(content, r"FileVersion\s+([0-9]+)\s+([0-9]+)", 1), F.regexp_extract(content, r"FileVersion\s+([0-9]+)\s+([0-9]+)", 2))
+    nested = F.col(content).rlike(r"\bList\s+\w+\s*\{")
+    return F.when(F.col(content).rlike(r"Record\s+FileRecord"), "1.8").when(stated != ".", stated).when(nested, "1.8").otherwise("1.2")
+
+
+def is_nested(content: str = "content") -> Column:
+    """Whether a list is of the nested form, by its first line that is not blank."""
+    return F.regexp_extract(content, r"^\s*([^\r\n]*)", 1).rlike(r"^Record\b")
+
+
+def parse_lists(files: DataFrame) -> DataFrame:
+    """(path, version, rec_no, values, image_file): rows of lists of either form."""
+    known = files.withColumns({"_nested": is_nested(), "_version": list_version()})
+    versions = known.select("path", F.col("_version").alias("version"))
+    flat = parse_defects(known.where("not _nested")).withColumn("image_file", F.lit(None).cast("string"))
+    rows = parse_nested(known.where("_nested")).unionByName(flat)
+    return rows.join(versions, "path").select("path", "version", "rec_no", "values", "image_file")
+
+
 def die_pitch(files: DataFrame) -> DataFrame:
     """(path, pitch_x_nm, pitch_y_nm): the form in braces is nm, the other um."""
     new, old = (F.regexp_extract("content", _PITCH_NEW, i) for i in (1, 2)), (F.regexp_extract("content", _PITCH_OLD, i) for i in (1, 2))

@@ -9,17 +9,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder that the machines share; lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and not context.getConf().get("spark.checkpoint.dir"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
+
+    Where nothing is set a folder is made if Spark runs on one machine, as in
+    tests; on a cluster every machine would have another one, so that is an error.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written once to the folder that the machines share; lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

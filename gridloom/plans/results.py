@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.operators import defects, ordered, results
-from gridloom.sources.adapters import view, with_views
+from gridloom.sources.adapters import live_view, view, with_views
+from gridloom.streaming import live
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -377,6 +378,42 @@ def _(spark, d):
     return parsed.select("path", F.col("values")["DEFECTID"].alias("defect_id"), F.col("values")["XREL"].try_cast("bigint").alias("x_nm"), "image_file")
 
 
+@query("src_14_dispatch", with_views("SELECT 'lot' || kind AS path, CASE WHEN kind IN ('view', 'error') THEN '1.8' ELSE '1.2' END AS version, CAST(image_id AS VARCHAR) AS defect_id, xrel AS x_nm FROM images", "images"))
+def _(spark, d):
+    """Lists of both forms in one folder, told apart by their first line."""
+    rows = view(spark, d, "images").withColumn("nested", F.col("kind").isin("view", "error"))
+    line = F.when(F.col("nested"), F.concat(F.col("image_id").cast("string"), F.lit(" "), F.col("xrel").cast("string"), F.lit(" ;"))).otherwise(F.concat_ws(" ", "image_id", "xrel"))
+    body = rows.groupBy("kind", "nested", F.floor(F.col("rec_no") / 500).alias("part")).agg(F.array_join(F.collect_list(line), "\n").alias("body"), F.count("*").cast("string").alias("n"))
+    nested = F.concat(F.lit('\nRecord FileRecord "1.8" {\nList DefectList {\nColumns 2 { int32 DEFECTID, int32 XREL }\nData '), "n", F.lit(" {\n"), "body", F.lit("\n}\n}\n}\nEndOfFile;"))
+    flat = F.concat(F.lit("FileVersion 1 2;\nDefectRecordSpec 2 DEFECTID XREL ;\nDefectList\n"), "body", F.lit(";\nEndOfFile;"))
+    files = body.select(F.concat_ws("-", F.concat(F.lit("lot"), "kind"), "part").alias("path"), F.when(F.col("nested"), nested).otherwise(flat).alias("content"))
+    parsed = defects.parse_lists(files)
+    return parsed.select(F.substring_index("path", "-", 1).alias("path"), "version", F.col("values")["DEFECTID"].alias("defect_id"), F.col("values")["XREL"].try_cast("bigint").alias("x_nm"))
+
+
+@query("str_01_totals", with_views("SELECT op, count(*) AS n, CAST(sum(us) AS BIGINT) AS total_us, max(us) AS max_us FROM perf_events GROUP BY op", "perf_events"))
+def _(spark, d):
+    return live.settled(live.by_operation(live_view(spark, d, "perf_events")), "complete")
+
+
+@query("str_02_windows", with_views("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start_s, label, count(*) AS n, CAST(sum(us) AS BIGINT) AS total_us FROM perf_events GROUP BY 1, 2", "perf_events"))
+def _(spark, d):
+    found = live.settled(live.by_window(live_view(spark, d, "perf_events")), "complete")
+    return found.select(F.unix_timestamp("start").alias("start_s"), "label", "n", "total_us")
+
+
+@query("str_03_keep_better", with_views("SELECT image_id, max(score) AS score FROM (SELECT image_id, score FROM refined UNION ALL SELECT image_id, score FROM rerun) WHERE score IS NOT NULL GROUP BY image_id", "refined", "rerun"))
+def _(spark, d):
+    """Results of two runs as they come in; the best of each image is the last one kept."""
+    runs = live_view(spark, d, "refined").unionByName(live_view(spark, d, "rerun"))
+    return live.settled(live.keep_better(runs), "append").groupBy("image_id").agg(F.max("score").alias("score"))
+
+
+@query("str_04_latest", with_views("SELECT op, max(seq) AS seq, max_by(us, seq) AS us FROM perf_events GROUP BY op", "perf_events"))
+def _(spark, d):
+    return live.settled(live.latest(live_view(spark, d, "perf_events").select("op", "seq", "us"), "op", "seq"), "complete")
+
+
 @query("img_03_page_map", with_views("+t AS (SELECT count(*) * 4 AS total FROM images), m AS (SELECT image_id, unnest(range(image_id * 4 + 1, image_id * 4 + 1 + n_pages)) AS id FROM images), s AS (SELECT CASE WHEN count(*) = count(DISTINCT id) THEN CASE WHEN min(id) = 0 AND max(id) < max(total) THEN 0 WHEN min(id) >= 1 AND max(id) <= max(total) THEN 1 END END AS base FROM m, t) SELECT image_id, id - base AS page, 'imagelist' AS mode FROM m, s", "images"))
 def _(spark, d):
     images = view(spark, d, "images")

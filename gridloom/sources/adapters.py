@@ -103,6 +103,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(name)})
 
 
+def live_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view over its one table, read as a stream of files."""
+    (table,) = tables_of(name)
+    path = f"{sf_dir}/{table}.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.sql(VIEWS[name], **{table: rows})
+
+
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """DuckDB SQL: the views as common tables in front of ``sql``."""
     common = ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridloom.operators.ordered import shared_folder
+
+
+def settled(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream has to say once it has read all that is there now.
+
+    Batches are written to the shared folder: each in the place of the one before
+    if the mode is complete, next to it if not.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
+
+    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")
+
 
 def timed(events: DataFrame, late: str) -> DataFrame:
     """Events with a watermark; a time without zone counts in the session's."""
