@@ -100,6 +100,27 @@ def is_nested(content: str = "content") -> Column:
     return F.regexp_extract(content, r"^\s*([^\r\n]*)", 1).rlike(r"^Record\b")
 
 
+def class_names(files: DataFrame) -> DataFrame:
+    """(path, number, name): the classes that flat lists name."""
+    body = F.regexp_extract("content", r"(?m)^[ \t]*ClassLookup\b[ \t]+[0-9]+[ \t]*\r?\n([^;]*);", 1)
+    lines = files.select("path", F.explode(F.split(body, r"\r?\n")).alias("line"))
+    number, name = (F.regexp_extract("line", r'^\s*([0-9]+)\s+"?([^"]*?)"?\s*$', k) for k in (1, 2))
+    return lines.where(number != "").select("path", number.cast("int").alias("number"), name.alias("name"))
+
+
+def list_facts(files: DataFrame) -> DataFrame:
+    """(path, version, n_lists, first_only, summary): what a flat list says of itself.
+
+    Only the first of several defect lists is read, which ``first_only`` tells; the
+    summary's first row is kept as it is stated, by its own columns.
+    """
+    n = F.size(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*DefectList\b[ \t]*\r?$"), F.lit(0)))
+    columns = F.split(F.trim(F.regexp_extract("content", r"SummarySpec\s+[0-9]+\s+([^;]+);", 1)), r"\s+")
+    values = F.split(F.trim(F.regexp_extract("content", r"(?m)^[ \t]*SummaryList\b[ \t]*\r?\n[ \t]*([^;\r\n]*)", 1)), r"\s+")
+    summary = F.map_from_arrays(F.slice(columns, F.lit(1), F.least(F.size(columns), F.size(values))), F.slice(values, F.lit(1), F.least(F.size(columns), F.size(values))))
+    return files.select("path", list_version().alias("version"), n.alias("n_lists"), (n > 1).alias("first_only"), summary.alias("summary"))
+
+
 def parse_lists(files: DataFrame) -> DataFrame:
     """(path, version, rec_no, values, image_file): rows of lists of either form."""
     known = files.withColumns({"_nested": is_nested(), "_version": list_version()})

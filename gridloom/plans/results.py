@@ -233,7 +233,7 @@ def _(spark, d):
 @query("jon_09_chip_lookup", with_views("SELECT n_name, count(*) AS n_chips, min(chip_id) AS first_chip FROM nation JOIN chips ON n_nationkey = part_id GROUP BY n_name", "chips"))
 def _(spark, d):
     parts = spark.read.parquet(f"{d}/nation.parquet")
-    return view(spark, d, "chips").join(F.broadcast(parts), F.col("part_id") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n_chips"), F.min("chip_id").alias("first_chip"))
+    return view(spark, d, "chips").join(parts, F.col("part_id") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n_chips"), F.min("chip_id").alias("first_chip"))
 
 
 @query("klarf_parse", with_views("SELECT 'lot' || CAST(kind AS VARCHAR) AS path, CAST(image_id AS VARCHAR) AS defect_id, CAST(CAST(xrel AS DOUBLE) * 1000 AS DOUBLE) AS x_nm FROM images", "images"))
@@ -378,6 +378,17 @@ def _(spark, d):
     return parsed.select("path", F.col("values")["DEFECTID"].alias("defect_id"), F.col("values")["XREL"].try_cast("bigint").alias("x_nm"), "image_file")
 
 
+@query("src_10_facts", with_views("SELECT 'lot' || kind AS path, '1.2' AS version, 1 + CAST(kind = 'view' AS INTEGER) AS n_lists, CAST(count(*) AS VARCHAR) AS stated, 'class ' || kind AS name FROM images GROUP BY kind", "images"))
+def _(spark, d):
+    """What the head and foot of a list say: its version, its lists, a class and its own count."""
+    rows = view(spark, d, "images").groupBy("kind").agg(F.count("*").cast("string").alias("n"), F.min("image_id").cast("string").alias("first"))
+    body = F.concat(F.lit("DefectList\n "), "first", F.lit(" 1;\n"))
+    content = F.concat(F.lit('FileVersion 1 2;\nClassLookup 2\n 0 "none"\n 7 "class '), "kind", F.lit('"\n;\n'), body, F.when(F.col("kind") == "view", body).otherwise(""), F.lit("SummarySpec 2 TESTNO NDEFECT ;\nSummaryList\n 1 "), "n", F.lit(" ;\nEndOfFile;"))
+    files = rows.select(F.concat(F.lit("lot"), "kind").alias("path"), content.alias("content"))
+    names = defects.class_names(files).where("number = 7").select("path", "name")
+    return defects.list_facts(files).join(names, "path").select("path", "version", "n_lists", F.col("summary")["NDEFECT"].alias("stated"), "name")
+
+
 @query("src_14_dispatch", with_views("SELECT 'lot' || kind AS path, CASE WHEN kind IN ('view', 'error') THEN '1.8' ELSE '1.2' END AS version, CAST(image_id AS VARCHAR) AS defect_id, xrel AS x_nm FROM images", "images"))
 def _(spark, d):
     """Lists of both forms in one folder, told apart by their first line."""

@@ -106,8 +106,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def live_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over its one table, read as a stream of files."""
     (table,) = tables_of(name)
-    path = f"{sf_dir}/{table}.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    # a pattern, as a stream takes a plain path for a folder and a table may be one file
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
     return spark.sql(VIEWS[name], **{table: rows})
 
 

@@ -57,13 +57,14 @@ def latest(events: DataFrame, key: str, order: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_row")).select(key, "_row.*")
 
 
-def keep_better(results: DataFrame, forget: str = "7 days") -> DataFrame:
+def keep_better(results: DataFrame, forget: str | None = None) -> DataFrame:
     """For every image, each result that is strictly better than all before.
 
-    The state is one number for each image, and is dropped for those that have had
-    no result for as long as ``forget`` says.
+    The state is one number for each image. With ``forget``, such as "7 days", it is
+    dropped for images that have had no result for so long; a stream that is to end
+    by itself must not set it, as it would wait for that time to pass.
     """
-    rest = int(pd.Timedelta(forget).total_seconds() * 1000)
+    rest = forget and int(pd.Timedelta(forget).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -79,6 +80,7 @@ def keep_better(results: DataFrame, forget: str = "7 days") -> DataFrame:
                 yield better[["dx_nm", "dy_nm", "score"]].assign(image_id=key[0])[["image_id", "dx_nm", "dy_nm", "score"]]
         if best > float("-inf"):
             state.update((best,))
-            state.setTimeoutDuration(rest)
+            if rest:
+                state.setTimeoutDuration(rest)
 
-    return results.groupBy("image_id").applyInPandasWithState(step, "image_id long, dx_nm double, dy_nm double, score double", "best double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return results.groupBy("image_id").applyInPandasWithState(step, "image_id long, dx_nm double, dy_nm double, score double", "best double", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
