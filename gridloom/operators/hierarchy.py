@@ -92,18 +92,20 @@ def subtree_bounds(placement: DataFrame, rects: DataFrame) -> DataFrame:
     around = [f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), _BOX, strict=True)]
     edges = kept(placement.select("parent", "child", "x", "y", *(c.alias(v) for v, c in zip("abcd", turn_matrix(F.col("q"), F.col("flip")), strict=True))))
     cells = edges.select(F.col("parent").alias("cell_id")).union(edges.select("child")).union(rects.select("cell_id")).distinct()
-    todo = kept(cells.join(rects.groupBy("cell_id").agg(*around), "cell_id", "left"))
-    open_ = edges.select("parent", "child").distinct()
-    done = todo.limit(0)
+    cells = kept(cells.join(rects.groupBy("cell_id").agg(*around), "cell_id", "left"))
+    pairs = kept(edges.select("parent", "child").distinct())
+    done = cells.limit(0)
     while True:
-        due = todo.join(open_.select(F.col("parent").alias("cell_id")).distinct(), "cell_id", "left_anti")
+        ready = done.select("cell_id")
+        todo = cells.join(ready, "cell_id", "left_anti")
+        waiting = pairs.join(ready.withColumnRenamed("cell_id", "child"), "child", "left_anti").select(F.col("parent").alias("cell_id"))
+        due = todo.join(waiting.distinct(), "cell_id", "left_anti")
         of_due = edges.join(due.select(F.col("cell_id").alias("parent")), "parent", "left_semi")
         fresh = kept(due.unionByName(_lifted(of_due, done)).groupBy("cell_id").agg(*around))
         if fresh.isEmpty():
             break
         done = done.unionByName(fresh)
-        todo = kept(todo.join(fresh.select("cell_id"), "cell_id", "left_anti"))
-        open_ = kept(open_.join(fresh.select(F.col("cell_id").alias("child")), "child", "left_anti"))
+    todo = kept(todo)
     if not todo.isEmpty():
         done = done.unionByName(_cyclic_bounds(edges, todo, done, around))
     return done.where("x1 is not null")
