@@ -110,9 +110,9 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 _PACKED = "kind int, bucket int, a binary, b binary, c binary, d binary"
-_UNI, _BI, _CONT, _STATS, _CTX = 0, 1, 2, 3, 4
+_UNI, _BI, _CONT, _STATS, _CTX, _HEAVY = 0, 1, 2, 3, 4, 5
 #: The arrays of each kind.
-_NAMES = {_UNI: "uni", _BI: "bi", _CONT: "cont", _CTX: "ctx"}
+_NAMES = {_UNI: "uni", _BI: "bi", _CONT: "cont", _CTX: "ctx", _HEAVY: "heavy"}
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -224,12 +224,12 @@ def _merge_bigrams(folder: str, bucket: int, parts: list[tuple], bits: int, heav
     follow = np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (by == 1, by == 2, by > 2, by)], axis=1)
     contexts = u[starts]
     apart = _among(contexts, heavy)
-    out = [_stats(_BI, bucket, _of_counts(n))]
+    # the contexts of a bucket are its own, but for heavy ones that all buckets have a part of
+    _save(folder, f"ctx_{bucket}", contexts[~apart])
+    _save(folder, f"ctx_n_{bucket}", follow[~apart])
+    out = [_stats(_BI, bucket, _of_counts(n)), _stats(_CTX, bucket, np.zeros(6, np.int64))]
     for b, s in _by_bucket(contexts[apart], bits):
-        out.append(_pack(_CTX, b, contexts[apart][s], _narrow(follow[apart][s].ravel())))
-    if not apart.all():
-        # the contexts of a bucket are its own, but for heavy ones that come from all
-        out.append(_pack(_CTX, bucket, contexts[~apart], _narrow(follow[~apart].ravel())))
+        out.append(_pack(_HEAVY, b, contexts[apart][s], _narrow(follow[apart][s].ravel())))
     before, _, k = _summed(w, np.ones(len(w), np.uint32))
     return [*out, *(_pack(_CONT, b, before[s], _narrow(k[s])) for b, s in _by_bucket(before, bits))]
 
@@ -240,9 +240,9 @@ def _merge_contexts(folder: str, bucket: int, parts: list[tuple]) -> tuple:
     order = np.argsort(u, kind="stable")
     u = u[order]
     starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-    _save(folder, f"ctx_{bucket}", u[starts])
-    _save(folder, f"ctx_n_{bucket}", np.add.reduceat(n[order], starts, axis=0))
-    return _stats(_CTX, bucket, np.zeros(6, np.int64))
+    _save(folder, f"heavy_{bucket}", u[starts])
+    _save(folder, f"heavy_n_{bucket}", np.add.reduceat(n[order], starts, axis=0))
+    return _stats(_HEAVY, bucket, np.zeros(6, np.int64))
 
 
 def _merge_words(folder: str, bucket: int, parts: list[tuple], kind: int) -> tuple:
@@ -310,10 +310,12 @@ class Model:
 
     def find(self, name: str, keys: np.ndarray) -> np.ndarray:
         """The numbers stored for sorted keys; zeros for those that are missing."""
-        out = np.zeros((len(keys), 4) if name == "ctx" else len(keys), np.int64)
+        out = np.zeros((len(keys), 4) if name in ("ctx", "heavy") else len(keys), np.int64)
         for bucket, s in _by_bucket(keys, self.bits):
             if self.written[name][bucket]:
                 held = self._file(f"{name}_{bucket}")
+                if not len(held):
+                    continue
                 at = np.searchsorted(held, keys[s])
                 at[at == len(held)] = 0
                 hit = held[at] == keys[s]
@@ -332,6 +334,9 @@ class Model:
         base = np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))[back]
         low = ((k - self.d1[np.minimum(k, 3)]) / max(1, self.before[5]) + self.spare / (self.distinct + 1))[back] if self.total else np.ones(len(w))
         contexts = self.looked_up("ctx", u)
+        split = _among(u, self.heavy)
+        if split.any():
+            contexts[split] = self.looked_up("heavy", u[split])
         n = self.looked_up("bi", pair_keys(u, w, self.bits, self.heavy))
         seen = np.maximum(contexts[:, 3], 1)
         weight = np.where(contexts[:, 3] > 0, contexts[:, :3] @ self.d2[1:] / seen, 1.0)
@@ -393,10 +398,10 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), parts in _packs(batches):
-            yield _rows([_merge_contexts(folder, bucket, parts) if kind == _CTX else _merge_words(folder, bucket, parts, _CONT)])
+            yield _rows([_merge_contexts(folder, bucket, parts) if kind == _HEAVY else _merge_words(folder, bucket, parts, _CONT)])
 
     merged = cut(_dealt(docs.select("text").mapInArrow(count, _PACKED)).mapInArrow(merge, _PACKED))
-    rest = cut(_dealt(merged.where(F.col("kind").isin(_CONT, _CTX))).mapInArrow(follow, _PACKED))
+    rest = cut(_dealt(merged.where(F.col("kind").isin(_CONT, _HEAVY))).mapInArrow(follow, _PACKED))
     stats = _gathered(merged.where(f"kind = {_STATS}").unionByName(rest))
     written = {name: np.zeros(2**bits, bool) for name in _NAMES.values()}
     for kind, name in _NAMES.items():
