@@ -1,16 +1,22 @@
 """Regions of the plane as disjoint boxes, in numpy; used inside Arrow tasks.
 
-A region is an array of rows (x1, y1, x2, y2) that do not overlap. Operands are
-laid over the grid of all their edges, each grid cell is in or out, and cells
-are merged back to boxes: runs along x first, then equal runs along y. Holes
-need no care. Every function is bounded by the boxes it is handed.
+A region is an array of rows (x1, y1, x2, y2) that do not overlap: runs along x
+first, then equal runs along y are one box. Small operands are laid over the grid of
+all their edges, where each cell is in or out. Larger ones are swept along y: the
+edges along x are kept once, with the number of boxes of each operand over each
+stretch between them, and an edge along y changes the stretches under it. Both ways
+give the same boxes; memory goes with the edges. Holes need no care.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 
 EMPTY = np.zeros((0, 4))
+#: Cells up to which the grid of all edges is laid out.
+SMALL = 1_000_000
 
 
 def boxes(rows) -> np.ndarray:
@@ -46,12 +52,72 @@ def merged(mask: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
     return out[np.lexsort((out[:, 0], out[:, 1]))]
 
 
+def swept(operands: list[np.ndarray], rule, xs: np.ndarray) -> np.ndarray:
+    """The region where ``rule`` of the operands holds, by a sweep along y.
+
+    ``starts`` holds the runs that are in at the present y, in order, each by its first
+    stretch, with the stretch after it and the y from which it has been the same. An
+    edge takes out the runs that it touches and puts in what is there now; runs that
+    are not the same any more become boxes.
+    """
+    b = np.concatenate(operands)
+    which = np.repeat(np.arange(len(operands)), [len(o) for o in operands]).tolist()
+    low, high = np.searchsorted(xs, b[:, 0]).tolist(), np.searchsorted(xs, b[:, 2]).tolist()
+    at = np.r_[b[:, 1], b[:, 3]]
+    order = np.argsort(at, kind="stable")
+    at, order = at[order], order.tolist()
+    count = np.zeros((len(operands), len(xs)), np.int32)
+    starts: list[int] = []
+    until: dict[int, int] = {}
+    since: dict[int, float] = {}
+    out: list[tuple[int, float, int, float]] = []
+    edges = [*np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist(), len(at)]
+    for first, last in zip(edges[:-1], edges[1:], strict=True):
+        y, spans = float(at[first]), []
+        for k in order[first:last]:
+            k, step = (k, 1) if k < len(b) else (k - len(b), -1)
+            count[which[k], low[k] : high[k]] += step
+            spans.append((low[k], high[k]))
+        spans.sort()
+        while spans:  # stretches that touch are looked at together
+            left, right = spans.pop()
+            while spans and spans[-1][1] >= left:
+                more = spans.pop()
+                left, right = more[0], max(right, more[1])
+            change = np.flatnonzero(np.diff(rule(*(c[left:right] > 0 for c in count)).astype(np.int8), prepend=0, append=0)).tolist()
+            new = [(s + left, e + left) for s, e in zip(change[::2], change[1::2], strict=True)]
+            i = bisect_left(starts, left)
+            if i and until[starts[i - 1]] >= left:
+                i -= 1
+            old = [(s, until[s]) for s in starts[i : bisect_right(starts, right)]]
+            if old and old[0][0] < left:  # what sticks out to either side stays in
+                new[:1] = [(old[0][0], new[0][1])] if new and new[0][0] == left else [(old[0][0], left), *new[:1]]
+            if old and old[-1][1] > right:
+                new[-1:] = [(new[-1][0], old[-1][1])] if new and new[-1][1] == right else [*new[-1:], (right, old[-1][1])]
+            if new == old:
+                continue
+            for s, e in set(old).difference(new):
+                if (began := since.pop(s)) < y:
+                    out.append((s, began, e, y))
+                del until[s]
+            for s, e in set(new).difference(old):
+                until[s], since[s] = e, y
+            starts[i : i + len(old)] = [s for s, _ in new]
+    if not out:
+        return EMPTY
+    found = np.array(out)
+    found[:, 0], found[:, 2] = xs[found[:, 0].astype(np.int64)], xs[found[:, 2].astype(np.int64)]
+    return found[np.lexsort((found[:, 0], found[:, 1]))]
+
+
 def combined(operands: list[np.ndarray], rule) -> np.ndarray:
-    """The region where ``rule`` of the operands' masks holds."""
+    """The region where ``rule`` of the operands' masks holds; nowhere outside all of them."""
     every = np.concatenate([EMPTY, *operands])
     if not len(every):
         return EMPTY
     xs, ys = np.unique(every[:, [0, 2]]), np.unique(every[:, [1, 3]])
+    if len(xs) * len(ys) > SMALL:
+        return swept(operands, rule, xs)
     return merged(rule(*(cover(b, xs, ys) for b in operands)), xs, ys)
 
 

@@ -22,11 +22,11 @@ BLOCK = 64
 NO_COORDS, MISSING, NO_SCALE, FLAT, OK = "no-coords", "missing-file", "no-scale", "flat", "ok"
 
 
-def in_view(shapes: DataFrame, images: DataFrame, fov: int, grid: int = 1000) -> DataFrame:
+def in_view(shapes: DataFrame, images: DataFrame, fov: int) -> DataFrame:
     """Shapes in each image's field, once each, with the image's centre."""
     half = fov // 2
     fields = images.select("image_id", "cx", "cy", *((F.col(c) + s * half).alias(n) for n, c, s in (("qx1", "cx", -1), ("qy1", "cy", -1), ("qx2", "cx", 1), ("qy2", "cy", 1))))
-    return bbox_join(shapes, fields, grid).select("image_id", "cx", "cy", "layer", "x1", "y1", "x2", "y2")
+    return bbox_join(shapes, fields, fov).select("image_id", "cx", "cy", "layer", "x1", "y1", "x2", "y2")
 
 
 def fields_at(images: DataFrame, corner_x, corner_y, fov: int, *, flip_y: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.ordered import next_value, running_total
+from gridloom.operators.overlap import bbox_join
 
 
 def sequential_pages(images: DataFrame) -> DataFrame:
@@ -158,14 +159,13 @@ def evenly_spaced(rows: DataFrame, order: str, n: int) -> DataFrame:
 def nearest(points: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
     """(query_id, image_id, d2): the nearest point within the radius, if any.
 
-    Points and queries meet in grid squares of the radius; of equal distances
-    the later point wins.
+    Points and the boxes around queries meet in grid squares, of which dense ones are
+    dealt to parts; of equal distances the later point wins.
     """
-    at = lambda c: F.floor(F.col(c) / radius)
-    homed = points.withColumns({"_bx": at("x"), "_by": at("y")})
-    spread = queries.withColumn("_bx", F.explode(F.sequence(at("qx") - 1, at("qx") + 1))).withColumn("_by", F.explode(F.sequence(at("qy") - 1, at("qy") + 1)))
+    boxes = points.select("*", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    around = queries.select("*", *((F.col(f"q{a}") + s * radius).alias(f"q{a}{k}") for k, s in ((1, -1), (2, 1)) for a in "xy"))
     d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    near = homed.join(spread, ["_bx", "_by"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    near = bbox_join(boxes, around, 2 * radius).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
     best = F.min(F.struct("d2", (-F.col("image_id")).alias("_id"))).alias("s")
     return near.groupBy("query_id").agg(best).select("query_id", (-F.col("s._id")).alias("image_id"), "s.d2")
 

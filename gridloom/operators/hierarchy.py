@@ -4,11 +4,16 @@ The graph is walked level by level: the frontier of (root, cell, transform) rows
 is joined with the placements, one shuffle a level, pruned by the query box
 before any geometry is read. Unknown cells end a path; a cell that is its own
 ancestor is skipped, as is anything below ``MAX_DEPTH``.
+
+Placements and shapes may be arrays: ``nx`` by ``ny`` elements, stepped along (vx, vy)
+and (wx, wy). Arrays stay descriptors: the query box is turned back into the parent's
+coordinates, which leaves a range of indices of each array, and only those elements
+are ever made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import moved_box, turn_matrix
@@ -18,6 +23,7 @@ from gridloom.operators.overlap import touches
 MAX_DEPTH = 128
 _BOX = ["x1", "y1", "x2", "y2"]
 _STATE = ["cell_id", "a", "b", "c", "d", "tx", "ty"]
+_LATTICE = ["nx", "ny", "vx", "vy", "wx", "wy"]
 
 
 def _matrix(prefix: str = "") -> list[Column]:
@@ -191,3 +197,126 @@ def region_layers(flat: DataFrame) -> DataFrame:
     """One row for each layer that has shapes in the region: their number and the box around them."""
     around = [f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), _BOX, strict=True)]
     return flat.groupBy("layer", "datatype").agg(F.count("*").alias("n"), *around)
+
+
+def corners(placement: DataFrame) -> DataFrame:
+    """The arrays' outermost elements as single placements; they span the same box."""
+    ends = [F.array_distinct(F.array(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("nx", "ny")]
+    each = placement.where("nx > 0 and ny > 0").withColumn("_i", F.explode(ends[0])).withColumn("_j", F.explode(ends[1]))
+    moved = {c: F.col(c) + F.col("_i") * F.col(f"v{c}") + F.col("_j") * F.col(f"w{c}") for c in "xy"}
+    return each.withColumns(moved).drop("_i", "_j", *_LATTICE)
+
+
+def _ranged(rows: DataFrame, box: list[str], query: list[str]) -> DataFrame:
+    """``_i0`` to ``_j1``: first and last index along both steps of elements of ``box`` that can touch ``query``.
+
+    Offsets that touch lie in a box; its corners, in steps of the lattice, bound the
+    indices. A step that is not taken is replaced by one across the other; where both
+    steps are along one line all indices are left in. Worked out in steps with columns
+    of their own, so that no step's code repeats the one before.
+    """
+    col = F.col
+    pick = lambda n, m, own, x, y: F.when(col(n) > 1, col(own)).when(col(m) > 1, y).otherwise(x).cast("double")
+    steps = {"_vx": pick("nx", "ny", "vx", F.lit(1), col("wy")), "_vy": pick("nx", "ny", "vy", F.lit(0), -col("wx")), "_wx": pick("ny", "nx", "wx", F.lit(0), -col("vy")), "_wy": pick("ny", "nx", "wy", F.lit(1), col("vx"))}
+    offsets = {"_lx": col(query[0]) - col(box[2]), "_ly": col(query[1]) - col(box[3]), "_hx": col(query[2]) - col(box[0]), "_hy": col(query[3]) - col(box[1])}
+    found = rows.withColumns(steps | offsets).withColumn("_det", col("_vx") * col("_wy") - col("_vy") * col("_wx"))
+    corners_ = [(col(x), col(y)) for x in ("_lx", "_hx") for y in ("_ly", "_hy")]
+    at = {f"_{n}{k}": (x * col(f"_{o}y") - y * col(f"_{o}x")) * sign / col("_det") for n, o, sign in (("i", "w", 1), ("j", "v", -1)) for k, (x, y) in enumerate(corners_, 2)}
+    found = found.withColumns({k: F.when(col("_det") != 0, v) for k, v in at.items()})
+    ends = {}
+    for k, n in (("i", "nx"), ("j", "ny")):
+        four = [col(f"_{k}{c}") for c in range(2, 6)]
+        # a hair to the outside, as division is not exact; elements are tested afterwards
+        ends[f"_{k}0"] = F.coalesce(F.greatest(F.ceil(F.least(*four) - 1e-6), F.lit(0)).cast("long"), F.lit(0))
+        ends[f"_{k}1"] = F.coalesce(F.least(F.floor(F.greatest(*four) + 1e-6).cast("long"), col(n) - 1), col(n) - 1)
+    return found.withColumns(ends).drop(*steps, *offsets, *at, "_det")
+
+
+def _elements(rows: DataFrame, box: list[str], query: list[str]) -> DataFrame:
+    """The array elements (``_dx``, ``_dy``) whose ``box`` touches ``query``, both named columns."""
+    own, asked = [F.col(c) for c in box], [F.col(c) for c in query]
+    # outer, as else a filter with all that leads to the indices would be inferred and pushed down
+    within = lambda k: F.explode_outer(F.when(F.col(f"_{k}0") <= F.col(f"_{k}1"), F.sequence(f"_{k}0", f"_{k}1")))
+    each = _ranged(rows, box, query).withColumn("_i", within("i")).withColumn("_j", within("j"))
+    each = each.withColumns({f"_d{c}": F.col("_i") * F.col(f"v{c}") + F.col("_j") * F.col(f"w{c}") for c in "xy"})
+    there = [c + F.col(d) for c, d in zip(own, ("_dx", "_dy", "_dx", "_dy"), strict=True)]
+    return each.where(touches(there, asked)).drop("_i0", "_i1", "_j0", "_j1", "_i", "_j", *box, *query)
+
+
+def _turned_back(box: tuple[int, int, int, int]) -> dict[str, Column]:
+    """The query box in the coordinates of a frontier's cell."""
+    m = _matrix()
+    ends = [F.lit(v).cast("long") - F.col(t) for v, t in zip(box, ("tx", "ty", "tx", "ty"), strict=True)]
+    return {f"_q{c}": v for c, v in zip(_BOX, moved_box([m[0], m[2], m[1], m[3]], [F.lit(0), F.lit(0)], ends), strict=True)}
+
+
+def walk_arrays(placement: DataFrame, root: int, bounds: DataFrame, box: tuple[int, int, int, int]) -> tuple[DataFrame, list[dict]]:
+    """Instances under ``root`` whose subtree touches ``box``, of placements that are arrays, and counters.
+
+    ``bounds`` come from :func:`subtree_bounds` of :func:`corners`. Counters have one
+    row a level: array placements met, their elements, the largest array, placements
+    skipped because they lead back to a cell on the way down, instances kept, and
+    elements pruned. They are observed while levels are written, so that a task that
+    runs again may count twice; they steer nothing.
+    """
+    spark = placement.sparkSession
+    edges = placement.select("parent", "child", "x", "y", *_LATTICE, *(c.alias(f"e{v}") for v, c in zip("abcd", turn_matrix(F.col("q"), F.col("flip")), strict=True)))
+    below = bounds.select(F.col("cell_id").alias("child"), *(F.col(c).alias(f"_{c}") for c in _BOX))
+    one = [1, 0, 0, 1]
+    frontier = spark.range(1).select(F.lit(root).cast("long").alias("cell_id"), *(F.lit(v).alias(n) for v, n in zip(one, "abcd", strict=True)), F.lit(0).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty"), F.array(F.lit(root).cast("long")).alias("path"))
+    levels, counters = [frontier], []
+    m, e = _matrix(), _matrix("e")
+    product = [m[0] * e[0] + m[1] * e[2], m[0] * e[1] + m[1] * e[3], m[2] * e[0] + m[3] * e[2], m[2] * e[1] + m[3] * e[3]]
+    for level in range(1, MAX_DEPTH + 1):
+        met, left = Observation(), Observation()
+        again = F.array_contains("path", F.col("child"))
+        n = F.when(~again, F.col("nx") * F.col("ny"))
+        joined = frontier.withColumns(_turned_back(box)).join(edges, F.col("cell_id") == F.col("parent"))
+        joined = joined.observe(met, F.count(n).alias("placements"), F.coalesce(F.sum(n), F.lit(0)).alias("elements"), F.coalesce(F.max(n), F.lit(0)).alias("largest"), F.count_if(again).alias("skipped"))
+        there = moved_box(e, [F.col("x"), F.col("y")], [F.col(f"_{c}") for c in _BOX])
+        held = joined.where(~again).join(below, "child").withColumns({f"_b{c}": v for c, v in zip(_BOX, there, strict=True)})
+        inside = _elements(held, [f"_b{c}" for c in _BOX], [f"_q{c}" for c in _BOX])
+        x, y = F.col("x") + F.col("_dx"), F.col("y") + F.col("_dy")
+        moved = inside.select(
+            F.col("child").alias("cell_id"), *(p.alias(v) for p, v in zip(product, "abcd", strict=True)),
+            (m[0] * x + m[1] * y + F.col("tx")).alias("tx"), (m[2] * x + m[3] * y + F.col("ty")).alias("ty"), F.array_append("path", F.col("child")).alias("path"),
+        )
+        frontier = kept(moved.observe(left, F.count(F.lit(1)).alias("kept")))
+        seen = {"level": level, **met.get, **left.get}
+        if not seen["placements"] and not seen["skipped"]:
+            break
+        counters.append(seen | {"pruned": seen["elements"] - seen["kept"]})
+        if not seen["kept"]:
+            break
+        levels.append(frontier)
+    out = levels[0]
+    for frontier in levels[1:]:
+        out = out.unionByName(frontier)
+    return out.select(*_STATE), counters
+
+
+def flattened_arrays(placed: DataFrame, arrays: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
+    """Rectangles (cell_id, x1..y2, other columns) that touch ``box``, of shapes that are arrays."""
+    more = [c for c in arrays.columns if c not in ("cell_id", *_BOX, *_LATTICE)]
+    own = arrays.select("cell_id", *_LATTICE, *(F.col(c).alias(f"_b{c}") for c in _BOX), *(F.col(c).alias(f"_o{c}") for c in _BOX), *(F.col(c).alias(f"own_{c}") for c in more))
+    inside = _elements(placed.withColumns(_turned_back(box)).join(own, "cell_id"), [f"_b{c}" for c in _BOX], [f"_q{c}" for c in _BOX])
+    at = [F.col(f"_o{c}") + F.col(d) for c, d in zip(_BOX, ("_dx", "_dy", "_dx", "_dy"), strict=True)]
+    there = moved_box(_matrix(), [F.col("tx"), F.col("ty")], at)
+    return inside.select("cell_id", *(F.col(f"own_{c}").alias(c) for c in more), *(c.alias(n) for c, n in zip(there, _BOX, strict=True)))
+
+
+def instance_counts(placement: DataFrame, root: int) -> DataFrame:
+    """(cell_id, n): how often each cell occurs under ``root``, without making one instance.
+
+    Counts go down level by level, multiplied by the sizes of arrays. The graph must
+    have no cycles; a way down ends below ``MAX_DEPTH``.
+    """
+    edges = kept(placement.groupBy("parent", "child").agg(F.sum(F.col("nx") * F.col("ny")).alias("times")))
+    frontier = placement.sparkSession.range(1).select(F.lit(root).cast("long").alias("cell_id"), F.lit(1).cast("long").alias("n"))
+    out = frontier
+    for _ in range(MAX_DEPTH):
+        frontier = kept(frontier.join(edges, F.col("cell_id") == F.col("parent")).groupBy(F.col("child").alias("cell_id")).agg(F.sum(F.col("n") * F.col("times")).alias("n")))
+        if frontier.isEmpty():
+            break
+        out = out.unionByName(frontier)
+    return out.groupBy("cell_id").agg(F.sum("n").alias("n"))

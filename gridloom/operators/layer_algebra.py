@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import regions
-from gridloom.operators.overlap import bbox_join
+from gridloom.operators.overlap import bbox_join, meeting
+from gridloom.operators.tiling import MOST_SHAPES, reaching, split_windows
 
 
 class FormulaError(ValueError):
@@ -151,15 +152,15 @@ def evaluate(tree: tuple, bound: dict[str, np.ndarray], field: np.ndarray) -> np
     return regions.combined([a, b], rule)
 
 
-def window_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each key, from batches sorted by it."""
+def window_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by it; keys are numbers."""
     held = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
         if len(rows):
-            k = rows[key].to_numpy()
-            edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()]
+            k = np.stack([rows[c].to_numpy() for c in keys])
+            edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 yield rows.slice(a, b - a)
             held = rows.slice(edges[-1])
@@ -167,41 +168,61 @@ def window_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield held
 
 
-def in_windows(shapes: DataFrame, windows: DataFrame, layers: dict[str, tuple[int, int]], grid: int, halo_nm: float) -> DataFrame:
-    """(window_id, wx1..wy2, ref, x1..y2): shapes near each window, by operand name.
+def in_windows(shapes: DataFrame, windows: DataFrame, layers: dict[str, tuple[int, int]], grid: int, halo_nm: float, most: int = MOST_SHAPES) -> DataFrame:
+    """(window_id, part, px1..py2, ref, x1..y2): shapes near each window, by operand name.
 
-    A window without shapes has one row with null ``ref``, so complements see it.
+    Where squares are so dense that a window could meet more than ``most`` shapes,
+    windows are split to parts; else each is one part. A part without shapes has one
+    row with null ``ref``, so complements see it.
     """
     spark = shapes.sparkSession
     bound = spark.createDataFrame([(k, *v) for k, v in layers.items()], "ref string, layer int, datatype int")
     used = shapes.join(F.broadcast(bound), ["layer", "datatype"]).select("ref", "x1", "y1", "x2", "y2")
-    near = windows.select("window_id", *(F.col(f"w{c}") for c in ("x1", "y1", "x2", "y2")), *((F.col(f"w{c}") + s * halo_nm).alias(f"q{c}") for c, s in (("x1", -1), ("y1", -1), ("x2", 1), ("y2", 1))))
-    found = bbox_join(used, near, grid).select("window_id", "wx1", "wy1", "wx2", "wy2", "ref", "x1", "y1", "x2", "y2")
-    empty = near.select("window_id", "wx1", "wy1", "wx2", "wy2", F.lit(None).cast("string").alias("ref"), *(F.lit(0).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    parts = windows.select("window_id", F.lit(0).cast("long").alias("part"), *(F.col(f"w{c}").alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")))
+    near = reaching(parts, halo_nm)
+    known = meeting(used, near, grid)
+    if 9 * known.most > most:  # a part looks into nine squares at most
+        parts = split_windows(windows, used, halo_nm, grid, most)
+        near = reaching(parts, halo_nm)
+        known = meeting(used, near, grid)
+    place = ["window_id", "part", "px1", "py1", "px2", "py2"]
+    found = bbox_join(used, near, grid, known).select(*place, "ref", "x1", "y1", "x2", "y2")
+    empty = near.select(*place, F.lit(None).cast("string").alias("ref"), *(F.lit(0).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
     return found.unionByName(empty)
 
 
-def apply(formula: str, layers: dict[str, tuple[int, int]], shapes: DataFrame, windows: DataFrame, *, grid: int = 2000, recipes: dict[str, str] | None = None) -> DataFrame:
-    """(window_id, x1, y1, x2, y2): the disjoint boxes of a formula in each window."""
-    known = {k: parse(v)[1] for k, v in (recipes or {}).items()}
-    recipe_order(known)
-    tree = expanded(parse(formula)[1], known, layers)
-    around = halo(tree)
-    used = {k: v for k, v in layers.items() if k in names(tree)}
-    rows = in_windows(shapes, windows, used, grid, around)
+def _worked_out(trees: dict[str, tuple], layers: dict[str, tuple[int, int]], shapes: DataFrame, windows: DataFrame, grid: int, most: int) -> DataFrame:
+    """(recipe, window_id, x1..y2) of all formulas, from one join of shapes and windows."""
+    around = {name: halo(tree) for name, tree in trees.items()}
+    used = {k: v for k, v in layers.items() if any(k in names(tree) for tree in trees.values())}
+    rows = in_windows(shapes, windows, used, grid, max(around.values(), default=0.0), most)
+    columns = ["recipe", "window_id", "x1", "y1", "x2", "y2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in window_groups(batches, "window_id"):
-            window = np.array([group[c][0].as_py() for c in ("wx1", "wy1", "wx2", "wy2")], float)
-            field = window + np.array([-around, -around, around, around])
+        for group in window_groups(batches, "window_id", "part"):
+            window = np.array([group[c][0].as_py() for c in ("px1", "py1", "px2", "py2")], float)
             b = np.stack([group[c].to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
             ref = np.array(group["ref"].to_pylist(), object)
-            bound = {k: regions.clipped(regions.boxes(b[ref == k]), field) for k in used}
-            found = regions.clipped(evaluate(tree, bound, field), window)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group["window_id"][0].as_py())), *(pa.array(found[:, i]) for i in range(4))], ["window_id", "x1", "y1", "x2", "y2"])
+            held = {k: regions.boxes(b[ref == k]) for k in used}
+            for name, tree in trees.items():
+                field = window + np.array([-1, -1, 1, 1]) * around[name]
+                found = regions.clipped(evaluate(tree, {k: regions.clipped(v, field) for k, v in held.items()}, field), window)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(np.full(len(found), group["window_id"][0].as_py())), *(pa.array(found[:, i]) for i in range(4))], columns)
+
+    dealt = rows.repartition("window_id", "part").sortWithinPartitions("window_id", "part")
+    return dealt.mapInArrow(work, "recipe string, window_id long, x1 double, y1 double, x2 double, y2 double")
+
 
-    return rows.repartition("window_id").sortWithinPartitions("window_id").mapInArrow(work, "window_id long, x1 double, y1 double, x2 double, y2 double")
+def apply(formula: str, layers: dict[str, tuple[int, int]], shapes: DataFrame, windows: DataFrame, *, grid: int = 2000, recipes: dict[str, str] | None = None, most: int = MOST_SHAPES) -> DataFrame:
+    """(window_id, x1, y1, x2, y2): the disjoint boxes of a formula in each window.
+
+    The boxes of a window that was split end where its parts do.
+    """
+    known = {k: parse(v)[1] for k, v in (recipes or {}).items()}
+    recipe_order(known)
+    tree = expanded(parse(formula)[1], known, layers)
+    return _worked_out({"": tree}, layers, shapes, windows, grid, most).drop("recipe")
 
 
 def binding(value) -> tuple:
@@ -220,7 +241,8 @@ def apply_all(recipes: dict[str, str], layers: dict[str, tuple[int, int]], shape
     """(recipe, window_id, x1..y2) of all recipes, and (recipe, message) of those that fail.
 
     A recipe that cannot be read, or that leads to itself or to an unknown name,
-    is left out with its message; so is one that needs such a recipe.
+    is left out with its message; so is one that needs such a recipe. The others share
+    one join of shapes and windows.
     """
     spark = shapes.sparkSession
     errors: list[tuple[str, str]] = []
@@ -230,24 +252,13 @@ def apply_all(recipes: dict[str, str], layers: dict[str, tuple[int, int]], shape
             known[name] = parse(text)[1]
         except FormulaError as e:
             errors.append((name, str(e)))
-    out = spark.createDataFrame([], "recipe string, window_id long, x1 double, y1 double, x2 double, y2 double")
+    good = {}
     for name in sorted(known):
         try:
-            expanded(known[name], known, layers, (name,))
+            good[name] = expanded(known[name], known, layers, (name,))
         except FormulaError as e:
             errors.append((name, str(e)))
-            continue
-        needed = {k: recipes[k] for k in known if k != name and not _fails(k, known, layers)}
-        out = out.unionByName(apply(recipes[name], layers, shapes, windows, grid=grid, recipes=needed).withColumn("recipe", F.lit(name)))
-    return out, spark.createDataFrame(errors, "recipe string, message string")
-
-
-def _fails(name: str, known: dict[str, tuple], layers: dict[str, tuple[int, int]]) -> bool:
-    try:
-        expanded(known[name], known, layers, (name,))
-    except FormulaError:
-        return True
-    return False
+    return _worked_out(good, layers, shapes, windows, grid, MOST_SHAPES), spark.createDataFrame(errors, "recipe string, message string")
 
 
 def sidecar(recipes: dict[str, str], bindings: dict[str, dict], colors: dict[str, str]) -> list[dict]:

@@ -37,14 +37,14 @@ _SEEN = "FROM images i JOIN shapes s ON s.x1 <= i.xrel + 750 AND s.x2 >= i.xrel
 
 @query("flt_01_fov_overlap", with_views(f"SELECT image_id, layer, datatype, count(*) AS n, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 {_SEEN} GROUP BY image_id, layer, datatype", "images", "shapes"))
 def _(spark, d):
-    seen = bbox_join(view(spark, d, "shapes"), _fields(spark, d), 1000)
+    seen = bbox_join(view(spark, d, "shapes"), _fields(spark, d), 1500)
     return seen.groupBy("image_id", "layer", "datatype").agg(F.count("*").alias("n"), *union_box())
 
 
 @query("flt_03_multi_layer", with_views(f"SELECT image_id, count(*) AS n {_SEEN} WHERE (layer = 10 AND datatype = 0) OR (layer = 12 AND datatype = 2) GROUP BY image_id", "images", "shapes"))
 def _(spark, d):
     shapes = view(spark, d, "shapes").where("(layer = 10 and datatype = 0) or (layer = 12 and datatype = 2)")
-    return bbox_join(shapes, _fields(spark, d), 1000).groupBy("image_id").agg(F.count("*").alias("n"))
+    return bbox_join(shapes, _fields(spark, d), 1500).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
 @query("flt_02_box_rows", with_views("SELECT layer, datatype, x1, y1, x2, y2 FROM shapes WHERE x1 <= 60000 AND x2 >= 20000 AND y1 <= 50000 AND y2 >= 30000", "shapes"))
@@ -75,7 +75,7 @@ def _(spark, d):
     """Shapes of some layers around each defect, placed by its chip's corner, y the other way."""
     shapes = view(spark, d, "shapes").where("(layer = 10 and datatype = 0) or (layer = 12 and datatype = 2)")
     fields = alignment.fields_at(view(spark, d, "images"), 350, -9000, 1500, flip_y=True)
-    return bbox_join(shapes, fields, 1000).groupBy("image_id", "layer").agg(F.count("*").alias("n"))
+    return bbox_join(shapes, fields, 1500).groupBy("image_id", "layer").agg(F.count("*").alias("n"))
 
 
 @query("flt_15_level_of_detail", with_views("SELECT layer, datatype, count(*) AS n FROM shapes WHERE x1 <= 80000 AND x2 >= 10000 AND y1 <= 80000 AND y2 >= 10000 AND greatest(x2 - x1, y2 - y1) >= 0.7 / 0.005 GROUP BY layer, datatype", "shapes"))
@@ -383,3 +383,45 @@ def _(spark, d):
     total = lambda a: F.aggregate("pts", F.lit(0).cast("long"), lambda acc, p: acc + p[a])
     box = G.ring_box(F.col("pts"))
     return flat.select("cell_id", total("x").alias("sx"), total("y").alias("sy"), box[0].alias("x1"), box[3].alias("y2")).groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.min("x1").alias("x1"), F.max("y2").alias("y2"))
+
+
+_EACH = _EDGES.replace("AS (SELECT parent, child, x, y,", "AS (SELECT parent, child, x + i * vx + j * wx AS x, y + i * vy + j * wy AS y, nx * ny AS n_all,").replace(
+    "FROM placement)", "FROM (SELECT *, unnest(range(nx)) AS i FROM placement_arrays), LATERAL (SELECT unnest(range(ny)) AS j))"
+)
+_UP = """up AS (SELECT cell_id, min(x1) AS x1, min(y1) AS y1, max(x2 + (nx - 1) * vx) AS x2, max(y2 + (nx - 1) * vy + (ny - 1) * wy) AS y2 FROM rect_arrays GROUP BY cell_id
+  UNION ALL SELECT parent, min(least(ea * x1 + eb * y1, ea * x2 + eb * y2, ea * x1 + eb * y2, ea * x2 + eb * y1) + x), min(least(ec * x1 + ed * y1, ec * x2 + ed * y2, ec * x1 + ed * y2, ec * x2 + ed * y1) + y),
+  max(greatest(ea * x1 + eb * y1, ea * x2 + eb * y2, ea * x1 + eb * y2, ea * x2 + eb * y1) + x), max(greatest(ec * x1 + ed * y1, ec * x2 + ed * y2, ec * x1 + ed * y2, ec * x2 + ed * y1) + y) FROM up JOIN edge ON up.cell_id = child GROUP BY parent),
+  bound AS (SELECT cell_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM up GROUP BY cell_id)"""
+_STEP = """SELECT level + 1 AS level, child AS cell_id, a * ea + b * ec AS a, a * eb + b * ed AS b, c * ea + d * ec AS c, c * eb + d * ed AS d, a * x + b * y + tx AS tx, c * x + d * y + ty AS ty FROM walk JOIN edge ON cell_id = parent"""
+_ARRAY_WALK = f"""{_EACH}, {_UP}, walk AS (SELECT 0 AS level, CAST(0 AS BIGINT) AS cell_id, 1 AS a, 0 AS b, 0 AS c, 1 AS d, CAST(0 AS BIGINT) AS tx, CAST(0 AS BIGINT) AS ty
+  UNION ALL SELECT s.* FROM ({_STEP}) s JOIN bound k ON s.cell_id = k.cell_id
+    WHERE least(a * x1 + b * y1, a * x2 + b * y2, a * x1 + b * y2, a * x2 + b * y1) + tx <= {_ROI[2]} AND greatest(a * x1 + b * y1, a * x2 + b * y2, a * x1 + b * y2, a * x2 + b * y1) + tx >= {_ROI[0]}
+      AND least(c * x1 + d * y1, c * x2 + d * y2, c * x1 + d * y2, c * x2 + d * y1) + ty <= {_ROI[3]} AND greatest(c * x1 + d * y1, c * x2 + d * y2, c * x1 + d * y2, c * x2 + d * y1) + ty >= {_ROI[1]})"""
+_RECTS = "r AS (SELECT cell_id, layer, datatype, x1 + i * vx + j * wx AS x1, y1 + i * vy + j * wy AS y1, x2 + i * vx + j * wx AS x2, y2 + i * vy + j * wy AS y2 FROM (SELECT *, unnest(range(nx)) AS i FROM rect_arrays), LATERAL (SELECT unnest(range(ny)) AS j))"
+
+
+def _array_walk(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict], DataFrame]:
+    placement, rects = view(spark, d, "placement_arrays"), view(spark, d, "rect_arrays")
+    low_x, low_y, high_x, high_y = repetition.extent()
+    boxes = rects.select("cell_id", (F.col("x1") + low_x).alias("x1"), (F.col("y1") + low_y).alias("y1"), (F.col("x2") + high_x).alias("x2"), (F.col("y2") + high_y).alias("y2"))
+    bounds = hierarchy.subtree_bounds(hierarchy.corners(placement), boxes)
+    return *hierarchy.walk_arrays(placement, 0, bounds, _ROI), rects
+
+
+@query("wlk_12_arrays", with_views(f"+{_ARRAY_WALK}, {_RECTS}, flat AS (SELECT w.cell_id, layer, datatype, least(a * x1 + b * y1, a * x2 + b * y2, a * x1 + b * y2, a * x2 + b * y1) + tx AS x1, least(c * x1 + d * y1, c * x2 + d * y2, c * x1 + d * y2, c * x2 + d * y1) + ty AS y1, greatest(a * x1 + b * y1, a * x2 + b * y2, a * x1 + b * y2, a * x2 + b * y1) + tx AS x2, greatest(c * x1 + d * y1, c * x2 + d * y2, c * x1 + d * y2, c * x2 + d * y1) + ty AS y2 FROM walk w JOIN r ON w.cell_id = r.cell_id) SELECT cell_id, layer, datatype, x1, y1, x2, y2 FROM flat WHERE x1 <= {_ROI[2]} AND x2 >= {_ROI[0]} AND y1 <= {_ROI[3]} AND y2 >= {_ROI[1]}", "placement_arrays", "rect_arrays", recursive=True))
+def _(spark, d):
+    """Shapes of a region, from placements and shapes that are arrays, of which only elements in the region are made."""
+    placed, _, rects = _array_walk(spark, d)
+    return hierarchy.flattened_arrays(placed, rects, _ROI).select("cell_id", "layer", "datatype", "x1", "y1", "x2", "y2")
+
+
+@query("agg_10_array_counters", with_views(f"+{_ARRAY_WALK}, met AS (SELECT level + 1 AS level, count(*) AS placements, CAST(sum(nx * ny) AS BIGINT) AS elements, max(nx * ny) AS largest FROM walk JOIN placement_arrays ON cell_id = parent GROUP BY level), got AS (SELECT level, count(*) AS n FROM walk GROUP BY level) SELECT met.level, placements, elements, largest, CAST(0 AS BIGINT) AS skipped, coalesce(n, 0) AS kept, elements - coalesce(n, 0) AS pruned FROM met LEFT JOIN got ON met.level = got.level", "placement_arrays", "rect_arrays", recursive=True))
+def _(spark, d):
+    """What a walk of arrays meets, makes and leaves out, level by level."""
+    _, counters, _ = _array_walk(spark, d)
+    return spark.createDataFrame([tuple(c[k] for k in ("level", "placements", "elements", "largest", "skipped", "kept", "pruned")) for c in counters], "level int, placements long, elements long, largest long, skipped long, kept long, pruned long")
+
+
+@query("wlk_13_instance_counts", with_views("+n AS (SELECT CAST(0 AS BIGINT) AS cell_id, CAST(1 AS BIGINT) AS n UNION ALL SELECT child, n * nx * ny FROM n JOIN placement_arrays ON cell_id = parent) SELECT cell_id, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY cell_id", "placement_arrays", recursive=True))
+def _(spark, d):
+    return hierarchy.instance_counts(view(spark, d, "placement_arrays"), 0)

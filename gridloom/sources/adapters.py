@@ -49,6 +49,15 @@ VIEWS: dict[str, str] = {
         SELECT CAST(1000000 + o_custkey % {LEAVES} AS BIGINT) AS cell_id, 10 + o_orderkey % 4 AS layer, o_orderkey % 3 AS datatype, (o_orderkey * 37) % 1900 AS x1, (o_orderkey * 53) % 1900 AS y1,
           (o_orderkey * 37) % 1900 + 10 + o_orderkey % 40 AS x2, (o_orderkey * 53) % 1900 + 10 + o_orderkey % 30 AS y2
         FROM {orders}""",
+    # the same graph with arrays: some steps across each other, some not taken
+    "placement_arrays": """
+        SELECT p.*, CAST(1 + CAST(floor(x / 2000e0) AS BIGINT) % 4 AS BIGINT) AS nx, CAST(1 + CAST(floor(y / 2000e0) AS BIGINT) % 3 AS BIGINT) AS ny, CAST(CASE WHEN parent < 1000 THEN 400000 ELSE 2500 END AS BIGINT) AS vx,
+          CAST(CAST(floor(x / 2000e0) AS BIGINT) % 2 * 300 AS BIGINT) AS vy, CAST(CAST(floor(y / 2000e0) AS BIGINT) % 2 * -200 AS BIGINT) AS wx, CAST(CASE WHEN parent < 1000 THEN 300000 ELSE 3100 END AS BIGINT) AS wy
+        FROM ({placement_sql}) p""",
+    # rectangles of the leaf cells, as arrays
+    "rect_arrays": """
+        SELECT r.*, CAST(1 + x1 % 5 AS BIGINT) AS nx, CAST(1 + y1 % 3 AS BIGINT) AS ny, CAST(60 + x1 % 7 AS BIGINT) AS vx, CAST(x1 % 3 AS BIGINT) AS vy, CAST(0 AS BIGINT) AS wx, CAST(55 AS BIGINT) AS wy
+        FROM ({cell_rect_sql}) r""",
     # array descriptors: nx by ny steps along two vectors, base box and query box
     "arrays": """
         SELECT p_partkey AS rep_id, CAST(1 + p_size % 9 AS BIGINT) AS nx, CAST(1 + p_partkey % 7 AS BIGINT) AS ny, CAST(20 + p_size AS BIGINT) AS vx,
@@ -83,29 +92,37 @@ VIEWS: dict[str, str] = {
         FROM {nation} JOIN {supplier} ON n_nationkey = s_nationkey""",
 }
 
+for _name in ("placement", "cell_rect"):
+    for _other, _text in VIEWS.items():
+        VIEWS[_other] = _text.replace(f"{{{_name}_sql}}", VIEWS[_name])
 #: What grows with the tables: the side of the layout in nm, and the number of leaf cells.
 _SIZES = {
     "{SIDE}": "(SELECT CAST(ceil(sqrt(count(*)) * 400) AS BIGINT) FROM {lineitem})",
     "{LEAVES}": "(SELECT CAST(floor(count(*) / 30) AS BIGINT) + 1 FROM {orders})",
 }
-for _name, _text in VIEWS.items():
-    for _size, _value in _SIZES.items():
-        _text = _text.replace(_size, _value)
-    VIEWS[_name] = _text
 
 
-def tables_of(view: str) -> set[str]:
-    return set(re.findall(r"\{(\w+)\}", VIEWS[view]))
+def tables_of(text: str) -> set[str]:
+    """The tables that a text needs, without those for sizes."""
+    return set(re.findall(r"\{([a-z]+)\}", text))
+
+
+def _from_tables(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(text)})
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view over the tables in ``sf_dir``."""
-    return spark.sql(VIEWS[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(name)})
+    """The view over the tables in ``sf_dir``; what grows with them is counted first, from footers."""
+    text = VIEWS[name]
+    for size, value in _SIZES.items():
+        if size in text:
+            text = text.replace(size, str(_from_tables(spark, sf_dir, f"SELECT {value} AS n").first().n))
+    return _from_tables(spark, sf_dir, text)
 
 
 def live_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over its one table, read as a stream of files."""
-    (table,) = tables_of(name)
+    (table,) = tables_of(VIEWS[name])
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     # a pattern, as a stream takes a plain path for a folder and a table may be one file
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
@@ -114,5 +131,8 @@ def live_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """DuckDB SQL: the views as common tables in front of ``sql``."""
-    common = ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in names)
+    texts = {n: VIEWS[n] for n in names}
+    for size, value in _SIZES.items():
+        texts = {n: text.replace(size, value) for n, text in texts.items()}
+    common = ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', text)})" for n, text in texts.items())
     return f"WITH {'RECURSIVE ' if recursive else ''}{common}{', ' if sql.startswith('+') else ' '}{sql.removeprefix('+')}"

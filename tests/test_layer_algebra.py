@@ -75,7 +75,7 @@ def test_windows_tile_a_formula(spark):
     layers = {"A": (1, 0), "B": (2, 0)}
     whole = spark.createDataFrame([(0, 0, 0, 1000, 1000)], "window_id long, wx1 long, wy1 long, wx2 long, wy2 long")
     for text in ("A & B", "(A > W:20) - B", "~(A | B)", "R < H:5"):
-        areas = [L.apply(text, layers, shapes, w, reach=80, grid=200, recipes={"R": "A > W:10"}).selectExpr("sum((x2 - x1) * (y2 - y1)) as a").first().a for w in (tiles, whole)]
+        areas = [L.apply(text, layers, shapes, w, grid=200, recipes={"R": "A > W:10"}).selectExpr("sum((x2 - x1) * (y2 - y1)) as a").first().a for w in (tiles, whole)]
         assert abs(areas[0] - areas[1]) < 1e-6, text
 
 
