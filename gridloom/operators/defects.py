@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,23 +74,157 @@ def layer_name(layers: DataFrame, names: DataFrame) -> DataFrame:
 
 
 #: Patterns of the defect list format.
-_DATA = r"(?s)\bDefectList\b\s*(.*?)\s*;\s*(?:EndOfFile|SummarySpec|$)"
-_SPEC = r"DefectRecordSpec\s+[0-9]+\s+([^;]*);"
 _PITCH_NEW, _PITCH_OLD = r"DiePitch\s*[0-9]*\s*\{\s*([-+0-9.eE]+)\s*,?\s*([-+0-9.eE]+)", r"DiePitch\s+([-+0-9.eE]+)\s+([-+0-9.eE]+)"
+#: Tokens: an image list with its braces, a quoted text, a mark, the end of a line, or anything else up to one of these.
+_TOKEN = re.compile(r"""(?P<images>Images?\s+[0-9]+\s*\{(?:"[^"]*+"|[^"}]++)*+\})|"[^"]*"|[{};\n]|[^\s{};"]+""")
+#: Rows that are handed to Spark at once.
+_ROWS_AT_ONCE = 5000
+
+
+class _Tokens:
+    """The tokens of a text, one ahead; line ends only where they are asked for."""
+
+    def __init__(self, text: str):
+        self._found = _TOKEN.finditer(text)
+        self.now: str | None = ""
+        self.step()
+
+    def step(self) -> str | None:
+        before = self.now
+        m = next(self._found, None)
+        self.now, self.images = (m[0], m["images"] is not None) if m else (None, False)
+        return before
+
+    def seek(self, *wanted: str) -> str | None:
+        """Past the next of the wanted tokens; which one it was."""
+        while self.now is not None and self.now not in wanted:
+            self.step()
+        return self.step()
+
+    def until(self, *ends: str) -> list[str]:
+        out = []
+        while self.now is not None and self.now not in ends:
+            out.append(self.step())
+        self.step()
+        return out
+
+
+def _closed_rows(tokens: _Tokens, end: str, most: int | None) -> Iterator[list[tuple[str, bool]]]:
+    """Rows that end with a semicolon, over any number of lines."""
+    row: list[tuple[str, bool]] = []
+    done = 0
+    while tokens.now not in (None, end) and (most is None or done < most):
+        images, token = tokens.images, tokens.step()
+        if token == ";":
+            if row:
+                yield row
+                done += 1
+            row = []
+        elif token != "\n":
+            row.append((token, images))
+    if row and end == "EndOfList":  # the last one of a flat list may be left open
+        yield row
+
+
+def _counted_rows(tokens: _Tokens, columns: int) -> Iterator[list[tuple[str, bool]]]:
+    """Rows that end with a line, but not before they have all their columns."""
+    row: list[tuple[str, bool]] = []
+    while tokens.now is not None:
+        images, token = tokens.images, tokens.step()
+        if token == "\n":
+            if row and len(row) >= columns:
+                yield row
+                row = []
+        elif token == ";":
+            if row:
+                yield row
+                row = []
+            while tokens.now == "\n":
+                tokens.step()
+            if tokens.now is None or tokens.now[0].isalpha():  # a semicolon and the next section
+                return
+        else:
+            row.append((token, images))
+    if row:
+        yield row
+
+
+def _rows(text: str, nested: bool | None) -> Iterator[tuple[dict[str, str], str | None]]:
+    """(values by column, image file) of the rows of a text's first list."""
+    if nested is None:
+        nested = re.match(r"\s*record\s+filerecord\b", text, re.I) is not None and re.search(r"\bColumns\s+[0-9]+\s*\{", text) is not None
+    tokens = _Tokens(text)
+    if nested:
+        if tokens.seek("Columns") is None or tokens.seek("{") is None:
+            return
+        columns = [c.split()[-1] for c in " ".join(t for t in tokens.until("}") if t != "\n").split(",") if c.strip()]
+        if tokens.seek("Data") is None:
+            return
+        count = tokens.step() or ""
+        while tokens.now in ("\n", "{"):
+            tokens.step()
+        rows = _closed_rows(tokens, "}", int(count) if count.isdigit() else 0)
+    else:
+        columns: list[str] = []
+        found = tokens.seek("DefectRecordSpec", "DefectList")
+        if found == "DefectRecordSpec":
+            columns = [c for c in tokens.until(";")[1:] if c != "\n"]
+            found = tokens.seek("DefectList")
+        if found is None:
+            return
+        named = tokens.until("\n")
+        if named and named[0] != ";":  # the columns stand in the list's own line
+            columns = named[1:]
+            if tokens.now is not None and tokens.now.lower() == "data":
+                tokens.until("\n")
+            rows = _closed_rows(tokens, "EndOfList", None)
+        else:
+            rows = _counted_rows(tokens, len(columns))
+    for row in rows:
+        values, image, at = {}, None, 0
+        for token, images in row:
+            if images:
+                image = image or next(iter(re.findall(r'"([^"]*)"', token)), None) or None
+                if at >= len(columns) or "image" not in columns[at].lower():
+                    values["_images"] = token
+                    continue
+            values[columns[at] if at < len(columns) else f"_extra_{at - len(columns) + 1}"] = token
+            at += 1
+        yield values, image
+
+
+def defect_rows(files: DataFrame, nested: bool | None = None) -> DataFrame:
+    """(path, rec_no, values, image_file): the rows of defect lists (path, content), as maps.
+
+    One pass over a text cuts it into tokens; quoted texts and image lists in braces
+    are one token each, whatever they hold. The nested form has ``Columns`` and ``Data``
+    in braces; rows end with a semicolon. A flat list that names its columns in its own
+    line ends rows the same way, up to ``EndOfList``; one that does not has them from
+    ``DefectRecordSpec``, and a row goes on over lines until it has all of them. Without
+    ``nested`` the first line decides, ``Record FileRecord`` in any case of letters; a
+    text that begins so but has no columns in braces is read as flat. Only the first
+    list of a text counts. Values stay texts; tokens past the columns are ``_extra_N``,
+    image lists where no column is named for images ``_images``.
+    """
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.schema([("path", pa.string()), ("rec_no", pa.int32()), ("values", pa.map_(pa.string(), pa.string())), ("image_file", pa.string())])
+        held: list[dict] = []
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["content"], strict=True):
+                for k, (values, image) in enumerate(_rows(text.as_py() or "", nested)):
+                    held.append({"path": path.as_py(), "rec_no": k, "values": list(values.items()), "image_file": image})
+                    if len(held) == _ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(held, shape)
+                        held = []
+        yield pa.RecordBatch.from_pylist(held, shape)
 
-def parse_defects(files: DataFrame) -> DataFrame:
-    """(path, rec_no, values): rows of flat defect lists (path, content), as maps.
+    return files.select("path", "content").mapInArrow(work, "path string, rec_no int, values map<string,string>, image_file string")
 
-    Columns come from the list's own record layout; values stay strings; tokens
-    past the layout are kept as ``_extra_N``.
-    """
-    columns = F.split(F.trim(F.regexp_extract("content", _SPEC, 1)), r"\s+")
-    body = F.regexp_extract("content", _DATA, 1)
-    lines = files.select("path", columns.alias("cols"), F.posexplode(F.split(body, r"\n")).alias("rec_no", "line")).where(F.trim("line") != "")
-    tokens = F.split(F.trim("line"), r"\s+")
-    names = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.coalesce(F.get("cols", i), F.concat(F.lit("_extra_"), (i - F.size("cols") + 1).cast("string"))))
-    return lines.withColumn("tokens", tokens).select("path", "rec_no", F.map_from_arrays(names, "tokens").alias("values"))
+
+def parse_defects(files: DataFrame) -> DataFrame:
+    """(path, rec_no, values): :func:`defect_rows` of flat lists."""
+    return defect_rows(files, False).drop("image_file")
 
 
 def list_version(content: str = "content") -> Column:
@@ -98,7 +236,7 @@ def list_version(content: str = "content") -> Column:
 
 def is_nested(content: str = "content") -> Column:
     """Whether a list is of the nested form, by its first line that is not blank."""
-    return F.regexp_extract(content, r"^\s*([^\r\n]*)", 1).rlike(r"^Record\b")
+    return F.regexp_extract(content, r"^\s*([^\r\n]*)", 1).rlike(r"(?i)^record\s+filerecord\b")
 
 
 def class_names(files: DataFrame) -> DataFrame:
@@ -124,11 +262,8 @@ def list_facts(files: DataFrame) -> DataFrame:
 
 def parse_lists(files: DataFrame) -> DataFrame:
     """(path, version, rec_no, values, image_file): rows of lists of either form."""
-    known = files.withColumns({"_nested": is_nested(), "_version": list_version()})
-    versions = known.select("path", F.col("_version").alias("version"))
-    flat = parse_defects(known.where("not _nested")).withColumn("image_file", F.lit(None).cast("string"))
-    rows = parse_nested(known.where("_nested")).unionByName(flat)
-    return rows.join(versions, "path").select("path", "version", "rec_no", "values", "image_file")
+    versions = files.select("path", list_version().alias("version"))
+    return defect_rows(files).join(versions, "path").select("path", "version", "rec_no", "values", "image_file")
 
 
 def die_pitch(files: DataFrame) -> DataFrame:
@@ -175,27 +310,9 @@ def sent_and_read(sent: DataFrame, read: DataFrame, keys: list[str]) -> DataFram
     return sent.groupBy(*keys).agg(F.count("*").alias("sent")).join(read.groupBy(*keys).agg(F.count("*").alias("read")), keys, "full").na.fill(0, ["sent", "read"])
 
 
-#: Patterns of the nested defect list format.
-_COLUMNS, _ROWS = r"(?s)\bColumns\s+[0-9]+\s*\{([^}]*)\}", r"(?s)\bData\s+([0-9]+)\s*\{?(.*)"
-_TOKENS = r"""Images?\s+[0-9]+\s*\{[^{}]*\}|"[^"]*"|[^\s;{}]+"""
-
-
 def parse_nested(files: DataFrame) -> DataFrame:
-    """(path, rec_no, values, image_file): rows of nested defect lists.
-
-    Only the first list of a file counts. Rows end with a semicolon and may wrap
-    lines; an image list in braces is one token, and its first quoted string is
-    the image's file. Columns are named by the file; values stay strings.
-    """
-    typed = F.split(F.trim(F.regexp_extract("content", _COLUMNS, 1)), r"\s*,\s*")
-    columns = F.transform(typed, lambda c: F.element_at(F.split(c, r"\s+"), -1))
-    count, body = F.regexp_extract("content", _ROWS, 1).try_cast("int"), F.regexp_extract("content", _ROWS, 2)
-    rows = F.slice(F.regexp_extract_all(body, F.lit(r"(?s)[^;]+;"), F.lit(0)), 1, F.coalesce(count, F.lit(0)))
-    lines = files.select("path", columns.alias("cols"), F.posexplode(rows).alias("rec_no", "line"))
-    tokens = lines.withColumn("tokens", F.regexp_extract_all("line", F.lit(_TOKENS), F.lit(0))).where(F.size("tokens") > 0)
-    names = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.coalesce(F.get("cols", i), F.concat(F.lit("_extra_"), (i - F.size("cols") + 1).cast("string"))))
-    image = F.get(F.filter("tokens", lambda t: t.rlike(r"^Images?\s")), F.lit(0))
-    return tokens.select("path", "rec_no", F.map_from_arrays(names, "tokens").alias("values"), F.nullif(F.regexp_extract(image, '"([^"]*)"', 1), F.lit("")).alias("image_file"))
+    """(path, rec_no, values, image_file): :func:`defect_rows` of nested lists."""
+    return defect_rows(files, True)
 
 
 def page_map(images: DataFrame, total: Column) -> DataFrame:
@@ -229,9 +346,9 @@ def image_entries(tokens: str, count: Column, start: Column, per_image: Column)
 
 def braced_entries(text: str, count: Column) -> Column:
     """The values of each image in ``Images N {a b, c d}``; an empty array if they are not ``count``."""
-    inside = F.regexp_extract(text, r"(?s)^Images\s+[0-9]+\s*\{(.*)\}\s*$", 1)
-    parts = F.filter(F.split(inside, ","), lambda e: F.trim(e) != "")
-    each = F.transform(parts, lambda e: F.split(F.trim(e), r"\s+"))
+    inside = F.regexp_extract(text, r"(?s)^Images?\s+[0-9]+\s*\{(.*)\}\s*$", 1)
+    parts = F.filter(F.regexp_extract_all(inside, F.lit('((?:"[^"]*+"|[^",]++)++)'), F.lit(1)), lambda e: F.trim(e) != "")
+    each = F.transform(parts, lambda e: F.regexp_extract_all(e, F.lit(r'("[^"]*"|[^\s"]+)'), F.lit(1)))
     return F.when((count > 0) & (F.size(parts) == count), each).otherwise(F.array().cast("array<array<string>>"))
 
 

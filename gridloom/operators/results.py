@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ordered import kept
+
 #: Status words and the score that counts as good by default.
 OK, LOW, NOT_RUN, NO_COORDS = "ok", "low-score", "not-run", "no-coords"
 MIN_SCORE = 0.5
@@ -34,20 +36,27 @@ def with_status(images: DataFrame, refined: DataFrame, threshold: float = MIN_SC
     return images.join(refined, "image_id", "left").withColumn("status", status)
 
 
+def succeeded(run: DataFrame) -> Column:
+    """Whether a row of a run is a result: it has a score and, where the run has a ``status``, that is ok."""
+    scored = F.col("score").isNotNull()
+    return scored & (F.col("status") == OK) if "status" in run.columns else scored
+
+
 def keep_better(old: DataFrame, new: DataFrame) -> DataFrame:
     """One result an image: the new one only if its score is strictly better.
 
-    A new result without a score replaces nothing, and is not stored either.
+    A new row that is no result (see :func:`succeeded`) replaces nothing, and is not
+    stored either.
     """
     values = ["dx_nm", "dy_nm", "score"]
-    both = old.alias("o").join(new.where("score is not null").alias("n"), "image_id", "full")
+    both = old.alias("o").join(new.where(succeeded(new)).alias("n"), "image_id", "full")
     take_new = F.col("n.score").isNotNull() & (F.col("o.score").isNull() | (F.col("n.score") > F.col("o.score")))
     return both.select("image_id", *(F.when(take_new, F.col(f"n.{v}")).otherwise(F.col(f"o.{v}")).alias(v) for v in values), F.when(take_new, "new").otherwise("old").alias("kept"))
 
 
 def apply_run(old: DataFrame, run: DataFrame) -> DataFrame:
     """Results after a full run: ok rows replace, any other run row removes."""
-    good = run.where("score is not null").select("image_id", "dx_nm", "dy_nm", "score")
+    good = run.where(succeeded(run)).select("image_id", "dx_nm", "dy_nm", "score")
     return old.join(run.select("image_id"), "image_id", "left_anti").select("image_id", "dx_nm", "dy_nm", "score").unionByName(good)
 
 
@@ -66,10 +75,51 @@ def color_class(score: str = "score") -> Column:
     return F.when(F.col(score).isNull(), "none").when(F.col(score) >= 0.7, "good").when(F.col(score) >= 0.5, "fair").otherwise("poor")
 
 
+def exact_medians(rows: DataFrame, by: str, values: list[str], least: int = 100_000) -> DataFrame:
+    """(by, medians): the middle value of each group, or the mean of the middle two; nulls are left out.
+
+    Groups of up to ``least`` values are sorted where they are. Of larger ones no task
+    ever holds all values: rounds of histograms, for all groups and columns at once,
+    narrow the stretch in which a middle value lies, until it holds few enough values
+    or only one. A round moves one row a bin.
+    """
+    bins = 1024
+    long = rows.select(by, F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.col(v).cast("double").alias("v")) for k, v in enumerate(values)))).alias("_s")).select(by, "_s.c", "_s.v").where("v is not null")
+    ends = kept(long.groupBy(by, "c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    # both middle places of a group, counted from 0; they are one if the number is odd
+    places = F.array_distinct(F.array(*(F.floor(x / 2).cast("long") for x in (F.col("n") - 1, F.col("n")))))
+    todo = kept(ends.select(by, "c", F.explode(places).alias("place"), "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside")))
+    found = []
+    while True:
+        few = todo.where((F.col("inside") <= least) & (F.col("lo") < F.col("hi")))
+        single = todo.where(F.col("lo") == F.col("hi"))
+        found.append(single.select(by, "c", "place", F.col("lo").alias("v")))
+        asked = few.select(F.col(by).alias("_by"), F.col("c").alias("_c"), "place", "lo", "hi", "before")
+        same = (F.col(by).eqNullSafe(F.col("_by"))) & (F.col("c") == F.col("_c"))
+        sorted_ = long.join(asked.hint("merge"), same).where("v between lo and hi").groupBy(by, "c", "place", "before").agg(F.array_sort(F.collect_list("v")).alias("_vs"))
+        found.append(sorted_.select(by, "c", "place", F.get("_vs", (F.col("place") - F.col("before")).cast("int")).alias("v")))
+        heavy = todo.where((F.col("inside") > least) & (F.col("lo") < F.col("hi")))
+        if heavy.isEmpty():
+            break
+        asked = heavy.select(F.col(by).alias("_by"), F.col("c").alias("_c"), "place", "lo", "hi", "before")
+        at = F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
+        counted = long.join(asked.hint("merge"), same).where("v between lo and hi").groupBy(by, "c", "place", "before", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(by, "c", "place").orderBy("bin"))
+        summed = counted.withColumn("upto", F.col("before") + upto).where("place < upto and place >= upto - n")
+        todo = kept(summed.select(by, "c", "place", "lo", "hi", (F.col("upto") - F.col("n")).alias("before"), F.col("n").alias("inside")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    every = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))  # groups of nulls alone too
+    held = every.select(by, F.lit(-1).alias("c"), F.lit(None).cast("double").alias("v")).unionByName(out.select(by, "c", "v"))
+    return held.groupBy(by).agg(*(F.avg(F.when(F.col("c") == k, F.col("v"))).alias(v) for k, v in enumerate(values)))
+
+
 def medians(rows: DataFrame, by: str) -> DataFrame:
     """Medians of offsets and length by group; the middle two are averaged."""
     length = F.sqrt(F.col("dx_nm") * F.col("dx_nm") + F.col("dy_nm") * F.col("dy_nm"))
-    return rows.groupBy(by).agg(F.median("dx_nm").alias("dx"), F.median("dy_nm").alias("dy"), F.round(F.median(length), 6).alias("length"))
+    found = exact_medians(rows.select(by, F.col("dx_nm").alias("dx"), F.col("dy_nm").alias("dy"), length.alias("length")), by, ["dx", "dy", "length"])
+    return found.withColumn("length", F.round("length", 6))
 
 
 def perf_summary(events: DataFrame) -> DataFrame:

@@ -238,9 +238,10 @@ def _(spark, d):
 
 @query("klarf_parse", with_views("SELECT 'lot' || CAST(kind AS VARCHAR) AS path, CAST(image_id AS VARCHAR) AS defect_id, CAST(CAST(xrel AS DOUBLE) * 1000 AS DOUBLE) AS x_nm FROM images", "images"))
 def _(spark, d):
-    """Defect lists rendered as text, one file for each 500 images of a kind, and read back."""
+    """Defect lists rendered as text, one file for each 500 images of a kind, and read back; some rows go over two lines."""
     rows = view(spark, d, "images")
-    line = F.concat_ws(" ", "image_id", "xrel", "yrel", "n_pages", F.lit("spare"))
+    gap = F.when(F.col("image_id") % 3 == 0, "\n  ").otherwise(" ")
+    line = F.concat(F.concat_ws(" ", "image_id", "xrel"), gap, F.concat_ws(" ", "yrel", "n_pages", F.lit("spare")))
     head = F.lit("FileVersion 1 2;\nDefectRecordSpec 4 DEFECTID XREL YREL IMAGECOUNT ;\nDefectList\n")
     files = rows.groupBy("kind", F.floor(F.col("rec_no") / 500).alias("part")).agg(F.concat(head, F.array_join(F.collect_list(line), "\n"), F.lit(";\nEndOfFile;")).alias("content"))
     parsed = defects.parse_defects(files.select(F.concat(F.lit("lot"), "kind").alias("path"), "content"))
@@ -430,3 +431,23 @@ def _(spark, d):
     images = view(spark, d, "images")
     listed = F.when(F.col("n_pages") > 0, F.sequence(F.col("image_id") * 4 + 1, F.col("image_id") * 4 + F.col("n_pages"))).otherwise(F.array().cast("array<bigint>"))
     return defects.page_map(images.withColumn("ids", listed), F.lit(images.count() * 4))
+
+
+@query("klarf_flat18", with_views("SELECT 'lot' || kind AS path, CAST(image_id AS VARCHAR) AS defect_id, xrel AS x_nm, CASE WHEN n_pages > 0 THEN 'a;b } ' || CAST(image_id AS VARCHAR) || ', x.tif' END AS image_file, CASE WHEN n_pages = 0 THEN '\"left; over\"' END AS extra FROM images", "images"))
+def _(spark, d):
+    """The flat form that names its columns in the list's line; rows wrap, quoted texts hold marks."""
+    rows = view(spark, d, "images")
+    image = F.when(F.col("n_pages") > 0, F.concat(F.lit('Image 1 { "a;b } '), "image_id", F.lit(', x.tif" "T" }'))).otherwise('0 "left; over"')
+    line = F.concat(F.col("image_id").cast("string"), F.lit("\n  "), F.col("xrel").cast("string"), F.lit(" "), image, F.lit(" ;"))
+    foot = F.lit("\nEndOfList\nDefectList 1 OTHER\nData 1\n 5 ;\nEndOfList\nEndOfFile;")
+    files = rows.groupBy("kind", F.floor(F.col("rec_no") / 500).alias("part")).agg(F.concat(F.lit("FileVersion 1 8;\nDefectList 3 DEFECTID XREL IMAGELIST\nData "), F.count("*").cast("string"), F.lit("\n"), F.array_join(F.collect_list(line), "\n"), foot).alias("content"))
+    parsed = defects.parse_lists(files.select(F.concat_ws("-", F.concat(F.lit("lot"), "kind"), "part").alias("path"), "content"))
+    return parsed.select(F.substring_index("path", "-", 1).alias("path"), F.col("values")["DEFECTID"].alias("defect_id"), F.col("values")["XREL"].try_cast("bigint").alias("x_nm"), "image_file", F.col("values")["_extra_1"].alias("extra"))
+
+
+@query("aln_10_status", with_views("+run AS (SELECT image_id, dx_nm, dy_nm, coalesce(score, 0e0) AS score, CASE WHEN score IS NULL THEN 'flat' ELSE 'ok' END AS status FROM rerun) SELECT image_id, dx_nm, dy_nm, score FROM refined WHERE image_id NOT IN (SELECT image_id FROM run) UNION ALL SELECT image_id, dx_nm, dy_nm, score FROM run WHERE status = 'ok'", "refined", "rerun"))
+def _(spark, d):
+    """A run whose failures carry a status and a score of zero, as matching gives them."""
+    status = F.when(F.col("score").isNull(), "flat").otherwise("ok")
+    run = view(spark, d, "rerun").withColumn("status", status).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return results.apply_run(view(spark, d, "refined"), run)
