@@ -31,6 +31,42 @@ def mask(boxes: np.ndarray, x0: float, y0: float, nm_per_px: float, height: int,
     return masks(boxes, np.zeros(len(boxes), np.int64), 1, x0, y0, nm_per_px, height, width)[0]
 
 
+def filled(edges: np.ndarray, plane: np.ndarray, planes: int, x0, y0, nm_per_px: float, height: int, width: int, even_odd: bool = False) -> np.ndarray:
+    """Pixels of each plane whose centres lie inside the outlines given by directed edges (xa, ya, xb, yb).
+
+    Every edge marks where it crosses the middle of a row of pixels; summed along the
+    row, the marks are how often outlines go around a centre. Inside is where that is
+    not 0, so outlines of one direction are united, or with ``even_odd`` where it is
+    odd. Of a border the left and the lower part belong to the inside.
+    """
+    xa, ya, xb, yb = edges.T.astype(float)
+    x0, y0 = np.broadcast_to(x0, len(edges)), np.broadcast_to(y0, len(edges))
+    low, high = (np.clip(np.ceil((v - y0) / nm_per_px - 0.5), 0, height).astype(np.int64) for v in (np.minimum(ya, yb), np.maximum(ya, yb)))
+    n = high - low
+    e = np.repeat(np.arange(len(edges)), n)
+    row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[e]
+    y = y0[e] + (row + 0.5) * nm_per_px
+    x = xa[e] + (y - ya[e]) * (xb[e] - xa[e]) / (yb[e] - ya[e])
+    col = np.clip(np.ceil((x - x0[e]) / nm_per_px - 0.5), 0, width).astype(np.int64)
+    at = (plane[e] * height + height - 1 - row) * (width + 1) + col
+    marks = np.bincount(at, np.where(yb > ya, -1.0, 1.0)[e], planes * height * (width + 1)).reshape(planes, height, width + 1)
+    around = np.rint(marks.cumsum(axis=2)[:, :, :width]).astype(np.int64)
+    return (around % 2 if even_odd else around) != 0
+
+
+def ring_edges(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, polygon of each edge) of polygons whose points begin at ``starts``, all turned against the clock."""
+    n = np.diff(np.r_[starts, len(points)])
+    of = np.repeat(np.arange(len(starts)), n)
+    after = np.arange(1, len(points) + 1)
+    after[starts + n - 1] = starts
+    edges = np.concatenate([points, points[after]], axis=1).astype(float)
+    area = np.bincount(of, edges[:, 0] * edges[:, 3] - edges[:, 2] * edges[:, 1], len(starts))
+    back = area[of] < 0
+    edges[back] = edges[back][:, [2, 3, 0, 1]]
+    return edges, of
+
+
 def label_planes(boxes: np.ndarray, ids: np.ndarray, plane: np.ndarray, planes: int, *grid) -> np.ndarray:
     """Label of each pixel of each plane; a larger id covers a smaller one, 0 is none."""
     height, width = grid[-2:]

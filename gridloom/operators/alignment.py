@@ -96,6 +96,31 @@ def label_counts(seen: DataFrame, fov: int, pixels: int) -> DataFrame:
     return _by_image(seen).mapInArrow(work, "image_id long, layer int, n_pixels long")
 
 
+def polygon_pixels(seen: DataFrame, fov: int, pixels: int, even_odd: bool = False) -> DataFrame:
+    """(image_id, layer, n_pixels): pixels whose centres lie in polygons, by image and layer.
+
+    ``seen`` holds image_id, cx, cy, layer and the points ``pts`` of each polygon in view.
+    Polygons of a layer are united; with ``even_odd`` what two of them cover is out.
+    """
+    scale = fov / pixels
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, place, keys in _blocks(batches, "image_id"):
+            lists = rows["pts"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            points = np.stack([lists.flatten().field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1)
+            starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+            layers, layer = np.unique(rows["layer"].to_numpy(), return_inverse=True)
+            edges, of = raster.ring_edges(points, starts)
+            x0, y0 = _corners(rows, fov)
+            drawn = raster.filled(edges, (place * len(layers) + layer)[of], len(keys) * len(layers), x0[of], y0[of], scale, pixels, pixels, even_odd)
+            n = drawn.sum(axis=(1, 2)).reshape(len(keys), len(layers))
+            i, k = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(layers[k].astype(np.int32)), pa.array(n[i, k].astype(np.int64))], ["image_id", "layer", "n_pixels"])
+
+    return _by_image(seen).mapInArrow(work, "image_id long, layer int, n_pixels long")
+
+
 def matched(images: DataFrame, shapes: DataFrame, grey: dict[int, int], fov: int, pixels: int, radius: int, sigma: float = 1.0) -> DataFrame:
     """(image_id, dx_nm, dy_nm, score, status): every image against its layout.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
-from gridloom.operators import alignment, defects, hierarchy, layer_algebra, repetition, tiling
+from gridloom.operators import alignment, contours, defects, hierarchy, layer_algebra, repetition, tiling
 from gridloom.operators.overlap import bbox_join, normalized, touches, union_box
 from gridloom.sources import oasis
 from gridloom.sources.adapters import view, with_views
@@ -425,3 +425,39 @@ def _(spark, d):
 @query("wlk_13_instance_counts", with_views("+n AS (SELECT CAST(0 AS BIGINT) AS cell_id, CAST(1 AS BIGINT) AS n UNION ALL SELECT child, n * nx * ny FROM n JOIN placement_arrays ON cell_id = parent) SELECT cell_id, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY cell_id", "placement_arrays", recursive=True))
 def _(spark, d):
     return hierarchy.instance_counts(view(spark, d, "placement_arrays"), 0)
+
+
+def _ring_sql(rule: str) -> str:
+    """Corners, area, and outer rings less holes, from the patterns of two by two cells around each point of a window's grid."""
+    cells = _area_sql(rule).rsplit("SELECT window_id, CAST(sum", 1)[0]
+    return f"""{cells}, ix AS (SELECT window_id, a, row_number() OVER (PARTITION BY window_id ORDER BY a) AS i FROM ex), iy AS (SELECT window_id, a, row_number() OVER (PARTITION BY window_id ORDER BY a) AS j FROM ey),
+      lit AS (SELECT c.window_id, i, j, (x2 - x1) * (y2 - y1) AS area FROM (SELECT * FROM cell WHERE {rule}) c JOIN ix ON c.window_id = ix.window_id AND c.x1 = ix.a JOIN iy ON c.window_id = iy.window_id AND c.y1 = iy.a),
+      quad AS (SELECT window_id, i + di AS i, j + dj AS j, sum(1 << (di * 2 + dj)) AS bits, count(*) AS n FROM lit, (SELECT unnest([0, 1]) AS di), (SELECT unnest([0, 1]) AS dj) GROUP BY ALL),
+      turn AS (SELECT window_id, CASE WHEN n IN (1, 3) THEN 1 WHEN bits IN (6, 9) THEN 2 ELSE 0 END AS corners, CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN bits IN (6, 9) THEN 2 ELSE 0 END AS turns FROM quad)
+      SELECT window_id, CAST(sum(corners) AS BIGINT) AS n_corners, CAST(sum(turns) // 4 AS BIGINT) AS outer_less_holes, (SELECT CAST(sum(area) AS BIGINT) FROM lit WHERE lit.window_id = turn.window_id) AS area FROM turn GROUP BY window_id"""
+
+
+@query("exp_11_rings", _ring_sql("(a OR b) AND NOT c"))
+def _(spark, d):
+    """The outlines of a formula in each tile: corners, rings and their area."""
+    shapes = view(spark, d, "shapes")
+    tiles = tiling.tile_grid(spark, tiling.box_of(shapes), 1500)
+    found = contours.ring_facts(contours.rings(layer_algebra.apply("(A | B) - C", LAYERS, shapes, tiles), ["window_id"]), ["window_id"])
+    sign = F.when(F.col("area") > 0, 1).otherwise(-1)
+    return found.groupBy("window_id").agg(F.sum("n_corners").alias("n_corners"), F.sum(sign).alias("outer_less_holes"), F.sum("area").cast("long").alias("area"))
+
+
+_TRIANGLES = """+near AS (SELECT image_id, layer, x1 - xrel + 750 AS x1, y1 - yrel + 750 AS y1, x2 - xrel + 750 AS x2, y2 - yrel + 750 AS y2 FROM images i JOIN shapes s ON s.x1 <= xrel + 750 AND s.x2 >= xrel - 750 AND s.y1 <= yrel + 750 AND s.y2 >= yrel - 750 WHERE layer IN (10, 12)),
+  px AS (SELECT *, greatest(0, x1 // 25 - 1) AS c1, least(59, x2 // 25) AS c2, greatest(0, y1 // 25 - 1) AS r1, least(59, y2 // 25) AS r2 FROM near),
+  cells AS (SELECT *, unnest(range(r1, r2 + 1)) AS r FROM (SELECT *, unnest(range(c1, c2 + 1)) AS c FROM px)),
+  hit AS (SELECT DISTINCT image_id, layer, c, r FROM cells WHERE c * 25 + 12.5e0 >= x1 AND r * 25 + 12.5e0 >= y1 AND r * 25 + 12.5e0 < y2 AND c * 25 + 12.5e0 < x2 + (r * 25 + 12.5e0 - y1) * (x1 - x2) / CAST(y2 - y1 AS DOUBLE))
+  SELECT image_id, CAST(layer AS INTEGER) AS layer, count(*) AS n_pixels FROM hit GROUP BY image_id, layer"""
+
+
+@query("exp_08_polygon_fill", with_views(_TRIANGLES, "images", "shapes"))
+def _(spark, d):
+    """Triangles, half of each shape, filled at the centres of each image's pixels."""
+    images = view(spark, d, "images").select("image_id", F.col("xrel").alias("cx"), F.col("yrel").alias("cy"))
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    seen = alignment.in_view(view(spark, d, "shapes").where("layer in (10, 12)"), images, 1500)
+    return alignment.polygon_pixels(seen.withColumn("pts", F.array(point("x1", "y1"), point("x1", "y2"), point("x2", "y1"))).drop("x1", "y1", "x2", "y2"), 1500, 60)
