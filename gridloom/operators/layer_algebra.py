@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions import regions
+from gridloom.functions import raster, regions, trapezoids
+from gridloom.functions.geometry import ring_box
 from gridloom.operators.overlap import bbox_join, meeting
 from gridloom.operators.tiling import MOST_SHAPES, reaching, split_windows
 
@@ -135,21 +136,24 @@ def halo(tree: tuple) -> float:
     return own + max((halo(x) for x in tree[1:] if isinstance(x, tuple)), default=0.0)
 
 
-def evaluate(tree: tuple, bound: dict[str, np.ndarray], field: np.ndarray) -> np.ndarray:
-    """The region of a formula; complements and shrinks are taken in ``field``."""
+def evaluate(tree: tuple, bound: dict[str, np.ndarray], field: np.ndarray, algebra=regions) -> np.ndarray:
+    """The region of a formula; complements and shrinks are taken in ``field``.
+
+    ``algebra`` is the module that regions belong to: boxes or trapezoids.
+    """
     op = tree[0]
     if op == "ref":
-        return regions.dissolved(bound.get(tree[1], regions.EMPTY))
-    a = evaluate(tree[1], bound, field)
+        return algebra.dissolved(bound.get(tree[1], algebra.EMPTY))
+    a = evaluate(tree[1], bound, field, algebra)
     if op == "not":
-        return regions.complement(a, field)
+        return algebra.complement(a, field)
     if op == "grow":
-        return regions.grown(a, tree[2], tree[3])
+        return algebra.grown(a, tree[2], tree[3])
     if op == "shrink":
-        return regions.shrunk(a, tree[2], tree[3], field)
-    b = evaluate(tree[2], bound, field)
+        return algebra.shrunk(a, tree[2], tree[3], field)
+    b = evaluate(tree[2], bound, field, algebra)
     rule = {"&": lambda x, y: x & y, "|": lambda x, y: x | y, "-": lambda x, y: x & ~y}[op]
-    return regions.combined([a, b], rule)
+    return algebra.combined([a, b], rule)
 
 
 def window_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -225,6 +229,43 @@ def apply(formula: str, layers: dict[str, tuple[int, int]], shapes: DataFrame, w
     return _worked_out({"": tree}, layers, shapes, windows, grid, most).drop("recipe")
 
 
+def apply_polygons(formula: str, layers: dict[str, tuple[int, int]], polygons: DataFrame, windows: DataFrame, *, grid: int = 2000, recipes: dict[str, str] | None = None) -> DataFrame:
+    """(window_id, y1, y2, left1, right1, left2, right2): the trapezoids of a formula in each window.
+
+    ``polygons`` hold layer, datatype and the points ``pts`` of one outline each, in either
+    direction; edges may be slanted. A window without polygons counts for complements.
+    """
+    known = {k: parse(v)[1] for k, v in (recipes or {}).items()}
+    recipe_order(known)
+    tree = expanded(parse(formula)[1], known, layers)
+    around = halo(tree)
+    used = {k: v for k, v in layers.items() if k in names(tree)}
+    bound = polygons.sparkSession.createDataFrame([(k, *v) for k, v in used.items()], "ref string, layer int, datatype int")
+    boxed = polygons.join(F.broadcast(bound), ["layer", "datatype"]).select("ref", "pts", *(c.alias(n) for c, n in zip(ring_box(F.col("pts")), ("x1", "y1", "x2", "y2"), strict=True)))
+    parts = windows.select("window_id", *(F.col(f"w{c}").alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")))
+    place = ["window_id", "px1", "py1", "px2", "py2"]
+    found = bbox_join(boxed, reaching(parts, around), grid).select(*place, "ref", "pts")
+    rows = found.unionByName(parts.select(*place, F.lit(None).cast("string").alias("ref"), F.lit(None).cast(found.schema["pts"].dataType).alias("pts")))
+    columns = ["window_id", "y1", "y2", "left1", "right1", "left2", "right2"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in window_groups(batches, "window_id"):
+            window = np.array([group[c][0].as_py() for c in place[1:]], float)
+            field = window + np.array([-1, -1, 1, 1]) * around
+            held = {}
+            for name in used:
+                rings = [r.as_py() for r, k in zip(group["pts"], group["ref"], strict=True) if k.as_py() == name]
+                if rings:
+                    points = np.array([(p["x"], p["y"]) for ring in rings for p in ring], float)
+                    edges, _ = raster.ring_edges(points, np.cumsum([0, *map(len, rings)])[:-1])
+                    held[name] = trapezoids.clipped(trapezoids.from_edges(edges), field)
+            out = trapezoids.clipped(evaluate(tree, held, field, trapezoids), window)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), group["window_id"][0].as_py())), *(pa.array(out[:, i]) for i in range(6))], columns)
+
+    return rows.repartition("window_id").sortWithinPartitions("window_id").mapInArrow(work, "window_id long, " + ", ".join(f"{c} double" for c in columns[1:]))
+
+
 def binding(value) -> tuple:
     """A binding in its tagged form: ("raw", layer, datatype) or ("ref", recipe)."""
     parts = tuple(value)

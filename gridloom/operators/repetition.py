@@ -76,6 +76,12 @@ def running(gaps: str) -> Column:
     return summed
 
 
+def doubly_running(steps: str) -> Column:
+    """Points from changes of the step: each number is added to the step before, and that to the point before."""
+    taken = F.slice(running(steps), 2, F.size(steps))
+    return F.aggregate(taken, F.array(F.lit(0).cast("long")), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + g)))
+
+
 def plan_kind(limit: int = 4096) -> Column:
     """How an array is best treated: as a grid, expanded, or left alone."""
     straight = (F.col("vy") == 0) & (F.col("wx") == 0)

@@ -461,3 +461,35 @@ def _(spark, d):
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     seen = alignment.in_view(view(spark, d, "shapes").where("layer in (10, 12)"), images, 1500)
     return alignment.polygon_pixels(seen.withColumn("pts", F.array(point("x1", "y1"), point("x1", "y2"), point("x2", "y1"))).drop("x1", "y1", "x2", "y2"), 1500, 60)
+
+
+_TWICE = "coalesce(list_sum(list_transform(range(1, step + 1), lambda j: list_sum({a}[1:j]))), 0)"
+
+
+@query("win_07_points", with_views(f"+g AS (SELECT rep_id, [nx, ny, vx, -wy] AS dx, [wy, -nx, ny, vx] AS dy, unnest(range(5)) AS step FROM arrays) SELECT rep_id, step, CAST({_TWICE.format(a='dx')} AS BIGINT) AS x, CAST({_TWICE.format(a='dy')} AS BIGINT) AS y FROM g", "arrays"))
+def _(spark, d):
+    """Point lists whose numbers change the step from one point to the next."""
+    lists = view(spark, d, "arrays").select("rep_id", F.array("nx", "ny", "vx", -F.col("wy")).alias("gx"), F.array("wy", -F.col("nx"), "ny", "vx").alias("gy"))
+    points = lists.select("rep_id", F.posexplode(F.arrays_zip(repetition.doubly_running("gx").alias("x"), repetition.doubly_running("gy").alias("y"))).alias("step", "_p"))
+    return points.select("rep_id", F.col("step").cast("long").alias("step"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+
+
+# turned by an eighth, squares on a corner are boxes of twice the area
+_TURNED = """+s AS (SELECT g, layer, cx + cy - r AS x1, cx - cy - r AS y1, cx + cy + r AS x2, cx - cy + r AS y2 FROM diamonds),
+  ex AS (SELECT g, x AS a, lead(x) OVER (PARTITION BY g ORDER BY x) AS b FROM (SELECT g, x1 AS x FROM s UNION SELECT g, x2 FROM s)),
+  ey AS (SELECT g, y AS a, lead(y) OVER (PARTITION BY g ORDER BY y) AS b FROM (SELECT g, y1 AS y FROM s UNION SELECT g, y2 FROM s)),
+  cell AS (SELECT ex.g, ex.a AS x1, ex.b AS x2, ey.a AS y1, ey.b AS y2, bool_or(layer = 10) AS a, bool_or(layer = 11) AS b, bool_or(layer = 12) AS c
+    FROM s JOIN ex ON ex.g = s.g AND s.x1 <= ex.a AND s.x2 >= ex.b JOIN ey ON ey.g = s.g AND s.y1 <= ey.a AND s.y2 >= ey.b GROUP BY ALL)
+  SELECT g AS window_id, CAST(sum((x2 - x1) * (y2 - y1)) AS BIGINT) AS twice_area FROM cell WHERE (a OR b) AND NOT c GROUP BY g"""
+
+
+@query("set_08_polygons", with_views(_TURNED, "diamonds"))
+def _(spark, d):
+    """A formula on polygons with slanted edges, as trapezoids."""
+    rows = view(spark, d, "diamonds").withColumn("cx", F.col("cx") + F.col("g") * 2000)
+    at = lambda x, y: F.struct((F.col("cx") + x * F.col("r")).alias("x"), (F.col("cy") + y * F.col("r")).alias("y"))
+    polygons = rows.select("layer", F.lit(0).alias("datatype"), F.array(at(1, 0), at(0, 1), at(-1, 0), at(0, -1)).alias("pts"))
+    windows = rows.select(F.col("g").alias("window_id")).distinct().select("window_id", *((F.col("window_id") * k + v).alias(c) for c, k, v in (("wx1", 2000, -400), ("wy1", 0, -400), ("wx2", 2000, 1200), ("wy2", 0, 1200))))
+    found = layer_algebra.apply_polygons("(A | B) - C", {"A": (10, 0), "B": (11, 0), "C": (12, 0)}, polygons, windows)
+    twice = F.sum((F.col("y2") - F.col("y1")) * (F.col("right1") - F.col("left1") + F.col("right2") - F.col("left2")))
+    return found.groupBy("window_id").agg(F.round(twice).cast("long").alias("twice_area"))

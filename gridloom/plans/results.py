@@ -451,3 +451,27 @@ def _(spark, d):
     status = F.when(F.col("score").isNull(), "flat").otherwise("ok")
     run = view(spark, d, "rerun").withColumn("status", status).withColumn("score", F.coalesce("score", F.lit(0.0)))
     return results.apply_run(view(spark, d, "refined"), run)
+
+
+_LATE = "seq % 7 = 0"
+_MARKS = f"""+e AS (SELECT *, {_LATE} AS late, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS till FROM perf_events),
+  wm AS (SELECT max(ts) FILTER (NOT late) - INTERVAL 10 MINUTE AS first, max(ts) - INTERVAL 10 MINUTE AS final FROM e)"""
+
+
+@query("str_05_late_windows", with_views(f"{_MARKS} SELECT CAST(epoch(till - INTERVAL 1 HOUR) AS BIGINT) AS start_s, label, count(*) AS n, CAST(sum(us) AS BIGINT) AS total_us FROM e, wm WHERE till <= final AND (NOT late OR till > first) GROUP BY till, label", "perf_events"))
+def _(spark, d):
+    """Windows that end: a seventh of the events come late, after windows have been closed."""
+    events = view(spark, d, "perf_events")
+    return live.in_parts([events.where(f"not ({_LATE})"), events.where(_LATE)], live.by_window).select(F.unix_timestamp("start").alias("start_s"), "label", "n", "total_us")
+
+
+@query("str_06_sessions", with_views("+m AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY op ORDER BY ts, seq) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM perf_events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY op ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT op, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY op, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM perf_events)", "perf_events"))
+def _(spark, d):
+    """Sessions of each operation, as far as the watermark has closed them."""
+    return live.in_parts([view(spark, d, "perf_events")], live.sessions).select("op", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("str_07_silent", with_views("SELECT op, epoch_us(max(ts)) AS last_us, count(*) AS n FROM perf_events GROUP BY op HAVING max(ts) + INTERVAL 30 MINUTE < (SELECT max(ts) - INTERVAL 10 MINUTE FROM perf_events)", "perf_events"))
+def _(spark, d):
+    """Operations whose timer has gone off."""
+    return live.in_parts([view(spark, d, "perf_events")], live.silent).select("op", F.unix_micros("last_ts").alias("last_us"), "n")

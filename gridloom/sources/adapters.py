@@ -71,6 +71,11 @@ VIEWS: dict[str, str] = {
           CASE WHEN p_size > 45 THEN NULL ELSE CAST(10 + p_partkey % 5 + p_size % 4 AS INT) END AS l_hi, CAST(p_size % 3 AS INT) AS d_lo,
           CASE WHEN p_size > 40 THEN NULL ELSE CAST(p_size % 3 + p_partkey % 2 AS INT) END AS d_hi
         FROM {part}""",
+    # squares that stand on a corner, about 25 to a group, each group on its own ground
+    "diamonds": """
+        SELECT CAST(l_orderkey % {GROUPS} AS BIGINT) AS g, CAST(10 + l_linenumber % 3 AS INT) AS layer, CAST((l_partkey * 13) % 400 AS BIGINT) AS cx, CAST((l_suppkey * 29 + l_linenumber * 71) % 400 AS BIGINT) AS cy,
+          CAST(20 + CAST(l_quantity AS BIGINT) * 2 AS BIGINT) AS r
+        FROM {lineitem}""",
     # timed operations
     "perf_events": """
         SELECT event_id AS seq, event_type || ':' || CAST(user_id % 7 AS VARCHAR(20)) AS op, event_type AS label, CAST(round(value * 100) AS BIGINT) AS us,
@@ -98,6 +103,7 @@ for _name in ("placement", "cell_rect"):
 #: What grows with the tables: the side of the layout in nm, and the number of leaf cells.
 _SIZES = {
     "{SIDE}": "(SELECT CAST(ceil(sqrt(count(*)) * 400) AS BIGINT) FROM {lineitem})",
+    "{GROUPS}": "(SELECT CAST(floor(count(*) / 25) AS BIGINT) + 1 FROM {lineitem})",
     "{LEAVES}": "(SELECT CAST(floor(count(*) / 30) AS BIGINT) + 1 FROM {orders})",
 }
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +30,26 @@ def settled(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")
 
 
+def in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a stream has said once each part has come in and been read, in this order.
+
+    Every part is one run, which goes on from the checkpoint of the run before: its
+    state and its watermark are what a stream that was stopped would find. A run ends
+    when there is nothing more to read and no state that the watermark has passed.
+    """
+    spark = parts[0].sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+
+    for number, part in enumerate(parts):
+        part.write.parquet(f"{folder}/in/part={number}")
+        stream = build(spark.readStream.schema(part.schema).parquet(f"{folder}/in/*"))
+        stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")
+
+
 def timed(events: DataFrame, late: str) -> DataFrame:
     """Events with a watermark; a time without zone counts in the session's."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
@@ -41,16 +61,45 @@ def by_operation(events: DataFrame) -> DataFrame:
 
 
 def by_window(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """The same by time window; events later than ``late`` are dropped."""
+    """The same by time window.
+
+    In append mode a window is said once, when the watermark has passed its end;
+    events that come after that are dropped, and the state of the window is freed.
+    """
     windowed = timed(events, late).groupBy(F.window("ts", width).alias("w"), "label")
     return windowed.agg(F.count("*").alias("n"), F.sum("us").alias("total_us")).select(F.col("w.start").alias("start"), "label", "n", "total_us")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Stretches of one operation's events without a gap."""
+    """Stretches of one operation's events without a gap, each said when the watermark has passed its end."""
     return timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "op").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "op", "n")
 
 
+def silent(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(op, last_ts, n): operations that have had no event for ``gap``, with their events until then.
+
+    A timer for each operation, set anew by every event; it goes off when the
+    watermark has passed it. The state is a number and a time, and is freed then.
+    """
+    wait = int(pd.Timedelta(gap).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, last = state.get
+            state.remove()
+            yield pd.DataFrame({"op": [key[0]], "last_ts": [pd.Timestamp(last, unit="us")], "n": [n]})
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for frame in frames:
+            n += len(frame)
+            last = max(last, int(frame["us_since"].max()))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+
+    rows = timed(events, late).select("op", "ts", F.unix_micros("ts").alias("us_since"))
+    return rows.groupBy("op").applyInPandasWithState(step, "op string, last_ts timestamp, n long", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def latest(events: DataFrame, key: str, order: str) -> DataFrame:
     """For every key its latest row; a refresh shows that row, however many came before."""
     others = [c for c in events.columns if c != key]

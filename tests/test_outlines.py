@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import raster
 from gridloom.functions import regions as R
+from gridloom.functions import trapezoids as T
 from gridloom.operators import contours
+from gridloom.operators import layer_algebra as L
 
 
 def frame(spark, b, key=0):
@@ -83,3 +85,52 @@ def test_filled_polygons(even_odd):
             for c in range(20):
                 n = sum(around(p, (c + 0.5) * 5, (19 - r + 0.5) * 5) for p in turned)
                 assert got[r, c] == (n % 2 != 0 if even_odd else n != 0)
+
+
+def polygon_region(polygons):
+    starts = np.cumsum([0, *map(len, polygons)])[:-1]
+    edges, _ = raster.ring_edges(np.concatenate([np.array(p, float) for p in polygons]), starts)
+    return T.from_edges(edges)
+
+
+def holds(region, x, y):
+    y1, y2, left1, right1, left2, right2 = region.T
+    part = (y - y1) / (y2 - y1)
+    return bool(((y1 <= y) & (y < y2) & (left1 + part * (left2 - left1) <= x) & (x < right1 + part * (right2 - right1))).any())
+
+
+def test_trapezoids_of_random_triangles():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        a, b = ([rng.integers(0, 60, (3, 2)).tolist() for _ in range(int(rng.integers(1, 5)))] for _ in range(2))
+        ra, rb = polygon_region(a), polygon_region(b)
+        inside = lambda ps, x, y: any(around(p, x, y) for p in ps)
+        for rule in (lambda p, q: p & q, lambda p, q: p | q, lambda p, q: p & ~q):
+            found = T.combined([ra, rb], rule)
+            for x, y in rng.uniform(0, 60, (40, 2)):
+                assert holds(found, x, y) == bool(rule(np.bool_(inside(a, x, y)), np.bool_(inside(b, x, y))))
+
+
+def test_trapezoids_have_closed_areas():
+    field = np.array([-100, -100, 100, 100.0])
+    diamond = polygon_region([[(10, 0), (0, 10), (-10, 0), (0, -10)]])
+    assert T.area(diamond) == 200 and len(diamond) == 2
+    assert T.area(T.grown(diamond, "W", 5)) == pytest.approx(200 + 20 * 10)
+    assert T.area(T.grown(diamond, "H", 5)) == pytest.approx(200 + 20 * 10)
+    assert T.area(T.shrunk(diamond, "W", 5, field)) == pytest.approx(50)
+    assert T.area(T.shrunk(T.grown(diamond, "H", 3), "H", 3, field)) == pytest.approx(200)
+    assert T.area(T.complement(diamond, field)) == 40_000 - 200
+    assert T.area(T.clipped(diamond, np.array([0, 0, 50, 50.0]))) == 50
+    star = polygon_region([[(0, 0), (10, 0), (10, 10), (5, 3), (0, 10)]])
+    assert T.area(star) == pytest.approx(100 - 35)
+    assert T.dissolved(T.EMPTY).shape == (0, 6) and T.area(T.combined([diamond, T.EMPTY], lambda a, b: a & ~b)) == 200
+
+
+def test_trapezoids_of_boxes_have_the_area_of_boxes():
+    rng = np.random.default_rng(6)
+    field = np.array([0, 0, 40, 40.0])
+    for text in ("(A > W:3) - B", "(A | B) < H:2", "~A & (B > H:4)"):
+        a, b = (R.boxes(rng.integers(0, 40, (12, 4))) for _ in range(2))
+        slanted = {k: T.dissolved(np.stack([v[:, 1], v[:, 3], v[:, 0], v[:, 2], v[:, 0], v[:, 2]], axis=1)) for k, v in (("A", a), ("B", b))}
+        tree = L.parse(text)[1]
+        assert T.area(T.clipped(L.evaluate(tree, slanted, field, T), field)) == pytest.approx(R.area(R.clipped(L.evaluate(tree, {"A": a, "B": b}, field), field)))
