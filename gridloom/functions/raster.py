@@ -54,6 +54,14 @@ def filled(edges: np.ndarray, plane: np.ndarray, planes: int, x0, y0, nm_per_px:
     return (around % 2 if even_odd else around) != 0
 
 
+def ring_points(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(points, where each ring's begin) of an Arrow column of arrays of (x, y), none of them null."""
+    lists = lists.combine_chunks()
+    lists = lists.chunk(0) if hasattr(lists, "chunk") else lists
+    points = np.stack([lists.flatten().field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1)
+    return points, np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+
+
 def ring_edges(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(edges, polygon of each edge) of polygons whose points begin at ``starts``, all turned against the clock."""
     n = np.diff(np.r_[starts, len(points)])

@@ -106,12 +106,8 @@ def polygon_pixels(seen: DataFrame, fov: int, pixels: int, even_odd: bool = Fals
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, place, keys in _blocks(batches, "image_id"):
-            lists = rows["pts"].combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            points = np.stack([lists.flatten().field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1)
-            starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
             layers, layer = np.unique(rows["layer"].to_numpy(), return_inverse=True)
-            edges, of = raster.ring_edges(points, starts)
+            edges, of = raster.ring_edges(*raster.ring_points(rows["pts"]))
             x0, y0 = _corners(rows, fov)
             drawn = raster.filled(edges, (place * len(layers) + layer)[of], len(keys) * len(layers), x0[of], y0[of], scale, pixels, pixels, even_odd)
             n = drawn.sum(axis=(1, 2)).reshape(len(keys), len(layers))

@@ -14,11 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import raster, regions, trapezoids
 from gridloom.functions.geometry import ring_box
+from gridloom.operators.ordered import kept
 from gridloom.operators.overlap import bbox_join, meeting
 from gridloom.operators.tiling import MOST_SHAPES, reaching, split_windows
 
@@ -241,7 +243,8 @@ def apply_polygons(formula: str, layers: dict[str, tuple[int, int]], polygons: D
     around = halo(tree)
     used = {k: v for k, v in layers.items() if k in names(tree)}
     bound = polygons.sparkSession.createDataFrame([(k, *v) for k, v in used.items()], "ref string, layer int, datatype int")
-    boxed = polygons.join(F.broadcast(bound), ["layer", "datatype"]).select("ref", "pts", *(c.alias(n) for c, n in zip(ring_box(F.col("pts")), ("x1", "y1", "x2", "y2"), strict=True)))
+    # written once, as the boxes around are read often
+    boxed = kept(polygons.join(F.broadcast(bound), ["layer", "datatype"]).select("ref", "pts", *(c.alias(n) for c, n in zip(ring_box(F.col("pts")), ("x1", "y1", "x2", "y2"), strict=True))))
     parts = windows.select("window_id", *(F.col(f"w{c}").alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")))
     place = ["window_id", "px1", "py1", "px2", "py2"]
     found = bbox_join(boxed, reaching(parts, around), grid).select(*place, "ref", "pts")
@@ -252,13 +255,11 @@ def apply_polygons(formula: str, layers: dict[str, tuple[int, int]], polygons: D
         for group in window_groups(batches, "window_id"):
             window = np.array([group[c][0].as_py() for c in place[1:]], float)
             field = window + np.array([-1, -1, 1, 1]) * around
-            held = {}
-            for name in used:
-                rings = [r.as_py() for r, k in zip(group["pts"], group["ref"], strict=True) if k.as_py() == name]
-                if rings:
-                    points = np.array([(p["x"], p["y"]) for ring in rings for p in ring], float)
-                    edges, _ = raster.ring_edges(points, np.cumsum([0, *map(len, rings)])[:-1])
-                    held[name] = trapezoids.clipped(trapezoids.from_edges(edges), field)
+            held, drawn = {}, group.filter(pc.is_valid(group["ref"]))
+            if len(drawn):
+                edges, of = raster.ring_edges(*raster.ring_points(drawn["pts"]))
+                ref = np.array(drawn["ref"].to_pylist(), object)[of]
+                held = {k: trapezoids.clipped(trapezoids.from_edges(edges[ref == k]), field) for k in used}
             out = trapezoids.clipped(evaluate(tree, held, field, trapezoids), window)
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), group["window_id"][0].as_py())), *(pa.array(out[:, i]) for i in range(6))], columns)
