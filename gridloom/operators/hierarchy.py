@@ -13,7 +13,7 @@ are ever made.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import moved_box, turn_matrix
@@ -256,8 +256,7 @@ def walk_arrays(placement: DataFrame, root: int, bounds: DataFrame, box: tuple[i
     ``bounds`` come from :func:`subtree_bounds` of :func:`corners`. Counters have one
     row a level: array placements met, their elements, the largest array, placements
     skipped because they lead back to a cell on the way down, instances kept, and
-    elements pruned. They are observed while levels are written, so that a task that
-    runs again may count twice; they steer nothing.
+    elements pruned. They are aggregates of what a level joins and keeps.
     """
     spark = placement.sparkSession
     edges = placement.select("parent", "child", "x", "y", *_LATTICE, *(c.alias(f"e{v}") for v, c in zip("abcd", turn_matrix(F.col("q"), F.col("flip")), strict=True)))
@@ -268,11 +267,12 @@ def walk_arrays(placement: DataFrame, root: int, bounds: DataFrame, box: tuple[i
     m, e = _matrix(), _matrix("e")
     product = [m[0] * e[0] + m[1] * e[2], m[0] * e[1] + m[1] * e[3], m[2] * e[0] + m[3] * e[2], m[2] * e[1] + m[3] * e[3]]
     for level in range(1, MAX_DEPTH + 1):
-        met, left = Observation(), Observation()
         again = F.array_contains("path", F.col("child"))
         n = F.when(~again, F.col("nx") * F.col("ny"))
         joined = frontier.withColumns(_turned_back(box)).join(edges, F.col("cell_id") == F.col("parent"))
-        joined = joined.observe(met, F.count(n).alias("placements"), F.coalesce(F.sum(n), F.lit(0)).alias("elements"), F.coalesce(F.max(n), F.lit(0)).alias("largest"), F.count_if(again).alias("skipped"))
+        seen = joined.agg(F.count(n).alias("placements"), F.coalesce(F.sum(n), F.lit(0)).alias("elements"), F.coalesce(F.max(n), F.lit(0)).alias("largest"), F.count_if(again).alias("skipped")).first().asDict()
+        if not seen["placements"] and not seen["skipped"]:
+            break
         there = moved_box(e, [F.col("x"), F.col("y")], [F.col(f"_{c}") for c in _BOX])
         held = joined.where(~again).join(below, "child").withColumns({f"_b{c}": v for c, v in zip(_BOX, there, strict=True)})
         inside = _elements(held, [f"_b{c}" for c in _BOX], [f"_q{c}" for c in _BOX])
@@ -281,12 +281,10 @@ def walk_arrays(placement: DataFrame, root: int, bounds: DataFrame, box: tuple[i
             F.col("child").alias("cell_id"), *(p.alias(v) for p, v in zip(product, "abcd", strict=True)),
             (m[0] * x + m[1] * y + F.col("tx")).alias("tx"), (m[2] * x + m[3] * y + F.col("ty")).alias("ty"), F.array_append("path", F.col("child")).alias("path"),
         )
-        frontier = kept(moved.observe(left, F.count(F.lit(1)).alias("kept")))
-        seen = {"level": level, **met.get, **left.get}
-        if not seen["placements"] and not seen["skipped"]:
-            break
-        counters.append(seen | {"pruned": seen["elements"] - seen["kept"]})
-        if not seen["kept"]:
+        frontier = kept(moved)
+        n_kept = frontier.count()
+        counters.append({"level": level, **seen, "kept": n_kept, "pruned": seen["elements"] - n_kept})
+        if not n_kept:
             break
         levels.append(frontier)
     out = levels[0]
