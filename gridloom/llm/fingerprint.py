@@ -104,10 +104,11 @@ def against_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness.
 
     Rows are dealt out by ranges of ids and sorted inside each, so the next
-    document is the next row. The last row of a range meets the first row of
+    document is the next row; rows that share an id, or have none, follow each other
+    by hashes of their texts, so that many of them do not meet in one task. The last row of a range meets the first row of
     the next range that has rows in a join of two rows for each range.
     """
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text")).repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = TaskContext.get().partitionId(), None

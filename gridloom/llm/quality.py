@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
             x = [statistics(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.float64()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(work, "doc_id long, y double, x array<double>").toArrow()
+    # an id may name many rows: equal ones count once, and the bound is one of rows
+    got = rows.mapInArrow(work, "doc_id long, y double, x array<double>").distinct().orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(sample).toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))[order]
     return grow(x, got["y"].to_numpy()[order])

@@ -351,10 +351,10 @@ def statistics(docs: DataFrame, known: DataFrame, share: float) -> tuple[np.ndar
     return out[0], out[1]
 
 
-def sampled_windows(docs: DataFrame, chosen: DataFrame, toxic: np.ndarray, seen: np.ndarray, share: float) -> Windows:
-    """A few windows of each sampled document, its own label left out of z."""
+def sampled_windows(docs: DataFrame, chosen: DataFrame, toxic: np.ndarray, seen: np.ndarray, share: float, sample: int = SAMPLE) -> Windows:
+    """A few windows of each sampled document, as many as ``sample`` rows have, its own label left out of z."""
     sent = docs.sparkSession.sparkContext.broadcast((toxic, seen))
-    schema = "doc long, y int, z array<float>, hashes array<int>, flat array<int>, starts array<int>"
+    schema = "doc long, y int, at int, z array<float>, hashes array<int>, flat array<int>, starts array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, seen = sent.value
@@ -374,14 +374,16 @@ def sampled_windows(docs: DataFrame, chosen: DataFrame, toxic: np.ndarray, seen:
                 order = np.argsort(-peak, kind="stable")
                 rest = order[SUSPECT:]
                 others = rest[np.random.default_rng(doc_id & 0xFFFF).permutation(len(rest))[:OTHER]]
-                for s in starts[np.r_[order[:SUSPECT], others].astype(int)]:
+                for at, s in enumerate(starts[np.r_[order[:SUSPECT], others].astype(int)]):
                     flat, begin = trigrams(found[s : s + WINDOW])
-                    out.append((doc_id, y, z[s : s + WINDOW].ravel(), hashes[s : s + WINDOW].astype(np.int32), flat.astype(np.int32), begin.astype(np.int32)))
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.float32()), *[pa.list_(pa.int32())] * 3]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc", "y", "z", "hashes", "flat", "starts"])
-
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(work, schema).toArrow().sort_by([("doc", "ascending")])
+                    out.append((doc_id, y, at, z[s : s + WINDOW].ravel(), hashes[s : s + WINDOW].astype(np.int32), flat.astype(np.int32), begin.astype(np.int32)))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float32()), *[pa.list_(pa.int32())] * 3]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc", "y", "at", "z", "hashes", "flat", "starts"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(work, schema).distinct()
+    # an id may name many rows: the bound is one of windows
+    got = rows.orderBy(F.xxhash64("doc", "hashes", "at"), "doc", "at", "hashes", "z").limit(sample * (SUSPECT + OTHER)).toArrow().sort_by([("doc", "ascending"), ("at", "ascending")])
     n = len(got)
     z, hashes, live = np.zeros((n, WINDOW, 2), np.float32), np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), bool)
     parts = {c: got[c].combine_chunks() for c in ("z", "hashes", "flat", "starts")}
@@ -412,9 +414,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
     apart = known.where(crc_bucket() == 1).orderBy(*order).limit(sample)
     rest = known.join(F.broadcast(apart.select("doc_id")), "doc_id", "left_anti")
     chosen = rest.where("y = 1").orderBy(*order).limit(sample // 2).unionByName(rest.where("y = 0").orderBy(*order).limit(sample - sample // 2))
-    net = fit(sampled_windows(docs, chosen, toxic, seen, share), suspicion(toxic, seen, share), share)
+    net = fit(sampled_windows(docs, chosen, toxic, seen, share, sample), suspicion(toxic, seen, share), share)
     if net.fitted:
-        got = own_summaries(docs, apart, net, toxic, seen).toArrow()
+        got = own_summaries(docs, apart, net, toxic, seen).orderBy(F.xxhash64("doc_id", "summary"), "doc_id", "summary").limit(sample).toArrow()
         x = np.array(got["summary"].to_pylist(), float).reshape(-1, 6)
         net.final = _calibrated(x, got["y"].to_numpy().astype(float)) if len(x) else np.array([0.0, 0.5, 0, 0, 0, 0])
     return net

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import pathlib
+import itertools
 import random
 import re
 import zlib
@@ -267,3 +268,44 @@ def test_sharding(spark):
     assert len(copies) == 1
     assert sharding.assign(docs.limit(0), 5).count() == 0
     assert sharding.assign(spark.createDataFrame([(1, "a", "s", "l")] * 50, docs.schema), 4).groupBy("shard").count().count() == 4
+
+
+def plain_tree(rows, room, share, first=0):
+    """The shard of each row, by one sorted walk over the rows of every node."""
+    if len(room) == 1:
+        return {r.row: first for r in rows}
+    half = len(room) // 2
+    widths = [max(r.dims[i] for r in rows) - min(r.dims[i] for r in rows) for i in range(3)]
+    dim = widths.index(max(widths))
+    want = sum(room[:half]) / sum(room) * sum(r.size for r in rows)
+    left, right, done = [], [], False
+    for _, group in itertools.groupby(sorted(rows, key=lambda r: (r.dims[dim], r.tie, r.row)), key=lambda r: (r.dims[dim], r.tie)):
+        group = list(group)
+        n = sum(r.size for r in group)
+        if done:
+            right += group
+        elif n <= want:
+            left += group
+            want -= n
+        elif n <= share:
+            done = True
+            (right if 2 * want < n else left).extend(group)
+        else:
+            done = True
+            ends = itertools.accumulate(r.size for r in group)
+            for r, end in zip(group, ends, strict=True):
+                (left if end <= want else right).append(r)
+    return plain_tree(left, room[:half], share, first) | plain_tree(right, room[half:], share, first + half)
+
+
+@pytest.mark.parametrize("seed", (1, 2))
+def test_tree_against_a_sorted_walk(spark, monkeypatch, seed):
+    monkeypatch.setattr(sharding, "BINS", 16)
+    rnd = random.Random(seed)
+    texts = ["x" * int(rnd.expovariate(1 / 200)) + str(i) for i in range(600)] + ["one group " * 9] * 40 + ["of more than a share " * 20] * 150
+    docs = spark.createDataFrame([(i, t, rnd.choice(["a", "a", "b", None]), rnd.choice(["en", "de", "fr"])) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    rows = sharding.cut(sharding.metadata(docs))
+    room = np.array([1, 3, 2, 2, 4, 4, 1, 15])  # ratios of halves are exact
+    share = sum(r.size for r in rows.collect()) / 8
+    got = {r.row: r.node for r in sharding._tree(rows, room, share).collect()}
+    assert got == plain_tree(rows.collect(), room.tolist(), share)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,52 @@ def test_pii_checksums_and_context():
     assert kinds("item 555-123-4567") == []
 
 
+def test_pii_numbers_that_are_not_given_out():
+    kinds = lambda t: [x[0] for x in pii.spans_of(t)]
+    assert kinds("ssn 123-45-6789, ssn 899-01-0001") == ["ssn"] * 2
+    assert kinds("ssn 000-12-3456 or 666-45-1234 or 900-12-3456 or 987-65-4321 or 123-00-4567 or 123-45-0000") == []
+    assert kinds("call 212-555-0100") == ["local_phone"]
+    assert kinds("call 112-555-0100 or 291-555-0100 or 911-555-0100 or 012-555-0100") == []
+    assert kinds("IBAN GB82WEST12345698765432 ABCD") == kinds("IBAN NO93 8601 1117 947") == ["iban"]
+    assert kinds("IBAN ZZ82WEST12345698765432") == kinds("IBAN GB82WEST1234569876543") == kinds("IBAN GB82WEST12345698765432X") == []
+
+
+def plain_extras(text, base):
+    """Every later kind against all spans before it, pair by pair."""
+    out = list(base)
+    places = {
+        "iban": [(m.start(), m.start() + k) for m in re.finditer(r"(?<![A-Za-z0-9])DE[0-9]{2}", text) for k in range(22, 45) if (c := text[m.start() : m.start() + k].replace(" ", "")) and len(c) == 22 and re.fullmatch(r"DE[0-9]{2}( ?[A-Z0-9])+", text[m.start() : m.start() + k]) and re.match(r"(?![A-Za-z0-9])", text[m.start() + k :]) and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1],
+        "local_phone": [m.span() for m in pii._LOCAL_PHONE.finditer(text) if re.match(r"[2-9](?!11)[0-8]", re.sub("[^0-9]", "", m.group()))],
+        "ssn": [m.span() for m in pii._SSN.finditer(text) if re.match(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", m.group())],
+    }
+    for kind, found in places.items():
+        for s, e in found:
+            near = f"{text[max(0, s - pii.REACH) : s]} {text[e : e + pii.REACH]}".lower()
+            hit = any(re.search(rf"(?<![a-z]){w}", near) for w in pii.CONTEXT[kind])
+            if pii.PRIOR[kind] + 0.3 * hit >= pii.THRESHOLD and all(b <= s or e <= a for _, a, b in out):
+                out.append((kind, s, e))
+    return out
+
+
+def test_pii_added_spans_pair_by_pair():
+    rnd, kinds = random.Random(5), set()
+    pieces = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "212-555-0100", "(212) 555 0100", "+1 212-555-0100", "123-45-6789", "000-45-6789", "4111 1111 1111 1111", "call", "ssn", "bank", "x", ",", "1.2.3.4", "a@b.de", "999"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(pieces) + rnd.choice(["", " ", " ", "-", " zz "]) for _ in range(rnd.randint(1, 9)))
+        got = [x[:3] for x in pii.spans_of(text)]
+        assert got == plain_extras(text, plain_spans(text)), text
+        kinds |= {x[0] for x in got}
+    assert kinds == set(pii.KINDS)
+
+
+def test_pii_of_a_very_long_text():
+    text = "call 212-555-0100, ssn 123-45-6789; " * 30_000  # over a million characters
+    began = time.monotonic()
+    found = pii.spans_of(text)
+    assert [len([x for x in found if x[0] == k]) for k in pii.KINDS] == [0, 0, 0, 0, 0, 30_000, 30_000]
+    assert time.monotonic() - began < 20
+
+
 def test_pii_queries(spark, docs):
     got = {(r.doc_id, r.n_email): r for r in pii.summarize(docs).collect()}
     assert got[1, 1].spans.startswith("email:5:14,phone:18:")
@@ -230,3 +277,25 @@ def test_fingerprint_of_edited_texts(spark):
         edited = t[: len(t) - half] + n[:half]
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
         assert got[i].near_next == float(fingerprint.canonical(t) == fingerprint.canonical(n))
+
+
+def test_fingerprints_of_many_rows_without_an_id(spark):
+    rows = [(None, f"{i:05d}text" + "z" * (i % 50)) for i in range(400)] + [(7, f"{i:05d}shared") for i in range(1000, 1300)] + [(8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.against_next(docs.repartition(5)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars, r.fingerprint) for r in got) == sorted((i or 0, len(t or ""), fingerprint.fingerprint_of(t or "")) for i, t in rows)
+    # the half that stays tells the texts apart, so each was edited once
+    assert len({r.edited_sha256 for r in got}) == len(rows)
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    rows = [(i, f"plain words number {i} and more of them") for i in range(60)] + [(6, f"another text of one id {i}") for i in range(500)] + [(7, "the same text again")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = {}
+    grow, fit = quality.grow, toxicity.fit
+    monkeypatch.setattr(quality, "grow", lambda x, y: seen.update(quality=len(x)) or grow(x, y))
+    monkeypatch.setattr(toxicity, "fit", lambda windows, *rest: seen.update(toxic=len(windows.y)) or fit(windows, *rest))
+    quality.train(docs, labels, sample=40)
+    toxicity.train(docs, labels, sample=40)
+    assert 20 <= seen["quality"] <= 40 and 20 <= seen["toxic"] <= 40 * (toxicity.SUSPECT + toxicity.OTHER)
