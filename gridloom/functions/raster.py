@@ -180,19 +180,25 @@ def runs(image: np.ndarray) -> np.ndarray:
 
 
 def spread(image: np.ndarray, reach: int, axis: str) -> np.ndarray:
-    """True pixels moved up to ``reach`` along columns (W) or rows (H)."""
-    along = 1 if axis == "W" else 0
+    """True pixels, of one plane or a stack, moved up to ``reach`` along columns (W) or rows (H)."""
     if reach <= 0:
         return image
-    pad = [(0, 0), (0, 0)]
+    along = image.ndim - (1 if axis == "W" else 2)
+    pad = [(0, 0)] * image.ndim
     pad[along] = (reach + 1, reach)
     total = np.pad(image.astype(np.int64), pad).cumsum(axis=along)
     n, width = image.shape[along], 2 * reach + 1
     return np.take(total, range(width, width + n), along) > np.take(total, range(n), along)
 
 
+def moves(tree: tuple, nm_per_px: float) -> int:
+    """How many pixels outside a plane can matter: moves in whole pixels, summed along a path."""
+    own = round(tree[3] / nm_per_px) if tree[0] in ("grow", "shrink") else 0
+    return own + max((moves(x, nm_per_px) for x in tree[1:] if isinstance(x, tuple)), default=0)
+
+
 def evaluate(tree: tuple, masks: dict[str, np.ndarray], nm_per_px: float) -> np.ndarray:
-    """A layer formula on masks; moves are rounded to whole pixels.
+    """A layer formula on masks, planes or stacks of them; moves are rounded to whole pixels.
 
     The faster choice for dense fields; against the vector form it can differ by
     a pixel at edges that move. A shrink does not eat from the image's edge.

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import raster
+from gridloom.operators import layer_algebra
 from gridloom.operators.overlap import bbox_join
 
 #: Images that are drawn at once.
@@ -117,6 +118,38 @@ def polygon_pixels(seen: DataFrame, fov: int, pixels: int, even_odd: bool = Fals
     return _by_image(seen).mapInArrow(work, "image_id long, layer int, n_pixels long")
 
 
+def formula_pixels(images: DataFrame, shapes: DataFrame, formula: str, layers: dict[str, tuple[int, int]], fov: int, pixels: int) -> DataFrame:
+    """(image_id, n_pixels): pixels of each image's field in which a layer formula holds.
+
+    Moves are rounded to whole pixels. Planes have a margin as wide as all moves, so
+    shapes outside a field grow into it. An image that sees none of the layers has
+    what the formula makes of empty planes. Names without a layer are errors.
+    """
+    tree, scale = layer_algebra.parse(formula)[1], fov / pixels
+    names = sorted(layer_algebra.names(tree))
+    if unknown := [n for n in names if n not in layers]:
+        raise ValueError(f"unknown names: {', '.join(unknown)}")
+    margin = raster.moves(tree, scale)
+    margin += margin % 2  # an even shift keeps what lies between two pixels where it is
+    size = pixels + 2 * margin
+    inner = np.s_[:, margin : margin + pixels, margin : margin + pixels]
+    numbers = [F.when((F.col("layer") == layers[n][0]) & (F.col("datatype") == layers[n][1]), F.lit(i)) for i, n in enumerate(names)]
+    drawn = shapes.select(F.explode(F.array_compact(F.array(*numbers))).alias("layer"), "x1", "y1", "x2", "y2")
+    wide = round(fov + 2 * margin * scale)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, place, keys in _blocks(batches, "image_id"):
+            plane = rows["layer"].to_numpy().astype(np.int64) * len(keys) + place
+            x0, y0 = (at - margin * scale for at in _corners(rows, fov))
+            planes = raster.masks(_boxes(rows), plane, len(names) * len(keys), x0, y0, scale, size, size).reshape(len(names), len(keys), size, size)
+            found = raster.evaluate(tree, dict(zip(names, planes, strict=True)), scale)[inner]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found.sum(axis=(1, 2), dtype=np.int64))], ["image_id", "n_pixels"])
+
+    blank = raster.evaluate(tree, {n: np.zeros((1, size, size), bool) for n in names}, scale)[inner]
+    counted = _by_image(in_view(drawn, images, wide)).mapInArrow(work, "image_id long, n_pixels long")
+    return images.select("image_id").join(counted, "image_id", "left").select("image_id", F.coalesce("n_pixels", F.lit(int(blank.sum())).cast("long")).alias("n_pixels"))
+
+
 def matched(images: DataFrame, shapes: DataFrame, grey: dict[int, int], fov: int, pixels: int, radius: int, sigma: float = 1.0) -> DataFrame:
     """(image_id, dx_nm, dy_nm, score, status): every image against its layout.
 

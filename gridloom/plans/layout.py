@@ -288,6 +288,25 @@ def _(spark, d):
     return alignment.label_counts(alignment.in_view(view(spark, d, "shapes"), images, 1500), 1500, 60)
 
 
+_FORMULA_PIXELS = """+near AS (SELECT image_id, layer, x1 - xrel + 750 AS x1, y1 - yrel + 750 AS y1, x2 - xrel + 750 AS x2, y2 - yrel + 750 AS y2
+    FROM images i JOIN shapes s ON s.x1 <= xrel + 800 AND s.x2 >= xrel - 800 AND s.y1 <= yrel + 800 AND s.y2 >= yrel - 800
+    WHERE (layer = 10 AND datatype = 0) OR (layer = 11 AND datatype = 1) OR (layer = 12 AND datatype = 2)),
+  px AS (SELECT image_id, layer, CAST(round_even(x1 / 25e0, 0) AS BIGINT) AS c1, CAST(round_even(x2 / 25e0, 0) AS BIGINT) AS c2, 59 - CAST(round_even(y2 / 25e0, 0) AS BIGINT) AS r1, 59 - CAST(round_even(y1 / 25e0, 0) AS BIGINT) AS r2 FROM near),
+  ends AS (SELECT image_id, layer, greatest(c1, 0) AS c1, least(c2, 59) AS c2, greatest(r1, 0) AS r1, least(r2, 59) AS r2 FROM px
+    UNION ALL SELECT image_id, 0, greatest(greatest(c1, -2) - 2, 0), least(least(c2, 61) + 2, 59), greatest(r1, 0), least(r2, 59) FROM px WHERE layer = 10 AND c1 <= 61 AND c2 >= -2),
+  cells AS (SELECT image_id, layer, c, unnest(range(r1, r2 + 1)) AS r FROM (SELECT *, unnest(range(c1, c2 + 1)) AS c FROM ends)),
+  flags AS (SELECT image_id, c, r, bool_or(layer = 0) AS g, bool_or(layer = 10) AS a, bool_or(layer = 11) AS b, bool_or(layer = 12) AS c3 FROM cells GROUP BY image_id, c, r),
+  n AS (SELECT image_id, count(*) AS n FROM flags WHERE (g AND b) OR (c3 AND NOT a) GROUP BY image_id)
+  SELECT images.image_id, coalesce(n, 0) AS n_pixels FROM images LEFT JOIN n ON n.image_id = images.image_id"""
+
+
+@query("exp_07_pixel_formula", with_views(_FORMULA_PIXELS, "images", "shapes"))
+def _(spark, d):
+    """A layer formula worked out on the pixels of every image's field."""
+    images = view(spark, d, "images").select("image_id", F.col("xrel").alias("cx"), F.col("yrel").alias("cy"))
+    return alignment.formula_pixels(images, view(spark, d, "shapes"), "((A > W:50) & B) | (C - A)", LAYERS, 1500, 60)
+
+
 @query("aln_03_match")
 def _(spark, d):
     """Each image drawn with the offset of its stored result, and matched back.

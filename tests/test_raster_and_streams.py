@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import raster
-from gridloom.operators import defects, hierarchy, repetition
+from gridloom.operators import alignment, defects, hierarchy, repetition
+from gridloom.operators import layer_algebra as L
 from gridloom.plans import layout
 from gridloom.sources.adapters import view
 from gridloom.streaming import live
@@ -20,6 +21,39 @@ def test_mask_and_labels():
     assert (out == 2).sum() == 9 and (out == 1).sum() == 5
 
 
+def test_moves_of_stacks_pixel_by_pixel():
+    stack = np.random.default_rng(8).random((3, 9, 11)) < 0.2
+    for axis in "WH":
+        got = raster.spread(stack, 2, axis)
+        for k, r, c in np.ndindex(*stack.shape):
+            near = stack[k, r, max(0, c - 2) : c + 3] if axis == "W" else stack[k, max(0, r - 2) : r + 3, c]
+            assert got[k, r, c] == near.any()
+        assert (raster.spread(stack[1], 2, axis) == got[1]).all()
+    assert raster.moves(L.parse("(A > W:50) & ((B < H:25) > W:50)")[1], 25) == 3
+
+
+@pytest.mark.parametrize("formula", ("A & B", "~A", "(A > W:75) - B", "~(A | B) < H:50", "((A > H:50) < W:25) | B"))
+def test_formulas_on_pixels_of_one_wide_plane(spark, formula):
+    rng = np.random.default_rng(11)
+    rows = [(int(k), 0, int(x), int(y), int(x + w), int(y + h)) for k, x, y, w, h in zip(rng.integers(1, 3, 150), rng.integers(0, 4000, 150), rng.integers(0, 4000, 150), rng.integers(20, 500, 150), rng.integers(20, 500, 150))]
+    shapes = spark.createDataFrame(rows, "layer int, datatype int, x1 long, y1 long, x2 long, y2 long")
+    centres = [(1, 1000, 1000), (2, 2500, 1500), (3, 2000, 2500), (4, 90000, 90000)]
+    images = spark.createDataFrame(centres, "image_id long, cx long, cy long")
+    got = {r.image_id: r.n_pixels for r in alignment.formula_pixels(images, shapes, formula, {"A": (1, 0), "B": (2, 0), "unused": (9, 9)}, 1000, 40).collect()}
+    boxes, layer = np.array([r[2:] for r in rows], float), np.array([r[0] for r in rows])
+    planes = {n: raster.mask(boxes[layer == k], -1000, -1000, 25, 240, 240) for n, k in (("A", 1), ("B", 2))}
+    whole = raster.evaluate(L.parse(formula)[1], planes, 25)
+    for i, cx, cy in centres[:3]:
+        c, r = (cx - 500 + 1000) // 25, 240 - (cy + 500 + 1000) // 25
+        assert got[i] == whole[r : r + 40, c : c + 40].sum()
+    assert got[4] == (1600 if formula.startswith("~") else 0)
+
+
+def test_formulas_on_pixels_name_layers(spark):
+    with pytest.raises(ValueError, match="unknown names: Z"):
+        alignment.formula_pixels(spark.range(1), spark.range(1), "A & Z", {"A": (1, 0)}, 1000, 40)
+
+
 def test_match_finds_a_shift():
     rng = np.random.default_rng(1)
     template = raster.blurred(rng.random((80, 80)) > 0.7, 1.5)
