@@ -132,6 +132,7 @@ def folder(spark, tmp_path_factory):
     docs.repartition(3).write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(120)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
     spark.createDataFrame([("i1", " ".join(rows[7][1].split()[:20])), ("i2", None), (None, "a b")], "item_id string, text string").write.parquet(f"{out}/benchmark.parquet")
+    spark.createDataFrame([(1, "https://a.example.com/de/x", "<p>"), (2, None, None), (None, "", "")], "page_id long, url string, html string").write.parquet(f"{out}/pages.parquet")
     return out, rows
 
 
@@ -186,6 +187,6 @@ def test_comparing_queries(spark, folder):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_of_empty_tables(spark, folder, tmp_path, name):
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "pages"):
         spark.read.parquet(f"{folder[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
