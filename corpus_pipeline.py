@@ -46,7 +46,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null ids come last. Rows of one id are compared by their texts like any
     others, and rows of equal id and text count once. Texts without words are
     near to nothing and all stay; an empty table stays empty; other columns,
-    whatever their names, pass through.
+    whatever their names, pass through. A very long text is compared by all its
+    words.
     """
     keyed, (key, key2) = _keyed(docs)
     words = F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) != ""
@@ -63,7 +64,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Each row goes or stays by its own text, null and repeated ids included; null
     and empty texts stay; an empty table or benchmark changes nothing; other
-    columns pass through.
+    columns pass through. A very long text is searched whole.
     """
     keyed, names = _keyed(docs)
     found = decontaminate.hits(keyed.select(F.struct(*names).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
@@ -75,7 +76,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Spans of personal data are replaced by their kind.
 
     Null and empty texts stay as they are; every row has its own result; an empty
-    table stays empty; other columns pass through.
+    table stays empty; other columns pass through. A very long text is masked whole.
     """
     return pii.redact(docs)
 
@@ -84,7 +85,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to.
 
     A null text counts as empty; every row has its own result, null and repeated
-    ids included; an empty table gives no rows; other columns are left out.
+    ids included; an empty table gives no rows; other columns are left out. A very
+    long text is encoded whole.
     """
     return bpe.summarize(docs)
 

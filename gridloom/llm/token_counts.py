@@ -9,7 +9,8 @@ spans; a token that crosses a boundary is allocated by a stated rule:
 
 Characters in no section count for the section named null. Defined cases: a null
 or empty text gives one row with section null and zero counts; rows with null or
-repeated ids each give their own rows; other columns are ignored.
+repeated ids each give their own rows; other columns are ignored. A very long
+text is encoded whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
