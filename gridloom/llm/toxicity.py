@@ -111,6 +111,25 @@ def without_own(toxic: np.ndarray, seen: np.ndarray, y: int, share: float) -> Ca
     return lambda k: suspicion(np.maximum(toxic[k] - y, 0), np.maximum(seen[k] - 1, 0), share)
 
 
+class Sparse:
+    """A table by key that workers are sent without its zeros, which most keys have.
+
+    Spark lays what it sends to Python down as a file for the driver and for each executor.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray, int]:
+        some = self.values != 0
+        return np.packbits(some), self.values[some], len(some)
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray, int]) -> None:
+        bits, held, size = state
+        self.values = np.zeros(size, held.dtype)
+        self.values[np.unpackbits(bits, count=size).astype(bool)] = held
+
+
 def paired(word: np.ndarray, gram: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The two scores of each word: its own and the largest of its 5-grams."""
     return np.stack([word, np.maximum.reduceat(gram, starts)], axis=1)
@@ -163,6 +182,12 @@ class Network:
     final: np.ndarray | None = None
     fitted: bool = True
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"z": Sparse(self.z)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"z": state["z"].values})
+
     def inputs(self, found: list[str], scores: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
         """Input vectors of distinct words; ``scores`` of keys may stand for ``z``."""
         hashes, flat, starts = score_keys(found)
@@ -353,11 +378,11 @@ def statistics(docs: DataFrame, known: DataFrame, share: float) -> tuple[np.ndar
 
 def sampled_windows(docs: DataFrame, chosen: DataFrame, toxic: np.ndarray, seen: np.ndarray, share: float, sample: int = SAMPLE) -> Windows:
     """A few windows of each sampled document, as many as ``sample`` rows have, its own label left out of z."""
-    sent = docs.sparkSession.sparkContext.broadcast((toxic, seen))
+    sent = docs.sparkSession.sparkContext.broadcast((Sparse(toxic), Sparse(seen)))
     schema = "doc long, y int, at int, z array<float>, hashes array<int>, flat array<int>, starts array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, seen = sent.value
+        toxic, seen = (t.values for t in sent.value)
         for batch in batches:
             out = []
             for doc_id, y, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -496,10 +521,10 @@ def summaries(docs: DataFrame, net: Network, key: str = "doc_id") -> DataFrame:
 
 def own_summaries(docs: DataFrame, chosen: DataFrame, net: Network, toxic: np.ndarray, seen: np.ndarray) -> DataFrame:
     """(doc_id, y, summary) of the chosen documents with words, own counts left out."""
-    sent = docs.sparkSession.sparkContext.broadcast((net, toxic, seen))
+    sent = docs.sparkSession.sparkContext.broadcast((net, Sparse(toxic), Sparse(seen)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, toxic, seen = sent.value
+        net, toxic, seen = sent.value[0], *(t.values for t in sent.value[1:])
         reader = _Reader(net)
         for batch in few_rows(batches, 64):
             reader.reset()

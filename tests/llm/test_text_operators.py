@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import pickle
 import random
 import re
 import time
@@ -224,6 +225,30 @@ def test_toxicity_counts_all_but_the_held_out_fifth(spark):
     assert (got.doc_id, got.y) == (own[0], 1) and np.allclose(got.summary, expected.summary)
 
 
+def test_toxicity_sends_tables_without_zeros(spark, monkeypatch):
+    rows = [(i, f"plain words number w{i % 20}" + " vile nasty" * (i % 4 == 0), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    sent, kind = [], type(spark.sparkContext)
+    broadcast = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or broadcast(self, value))
+    net = toxicity.train(docs, labels, sample=60)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
+    assert all((got[i] >= 0.5) == (y == 1) for i, _, y in rows)
+    assert len(sent) == 3 and max(sent) < 2_000_000  # whole tables would be up to 40 MB
+    copy = pickle.loads(pickle.dumps(net))
+    assert np.count_nonzero(net.z) and np.array_equal(copy.z, net.z) and copy.z.dtype == net.z.dtype
+    assert all(np.array_equal(copy.weights[k], v) for k, v in net.weights.items()) and np.array_equal(copy.final, net.final)
+
+
+@pytest.mark.parametrize("values", [[], [0], [7], [0] * 21, [5, 0, -3] * 7, list(range(1, 40))])
+def test_sparse_tables_come_back_whole(values):
+    for kind in (np.int64, np.float32):
+        table = np.array(values, kind) * (1 << 20)
+        got = pickle.loads(pickle.dumps(toxicity.Sparse(table))).values
+        assert got.dtype == table.dtype and np.array_equal(got, table)
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     n = 3
