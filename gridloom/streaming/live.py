@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.operators.ordered import shared_folder
 
+#: Buckets that images are dealt to, each with one state.
+BUCKETS = 1024
+
 
 def settled(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream has to say once it has read all that is there now.
@@ -106,30 +110,55 @@ def latest(events: DataFrame, key: str, order: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_row")).select(key, "_row.*")
 
 
-def keep_better(results: DataFrame, forget: str | None = None) -> DataFrame:
+def keep_better(results: DataFrame, forget: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """For every image, each result that is strictly better than all before.
 
-    The state is one number for each image. With ``forget``, such as "7 days", it is
-    dropped for images that have had no result for so long; a stream that is to end
-    by itself must not set it, as it would wait for that time to pass.
+    Images are dealt to ``buckets`` by a hash, as one call for each image would cost
+    far more than its comparison. The state is two numbers for each image, an id and
+    a score, as the two arrays of its bucket. With ``forget``, such as "7 days", a
+    third number says when an image last had a result, and it is dropped after so
+    long without one; a stream that is to end by itself must not set it, as it would
+    wait for that time to pass. ``buckets`` must not change between runs from one
+    checkpoint.
     """
     rest = forget and int(pd.Timedelta(forget).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = state.get[0] if state.exists else float("-inf")
-        for frame in frames:
-            scored = frame.dropna(subset=["score"])
-            before = scored["score"].cummax().shift(fill_value=float("-inf")).clip(lower=best)
-            better = scored[scored["score"] > before]
-            if len(better):
-                best = float(better["score"].iloc[-1])
-                yield better[["dx_nm", "dy_nm", "score"]].assign(image_id=key[0])[["image_id", "dx_nm", "dy_nm", "score"]]
-        if best > float("-inf"):
-            state.update((best,))
+        ids, best, seen = (np.frombuffer(x, t) for x, t in zip(state.get, ("i8", "f8", "i8"), strict=True)) if state.exists else (np.zeros(0, t) for t in ("i8", "f8", "i8"))
+        if not rest:
+            seen = np.zeros(len(ids), np.int64)
+        now = state.getCurrentProcessingTimeMs() if rest else 0
+        came = [np.zeros(0, np.int64)]
+        if not state.hasTimedOut:
+            for frame in frames:
+                came.append(frame["number"].to_numpy())
+                scored = frame[frame["score"] > float("-inf")]
+                number = scored["number"].to_numpy()
+                fresh = np.setdiff1d(number, ids)
+                ids, best, seen = np.r_[ids, fresh], np.r_[best, np.full(len(fresh), -np.inf)], np.r_[seen, np.zeros(len(fresh), np.int64)]
+                order = np.argsort(ids)
+                ids, best, seen = ids[order], best[order], seen[order]
+                at = np.searchsorted(ids, number)
+                # the best before a row: of the state, and of the rows of its image above it
+                above = scored["score"].groupby(number).cummax().groupby(number).shift(fill_value=float("-inf")).to_numpy()
+                score = scored["score"].to_numpy()
+                better = score > np.maximum(above, best[at])
+                np.maximum.at(best, at, score)
+                if better.any():
+                    out = scored[better]
+                    yield out[["dx_nm", "dy_nm", "score"]].assign(image_id=None if key[0] < 0 else out["number"])[["image_id", "dx_nm", "dy_nm", "score"]]
+        if rest:
+            seen = np.where(np.isin(ids, np.concatenate(came)), now, seen)
+            left = seen + rest > now
+            ids, best, seen = ids[left], best[left], seen[left]
+        if len(ids):
+            state.update((ids.tobytes(), best.tobytes(), seen.tobytes() if rest else b""))
             if rest:
-                state.setTimeoutDuration(rest)
+                state.setTimeoutDuration(int(max(seen.min() + rest - now, 1)))
+        elif state.exists:
+            state.remove()
 
-    return results.groupBy("image_id").applyInPandasWithState(step, "image_id long, dx_nm double, dy_nm double, score double", "best double", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
+    # images without an id are one, in a bucket of its own, as a column with nulls would come as inexact numbers
+    bucket = F.when(F.col("image_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("image_id"), F.lit(buckets))).cast("int")
+    dealt = results.select(bucket.alias("bucket"), F.coalesce("image_id", F.lit(0)).cast("long").alias("number"), "dx_nm", "dy_nm", "score")
+    return dealt.groupBy("bucket").applyInPandasWithState(step, "image_id long, dx_nm double, dy_nm double, score double", "ids binary, best binary, seen binary", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)

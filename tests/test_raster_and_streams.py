@@ -1,5 +1,7 @@
 """Rasters and matching in closed form; streams against batch results."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +129,35 @@ def test_live_results_only_get_better(spark, tmp_path):
     assert got.exceptAll(best).isEmpty() and best.exceptAll(got).isEmpty()
 
 
+def test_better_results_of_many_images_share_few_states(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows, best, expected = [], {}, []
+    for part in range(3):
+        kind = "image_id long, dx_nm double, dy_nm double, score double"
+        fresh = [(None if i == 7 else int(i), float(part), float(i), None if s == 3 else float(s)) for i, s in zip(rng.permutation(5000), rng.integers(-5, 5, 5000))]
+        rows.append(spark.createDataFrame(fresh, kind))
+        for i, x, y, s in fresh:
+            if s is not None and s > best.get(i, float("-inf")):
+                best[i] = s
+                expected.append((i, x, y, s))
+    for part, more in enumerate(rows):
+        more.coalesce(1).write.parquet(str(tmp_path / f"r/part={part}"))
+    stream = lambda: spark.readStream.schema(kind).parquet(str(tmp_path / "r/*"))
+    order = lambda found: sorted(((r[0] is None, *(r if r[0] is not None else (0, *r[1:]))) for r in found))
+    parts = live.in_parts(rows, lambda stream: live.keep_better(stream, buckets=16))
+    assert order(tuple(r) for r in parts.collect()) == order(expected)
+    for name, forget in (("all_better", None), ("some_better", "7 days")):
+        q = live.keep_better(stream(), forget, 16).writeStream.outputMode("append").format("memory").queryName(name).start()
+        found, until = {}, time.time() + 90
+        while found != best and time.time() < until:  # with a time to forget a stream is never idle
+            time.sleep(0.5)
+            found = {r.image_id: r.s for r in spark.table(name).groupBy("image_id").agg(F.max("score").alias("s")).collect()}
+            states = max((s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]), default=0)
+        q.stop()
+        assert found == best
+        assert states <= 16 + 1
+
+
 def test_page_map_falls_back_to_file_order(spark):
     rows = lambda *ids: spark.createDataFrame([(i, i, list(x)) for i, x in enumerate(ids)], "image_id long, rec_no long, ids array<long>")
     got = lambda df, n: sorted((r.image_id, r.page, r.mode) for r in defects.page_map(df, F.lit(n)).collect())
