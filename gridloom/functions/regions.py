@@ -1,11 +1,15 @@
 """Regions of the plane as disjoint boxes, in numpy; used inside Arrow tasks.
 
 A region is an array of rows (x1, y1, x2, y2) that do not overlap: runs along x
-first, then equal runs along y are one box. Small operands are laid over the grid of
-all their edges, where each cell is in or out. Larger ones are swept along y: the
-edges along x are kept once, with the number of boxes of each operand over each
-stretch between them, and an edge along y changes the stretches under it. Both ways
-give the same boxes; memory goes with the edges. Holes need no care.
+first, then equal runs along y are one box. With a fifth column, the number of a
+plane, it is a stack of regions that do not see each other; a field then has a row
+for each plane, in order. Operands are cut at the heights of all edges of their
+plane, and the pieces of each stretch between two heights are sorted along x, so
+that work goes with the pieces. Where there are very many pieces, a plane is swept
+along y instead: the edges along x are kept once, with the number of boxes of each
+operand over each stretch between them, and an edge along y changes the stretches
+under it; memory goes with the edges. Both ways give the same boxes. Holes need no
+care.
 """
 
 from __future__ import annotations
@@ -15,41 +19,59 @@ from bisect import bisect_left, bisect_right
 import numpy as np
 
 EMPTY = np.zeros((0, 4))
-#: Cells up to which the grid of all edges is laid out.
+#: Pieces up to which they are all sorted at once.
 SMALL = 1_000_000
 
 
 def boxes(rows) -> np.ndarray:
     """Boxes of positive area with their corners in order."""
-    b = np.asarray(rows, float).reshape(-1, 4)
-    b = np.concatenate([np.minimum(b[:, :2], b[:, 2:]), np.maximum(b[:, :2], b[:, 2:])], axis=1)
+    b = np.asarray(rows, float)
+    b = b.reshape(-1, b.shape[1] if b.ndim == 2 else 4)
+    b = np.concatenate([np.minimum(b[:, :2], b[:, 2:4]), np.maximum(b[:, :2], b[:, 2:4]), b[:, 4:]], axis=1)
     return b[(b[:, 2] > b[:, 0]) & (b[:, 3] > b[:, 1])]
 
 
-def cover(b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """Which cells between the edges lie in any of the boxes: sums of corners."""
-    marks = np.zeros((len(ys), len(xs)), np.int64)
-    x1, y1, x2, y2 = (np.searchsorted(e, b[:, i]) for i, e in enumerate((xs, ys, xs, ys)))
-    for x, y, n in ((x1, y1, 1), (x2, y1, -1), (x1, y2, -1), (x2, y2, 1)):
-        np.add.at(marks, (y, x), n)
-    return marks.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] > 0
-
-
-def merged(mask: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """The boxes of a mask of cells, the same for every way to get the mask."""
-    padded = np.pad(mask.astype(np.int8), ((0, 0), (1, 1)))
-    change = np.diff(padded, axis=1)
-    row, start = np.nonzero(change == 1)
-    _, end = np.nonzero(change == -1)
+def ranked(y: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each height's place among the distinct ones of all planes, plane after plane; these heights and their planes."""
+    order = np.lexsort((y, plane))
+    y, plane = y[order], plane[order]
+    fresh = np.ones(len(y), bool)
+    fresh[1:] = (y[1:] != y[:-1]) | (plane[1:] != plane[:-1])
+    rank = np.empty(len(y), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    return rank, y[fresh], plane[fresh]
+
+
+def stretches(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that reach from one place to another: row and place of every step on the way."""
+    n = high - low
+    k = np.repeat(np.arange(len(n)), n)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + low[k]
+
+
+def _cut(b: np.ndarray, which: np.ndarray, operands: int, rule, low: np.ndarray, high: np.ndarray, ys: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The region where ``rule`` of the operands holds, from pieces between the heights ``ys``."""
+    xs, at = np.unique(b[:, [0, 2]], return_inverse=True)
+    at = at.reshape(-1, 2)
+    k, slab = stretches(low, high)
+    key = np.concatenate([slab * len(xs) + at[k, 0], slab * len(xs) + at[k, 1]])
+    order = np.argsort(key)
+    key, step = key[order], np.where(order < len(k), 1, -1)
+    last = np.ones(len(key), bool)
+    last[:-1] = key[1:] != key[:-1]
+    owner = which[k[order % len(k)]] if operands > 1 else None
+    inside = rule(*(np.cumsum(step if owner is None else np.where(owner == o, step, 0))[last] > 0 for o in range(operands)))
+    # nothing is in where a stretch ends, so each run ends in its own
+    key, before = key[last], np.r_[False, inside[:-1]]
+    (row, start), (_, end) = np.divmod(key[inside & ~before], len(xs)), np.divmod(key[before & ~inside], len(xs))
     order = np.lexsort((row, end, start))
     row, start, end = row[order], start[order], end[order]
-    if not len(row):
-        return EMPTY
-    fresh = np.r_[True, (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (row[1:] != row[:-1] + 1)]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (row[1:] != row[:-1] + 1)
     first = np.flatnonzero(fresh)
-    last = np.r_[first[1:] - 1, len(row) - 1]
-    out = np.stack([xs[start[first]], ys[row[first]], xs[end[first]], ys[row[last] + 1]], axis=1)
-    return out[np.lexsort((out[:, 0], out[:, 1]))]
+    top = np.r_[first[1:], len(row)][: len(first)] - 1
+    out = np.stack([xs[start[first]], ys[row[first]], xs[end[first]], ys[row[top] + 1], planes[row[first]]], axis=1)
+    return out[np.lexsort((out[:, 0], out[:, 1], out[:, 4]))]
 
 
 def swept(operands: list[np.ndarray], rule, xs: np.ndarray) -> np.ndarray:
@@ -111,30 +133,53 @@ def swept(operands: list[np.ndarray], rule, xs: np.ndarray) -> np.ndarray:
 
 
 def combined(operands: list[np.ndarray], rule) -> np.ndarray:
-    """The region where ``rule`` of the operands' masks holds; nowhere outside all of them."""
-    every = np.concatenate([EMPTY, *operands])
-    if not len(every):
+    """The region where ``rule`` of the operands' masks holds; nowhere outside all of them.
+
+    The boxes of an operand may overlap.
+    """
+    known = [o for o in operands if len(o)]
+    if not known:
         return EMPTY
-    xs, ys = np.unique(every[:, [0, 2]]), np.unique(every[:, [1, 3]])
-    if len(xs) * len(ys) > SMALL:
-        return swept(operands, rule, xs)
-    return merged(rule(*(cover(b, xs, ys) for b in operands)), xs, ys)
+    b = np.concatenate(known)
+    width = b.shape[1]
+    which = np.repeat(np.arange(len(operands)), [len(o) for o in operands])
+    plane = b[:, 4] if width > 4 else np.zeros(len(b))
+    rank, ys, planes = ranked(np.r_[b[:, 1], b[:, 3]], np.r_[plane, plane])
+    low, high = rank[: len(b)], rank[len(b) :]
+    if (high - low).sum() <= SMALL:
+        return _cut(b, which, len(operands), rule, low, high, ys, planes)[:, :width]
+    if planes[0] == planes[-1]:
+        found = swept([o[:, :4] for o in operands], rule, np.unique(b[:, [0, 2]]))
+        return np.concatenate([found, np.full((len(found), width - 4), plane[0])], axis=1)
+    distinct = np.unique(planes)
+    half = distinct[len(distinct) // 2]
+    parts = [combined([o[keep(o[:, 4])] if len(o) else o for o in operands], rule) for keep in (lambda p: p < half, lambda p: p >= half)]
+    return np.concatenate([x for x in parts if len(x)] or [EMPTY])
 
 
 def dissolved(b: np.ndarray) -> np.ndarray:
     return combined([boxes(b)], lambda a: a)
 
 
+def boxed(field: np.ndarray) -> np.ndarray:
+    """A field, or the fields of a stack, as a region."""
+    return field.reshape(-1, field.shape[-1])
+
+
+def moved(b: np.ndarray, axis: str, n: float) -> np.ndarray:
+    """Boxes, which may overlap, that cover what a region grows to along one axis, both ways."""
+    by = np.zeros(b.shape[1])
+    by[[0, 2] if axis == "W" else [1, 3]] = -n, n
+    return b + by
+
+
 def grown(b: np.ndarray, axis: str, n: float) -> np.ndarray:
     """Every point moved up to n along one axis, both ways; n <= 0 changes nothing."""
-    if n <= 0 or not len(b):
-        return b
-    by = np.array([-n, 0, n, 0] if axis == "W" else [0, -n, 0, n])
-    return dissolved(b + by)
+    return b if n <= 0 or not len(b) else dissolved(moved(b, axis, n))
 
 
 def complement(b: np.ndarray, field: np.ndarray) -> np.ndarray:
-    return combined([field.reshape(1, 4), b], lambda f, a: f & ~a)
+    return combined([boxed(field), b], lambda f, a: f & ~a)
 
 
 def shrunk(b: np.ndarray, axis: str, n: float, field: np.ndarray) -> np.ndarray:
@@ -145,7 +190,8 @@ def shrunk(b: np.ndarray, axis: str, n: float, field: np.ndarray) -> np.ndarray:
 
 
 def clipped(b: np.ndarray, field: np.ndarray) -> np.ndarray:
-    return boxes(np.concatenate([np.maximum(b[:, :2], field[:2]), np.minimum(b[:, 2:], field[2:])], axis=1)[(b[:, 0] < field[2]) & (b[:, 2] > field[0]) & (b[:, 1] < field[3]) & (b[:, 3] > field[1])])
+    f = field[b[:, 4].astype(np.int64)] if b.shape[1] > 4 else boxed(field)
+    return boxes(np.concatenate([np.maximum(b[:, :2], f[:, :2]), np.minimum(b[:, 2:4], f[:, 2:4]), b[:, 4:]], axis=1)[(b[:, 0] < f[:, 2]) & (b[:, 2] > f[:, 0]) & (b[:, 1] < f[:, 3]) & (b[:, 3] > f[:, 1])])
 
 
 def area(b: np.ndarray) -> float:

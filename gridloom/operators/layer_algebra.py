@@ -10,7 +10,7 @@ and each window is worked out from its own shapes in an Arrow task.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,10 @@ from gridloom.operators.overlap import bbox_join, meeting
 from gridloom.operators.tiling import MOST_SHAPES, reaching, split_windows
 
 
+#: Shapes, and polygons, that are worked on at once, if their windows have no more.
+BLOCK_ROWS, BLOCK_POLYGONS = 20_000, 1000
+
+
 class FormulaError(ValueError):
     """A formula, a binding or a set of recipes makes no sense."""
 
@@ -138,40 +142,69 @@ def halo(tree: tuple) -> float:
     return own + max((halo(x) for x in tree[1:] if isinstance(x, tuple)), default=0.0)
 
 
-def evaluate(tree: tuple, bound: dict[str, np.ndarray], field: np.ndarray, algebra=regions) -> np.ndarray:
-    """The region of a formula; complements and shrinks are taken in ``field``.
-
-    ``algebra`` is the module that regions belong to: boxes or trapezoids.
-    """
+def _operands(tree: tuple, bound: dict[str, np.ndarray], field: np.ndarray, algebra) -> tuple[list[np.ndarray], Callable]:
+    """Regions, whose parts may overlap, and the rule of their masks that is the formula."""
     op = tree[0]
     if op == "ref":
-        return algebra.dissolved(bound.get(tree[1], algebra.EMPTY))
-    a = evaluate(tree[1], bound, field, algebra)
-    if op == "not":
-        return algebra.complement(a, field)
+        return [bound.get(tree[1], algebra.EMPTY)], lambda a: a
+    if op in ("grow", "shrink") and tree[3] <= 0:
+        return _operands(tree[1], bound, field, algebra)
     if op == "grow":
-        return algebra.grown(a, tree[2], tree[3])
+        return [algebra.moved(evaluate(tree[1], bound, field, algebra), tree[2], tree[3])], lambda a: a
     if op == "shrink":
-        return algebra.shrunk(a, tree[2], tree[3], field)
-    b = evaluate(tree[2], bound, field, algebra)
-    rule = {"&": lambda x, y: x & y, "|": lambda x, y: x | y, "-": lambda x, y: x & ~y}[op]
-    return algebra.combined([a, b], rule)
+        empty = evaluate(("not", tree[1]), bound, field, algebra)
+        return [algebra.boxed(field), algebra.moved(empty, tree[2], tree[3])], lambda f, a: f & ~a
+    left, first = _operands(tree[1], bound, field, algebra)
+    if op == "not":
+        return [algebra.boxed(field), *left], lambda f, *m: f & ~first(*m)
+    right, second = _operands(tree[2], bound, field, algebra)
+    rule, n = {"&": lambda x, y: x & y, "|": lambda x, y: x | y, "-": lambda x, y: x & ~y}[op], len(left)
+    return [*left, *right], lambda *m: rule(first(*m[:n]), second(*m[n:]))
+
 
+def evaluate(tree: tuple, bound: dict[str, np.ndarray], field: np.ndarray, algebra=regions, window: np.ndarray | None = None) -> np.ndarray:
+    """The region of a formula, cut to ``window`` if given; complements and shrinks are taken in ``field``.
+
+    What lies between two moves is worked out at once. ``algebra`` is the module that
+    regions belong to: boxes or trapezoids. Regions and fields may be stacks.
+    """
+    operands, rule = _operands(tree, bound, field, algebra)
+    if window is None:
+        return algebra.combined(operands, rule)
+    return algebra.combined([algebra.boxed(window), *operands], lambda w, *m: w & rule(*m))
+
+
+def window_blocks(batches: Iterator[pa.RecordBatch], size: int, *keys: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of whole keys, about ``size`` of them, from batches sorted by key; with each row's key as a number, and where keys begin.
+
+    Keys are numbers. A key with more rows than that comes alone.
+    """
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def blocks(last: bool) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        nonlocal held, n
+        rows = pa.Table.from_batches(held).combine_chunks()
+        k = np.stack([rows[c].to_numpy() for c in keys])
+        starts = np.r_[0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, len(rows)]
+        stop = len(starts) - (1 if last else 2)
+        i = 0
+        while i < stop:
+            j = min(max(int(np.searchsorted(starts, starts[i] + size, "right")) - 1, i + 1), stop)
+            part = starts[i : j + 1] - starts[i]
+            yield rows.slice(starts[i], part[-1]), np.repeat(np.arange(j - i), np.diff(part)), part[:-1]
+            i = j
+        held = rows.slice(starts[stop]).to_batches()
+        n = len(rows) - starts[stop]
 
-def window_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
-    """The rows of each key, from batches sorted by it; keys are numbers."""
-    held = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-        if len(rows):
-            k = np.stack([rows[c].to_numpy() for c in keys])
-            edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                yield rows.slice(a, b - a)
-            held = rows.slice(edges[-1])
-    if held is not None and len(held):
-        yield held
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n > size and any(held[0][c][0].as_py() != batch[c][-1].as_py() for c in keys):
+                yield from blocks(False)
+    if n:
+        yield from blocks(True)
 
 
 def in_windows(shapes: DataFrame, windows: DataFrame, layers: dict[str, tuple[int, int]], grid: int, halo_nm: float, most: int = MOST_SHAPES) -> DataFrame:
@@ -204,17 +237,20 @@ def _worked_out(trees: dict[str, tuple], layers: dict[str, tuple[int, int]], sha
     rows = in_windows(shapes, windows, used, grid, max(around.values(), default=0.0), most)
     columns = ["recipe", "window_id", "x1", "y1", "x2", "y2"]
 
+    known = pa.array(list(used), pa.string())
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in window_groups(batches, "window_id", "part"):
-            window = np.array([group[c][0].as_py() for c in ("px1", "py1", "px2", "py2")], float)
-            b = np.stack([group[c].to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
-            ref = np.array(group["ref"].to_pylist(), object)
-            held = {k: regions.boxes(b[ref == k]) for k in used}
+        for group, place, starts in window_blocks(batches, BLOCK_ROWS, "window_id", "part"):
+            window = np.stack([group[c].to_numpy()[starts].astype(float) for c in ("px1", "py1", "px2", "py2")] + [np.arange(len(starts))], axis=1)
+            b = np.stack([*(group[c].to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")), place], axis=1)
+            ref = pc.fill_null(pc.index_in(group["ref"], known), -1).to_numpy()
+            held = {k: regions.boxes(b[ref == i]) for i, k in enumerate(used)}
+            ids = group["window_id"].to_numpy()[starts]
             for name, tree in trees.items():
-                field = window + np.array([-1, -1, 1, 1]) * around[name]
-                found = regions.clipped(evaluate(tree, {k: regions.clipped(v, field) for k, v in held.items()}, field), window)
+                field = window + np.array([-1, -1, 1, 1, 0]) * around[name]
+                found = evaluate(tree, {k: regions.clipped(v, field) for k, v in held.items()}, field, window=window)
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(np.full(len(found), group["window_id"][0].as_py())), *(pa.array(found[:, i]) for i in range(4))], columns)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(ids[found[:, 4].astype(np.int64)]), *(pa.array(found[:, i]) for i in range(4))], columns)
 
     dealt = rows.repartition("window_id", "part").sortWithinPartitions("window_id", "part")
     return dealt.mapInArrow(work, "recipe string, window_id long, x1 double, y1 double, x2 double, y2 double")
@@ -246,23 +282,25 @@ def apply_polygons(formula: str, layers: dict[str, tuple[int, int]], polygons: D
     # written once, as the boxes around are read often
     boxed = kept(polygons.join(F.broadcast(bound), ["layer", "datatype"]).select("ref", "pts", *(c.alias(n) for c, n in zip(ring_box(F.col("pts")), ("x1", "y1", "x2", "y2"), strict=True))))
     parts = windows.select("window_id", *(F.col(f"w{c}").alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")))
-    place = ["window_id", "px1", "py1", "px2", "py2"]
-    found = bbox_join(boxed, reaching(parts, around), grid).select(*place, "ref", "pts")
-    rows = found.unionByName(parts.select(*place, F.lit(None).cast("string").alias("ref"), F.lit(None).cast(found.schema["pts"].dataType).alias("pts")))
+    place_columns = ["px1", "py1", "px2", "py2"]
+    found = bbox_join(boxed, reaching(parts, around), grid).select("window_id", *place_columns, "ref", "pts")
+    rows = found.unionByName(parts.select("window_id", *place_columns, F.lit(None).cast("string").alias("ref"), F.lit(None).cast(found.schema["pts"].dataType).alias("pts")))
     columns = ["window_id", "y1", "y2", "left1", "right1", "left2", "right2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in window_groups(batches, "window_id"):
-            window = np.array([group[c][0].as_py() for c in place[1:]], float)
-            field = window + np.array([-1, -1, 1, 1]) * around
-            held, drawn = {}, group.filter(pc.is_valid(group["ref"]))
+        for group, place, starts in window_blocks(batches, BLOCK_POLYGONS, "window_id"):
+            window = np.stack([group[c].to_numpy()[starts].astype(float) for c in place_columns] + [np.arange(len(starts))], axis=1)
+            field = window + np.array([-1, -1, 1, 1, 0]) * around
+            held, valid = {}, pc.is_valid(group["ref"])
+            drawn = group.filter(valid)
             if len(drawn):
                 edges, of = raster.ring_edges(*raster.ring_points(drawn["pts"]))
+                edges = np.concatenate([edges, place[valid.to_numpy()][of][:, None]], axis=1)
                 ref = np.array(drawn["ref"].to_pylist(), object)[of]
                 held = {k: trapezoids.clipped(trapezoids.from_edges(edges[ref == k]), field) for k in used}
-            out = trapezoids.clipped(evaluate(tree, held, field, trapezoids), window)
+            out = evaluate(tree, held, field, trapezoids, window)
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), group["window_id"][0].as_py())), *(pa.array(out[:, i]) for i in range(6))], columns)
+                yield pa.RecordBatch.from_arrays([pa.array(group["window_id"].to_numpy()[starts][out[:, 6].astype(np.int64)]), *(pa.array(out[:, i]) for i in range(6))], columns)
 
     return rows.repartition("window_id").sortWithinPartitions("window_id").mapInArrow(work, "window_id long, " + ", ".join(f"{c} double" for c in columns[1:]))
 

@@ -115,3 +115,42 @@ def test_pictures():
     at = raw.index(b"IDAT")
     (size,) = struct.unpack(">I", raw[at - 4 : at])
     assert zlib.decompress(raw[at + 4 : at + 4 + size]) == b"".join(b"\0" + r.tobytes() for r in colors)
+
+
+def test_sparse_windows_are_not_swept(monkeypatch):
+    rng = np.random.default_rng(9)
+    low = rng.integers(0, 37_000, (2200, 2))
+    b = np.concatenate([low, low + rng.integers(20, 220, (2200, 2))], axis=1).astype(float)
+    field = np.array([0, 0, 37_500, 37_500.0])
+    monkeypatch.setattr(R, "SMALL", 0)
+    swept = value("A < H:5", field, A=b)
+    monkeypatch.undo()
+    monkeypatch.setattr(R, "swept", None)
+    assert np.array_equal(value("A < H:5", field, A=b), swept)
+
+
+@pytest.mark.parametrize("small", [R.SMALL, 30])
+def test_a_stack_gives_what_its_planes_give(monkeypatch, small):
+    rng = np.random.default_rng(10)
+    monkeypatch.setattr(R, "SMALL", small)
+    fields = np.array([[0, 0, 40, 40, 0], [5, 5, 30, 30, 1], [0, 0, 40, 40, 2], [0, 10, 40, 20, 3]], float)
+    a, b = (np.concatenate([np.insert(R.boxes(rng.integers(0, 40, (n, 4))), 4, k, axis=1) for k in (0, 1, 3)]) for n in (12, 7))
+    for text in ("A & B", "~A", "(A > W:3) - B", "(A | B) < H:2", "(B - A) > H:1", "A > W:0"):
+        stack = value(text, fields, A=R.clipped(a, fields), B=R.clipped(b, fields))
+        for k, field in enumerate(fields[:, :4]):
+            own = value(text, field, **{n: R.clipped(x[x[:, 4] == k][:, :4], field) for n, x in (("A", a), ("B", b))})
+            assert np.array_equal(stack[stack[:, 4] == k][:, :4] if len(stack) else stack, own), (text, k)
+
+
+def test_blocks_hold_whole_windows():
+    import pyarrow as pa
+
+    ids = np.repeat(np.arange(9), [1, 4, 30, 2, 2, 2, 1, 12, 3])
+    rows = pa.table({"w": ids, "part": ids * 0, "at": np.arange(len(ids))})
+    for batch in (1, 5, 100):
+        found = list(L.window_blocks(iter(rows.to_batches(batch)), 6, "w", "part"))
+        assert np.concatenate([r["at"].to_numpy() for r, _, _ in found]).tolist() == list(range(len(ids)))
+        for r, place, starts in found:
+            w = r["w"].to_numpy()
+            assert (w[starts][place] == w).all() and len(set(w)) == len(starts) and (len(r) <= 6 or len(starts) == 1)
+        assert sum(len(s) for _, _, s in found) == 9
