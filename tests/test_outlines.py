@@ -134,3 +134,22 @@ def test_trapezoids_of_boxes_have_the_area_of_boxes():
         slanted = {k: T.dissolved(np.stack([v[:, 1], v[:, 3], v[:, 0], v[:, 2], v[:, 0], v[:, 2]], axis=1)) for k, v in (("A", a), ("B", b))}
         tree = L.parse(text)[1]
         assert T.area(T.clipped(L.evaluate(tree, slanted, field, T), field)) == pytest.approx(R.area(R.clipped(L.evaluate(tree, {"A": a, "B": b}, field), field)))
+
+
+def test_a_stack_of_polygons_gives_what_its_planes_give():
+    rng = np.random.default_rng(12)
+    fields = np.array([[0, 0, 60, 60, 0], [10, 0, 50, 60, 1], [0, 0, 60, 60, 2]], float)
+
+    def triangles(n):
+        p = rng.integers(0, 60, (n, 3, 2)).astype(float)
+        return raster.ring_edges(p.reshape(-1, 2), np.arange(n) * 3)[0]
+
+    planes = {name: {k: triangles(n) for k in (0, 2)} for name, n in (("A", 6), ("B", 4))}
+    stacks = {name: T.clipped(T.from_edges(np.concatenate([np.insert(e, 4, k, axis=1) for k, e in own.items()])), fields) for name, own in planes.items()}
+    for text in ("A & B", "~A", "(A > W:3) - B", "(A > H:2) & B", "(A | B) < H:1"):
+        tree = L.parse(text)[1]
+        found = L.evaluate(tree, stacks, fields, T, fields)
+        for k, field in enumerate(fields[:, :4]):
+            own = {name: T.clipped(T.from_edges(e.get(k, np.zeros((0, 4)))), field) for name, e in planes.items()}
+            alone = L.evaluate(tree, own, field, T, field)
+            assert np.allclose(found[found[:, 6] == k][:, :6], alone), (text, k)
