@@ -153,3 +153,27 @@ def test_a_stack_of_polygons_gives_what_its_planes_give():
             own = {name: T.clipped(T.from_edges(e.get(k, np.zeros((0, 4)))), field) for name, e in planes.items()}
             alone = L.evaluate(tree, own, field, T, field)
             assert np.allclose(found[found[:, 6] == k][:, :6], alone), (text, k)
+
+
+def test_rings_that_lead_through_many_chunks(spark):
+    rng = np.random.default_rng(13)
+    spiral = [(0, 0, 50, 2), (48, 2, 50, 50), (2, 48, 48, 50), (2, 6, 4, 48), (4, 6, 44, 8), (60, 0, 62, 2), (62, 2, 64, 4)]
+    rows = [(0, *map(float, r)) for r in spiral] + [(1, *r) for r in R.dissolved(rng.integers(0, 25, (60, 4))).tolist()]
+    boxes = spark.createDataFrame(rows, "w long, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    # small batches, so that a chunk holds some of a ring's edges only
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = [contours.rings(boxes, ["w"], chunk).collect() for chunk in (1, 4, 10**6)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shapes = []
+    for corners in found:
+        rings = {}
+        for r in sorted(corners, key=lambda r: (r.w, r.ring, r.seq)):
+            rings.setdefault((r.w, r.ring), []).append(r)
+        for ring in rings.values():
+            assert [r.seq for r in ring] == list(range(len(ring)))
+            assert all((a.nx, a.ny) == (b.x, b.y) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+        points = [(w, [(r.x, r.y) for r in ring]) for (w, _), ring in rings.items()]
+        shapes.append(sorted((w, p[p.index(min(p)):] + p[: p.index(min(p))]) for w, p in points))
+    assert shapes[0] == shapes[1] == shapes[2]
