@@ -11,8 +11,15 @@ import numpy as np
 def masks(boxes: np.ndarray, plane: np.ndarray, planes: int, x0, y0, nm_per_px: float, height: int, width: int) -> np.ndarray:
     """Pixels in any of the boxes of each plane; row 0 is at the top, both end pixels count.
 
-    Every box marks its four corners; summed along both axes, the marks count the
-    boxes over each pixel. ``x0`` and ``y0`` are one corner for all or one a box.
+    ``x0`` and ``y0`` are one corner for all or one a box.
+    """
+    return _summed(boxes, plane, planes, None, x0, y0, nm_per_px, height, width) > 0
+
+
+def _summed(boxes: np.ndarray, plane: np.ndarray, planes: int, weight: np.ndarray | None, x0, y0, nm_per_px: float, height: int, width: int) -> np.ndarray:
+    """The weights, or the number, of the boxes over each pixel of each plane; whole numbers under 2**52.
+
+    Every box marks its four corners, and the marks are summed along both axes.
     """
     cols = np.rint((boxes[:, [0, 2]] - np.reshape(x0, (-1, 1))) / nm_per_px).astype(np.int64)
     rows = (height - 1) - np.rint((boxes[:, [1, 3]] - np.reshape(y0, (-1, 1))) / nm_per_px).astype(np.int64)
@@ -22,8 +29,13 @@ def masks(boxes: np.ndarray, plane: np.ndarray, planes: int, x0, y0, nm_per_px:
     c2, r2 = np.minimum(c2, width - 1)[seen] + 1, np.minimum(r2, height - 1)[seen] + 1
     at = plane[seen] * ((height + 1) * (width + 1))
     corners = np.concatenate([at + r * (width + 1) + c for r, c in ((r1, c1), (r2, c2), (r1, c2), (r2, c1))])
-    marks = np.bincount(corners, np.repeat([1.0, 1.0, -1.0, -1.0], len(at)), planes * (height + 1) * (width + 1))
-    return marks.reshape(planes, height + 1, width + 1).cumsum(axis=1).cumsum(axis=2)[:, :height, :width] > 0.5
+    one = np.ones(len(at)) if weight is None else weight[seen].astype(float)
+    marks = np.bincount(corners, np.concatenate([one, one, -one, -one]), planes * (height + 1) * (width + 1))
+    small = np.abs(one).sum() < 2**31
+    marks = marks.reshape(planes, height + 1, width + 1).astype(np.int32 if small else np.int64)
+    for along in (1, 2):
+        np.cumsum(marks, axis=along, out=marks)
+    return marks[:, :height, :width]
 
 
 def mask(boxes: np.ndarray, x0: float, y0: float, nm_per_px: float, height: int, width: int) -> np.ndarray:
@@ -75,15 +87,31 @@ def ring_edges(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return edges, of
 
 
-def label_planes(boxes: np.ndarray, ids: np.ndarray, plane: np.ndarray, planes: int, *grid) -> np.ndarray:
-    """Label of each pixel of each plane; a larger id covers a smaller one, 0 is none."""
+def top_planes(boxes: np.ndarray, ids: np.ndarray, plane: np.ndarray, planes: int, *grid) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that there are, in order, and for each pixel of each plane 1 and more for the largest over it, 0 for none.
+
+    The boxes of each id over a pixel are counted in bits of their own of one number,
+    which is thus at least as large as the largest id's lowest bit.
+    """
     height, width = grid[-2:]
     known, at = np.unique(ids, return_inverse=True)
-    drawn = masks(boxes, plane * len(known) + at, planes * len(known), *grid).reshape(planes, len(known), height, width)
-    out = np.zeros((planes, height, width), np.int32)
-    for k, label in enumerate(known):
-        out[drawn[:, k]] = label
-    return out
+    out = np.zeros((planes, height, width), np.int64)
+    bits = max(1, int(np.bincount(plane, minlength=1).max()).bit_length())
+    each = max(1, min(30, 52 - len(boxes).bit_length()) // bits)
+    for first in range(0, len(known), each):
+        n = min(each, len(known) - first)
+        own = (at >= first) & (at < first + n)
+        corner = [v if np.ndim(v) == 0 else np.asarray(v)[own] for v in grid[:2]]
+        seen = _summed(boxes[own], plane[own], planes, np.left_shift(1, bits * (at[own] - first)), *corner, *grid[2:])
+        for k in range(n):
+            out[seen >= 1 << (bits * k)] = first + k + 1
+    return known, out
+
+
+def label_planes(boxes: np.ndarray, ids: np.ndarray, plane: np.ndarray, planes: int, *grid) -> np.ndarray:
+    """Label of each pixel of each plane; a larger id covers a smaller one, 0 is none."""
+    known, top = top_planes(boxes, ids, plane, planes, *grid)
+    return np.r_[0, known].astype(np.int32)[top]
 
 
 def labels(boxes: np.ndarray, ids: np.ndarray, *grid) -> np.ndarray:
@@ -98,24 +126,28 @@ def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
     reach = max(1, round(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     kernel /= kernel.sum()
-    out = np.pad(image.astype(float), [(0, 0)] * (image.ndim - 2) + [(reach, reach)] * 2, mode="reflect")
-    for axis in (-2, -1):
-        n = out.shape[axis] - 2 * reach
-        out = sum(k * np.take(out, range(i, i + n), axis) for i, k in enumerate(kernel))
+    out = image.astype(float)
+    for axis in (-1, -2):  # along each axis a product with the kernel's places, mirrored ones included
+        n = image.shape[axis]
+        of = np.pad(np.arange(n), reach, mode="reflect")
+        places = np.zeros((n, n))
+        np.add.at(places, (np.repeat(np.arange(n), len(kernel)), of[np.arange(n)[:, None] + np.arange(len(kernel))].ravel()), np.tile(kernel, n))
+        out = out @ places.T if axis == -1 else places @ out
     return out
 
 
 def correlation(image: np.ndarray, template: np.ndarray) -> np.ndarray:
     """Normalised correlation of the mean-free template at every place it fits, over the last two axes."""
     h, w = template.shape[-2:]
-    shape = [a + b - 1 for a, b in zip(image.shape[-2:], (h, w), strict=True)]
+    high, wide = shape = image.shape[-2:]
     centred = template - template.mean(axis=(-2, -1), keepdims=True)
+    # what comes around in a product of the image's size lies before the places where the template fits
     full = np.fft.irfft2(np.fft.rfft2(image, shape) * np.fft.rfft2(centred[..., ::-1, ::-1], shape), shape)
-    dot = full[..., h - 1 : image.shape[-2], w - 1 : image.shape[-1]]
+    dot = full[..., h - 1 :, w - 1 :]
+    down, across = (np.tri(n - k + 1, n, k - 1) - np.tri(n - k + 1, n, -1) for n, k in ((high, h), (wide, w)))
 
     def sums(x: np.ndarray) -> np.ndarray:
-        s = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(1, 0)] * 2).cumsum(axis=-2).cumsum(axis=-1)
-        return s[..., h:, w:] - s[..., :-h, w:] - s[..., h:, :-w] + s[..., :-h, :-w]
+        return down @ (x @ across.T)
 
     spread = np.maximum(sums(image * image) - sums(image) ** 2 / (h * w), 0)
     norm = np.sqrt(spread * (centred**2).sum(axis=(-2, -1), keepdims=True))

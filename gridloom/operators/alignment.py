@@ -89,10 +89,11 @@ def label_counts(seen: DataFrame, fov: int, pixels: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, place, keys in _blocks(batches, "image_id"):
-            found = raster.label_planes(_boxes(rows), rows["layer"].to_numpy(), place, len(keys), *_corners(rows, fov), scale, pixels, pixels)
-            image, r, c = np.nonzero(found)
-            pair, n = np.unique(np.stack([image, found[image, r, c]]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[pair[0]]), pa.array(pair[1].astype(np.int32)), pa.array(n.astype(np.int64))], ["image_id", "layer", "n_pixels"])
+            layers, found = raster.top_planes(_boxes(rows), rows["layer"].to_numpy(), place, len(keys), *_corners(rows, fov), scale, pixels, pixels)
+            width = len(layers) + 1
+            n = np.bincount((found + width * np.arange(len(keys))[:, None, None]).ravel(), minlength=width * len(keys)).reshape(-1, width)[:, 1:]
+            image, k = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[image]), pa.array(layers[k].astype(np.int32)), pa.array(n[image, k].astype(np.int64))], ["image_id", "layer", "n_pixels"])
 
     return _by_image(seen).mapInArrow(work, "image_id long, layer int, n_pixels long")
 

@@ -172,3 +172,35 @@ def test_nested_defect_lists(spark):
     rows = defects.parse_nested(spark.createDataFrame([("p", text), ("q", "")], "path string, content string")).orderBy("rec_no").collect()
     assert [(r["values"]["ID"], r.image_file) for r in rows] == [("1", "a b.tif"), ("2", None)]
     assert rows[1]["values"]["_extra_1"] == "9"
+
+
+@pytest.mark.parametrize("layers", [3, 40])
+def test_topmost_ids_equal_painting(layers):
+    rng = np.random.default_rng(layers)
+    low = rng.integers(-40, 200, (150, 2))
+    b = np.concatenate([low, low + rng.integers(0, 90, (150, 2))], axis=1).astype(float)
+    ids, plane = rng.integers(-1, layers - 1, 150), rng.integers(0, 4, 150)
+    known, top = raster.top_planes(b, ids, plane, 5, 0, 0, 10.0, 20, 24)
+    assert not top[4].any() and known.tolist() == sorted(set(ids.tolist()))
+    for k in range(4):
+        painted = np.zeros((20, 24), int)
+        for i, label in enumerate(known):
+            own = b[(ids == label) & (plane == k)]
+            if len(own):
+                painted[raster.mask(own, 0, 0, 10.0, 20, 24)] = i + 1
+        assert (top[k] == painted).all()
+
+
+def test_label_counts_of_layer_zero(spark):
+    seen = spark.createDataFrame([(1, 50, 50, 0, 0, 0, 49, 49), (1, 50, 50, 4, 0, 0, 19, 19), (2, 50, 50, 0, 70, 70, 99, 99)], "image_id long, cx long, cy long, layer int, x1 long, y1 long, x2 long, y2 long")
+    assert sorted(map(tuple, alignment.label_counts(seen, 100, 100).collect())) == [(1, 0, 50 * 50 - 400), (1, 4, 400), (2, 0, 900)]
+
+
+def test_correlation_is_that_of_every_place():
+    rng = np.random.default_rng(3)
+    image, template = rng.random((2, 11, 14)), rng.random((2, 4, 6))
+    found = raster.correlation(image, template)
+    assert found.shape == (2, 8, 9)
+    for k, r, c in np.ndindex(*found.shape):
+        a, b = image[k, r : r + 4, c : c + 6], template[k]
+        assert abs(found[k, r, c] - np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 1e-9
