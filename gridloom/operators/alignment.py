@@ -23,11 +23,11 @@ BLOCK = 64
 NO_COORDS, MISSING, NO_SCALE, FLAT, OK = "no-coords", "missing-file", "no-scale", "flat", "ok"
 
 
-def in_view(shapes: DataFrame, images: DataFrame, fov: int) -> DataFrame:
-    """Shapes in each image's field, once each, with the image's centre."""
+def in_view(shapes: DataFrame, images: DataFrame, fov: int, *more: str) -> DataFrame:
+    """Shapes in each image's field, once each, with the image's centre and ``more`` of its columns."""
     half = fov // 2
-    fields = images.select("image_id", "cx", "cy", *((F.col(c) + s * half).alias(n) for n, c, s in (("qx1", "cx", -1), ("qy1", "cy", -1), ("qx2", "cx", 1), ("qy2", "cy", 1))))
-    return bbox_join(shapes, fields, fov).select("image_id", "cx", "cy", "layer", "x1", "y1", "x2", "y2")
+    fields = images.select("image_id", "cx", "cy", *more, *((F.col(c) + s * half).alias(n) for n, c, s in (("qx1", "cx", -1), ("qy1", "cy", -1), ("qx2", "cx", 1), ("qy2", "cy", 1))))
+    return bbox_join(shapes, fields, fov).select("image_id", "cx", "cy", *more, "layer", "x1", "y1", "x2", "y2")
 
 
 def fields_at(images: DataFrame, corner_x, corner_y, fov: int, *, flip_y: bool = False) -> DataFrame:
@@ -164,7 +164,7 @@ def matched(images: DataFrame, shapes: DataFrame, grey: dict[int, int], fov: int
     scale = fov / pixels
     known = images.withColumn("_state", state())
     drawn = shapes.where(F.col("layer").isin(list(grey)))
-    seen = in_view(drawn, known.where("_state is null"), fov).join(known.select("image_id", "ox", "oy"), "image_id")
+    seen = in_view(drawn, known.where("_state is null"), fov, "ox", "oy")
     palette = np.zeros(max(grey, default=0) + 1)
     palette[list(grey)] = list(grey.values())
 

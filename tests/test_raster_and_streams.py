@@ -204,3 +204,10 @@ def test_correlation_is_that_of_every_place():
     for k, r, c in np.ndindex(*found.shape):
         a, b = image[k, r : r + 4, c : c + 6], template[k]
         assert abs(found[k, r, c] - np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 1e-9
+
+
+def test_drift_is_read_with_the_field(spark):
+    images = spark.createDataFrame([(1, 100, 100, 5.0, -5.0), (2, 100, 100, 7.0, 0.0)], "image_id long, cx long, cy long, ox double, oy double")
+    shapes = spark.createDataFrame([(10, 90, 90, 110, 110)], "layer int, x1 long, y1 long, x2 long, y2 long")
+    seen = alignment.in_view(shapes, images, 100, "ox", "oy")
+    assert sorted((r.image_id, r.ox, r.oy, r.layer) for r in seen.collect()) == [(1, 5.0, -5.0, 10), (2, 7.0, 0.0, 10)]
