@@ -54,10 +54,13 @@ from gridloom.llm.common import cut, shared_dir
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
 #: Tokens that a task counts before it sends them on, and that one lookup takes.
-RUN, LOOKUP = 2_000_000, 400_000
+RUN, LOOKUP = 2_000_000, 1_000_000
 #: Bytes of text for each bucket of hash ranges, and the fewest buckets. From MANY
-#: buckets on they grow to MOST_BYTES before there are more of them.
-BUCKET_BYTES, FEWEST, MANY, MOST_BYTES = 2 << 20, 64, 1 << 16, 64 << 20
+#: buckets on they grow to MOST_BYTES before there are more of them, as a lookup goes
+#: to every bucket.
+BUCKET_BYTES, FEWEST, MANY, MOST_BYTES = 2 << 20, 64, 1 << 10, 32 << 20
+#: Files that a worker keeps mapped, under what systems allow: ten for each of 2048 buckets, and more.
+MAPPED = 1 << 15
 #: A context is heavy at so many buckets' loads, about.
 LOADS = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -346,9 +349,9 @@ class Model:
         return np.stack([np.array(list(map(len, texts))), *sums], axis=1)
 
 
-@functools.lru_cache(maxsize=16384)
+@functools.lru_cache(maxsize=MAPPED)
 def _mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+    return np.load(path, mmap_mode="r").view(np.ndarray)  # a plain array, as slices of the other kind are slow
 
 
 def _local(folder: str) -> str:

@@ -233,6 +233,13 @@ def test_language_model_misses_no_file(spark, tmp_path):
     assert lm.bits_for(10**14) > 16 and 10**14 / 2 ** lm.bits_for(10**14) <= lm.MOST_BYTES
 
 
+@pytest.mark.parametrize("size", [10**8, 10**9, 10**10, 6 * 10**10])
+def test_workers_keep_a_whole_language_model_mapped(size):
+    files = 2 * len(lm._NAMES) * 2 ** lm.bits_for(size)
+    assert files <= lm._mapped.cache_parameters()["maxsize"]
+    assert size / 2 ** lm.bits_for(size) <= lm.MOST_BYTES
+
+
 def test_shards_keep_groups_whole_and_level(spark):
     rnd = random.Random(14)
     texts = [f"{i} " + "y" * int(rnd.expovariate(1 / 300)) for i in range(900)] + ["twice the same text"] * 2 + ["z" * 9000] * 3 + [None, "", "x" * 30000]
